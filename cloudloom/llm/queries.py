@@ -8,13 +8,19 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, media, quality, sample, toxicity
+from . import chat, language, linededup, media, quality, sample, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 3 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -23,6 +29,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
+
+    def row(kept: bytes, lines: int, dropped: int) -> tuple:
+        return lines, dropped, hashlib.sha256(kept).hexdigest()
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(documents, row=row, schema="n_lines long, n_dropped long, kept_sha256 string", keep=["doc_id"])
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text is stored as a PNG, WAV or BMP under a declared type that need not be right, sniffed, and read back."""
 
@@ -63,7 +79,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)}
-
-#: op7 and op9 in SQL need digests over reconstructed bytes that DuckDB has no function for; models can't be put in SQL.
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)}
+
+_OP6 = r"""
+WITH lines AS (
+  SELECT doc_id, l.pos AS pos, l.line AS line, translate(regexp_replace(regexp_replace(l.line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {'pos': i, 'line': x})) AS l FROM documents)
+), shared AS (
+  SELECT key, max(doc_id) AS largest FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT doc_id, pos, line, shared.key IS NOT NULL AND doc_id <> largest AS dropped FROM lines LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: Without SQL: op2 (XXH64), op7 and op9 (digests of rebuilt bytes), and the learned models.
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": _OP6}
