@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 20
 
@@ -163,3 +164,8 @@ class Grams:
     def text_of(self, at: np.ndarray) -> np.ndarray:
         """Which text of the slice each position belongs to."""
         return np.searchsorted(self.starts, at, "right") - 1
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """The schema and the fields of a DDL string."""
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)

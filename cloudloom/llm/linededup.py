@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import with_fields
 from .shared import partitions, saved
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -219,12 +220,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     names = [c for c in keep if c != "text" or row]
     given = _keyed(documents, *names, F.col("text").isNull().alias("__null"))
     plain = given.join(maps, ["__d", "__t"], "left").select(*names, "__null", "__x", "__keep")
-    out = plain.select(*names).schema
-    if row is None:
-        out = out.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
-    else:
-        for field in documents.sparkSession.createDataFrame([], schema).schema:
-            out = out.add(field)
+    out = with_fields(plain.select(*names).schema, "text string, n_lines long, n_dropped long" if row is None else schema)
     types = [pa.string(), pa.int64(), pa.int64()] if row is None else None
 
     def run(batches):

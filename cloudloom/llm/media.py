@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import with_fields
+
 #: The formats' published magic numbers.
 MAGIC = {
     "png": b"\x89PNG\r\n\x1a\n",
@@ -244,7 +246,7 @@ def sniff_media(blobs: DataFrame, blob: str = "blob", declared: str = "declared"
     """
     keep = ["doc_id"] if keep is None else keep
     given = blobs.select(*keep, F.col(blob).cast("binary").alias("__blob"), F.col(declared).cast("string").alias("__declared"))
-    schema = given.drop("__blob", "__declared").schema.add("media_type", "string").add("corrected", "boolean").add("embedded", "array<struct<offset: long, length: long, type: string, bytes: binary>>")
+    schema = with_fields(given.drop("__blob", "__declared").schema, "media_type string, corrected boolean, embedded array<struct<offset: long, length: long, type: string, bytes: binary>>")
     arrow = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
 
     def run(batches):
@@ -275,9 +277,7 @@ def each_text(documents: DataFrame, row: Callable[[bytes], tuple], schema: str,
     """`keep` columns with what row(text bytes) returns; a null text is empty."""
     keep = ["doc_id"] if keep is None else keep
     given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
-    out = given.drop("__text").schema
-    for field in documents.sparkSession.createDataFrame([], schema).schema:
-        out = out.add(field)
+    out = with_fields(given.drop("__text").schema, schema)
     names = [f.name for f in out][len(keep) :]
 
     def run(batches):

@@ -8,19 +8,44 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, linededup, media, quality, sample, simhash, toxicity
+from . import chat, decontaminate, language, linededup, media, pieces, quality, sample, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = pieces.VOCABULARY, n: int = 4) -> DataFrame:
+    """doc_id, ids of the best segmentation and its score, the n - 1 next ones' scores and checksums, and a digest of the decoded text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(documents, pieces.load(vocabulary), n, other_ids=False)
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", "others", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 3 bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, start, end for each document and benchmark item that it holds."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(documents, secrets.learn(documents))
+    digest = F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    base = F.filter(digest, lambda s: ~s.startswith("learned"))
+
+    def number(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, secrets.KINDS), F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", digest).alias("spans"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -79,7 +104,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_decontamination, op4_secret_scan, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)}
 
 _OP6 = r"""
 WITH lines AS (
@@ -95,5 +120,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
-#: Without SQL: op2 (XXH64), op7 and op9 (digests of rebuilt bytes), and the learned models.
+#: Without SQL: op1 (lattices), op2 (XXH64), op3 (edit distance within a text), op4 (match positions), op7 and op9 (digests of rebuilt bytes), and the learned models.
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": _OP6}
