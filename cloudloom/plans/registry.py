@@ -1,6 +1,54 @@
-"""All queries of this package by name, and SQL that says the same."""
+"""All queries of this package by name, and SQL that says the same.
+
+A query takes (spark, folder of the tables).  Floats are rounded to six digits
+on both sides.  SQL reads the tables by name.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The point views in SQL.
+EMB = """WITH raw AS (
+  SELECT vec_id AS idx, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS intensity,
+    embedding[5]::DOUBLE AS a, embedding[6]::DOUBLE AS b, embedding[7]::DOUBLE AS c, label FROM embeddings
+), p AS (
+  SELECT idx, x, y, z, intensity, a / sqrt(a * a + b * b + c * c) AS nx, b / sqrt(a * a + b * b + c * c) AS ny, c / sqrt(a * a + b * b + c * c) AS nz, label FROM raw
+)"""
+EVT = """WITH p AS (
+  SELECT event_id AS idx, event_id // 100 AS "row", event_id % 100 AS col, (event_id % 100)::DOUBLE AS x, (event_id // 100)::DOUBLE AS y, value AS z FROM events
+)"""
+LINE = "WITH p AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem)"
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name."""
+
+    def put(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(column: Column | str, name: str | None = None) -> Column:
+    """To six digits, without a negative zero."""
+    out = F.round(column, 6) + F.lit(0.0)
+    return out.alias(name or column) if name or isinstance(column, str) else out
+
+
+def r6(sql: str, name: str) -> str:
+    """The same in SQL."""
+    return f"round({sql}, 6) + 0 AS {name}"
+
+
+def r6s(*names: str) -> str:
+    return ", ".join(r6(n, n) for n in names)
