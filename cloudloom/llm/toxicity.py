@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from . import kernel, sample
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6, 7)
 BITS = 17
 DIM = 8
 #: Learn from about so many labelled rows at most, of so many characters at most.
 BOUND, MAX_CHARS = 3_000, 60_000
 #: A gram has to be in so many of those rows, and among so many grams whose share of rows differs most between the labels.
-MIN_ROWS, GRAMS = 3, 4_096
-EPOCHS = 30
+MIN_ROWS, GRAMS = 3, 1_024
+EPOCHS = 40
 ONE = 1 << 20
 
 
