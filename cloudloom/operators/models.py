@@ -97,7 +97,7 @@ class Stick(Line):
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), super().along(p)))
 
 
-def _any_normal(normal: Vector) -> Vector:
+def any_normal(normal: Vector) -> Vector:
     """A unit vector at right angles to the normal: where every direction is as near."""
     n = _vector(_unit(normal))
     axis = np.eye(3)[np.abs(n).argmin()]
@@ -118,7 +118,7 @@ class Circle:
         d = minus(p, self.centre)
         flat = minus(d, times([F.lit(k) for k in n], inner(d, n)))
         size = length(flat)
-        outward = chosen(size > 1e-12, times(flat, F.lit(1.0) / F.greatest(size, F.lit(1e-300))), [F.lit(k) for k in _any_normal(self.normal)])
+        outward = chosen(size > 1e-12, times(flat, F.lit(1.0) / F.greatest(size, F.lit(1e-300))), [F.lit(k) for k in any_normal(self.normal)])
         return tuple(F.lit(float(c)) + o * float(self.radius) for c, o in zip(self.centre, outward, strict=True))
 
     def circumference_distance(self, p: Point) -> Column:

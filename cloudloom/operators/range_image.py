@@ -284,7 +284,7 @@ def project_surface(df: DataFrame, keys: DataFrame, size: float, pixels: int) ->
     cells = near.select("qidx", i.alias("i"), j.alias("j"), (-dot(d, n)).alias("depth")).where(F.col("i").between(0, pixels - 1) & F.col("j").between(0, pixels - 1))
     least = cells.groupBy("qidx", "i", "j").agg(F.min("depth").alias("depth"))
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         patch = np.full((pixels, pixels), np.nan)
         patch[pdf["i"].astype(int), pdf["j"].astype(int)] = pdf["depth"]
         while np.isnan(patch).any() and not np.isnan(patch).all():

@@ -21,7 +21,7 @@ from .points import random_sample
 
 def numeric_distance(model, p: np.ndarray) -> np.ndarray:
     """A model's distances in numpy: the column expression, on arrays."""
-    from .models import Circle, Cone, Cylinder, Line, Plane, Sphere, Stick
+    from .models import Circle, Cone, Cylinder, Line, Plane, Sphere, Stick, any_normal
 
     def unit(v):
         v = np.asarray(v, float)
@@ -32,7 +32,7 @@ def numeric_distance(model, p: np.ndarray) -> np.ndarray:
         d = p - np.asarray(c.centre)
         flat = d - np.outer(d @ n, n)
         size = np.linalg.norm(flat, axis=1, keepdims=True)
-        return np.asarray(c.centre) + np.where(size > 1e-12, flat / np.maximum(size, 1e-300), 0) * c.radius
+        return np.asarray(c.centre) + np.where(size > 1e-12, flat / np.maximum(size, 1e-300), np.asarray(any_normal(c.normal))) * c.radius
 
     def segment(a, b):
         d = b - a
