@@ -169,3 +169,11 @@ class Grams:
 def with_fields(schema: StructType, ddl: str) -> StructType:
     """The schema and the fields of a DDL string."""
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not taken."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

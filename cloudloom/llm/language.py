@@ -130,8 +130,9 @@ def identify(documents: DataFrame, model: Model, keep: list[str] | None = None)
     which no n-gram is known gets the first language, with score 0.
     """
     keep = ["doc_id"] if keep is None else keep
-    given = documents.select(*keep, F.col("text").alias("__text"))
-    schema = given.drop("__text").schema.add("lang_pred", "string").add("lang_score", "double")
+    text = kernel.fresh("__text", keep)
+    given = documents.select(*keep, F.col("text").alias(text))
+    schema = given.drop(text).schema.add("lang_pred", "string").add("lang_score", "double")
 
     def run(batches):
         for batch in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import with_fields
+from .kernel import fresh, with_fields
 from .shared import partitions, saved
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -36,10 +36,10 @@ def long_enough(key: bytes, min_chars: int) -> bool:
     return len(key) >= min_chars and (key.isascii() or sum(b & 0xC0 != 0x80 for b in key) >= min_chars)
 
 
-def _keyed(documents: DataFrame, *keep) -> DataFrame:
-    """keep, __d (id), __t (hash of the text, as repeated ids may have several) and __x (text as bytes)."""
+def _keyed(documents: DataFrame, names: list[str], *keep) -> DataFrame:
+    """keep, and by the three names the id, the hash of the text (repeated ids may have several texts) and the text as bytes."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__d"), F.xxhash64(text).alias("__t"), text.cast("binary").alias("__x"))
+    return documents.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(names[0]), F.xxhash64(text).alias(names[1]), text.cast("binary").alias(names[2]))
 
 
 def line_rows(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -68,7 +68,7 @@ def line_rows(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                         x.clear()
             yield packed()
 
-    return _keyed(documents).mapInArrow(run, "h1 long, h2 long, d long, p long, t long, n long")
+    return _keyed(documents, ["d", "t", "x"]).mapInArrow(run, "h1 long, h2 long, d long, p long, t long, n long")
 
 
 class _Stream:
@@ -216,10 +216,11 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     schema, the columns `keep` and what it returns come back instead.
     """
     keep = documents.columns if keep is None else keep
-    maps = keep_bitmaps(documents, min_chars, min_docs).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("keep").alias("__keep"))
+    d, t, x, null, bits = (fresh(f"__{c}", keep) for c in ("d", "t", "x", "null", "bits"))
+    maps = keep_bitmaps(documents, min_chars, min_docs).select(F.col("d").alias(d), F.col("t").alias(t), F.col("keep").alias(bits))
     names = [c for c in keep if c != "text" or row]
-    given = _keyed(documents, *names, F.col("text").isNull().alias("__null"))
-    plain = given.join(maps, ["__d", "__t"], "left").select(*names, "__null", "__x", "__keep")
+    given = _keyed(documents, [d, t, x], *names, F.col("text").isNull().alias(null))
+    plain = given.join(maps, [d, t], "left").select(*names, null, x, bits)
     out = with_fields(plain.select(*names).schema, "text string, n_lines long, n_dropped long" if row is None else schema)
     types = [pa.string(), pa.int64(), pa.int64()] if row is None else None
 
@@ -229,9 +230,9 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                 part = batch.slice(lo, 512)
                 k = part.num_columns
                 rows = []
-                for null, x, bits in zip(part.column(k - 3).to_pylist(), part.column(k - 2), part.column(k - 1).to_pylist(), strict=True):
-                    left = apply_bitmap(x.as_py(), bits)
-                    rows.append(row(*left) if row else (None if null else left[0].decode("utf-8", "replace"), *left[1:]))
+                for no, text, kept in zip(part.column(k - 3).to_pylist(), part.column(k - 2), part.column(k - 1).to_pylist(), strict=True):
+                    left = apply_bitmap(text.as_py(), kept)
+                    rows.append(row(*left) if row else (None if no else left[0].decode("utf-8", "replace"), *left[1:]))
                 more = [pa.array(list(c), *([types[i]] if types else [])) for i, c in enumerate(zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], *more], names=[f.name for f in out])
 

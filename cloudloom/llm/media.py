@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import with_fields
+from .kernel import fresh, with_fields
 
 #: The formats' published magic numbers.
 MAGIC = {
@@ -245,8 +245,9 @@ def sniff_media(blobs: DataFrame, blob: str = "blob", declared: str = "declared"
     Rows are kept as they are: null blobs are empty and `unknown`, repeated rows stay.
     """
     keep = ["doc_id"] if keep is None else keep
-    given = blobs.select(*keep, F.col(blob).cast("binary").alias("__blob"), F.col(declared).cast("string").alias("__declared"))
-    schema = with_fields(given.drop("__blob", "__declared").schema, "media_type string, corrected boolean, embedded array<struct<offset: long, length: long, type: string, bytes: binary>>")
+    names = fresh("__blob", keep), fresh("__declared", keep)
+    given = blobs.select(*keep, F.col(blob).cast("binary").alias(names[0]), F.col(declared).cast("string").alias(names[1]))
+    schema = with_fields(given.drop(*names).schema, "media_type string, corrected boolean, embedded array<struct<offset: long, length: long, type: string, bytes: binary>>")
     arrow = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
 
     def run(batches):
@@ -276,8 +277,9 @@ def choose(text: bytes) -> str:
 def each_text(documents: DataFrame, row: Callable[[bytes], tuple], schema: str, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns with what row(text bytes) returns; a null text is empty."""
     keep = ["doc_id"] if keep is None else keep
-    given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
-    out = with_fields(given.drop("__text").schema, schema)
+    name = fresh("__text", keep)
+    given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(name))
+    out = with_fields(given.drop(name).schema, schema)
     names = [f.name for f in out][len(keep) :]
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import with_fields
+from .kernel import fresh, with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: An unknown character's score is so much below the least piece's.
@@ -151,9 +151,10 @@ def nbest_chunk(chunk: str, v: Vocabulary, n: int) -> list[tuple[float, list[int
     """Up to n best (score, piece ids with -1 for unknown characters), best first, by A-star from the end."""
     best, edges = forward(chunk, v)
     out, order = [], 0
-    heap = [(-best[-1], 0, len(chunk), 0.0, None)]
+    # Of equal estimates the one nearest to the start goes first: a path is finished before its equals are begun.
+    heap = [(-round(best[-1], 6), len(chunk), 0, 0.0, None)]
     while heap and len(out) < n:
-        _, _, at, score, path = heapq.heappop(heap)
+        _, at, _, score, path = heapq.heappop(heap)
         if at == 0:
             ids = []
             while path:
@@ -163,8 +164,8 @@ def nbest_chunk(chunk: str, v: Vocabulary, n: int) -> list[tuple[float, list[int
             continue
         for i, k, s in edges[at]:
             order += 1
-            heapq.heappush(heap, (-(best[i] + s + score), order, i, s + score, (k, path)))
-    return out
+            heapq.heappush(heap, (-round(best[i] + s + score, 6), i, order, s + score, (k, path)))
+    return sorted(out, key=lambda x: -x[0])
 
 
 def plain(chunk: str, ids: list[int], v: Vocabulary) -> list[int]:
@@ -317,9 +318,10 @@ def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | No
     come back where a text has fewer segmentations.
     """
     keep = ["doc_id"] if keep is None else keep
-    given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
+    name = fresh("__text", keep)
+    given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(name))
     kind = "ids: array<int>" if other_ids else "ids_crc32: long"
-    schema = with_fields(given.drop("__text").schema, f"ids array<int>, score double, others array<struct<score: double, {kind}>>, decoded binary")
+    schema = with_fields(given.drop(name).schema, f"ids array<int>, score double, others array<struct<score: double, {kind}>>, decoded binary")
     other = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32())) if other_ids else ("ids_crc32", pa.int64())]))
 
     def parts(batch):

@@ -164,8 +164,9 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
     """
     keep = ["doc_id"] if keep is None else keep
     declared = F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
-    given = documents.select(*keep, F.col("text").alias("__text"), declared.alias("__n"))
-    schema = given.drop("__text", "__n").schema.add("quality_score", "double")
+    text, number = kernel.fresh("__text", keep), kernel.fresh("__n", keep)
+    given = documents.select(*keep, F.col("text").alias(text), declared.alias(number))
+    schema = given.drop(text, number).schema.add("quality_score", "double")
 
     def run(batches):
         for batch in batches:

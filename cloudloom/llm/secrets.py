@@ -275,8 +275,9 @@ def find(documents: DataFrame, model: Model, keep: list[str] | None = None) -> D
     `learned` marks what only the automata found.  A null or empty text has none.
     """
     keep = ["doc_id"] if keep is None else keep
-    given = documents.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
-    schema = kernel.with_fields(given.drop("__text").schema, "secrets array<struct<start: long, end: long, kind: string, score: double>>")
+    name = kernel.fresh("__text", keep)
+    given = documents.select(*keep, F.coalesce("text", F.lit("")).alias(name))
+    schema = kernel.with_fields(given.drop(name).schema, "secrets array<struct<start: long, end: long, kind: string, score: double>>")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def run(batches):

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import fresh
 from .shared import components, partitions, saved
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -237,5 +238,6 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS)
     together.  Rows with a null id stay.
     """
     marked = near_duplicates(documents, shingle, bits)
-    dropped = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(dropped, documents["doc_id"] == F.col("__id"), "left_anti")
+    name = fresh("__id", documents.columns)
+    dropped = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")

@@ -135,8 +135,9 @@ def score(documents: DataFrame, model: tuple[np.ndarray, int], keep: list[str] |
     """
     keep = ["doc_id"] if keep is None else keep
     each, bias = model
-    given = documents.select(*keep, F.col("text").alias("__text"))
-    schema = given.drop("__text").schema.add("toxicity_score", "double")
+    text = kernel.fresh("__text", keep)
+    given = documents.select(*keep, F.col("text").alias(text))
+    schema = given.drop(text).schema.add("toxicity_score", "double")
 
     def run(batches):
         for batch in batches:
