@@ -18,6 +18,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edits for each character of an item; items of fewer characters are no evidence and match nothing.
 RATE, MIN_CHARS = 0.1, 20
@@ -154,7 +155,7 @@ def find(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_cha
     given = documents.select("doc_id", "text").where(F.col("text").isNotNull())
     schema = given.select("doc_id").schema
     schema.add(benchmark.schema["item_id"]).add("distance", "integer").add("start", "long").add("end", "long")
-    out = None
+    item_type, out = to_arrow_type(benchmark.schema["item_id"].dataType), None
     for items in blocks(benchmark, block_chars):
 
         def run(batches, items=items):
@@ -164,7 +165,6 @@ def find(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, min_cha
                 for k, x in enumerate(batch.column(1)):
                     rows += [(k, matcher.items[i].item_id, *hit) for i, hit in matcher.search(normal(x.as_py())).items()]
                 c = list(zip(*rows, strict=True)) or [()] * 5
-                item_type = pa.int64() if not c[1] or isinstance(c[1][0], int) else None
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(list(c[1]), item_type), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64())], names=[f.name for f in schema])
 
         part = given.mapInArrow(run, schema)

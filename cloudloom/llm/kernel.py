@@ -7,7 +7,7 @@ cut at white space; what the callers compute adds up over the parts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +171,12 @@ def with_fields(schema: StructType, ddl: str) -> StructType:
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
 
 
+def apart(keep: list[str], outputs: Iterable[str]) -> list[str]:
+    """The columns to keep, but for those that an output of the same name takes the place of."""
+    taken = {c.lower() for c in outputs}
+    return [c for c in keep if c.lower() not in taken]
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that is not taken."""
     taken = {c.lower() for c in columns}

@@ -124,12 +124,12 @@ def learn(documents: DataFrame, fold: Column, bound: int = BOUND, max_chars: int
 
 
 def identify(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of the documents (doc_id by default) with lang_pred and lang_score.
+    """`keep` columns of the documents (doc_id by default) with lang_pred and lang_score, which take the place of columns of these names.
 
     A null text, or one without a letter, is `und` with score 0.  A text of
     which no n-gram is known gets the first language, with score 0.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = kernel.apart(["doc_id"] if keep is None else keep, ["lang_pred", "lang_score"])
     text = kernel.fresh("__text", keep)
     given = documents.select(*keep, F.col("text").alias(text))
     schema = given.drop(text).schema.add("lang_pred", "string").add("lang_score", "double")

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .kernel import fresh, with_fields
+from .kernel import apart, fresh, with_fields
 from .shared import partitions, saved
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -204,8 +205,8 @@ def apply_bitmap(text: bytes, keep: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(lines[k] for k in np.flatnonzero(bits)), len(lines), int(len(lines) - bits.sum())
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, row=None, schema: str = "", keep: list[str] | None = None) -> DataFrame:
-    """The documents without the lines they lose: all columns, text replaced, with n_lines and n_dropped.
+def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, row=None, schema: str = "", keep: list[str] | None = None, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents without the lines they lose: all columns, text replaced, with the numbers of lines and of dropped ones as `counts`.
 
     Each text is split at line ends; a null or empty text is one empty line (and
     stays null or becomes empty as it was).  A line's key is the line without
@@ -213,15 +214,17 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     that at least `min_docs` documents have lose all their lines but those of
     the largest doc_id (a null id is smallest).  Rows that repeat an id count as
     one document.  With `row` a function of (text left, lines, dropped) and its
-    schema, the columns `keep` and what it returns come back instead.
+    schema, the columns `keep` and what it returns come back instead.  Columns
+    named as an output give way to it.
     """
-    keep = documents.columns if keep is None else keep
+    ddl = f"text string, `{counts[0]}` long, `{counts[1]}` long" if row is None else schema
+    keep = apart(documents.columns if keep is None else keep, counts if row is None else StructType.fromDDL(ddl).names)
     d, t, x, null, bits = (fresh(f"__{c}", keep) for c in ("d", "t", "x", "null", "bits"))
     maps = keep_bitmaps(documents, min_chars, min_docs).select(F.col("d").alias(d), F.col("t").alias(t), F.col("keep").alias(bits))
     names = [c for c in keep if c != "text" or row]
     given = _keyed(documents, [d, t, x], *names, F.col("text").isNull().alias(null))
     plain = given.join(maps, [d, t], "left").select(*names, null, x, bits)
-    out = with_fields(plain.select(*names).schema, "text string, n_lines long, n_dropped long" if row is None else schema)
+    out = with_fields(plain.select(*names).schema, ddl)
     types = [pa.string(), pa.int64(), pa.int64()] if row is None else None
 
     def run(batches):
@@ -237,4 +240,4 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                 yield pa.RecordBatch.from_arrays([*part.columns[:-3], *more], names=[f.name for f in out])
 
     found = plain.mapInArrow(run, out)
-    return found if row else found.select(*keep, "n_lines", "n_dropped")
+    return found if row else found.select(*keep, *counts)

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .kernel import fresh, with_fields
+from .kernel import apart, fresh, with_fields
 
 #: The formats' published magic numbers.
 MAGIC = {
@@ -242,9 +243,9 @@ def inspect(blob: bytes | None, declared: str | None) -> tuple[str, bool, list[t
 def sniff_media(blobs: DataFrame, blob: str = "blob", declared: str = "declared", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns with media_type, corrected, and embedded (offset, length, type, bytes) of each row.
 
-    Rows are kept as they are: null blobs are empty and `unknown`, repeated rows stay.
+    Rows are kept as they are: null blobs are empty and `unknown`, repeated rows stay; columns named as the outputs give way.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = apart(["doc_id"] if keep is None else keep, ["media_type", "corrected", "embedded"])
     names = fresh("__blob", keep), fresh("__declared", keep)
     given = blobs.select(*keep, F.col(blob).cast("binary").alias(names[0]), F.col(declared).cast("string").alias(names[1]))
     schema = with_fields(given.drop(*names).schema, "media_type string, corrected boolean, embedded array<struct<offset: long, length: long, type: string, bytes: binary>>")
@@ -275,8 +276,8 @@ def choose(text: bytes) -> str:
 
 
 def each_text(documents: DataFrame, row: Callable[[bytes], tuple], schema: str, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns with what row(text bytes) returns; a null text is empty."""
-    keep = ["doc_id"] if keep is None else keep
+    """`keep` columns with what row(text bytes) returns; a null text is empty, and columns named as what it returns give way."""
+    keep = apart(["doc_id"] if keep is None else keep, StructType.fromDDL(schema).names)
     name = fresh("__text", keep)
     given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(name))
     out = with_fields(given.drop(name).schema, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import fresh, with_fields
+from .kernel import apart, fresh, with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: An unknown character's score is so much below the least piece's.
@@ -312,12 +312,12 @@ def decode(ids: np.ndarray | list[int], v: Vocabulary) -> bytes:
 
 
 def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | None = None, other_ids: bool = True) -> DataFrame:
-    """`keep` columns (doc_id by default) with ids, score, others (score, ids or their checksum) and decoded, of every row.
+    """`keep` columns (doc_id by default) with ids, score, others (score, ids or their checksum) and decoded, of every row; columns of these names give way.
 
     A null text is empty: no ids, score 0, no others.  Fewer than n - 1 others
     come back where a text has fewer segmentations.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = apart(["doc_id"] if keep is None else keep, ["ids", "score", "others", "decoded"])
     name = fresh("__text", keep)
     given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(name))
     kind = "ids: array<int>" if other_ids else "ids_crc32: long"

@@ -157,12 +157,12 @@ def logits(column: pa.Array, declared: pa.Array | None, model: Model) -> np.ndar
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of the documents (doc_id by default) with quality_score (0 to 1).
+    """`keep` columns of the documents (doc_id by default) with quality_score (0 to 1), which takes the place of a column of that name.
 
     A null text counts as empty and an unknown n_chars as a bin of its own; rows
     are kept as they are, repeated ones and null ids too.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = kernel.apart(["doc_id"] if keep is None else keep, ["quality_score"])
     declared = F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
     text, number = kernel.fresh("__text", keep), kernel.fresh("__n", keep)
     given = documents.select(*keep, F.col("text").alias(text), declared.alias(number))

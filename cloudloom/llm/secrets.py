@@ -269,12 +269,12 @@ def learn(documents: DataFrame, bound: int = DOCUMENTS, examples: int = EXAMPLES
 
 
 def find(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (doc_id by default) with secrets: (start, end, kind, score) of every row, in order.
+    """`keep` columns (doc_id by default) with secrets: (start, end, kind, score) of every row, in order; a column of that name gives way.
 
     Offsets are in code points, ends exclusive.  Base spans have no score; kind
     `learned` marks what only the automata found.  A null or empty text has none.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = kernel.apart(["doc_id"] if keep is None else keep, ["secrets"])
     name = kernel.fresh("__text", keep)
     given = documents.select(*keep, F.coalesce("text", F.lit("")).alias(name))
     schema = kernel.with_fields(given.drop(name).schema, "secrets array<struct<start: long, end: long, kind: string, score: double>>")

@@ -127,22 +127,22 @@ def logits(column: pa.Array, each: np.ndarray, bias: int) -> np.ndarray:
     return (total / np.maximum(count, 1) + bias) / ONE
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, int], keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of the documents (doc_id by default) with toxicity_score (0 to 1).
+def score(documents: DataFrame, model: tuple[np.ndarray, int], keep: list[str] | None = None, name: str = "toxicity_score") -> DataFrame:
+    """`keep` columns of the documents (doc_id by default) with the score (0 to 1) as column `name`, which takes the place of one of that name.
 
     A null text counts as empty; an empty text scores as the bias alone.  Rows
     are kept as they are, repeated ones and null ids too.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = kernel.apart(["doc_id"] if keep is None else keep, [name])
     each, bias = model
     text = kernel.fresh("__text", keep)
     given = documents.select(*keep, F.col("text").alias(text))
-    schema = given.drop(text).schema.add("toxicity_score", "double")
+    schema = given.drop(text).schema.add(name, "double")
 
     def run(batches):
         for batch in batches:
             p = 1 / (1 + np.exp(-logits(batch.column(batch.num_columns - 1), each, bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.round(p, 9))], names=[*batch.schema.names[:-1], "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.round(p, 9))], names=[*batch.schema.names[:-1], name])
 
     return given.mapInArrow(run, schema)
 
