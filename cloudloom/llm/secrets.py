@@ -6,11 +6,16 @@ prefix tree of the examples is folded by state merging: two states become one
 where their frequencies, and those of everything below, agree within a Hoeffding
 bound.  Every long token of every text is then scored by how much likelier its
 format is under some credential's automaton than under that of other tokens;
-what scores above every other token of the sample is a span of its own.
+what this makes a credential at the odds of the sample is a span of its own.
+The other tokens may hold credentials that no pattern finds: each half of them
+is judged by an automaton of the other half first, and what passes is not
+learned as a token of no kind.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterable
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel, sample
+from .shared import saved
 
 #: Fixed patterns, by kind in order; the second number is the least length of the group.
 KINDS = ("assign", "access", "hex")
@@ -40,8 +46,8 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Learn from about so many documents at most, and so many examples of each kind and of other tokens; tokens are of at least so many characters.
-DOCUMENTS, EXAMPLES, OTHERS, TOKEN = 20_000, 400, 4_000, 16
-#: Error probability of the Hoeffding test; what a score has to exceed the best of the other tokens by.
+DOCUMENTS, EXAMPLES, OTHERS, TOKEN = 20_000, 400, 4_000, 8
+#: Error probability of the Hoeffding test; what a score has to exceed the logarithm of the odds against a credential by.
 ALPHA, MARGIN = 0.05, 2.0
 _TOKEN_CLASS = np.zeros(256, bool)
 _TOKEN_CLASS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
@@ -74,16 +80,20 @@ class Automaton:
     log_p: np.ndarray
     log_end: np.ndarray
 
+    def __post_init__(self) -> None:
+        self._lists = self.step.tolist(), self.log_p.tolist(), self.log_end.tolist()  # read one by one
+
     def log_likelihood(self, symbols: list[int]) -> float:
         """Where the automaton has no way on, each symbol is as likely as any."""
+        step, log_p, log_end = self._lists
         state, total, lost = 0, 0.0, -math.log(N_SYMBOLS + 1)
         for s in symbols:
             if state < 0:
                 total += lost
                 continue
-            total += self.log_p[state, s]
-            state = self.step[state, s]
-        return total + (self.log_end[state] if state >= 0 else lost)
+            total += log_p[state][s]
+            state = step[state][s]
+        return total + (log_end[state] if state >= 0 else lost)
 
 
 def infer(examples: Iterable[list[int]], alpha: float = ALPHA) -> Automaton:
@@ -183,14 +193,22 @@ class Model:
         return max(a.log_likelihood(s) for a in self.formats) - self.other.log_likelihood(s)
 
 
-def train(examples: dict[str, list[str]]) -> Model:
-    """From tokens by kind; those of kind `other` are no credentials.  Without both, nothing is ever found."""
-    formats = [infer(map(symbols_of, sorted(v))) for k, v in sorted(examples.items()) if k != "other" and v]
-    other = infer(map(symbols_of, sorted(examples["other"]))) if examples.get("other") else None
-    model = Model(formats, other, math.inf)
-    if formats and other:
-        model.threshold = MARGIN + max(0.0, max(model.score(t) for t in examples["other"]))
-    return model
+def train(examples: dict[str, list[str]], odds: float | None = None) -> Model:
+    """From tokens by kind; those of kind `other` are of no known kind.  Without both, nothing is ever found.
+
+    `odds` is the number of other tokens for each credential; that of the examples by default.
+    """
+    known = {k: sorted(v) for k, v in sorted(examples.items()) if k != "other" and v}
+    others = sorted(examples.get("other", ()))
+    formats = [infer(map(symbols_of, v)) for v in known.values()]
+    if not formats or not others:
+        return Model(formats, None, math.inf)
+    threshold = MARGIN + max(0.0, math.log(odds or len(others) / len(set().union(*known.values()))))
+    clean = []
+    for k in (0, 1):
+        half = Model(formats, infer(map(symbols_of, others[1 - k :: 2])), threshold)
+        clean += [t for t in others[k::2] if half.score(t) < threshold]
+    return Model(formats, infer(map(symbols_of, sorted(clean))), threshold)
 
 
 # --- scans ------------------------------------------------------------------------
@@ -231,7 +249,11 @@ def scan(text: bytes, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, in
         base += [(chars + m.start(), chars + m.end(), "hex") for m in HEX.finditer(token)]
         rest.append((chars, chars + b - a, token))
         chars, at = chars + b - a, b
-    return base, [t for t in rest if not any(t[0] < e and s < t[1] for s, e, _ in base)]
+    if not base:
+        return base, rest
+    first = sorted((s, e) for s, e, _ in base)
+    starts, reach = [s for s, _ in first], list(itertools.accumulate((e for _, e in first), max))
+    return base, [t for t in rest if not (k := bisect.bisect_left(starts, t[1])) or reach[k - 1] <= t[0]]
 
 
 def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -260,12 +282,13 @@ def learn(documents: DataFrame, bound: int = DOCUMENTS, examples: int = EXAMPLES
             found = {x for text, t in zip(column.cast(pa.binary()), long_tokens(column), strict=True) for x in examples_of(text.as_py(), t) if len(x[1]) <= 512}
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(found)], pa.string()) for k in (0, 1)], names=["kind", "token"])
 
-    found = chosen.mapInArrow(run, "kind string, token string").distinct()
+    found = saved(chosen.mapInArrow(run, "kind string, token string").distinct())
+    known, other = found.agg(F.countDistinct(F.when(F.col("kind") != "other", F.col("token"))), F.count_if(F.col("kind") == "other")).first()
     ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("token"), "token"))).where(F.col("k") <= F.when(F.col("kind") == "other", others).otherwise(examples))
     by_kind: dict[str, list[str]] = {}
     for r in ranked.select("kind", "token").collect():
         by_kind.setdefault(r.kind, []).append(r.token)
-    return train(by_kind)
+    return train(by_kind, max(other, 1) / max(known, 1))
 
 
 def find(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
