@@ -85,13 +85,15 @@ class Turn:
     rewrote: bool  # whether it changed what earlier turns had added
 
 
-def spans(messages: Iterable[Message], template: Template = marked, block: int = 16, context: int = 2) -> Iterator[Turn]:
-    """The span of each turn, in order, holding a block of turns at most.
-
-    Prefixes are rendered from the start of a block; the last `context` turns of
-    the block before stand in front of it, so a conversation of any length takes
-    linear time and bounded memory.  A template may look at no more earlier
-    turns than that; with block=None all prefixes are rendered from the start.
+def spans(messages: Iterable[Message], template: Template = marked, block: int | None = None, context: int = 2) -> Iterator[Turn]:
+    """The span of each turn, in order.
+
+    All prefixes are rendered from the start, which is right for any template
+    and takes time in the square of the turns.  With `block`, prefixes are
+    rendered from the start of a block of so many turns; the last `context` turns
+    of the block before stand in front of it, so a conversation of any length
+    takes linear time and bounded memory.  That is only for templates that look
+    at no more earlier turns than that.
     """
     seen: list[Message] = []
     before = template([])
@@ -112,13 +114,14 @@ def spans(messages: Iterable[Message], template: Template = marked, block: int =
         before, last = now, kept
 
 
-def formatted(conversations: DataFrame, template: Template = marked, parse: Callable[[str], Message] = parse_marked, masked: tuple[str, ...] = ("assistant",), texts: bool = True) -> DataFrame:
+def formatted(conversations: DataFrame, template: Template = marked, parse: Callable[[str], Message] = parse_marked, masked: tuple[str, ...] = ("assistant",), texts: bool = True, block: int | None = None, context: int = 2) -> DataFrame:
     """One row for each conversation: conv_id, n_turns, formatted, spans (start, end, role, loss), rewrites_history, and digests read back from the output.
 
     Turns are ordered by turn, then role, then text; a null turn comes first and
     a null role or text is empty.  Rows with a null conv_id make one
     conversation.  Repeated rows are turns of their own.  With texts=False
-    `formatted` and `spans` are left out and a conversation is streamed.
+    `formatted` and `spans` are left out and, with `block`, a conversation is
+    streamed; for `block` and `context` see `spans`.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -132,7 +135,7 @@ def formatted(conversations: DataFrame, template: Template = marked, parse: Call
     def conversation(conv_id, messages: Iterable[Message]) -> tuple:
         n = loss = chars = 0
         turns, tokens, rewrites, out, where = hashlib.sha256(), hashlib.sha256(), False, [], []
-        for turn in spans(messages, template):
+        for turn in spans(messages, template, block, context):
             role, text = parse(turn.span)
             turns.update(f"{role}\n{text}\n".encode())
             if role in masked:

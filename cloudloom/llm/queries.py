@@ -93,7 +93,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.formatted(turns, texts=False)
+    return chat.formatted(turns, texts=False, block=16)  # a turn of this template does not depend on others
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -424,6 +424,24 @@ def test_conversations(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_templates_see_the_whole_conversation(spark):
+    turns = [("system", "be kind"), *((("user", "assistant")[k % 2], f"t{k}") for k in range(39))]
+    df = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+
+    def rounds(messages):
+        assert not messages or messages[0][0] == "system"
+        return "".join(f"{k}|{r}|{t}\n" for k, (r, t) in enumerate(messages))
+
+    got = chat.formatted(df, rounds, lambda span: tuple(span[:-1].split("|")[1:])).first()
+    assert got.formatted == rounds(turns) and not got.rewrites_history
+    assert [got.formatted[s.start : s.end] for s in got.spans] == [f"{k}|{r}|{t}\n" for k, (r, t) in enumerate(turns)]
+
+    def hoisted(messages):
+        return f"{len(messages) > 30}:" + rounds(messages)
+
+    assert chat.formatted(df, hoisted, lambda span: ("user", span)).first().rewrites_history
+
+
 def test_op9(spark):
     turns = defaultdict(list)
     for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
