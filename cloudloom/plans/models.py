@@ -136,9 +136,10 @@ def impact_angle(spark, sf_dir):
 
 
 def event_image(spark, sf_dir):
-    """The event grid as a range image: 80 pixels a row of it, range is 10 + value / 100."""
-    view = R.View((math.radians(1), math.radians(1)), (130, 80))
-    p = event_grid(spark, sf_dir).where("row < 20").select("idx", "row", "col", (10 + F.col("z") / 100).alias("range"))
+    """The whole event grid as a range image: its rows share 20 degrees, of one degree each at most; range is 10 + value / 100."""
+    p = event_grid(spark, sf_dir).select("idx", "row", "col", (10 + F.col("z") / 100).alias("range"))
+    rows = max(20, (p.agg(F.max("row")).first()[0] or 0) + 1)
+    view = R.View((math.radians(1), math.radians(20 / rows)), (130, 4 * rows))
     return p.withColumns(view.point(F.col("row"), F.col("col"), F.col("range")))
 
 
@@ -147,8 +148,8 @@ def event_image(spark, sf_dir):
 SELECT "row", col, next > range AS farther FROM s WHERE next IS NOT NULL AND next <> range"""
 )
 def pair_impact_side(spark, sf_dir):
-    """Whether the next pixel is farther: the sign of the angle between the two."""
-    a = R.pair_impact_angles(event_image(spark, sf_dir))
+    """Whether the next pixel is farther: the sign of the angle between the two, in the 20 rows that the SQL takes."""
+    a = R.pair_impact_angles(event_image(spark, sf_dir).where("row < 20"))
     return a.where("impact_angle != 0").select("row", "col", (F.col("impact_angle") > 0).alias("farther"))
 
 

@@ -12,6 +12,7 @@ from cloudloom.operators import models as M
 from cloudloom.operators import range_image as R
 from cloudloom.operators import sac as S
 from cloudloom.operators.points import rotation, transform, transform_normals
+from cloudloom.plans import QUERIES
 from cloudloom.sources import lzf, pcd
 from cloudloom.streaming.voxels import voxel_stream
 
@@ -166,6 +167,13 @@ def test_surface_normals_face_the_sensor(spark):
     assert -(r.nx * r.x + r.ny * r.y + r.nz * r.z) / 5 > 0.99
 
 
+def test_event_images_hold_the_whole_grid(spark):
+    sf = "/root/testdata/sf0.01"
+    assert {r.row for r in QUERIES["pair_impact_angles"](spark, sf).select("row").distinct().collect()} == set(range(100))
+    for name in ("surface_info", "border_traits"):
+        assert QUERIES[name](spark, sf).select("idx").distinct().count() == 10_000
+
+
 def test_narf_is_flat_on_a_plane(spark):
     df = cloud(spark, [(i / 10, j / 10, 0.0) for i in range(40) for j in range(40)])
     keys = spark.createDataFrame([(820, 2.0, 2.0, 0.0, 0.0, 0.0, 1.0)], XYZ + ", nx double, ny double, nz double")
