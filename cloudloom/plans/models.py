@@ -171,5 +171,5 @@ def border_traits(spark, sf_dir):
 @query()
 def narf(spark, sf_dir):
     p = embedding_points(spark, sf_dir)
-    found = R.narf(p, p.where("idx % 50 = 0"), 0.3, 10)
+    found = R.narf(p, p, 0.3, 10)
     return found.select("idx", rounded("rotation"), F.transform("descriptor", lambda h: rounded(h)).alias("descriptor"))

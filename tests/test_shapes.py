@@ -174,6 +174,10 @@ def test_event_images_hold_the_whole_grid(spark):
         assert QUERIES[name](spark, sf).select("idx").distinct().count() == 10_000
 
 
+def test_narf_describes_every_point(spark, sf_dir):
+    assert QUERIES["narf"](spark, sf_dir).select("idx").distinct().count() == 500
+
+
 def test_narf_is_flat_on_a_plane(spark):
     df = cloud(spark, [(i / 10, j / 10, 0.0) for i in range(40) for j in range(40)])
     keys = spark.createDataFrame([(820, 2.0, 2.0, 0.0, 0.0, 0.0, 1.0)], XYZ + ", nx double, ny double, nz double")
