@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .kernel import fresh
 from .shared import components, partitions, saved
@@ -241,3 +242,83 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS)
     name = fresh("__id", documents.columns)
     dropped = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
     return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
+
+
+# --- near copies ----------------------------------------------------------------
+
+#: Of a near copy: words of a shingle, and the least share of the shingles of two texts that both have.
+WORDS, SIMILAR = 5, 0.8
+#: MinHash keys for candidates: so many, of so many minima each; a pair of similarity 0.8 shares none with probability (1 - 0.8 ** 5) ** 20 = 0.0004.
+KEYS, MINIMA = 20, 5
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, KEYS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a text of fewer words is one shingle, and one without words has none."""
+    found, carried, short = [], [], True
+    for words in _words(text):
+        words = carried + words
+        if len(words) >= shingle:
+            short = False
+            found.append(np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))], np.uint64)))
+            words = words[len(words) - shingle + 1 :]
+        carried = words
+    if short:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)] if carried else [], np.uint64)
+    return np.unique(np.concatenate(found))
+
+
+def minhash_keys(hashes: np.ndarray) -> list[int]:
+    """Keys that similar sets are likely to share; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.min([(hashes[lo : lo + 2048, None] * _FACTORS).min(0) for lo in range(0, len(hashes), 2048)], 0).reshape(KEYS, MINIMA)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """(a, b): links between doc_ids whose texts share SIMILAR of their shingles, all verified.
+
+    Candidates share a MinHash key.  Of those that do, each meets one that the
+    key picks at random, so that a group of copies makes no more pairs than
+    keys.  Null ids have no links.
+    """
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    of_id = texts.select("doc_id").schema
+
+    def spread(batches):
+        for batch in batches:
+            found = [minhash_keys(shingles(x.as_py())) for x in batch.column(1)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([k for ks in found for k in ks], pa.int64())], names=["doc_id", "k"])
+
+    dealt = saved(texts.mapInArrow(spread, of_id.add("k", "long")))
+    picked = dealt.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "doc_id").alias("h"), "doc_id")).alias("p"), F.count("*").alias("n")).where("n > 1").select("k", F.col("p.doc_id").alias("a"))
+    pairs = saved(dealt.join(picked, "k").where(F.col("doc_id") != F.col("a")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    sets = saved(texts.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, texts.select("doc_id").schema.add("s", ArrayType(LongType()))))
+
+    def verified(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)) else 0
+                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    return both.mapInArrow(verified, pairs.schema).distinct()
+
+
+def one_of_near_copies(documents: DataFrame) -> DataFrame:
+    """The rows of the documents but for those that links of near copies connect with a smaller doc_id, all columns."""
+    roots = components(near_copies(documents))
+    name = fresh("__id", documents.columns)
+    dropped = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias(name))
+    return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")

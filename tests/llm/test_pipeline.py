@@ -1,5 +1,7 @@
 """Each stage against what it has to keep, and the queries' SQL."""
 
+from collections import defaultdict
+
 import duckdb
 import pytest
 
@@ -53,6 +55,22 @@ def test_each_stage(spark):
     assert all(pieces.decode(tokens[d], v).decode() == t for d, t in rows)
 
 
+def test_near_copies_are_dropped(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in words.items() if w}
+    of = defaultdict(set)
+    for d, s in sets.items():
+        for x in s:
+            of[x].add(d)
+    near = {(a, b) for d in of.values() for a in d for b in d if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    left = set(ids(dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, sf)))
+    assert any(sets[a] != sets[b] for a, b in near) and not [(a, b) for a, b in near if a in left and b in left]
+    linked = {d for pair in near for d in pair}
+    assert all(d in linked or not words[d] for d in words.keys() - left)
+
+
 def test_whole_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < read(spark).count()
