@@ -1,15 +1,18 @@
 """Secret scans: fixed patterns, and formats inferred from what they find.
 
-Credentials that the fixed patterns find are labelled by kind; a bounded sample
-of them, and of other long tokens, trains one probabilistic automaton each.  A
-prefix tree of the examples is folded by state merging: two states become one
-where their frequencies, and those of everything below, agree within a Hoeffding
-bound.  Every long token of every text is then scored by how much likelier its
-format is under some credential's automaton than under that of other tokens;
-what this makes a credential at the odds of the sample is a span of its own.
-The other tokens may hold credentials that no pattern finds: each half of them
-is judged by an automaton of the other half first, and what passes is not
-learned as a token of no kind.
+Credentials that the fixed patterns find are labelled; a bounded sample of them,
+by kind and by the classes of letters and digits they use, trains one
+probabilistic automaton each, and others are trained on other tokens.  A prefix
+tree over signs and places between them is folded by state merging: two states
+become one where the characters that follow, the lengths that remain and what
+comes below agree within Hoeffding bounds, so prefixes, signs and lengths are
+learned as far as the examples bear it out.  Every token of
+every text is then scored by how much likelier its format is under some
+credential's automaton than among other tokens, a mixture of automata, one for
+each set of classes; what this makes a credential at the odds of the sample is a
+span of its own.  The other tokens may hold credentials that no pattern finds:
+where they use the same classes as labelled ones, those that the other automata
+make credentials are not learned as tokens of no kind.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import bisect
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -45,15 +49,22 @@ HEX = re.compile("[0-9a-f]{32,}")
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Learn from about so many documents at most, and so many examples of each kind and of other tokens; tokens are of at least so many characters.
-DOCUMENTS, EXAMPLES, OTHERS, TOKEN = 20_000, 400, 4_000, 8
+#: Learn from about so many documents at most, and so many distinct tokens of each kind and set of classes; tokens are of at least so many characters.
+DOCUMENTS, EXAMPLES, TOKEN = 20_000, 400, 8
+#: Longer tokens are no examples; they are scored like any other.
+LONGEST = 256
 #: Error probability of the Hoeffding test; what a score has to exceed the logarithm of the odds against a credential by.
 ALPHA, MARGIN = 0.05, 2.0
+_CHARS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_.=-"
+_NUMBER = {c: k for k, c in enumerate(_CHARS)}
 _TOKEN_CLASS = np.zeros(256, bool)
-_TOKEN_CLASS[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
-#: Symbols: digits, a-f, g-z, A-F, G-Z, and each sign by itself.
-_SYMBOLS = {c: k for k, part in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")) for c in part}
-N_SYMBOLS = 11
+_TOKEN_CLASS[[ord(c) for c in _CHARS]] = True
+#: Classes of letters and digits; symbols of the tree: 0 for letters, digits, + and /, and one for each other sign.
+_CLASSES = [set(c) for c in ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")]
+_SYMBOL = [max(0, k - _CHARS.index("/")) for k in range(len(_CHARS))]
+N_SYMBOLS = 5
+#: How many examples the characters of all places are worth at one place.
+PRIOR = 8.0
 
 
 def base_spans(text: bytes) -> tuple[list[tuple[int, int, str]], str | None]:
@@ -74,71 +85,87 @@ def base_spans(text: bytes) -> tuple[list[tuple[int, int, str]], str | None]:
 
 @dataclass
 class Automaton:
-    """step[state, symbol]: next state or -1; log_p[state, symbol] and log_end[state]: smoothed."""
+    """step[state, symbol]: next state or -1; log_p[state, character] and log_end[state]: smoothed; off[character]: where there is no way on."""
 
     step: np.ndarray
     log_p: np.ndarray
     log_end: np.ndarray
+    off: np.ndarray
 
     def __post_init__(self) -> None:
-        self._lists = self.step.tolist(), self.log_p.tolist(), self.log_end.tolist()  # read one by one
+        self._lists = self.step.tolist(), self.log_p.tolist(), self.log_end.tolist(), self.off.tolist()  # read one by one
 
-    def log_likelihood(self, symbols: list[int]) -> float:
-        """Where the automaton has no way on, each symbol is as likely as any."""
-        step, log_p, log_end = self._lists
-        state, total, lost = 0, 0.0, -math.log(N_SYMBOLS + 1)
-        for s in symbols:
+    def log_likelihood(self, token: list[int]) -> float:
+        """Of the numbers of a token's characters."""
+        step, log_p, log_end, off = self._lists
+        state, total = 0, 0.0
+        for c in token:
             if state < 0:
-                total += lost
+                total += off[c]
                 continue
-            total += log_p[state][s]
-            state = step[state][s]
-        return total + (log_end[state] if state >= 0 else lost)
+            total += log_p[state][c]
+            state = step[state][_SYMBOL[c]]
+        return total + (log_end[state] if state >= 0 else off[-1])
 
 
-def infer(examples: Iterable[list[int]], alpha: float = ALPHA) -> Automaton:
-    """State merging over the prefix tree, red-blue order, breadth first."""
-    count, final, child = [0], [0], [{}]
-    for symbols in examples:
+def infer(examples: Iterable[str], alpha: float = ALPHA) -> Automaton:
+    """State merging over the prefix tree, red-blue order, breadth first; each example counts once, as repeats are no evidence of their own."""
+    count, child, flow, remaining = [0], [{}], [{}], [Counter()]
+    chars = [np.zeros(len(_CHARS))]
+    for token in map(numbers, examples):
         at = 0
-        count[0] += 1
-        for s in symbols:
+        for k, c in enumerate(token):
+            count[at] += 1
+            remaining[at][len(token) - k] += 1
+            chars[at][c] += 1
+            s = _SYMBOL[c]
+            flow[at][s] = flow[at].get(s, 0) + 1
             if s not in child[at]:
                 child[at][s] = len(count)
                 count.append(0)
-                final.append(0)
                 child.append({})
+                flow.append({})
+                remaining.append(Counter())
+                chars.append(np.zeros(len(_CHARS)))
             at = child[at][s]
-            count[at] += 1
-        final[at] += 1
+        count[at] += 1
+        remaining[at][0] += 1
     width = math.sqrt(0.5 * math.log(2 / alpha))
 
-    def differ(a: int, n: int, b: int, m: int) -> bool:
-        return n > 0 and m > 0 and abs(a / n - b / m) > width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+    def agree(a: int, b: int) -> bool:
+        """Whether what follows two states agrees: remaining lengths (the end is one of 0), signs and characters, by what passes through the states themselves."""
+        n, m = count[a], count[b]
+        if not n or not m:
+            return True
+        bound = width * (n**-0.5 + m**-0.5)
+        if bound >= 1:
+            return True
+        x, y = remaining[a], remaining[b]
+        if any(abs(x[r] / n - y[r] / m) > bound for r in x.keys() | y.keys()):
+            return False
+        x, y = flow[a], flow[b]
+        return all(abs(x.get(s, 0) / n - y.get(s, 0) / m) <= bound for s in x.keys() | y.keys()) and float(np.abs(chars[a] / n - chars[b] / m).max()) <= bound
 
     def alike(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
             a, b = todo.pop()
-            if differ(final[a], count[a], final[b], count[b]):
+            if (a, b) in seen:
+                continue
+            seen.add((a, b))
+            if not agree(a, b):
                 return False
-            for s in child[a].keys() | child[b].keys():
-                x, y = child[a].get(s), child[b].get(s)
-                if differ(count[x] if x is not None and x != a else 0 if x is None else flow[a].get(s, count[x]), count[a], count[y] if y is not None else 0, count[b]):
-                    return False
-                if x is not None and y is not None and x != a:
-                    todo.append((x, y))
+            todo += [(child[a][s], child[b][s]) for s in child[a].keys() & child[b].keys()]
         return True
 
-    flow: list[dict[int, int]] = [{s: count[c] for s, c in kids.items()} for kids in child]
-
     def fold(a: int, b: int) -> None:
         """b, the root of a tree, goes into a."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
             count[a] += count[b]
-            final[a] += final[b]
+            remaining[a].update(remaining[b])
+            chars[a] += chars[b]
             for s, y in child[b].items():
                 flow[a][s] = flow[a].get(s, 0) + flow[b][s]
                 if s in child[a]:
@@ -146,12 +173,12 @@ def infer(examples: Iterable[list[int]], alpha: float = ALPHA) -> Automaton:
                 else:
                     child[a][s] = y
 
-    red, at = [0], 0
+    red, is_red, at = [0], {0}, 0
     while at < len(red):
         p = red[at]
         for s in sorted(child[p]):
             blue = child[p][s]
-            if blue in red:
+            if blue in is_red:
                 continue
             for r in red:
                 if alike(r, blue):
@@ -160,55 +187,96 @@ def infer(examples: Iterable[list[int]], alpha: float = ALPHA) -> Automaton:
                     break
             else:
                 red.append(blue)
+                is_red.add(blue)
         # Folding may have hung new trees under red states that were done.
-        again = [k for k, r in enumerate(red[: at + 1]) if any(c not in red for c in child[r].values())]
+        again = [k for k, r in enumerate(red[: at + 1]) if any(c not in is_red for c in child[r].values())]
         at = again[0] if again else at + 1
     number = {r: k for k, r in enumerate(red)}
-    step, log_p, log_end = np.full((len(red), N_SYMBOLS), -1), np.zeros((len(red), N_SYMBOLS)), np.zeros(len(red))
+    everywhere = sum(chars[r] for r in red) + 0.5
+    everywhere /= everywhere.sum()
+    symbols = np.eye(N_SYMBOLS)[_SYMBOL]  # character x symbol
+    share = everywhere / (symbols @ (everywhere @ symbols))  # of a character in its symbol
+    step, log_p, log_end = np.full((len(red), N_SYMBOLS), -1), np.zeros((len(red), len(_CHARS))), np.zeros(len(red))
     for r, k in number.items():
-        total = sum(flow[r].values()) + final[r] + 0.5 * (N_SYMBOLS + 1)
-        for s in range(N_SYMBOLS):
-            log_p[k, s] = math.log((flow[r].get(s, 0) + 0.5) / total)
-            if s in child[r]:
-                step[k, s] = number[child[r][s]]
-        log_end[k] = math.log((final[r] + 0.5) / total)
-    return Automaton(step, log_p, log_end)
+        way = np.array([flow[r].get(s, 0) for s in range(N_SYMBOLS)], float)
+        total = count[r] + 0.5 * (N_SYMBOLS + 1)
+        log_p[k] = np.log((symbols @ (way + 0.5)) / total * (chars[r] + PRIOR * share) / (symbols @ way + PRIOR))
+        log_end[k] = math.log((count[r] - way.sum() + 0.5) / total)
+        for s, c in child[r].items():
+            step[k, s] = number[c]
+    end = 1 / 64
+    return Automaton(step, log_p, log_end, np.append(np.log(everywhere * (1 - end)), math.log(end)))
 
 
-def symbols_of(token: str) -> list[int]:
-    return [_SYMBOLS[c] for c in token]
+def numbers(token: str) -> list[int]:
+    return [_NUMBER[c] for c in token]
+
+
+def classes_of(token: str) -> int:
+    """Which classes of letters and digits it uses, as bits."""
+    used = set(token)
+    return sum(1 << k for k, c in enumerate(_CLASSES) if used & c)
+
+
+def by_classes(tokens: Iterable[str]) -> dict[int, list[str]]:
+    groups: dict[int, list[str]] = {}
+    for t in sorted(set(tokens)):
+        groups.setdefault(classes_of(t), []).append(t)
+    return groups
 
 
 @dataclass
 class Model:
+    """The credentials' automata; other tokens' automata by classes, with the logarithm of their share; the least score of a credential."""
+
     formats: list[Automaton]
-    other: Automaton | None
+    others: dict[int, tuple[float, Automaton]]
     threshold: float
 
-    def score(self, token: str) -> float:
-        """Log-likelihood ratio of the likeliest credential format to other tokens; minus infinity without a model."""
-        if not self.formats or self.other is None:
+    def score(self, token: str, least: float = -math.inf) -> float:
+        """Log-likelihood ratio of the likeliest credential format to other tokens (where it is at least `least`); minus infinity without a model."""
+        if not self.formats or not self.others:
             return -math.inf
-        s = symbols_of(token)
-        return max(a.log_likelihood(s) for a in self.formats) - self.other.log_likelihood(s)
+        s = numbers(token)
+        top, own = max(a.log_likelihood(s) for a in self.formats), classes_of(token)
+        if own in self.others:
+            share, a = self.others[own]
+            if top - share - a.log_likelihood(s) < least:
+                return -math.inf
+        return top - max(share + a.log_likelihood(s) for share, a in self.others.values())
 
 
-def train(examples: dict[str, list[str]], odds: float | None = None) -> Model:
+def train(examples: dict[str, list[str]], found: dict[tuple[str, int], int] | None = None) -> Model:
     """From tokens by kind; those of kind `other` are of no known kind.  Without both, nothing is ever found.
 
-    `odds` is the number of other tokens for each credential; that of the examples by default.
+    `found` is the number of tokens by kind and classes that the examples were
+    drawn from; that of the examples by default.  A token that several patterns
+    find is an example of the last kind.
     """
-    known = {k: sorted(v) for k, v in sorted(examples.items()) if k != "other" and v}
-    others = sorted(examples.get("other", ()))
-    formats = [infer(map(symbols_of, v)) for v in known.values()]
+    known: dict[str, set[str]] = {}
+    taken: set[str] = set()
+    for kind in reversed(KINDS):
+        known[kind] = set(examples.get(kind, ())) - taken
+        taken |= known[kind]
+    groups = [(classes, g) for kind in KINDS for classes, g in sorted(by_classes(known[kind]).items())]
+    formats = [infer(g) for _, g in groups]
+    others = by_classes(set(examples.get("other", ())) - taken)
     if not formats or not others:
-        return Model(formats, None, math.inf)
-    threshold = MARGIN + max(0.0, math.log(odds or len(others) / len(set().union(*known.values()))))
-    clean = []
-    for k in (0, 1):
-        half = Model(formats, infer(map(symbols_of, others[1 - k :: 2])), threshold)
-        clean += [t for t in others[k::2] if half.score(t) < threshold]
-    return Model(formats, infer(map(symbols_of, sorted(clean))), threshold)
+        return Model(formats, {}, math.inf)
+    size = {c: len(g) if found is None else found["other", c] for c, g in others.items()}
+    credentials = len(taken) if found is None else sum(n for (kind, _), n in found.items() if kind != "other")
+    total = sum(size.values())
+    threshold = MARGIN + max(0.0, math.log(total / credentials))
+    log_share = {c: math.log(n / total) for c, n in size.items()}
+    suspect = {c for c, _ in groups} & others.keys()
+    model = Model(formats, {c: (log_share[c], infer(g)) for c, g in others.items() if c not in suspect}, threshold)
+    more = {}
+    for c in suspect:
+        left = [t for t in others[c] if not model.others or model.score(t) < threshold]
+        if left:
+            more[c] = log_share[c] + math.log(len(left) / len(others[c])), infer(left)
+    model.others |= more
+    return model
 
 
 # --- scans ------------------------------------------------------------------------
@@ -271,31 +339,33 @@ def examples_of(text: bytes, tokens: list[tuple[int, int]]):
         yield "other", token
 
 
-def learn(documents: DataFrame, bound: int = DOCUMENTS, examples: int = EXAMPLES, others: int = OTHERS) -> Model:
-    """A model from about `bound` documents at most, and `examples` distinct tokens of each kind (`others` of no kind) at most, by order of their hash."""
+def learn(documents: DataFrame, bound: int = DOCUMENTS, examples: int = EXAMPLES, longest: int = LONGEST) -> Model:
+    """A model from about `bound` documents at most, and `examples` distinct tokens, of `longest` characters at most, of each kind and set of classes at most, by order of their hash."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chosen = texts.where(sample.bucket(F.col("doc_id")) < sample.share(bound, documents.count())).select("text")
 
     def run(batches):
         for batch in batches:
             column = batch.column(0)
-            found = {x for text, t in zip(column.cast(pa.binary()), long_tokens(column), strict=True) for x in examples_of(text.as_py(), t) if len(x[1]) <= 512}
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(found)], pa.string()) for k in (0, 1)], names=["kind", "token"])
+            found = sorted({x for text, t in zip(column.cast(pa.binary()), long_tokens(column), strict=True) for x in examples_of(text.as_py(), t) if len(x[1]) <= longest})
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([classes_of(x[1]) for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string())], names=["kind", "classes", "token"])
 
-    found = saved(chosen.mapInArrow(run, "kind string, token string").distinct())
-    known, other = found.agg(F.countDistinct(F.when(F.col("kind") != "other", F.col("token"))), F.count_if(F.col("kind") == "other")).first()
-    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("token"), "token"))).where(F.col("k") <= F.when(F.col("kind") == "other", others).otherwise(examples))
+    found = saved(chosen.mapInArrow(run, "kind string, classes int, token string").distinct())
+    count = {(r["kind"], r["classes"]): r["count"] for r in found.groupBy("kind", "classes").count().collect()}
+    first = Window.partitionBy("kind", "classes").orderBy(F.xxhash64("token"), "token")
     by_kind: dict[str, list[str]] = {}
-    for r in ranked.select("kind", "token").collect():
+    for r in found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= examples).select("kind", "token").collect():
         by_kind.setdefault(r.kind, []).append(r.token)
-    return train(by_kind, max(other, 1) / max(known, 1))
+    return train(by_kind, count)
 
 
 def find(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (doc_id by default) with secrets: (start, end, kind, score) of every row, in order; a column of that name gives way.
 
     Offsets are in code points, ends exclusive.  Base spans have no score; kind
-    `learned` marks what only the automata found.  A null or empty text has none.
+    `learned` marks what only the automata found.  A null or empty text has none,
+    equal texts have equal ones, texts and tokens of any length are read whole, and
+    an empty table gives an empty one.
     """
     keep = kernel.apart(["doc_id"] if keep is None else keep, ["secrets"])
     name = kernel.fresh("__text", keep)
@@ -314,7 +384,7 @@ def find(documents: DataFrame, model: Model, keep: list[str] | None = None) -> D
                     if token not in scores:
                         if len(scores) > 100_000:
                             scores.clear()
-                        scores[token] = model.score(token)
+                        scores[token] = model.score(token, model.threshold)
                     if scores[token] >= model.threshold:
                         score[a] = round(scores[token], 6)
                         base = [*base, (a, b, "learned")]
