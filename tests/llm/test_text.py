@@ -193,33 +193,71 @@ def distance(pattern, text, anywhere=True):
     return min(row) if anywhere else row[-1]
 
 
-def test_edit_matches_are_exact():
+def nearest(pattern, text):
+    """(distance, start, end) of the nearest substring: the first end of equals, the shortest of these."""
+    row = [(0, -j) for j in range(len(text) + 1)]  # distance, then minus the start
+    for i, a in enumerate(pattern, 1):
+        above, row = row, [(i, 0)]
+        for j, b in enumerate(text, 1):
+            row.append(min((above[j][0] + 1, above[j][1]), (row[j - 1][0] + 1, row[j - 1][1]), (above[j - 1][0] + (a != b), above[j - 1][1])))
+    d, end = min((d, j) for j, (d, _) in enumerate(row))
+    return d, -row[end][1], end
+
+
+def test_edit_matches_are_the_nearest():
     r = random.Random(3)
-    for _ in range(250):
-        item = decontaminate.normal("".join(r.choices("abcd ", k=r.randint(30, 60))))
+    for n in range(2000):
+        letters = "abcd " if n % 2 else "ab "
+        item = decontaminate.normal("".join(r.choices(letters, k=r.randint(22, 60))))
         text = list(item)
         for _ in range(r.randint(0, len(item) // 10 + 2)):
             i = r.randrange(len(text))
             text[i : i + r.randint(0, 1)] = r.choice(["", "a", "b", "x"])
-        text = decontaminate.normal("".join(r.choices("abcd ", k=30)) + "".join(text) + "".join(r.choices("abcd ", k=30)))
-        budget, d = len(item) // 10, distance(item, text)
+        text = decontaminate.normal("".join(r.choices(letters, k=30)) + "".join(text) + "".join(r.choices(letters, k=30)))
+        if len(item) < 20:
+            continue
+        best = nearest(item, text)
         got = decontaminate.Matcher([(1, item)], 0.1, 20).search(text)
-        assert bool(got) == (d <= budget)
-        if got:
-            best, start, end = got[0]
-            assert distance(item, text[start:end], False) == best <= budget
+        assert got == ({0: best} if best[0] <= len(item) // 10 else {}), (item, text)
+        assert bool(decontaminate.Matcher([(1, item)], 0.1, 20).search(text, True)) == bool(got)
+
+
+def test_pieces_that_many_items_share():
+    r = random.Random(9)
+    words = ["river", "sea", "of", "the", "city", "king", "is"]
+    items = [decontaminate.normal("question: what is the " + " ".join(r.choices(words, k=r.randint(4, 9))) + "? answer:") for _ in range(60)]
+    found = decontaminate.Matcher(enumerate(items), 0.1, 20)
+    assert any(isinstance(found.automaton.get(p)[1], decontaminate.Owners) for p in found.items[0].pieces())
+    matches = 0
+    for _ in range(60):
+        text = list(r.choice(items))
+        for _ in range(r.randint(0, 5)):
+            i = r.randrange(len(text))
+            text[i : i + r.randint(0, 1)] = r.choice(["", "a", "x"])
+        text = decontaminate.normal("see " + "".join(text) + " and question: what is " + r.choice(items)[9:])
+        want = {k: b for k, item in enumerate(items) if (b := nearest(item, text))[0] <= len(item) // 10}
+        assert found.search(text) == want
+        matches += len(want)
+    assert matches > 40
+
+
+def test_short_items_have_to_be_there_as_words():
+    found = decontaminate.Matcher([(k, "abcdefghijklmnopqrs"[:k]) for k in range(20)], 0.1, 20)
+    assert len(found.items) == 19
+    assert found.search("x ab, abc-abcde") == {1: (0, 2, 4), 2: (0, 6, 9), 4: (0, 10, 15)}
+    assert found.search("abd xabc") == {}
 
 
 def test_decontamination(spark):
     item = "What is the capital of the country that lies between two rivers?"
     bench = spark.createDataFrame([(5, item), (5, item), (6, None), (7, "tiny"), (8, "Another question altogether, about the sea.")], "item_id long, text string")
-    rows = [(1, "Before. " + item.upper().replace(" ", "\n") + " After."), (1, "x " + item), (2, None), (3, ""), (4, item[:30] + "X" + item[30:] * 1), (5, "nothing here about rivers"), (None, item), (6, "w " * 50_000 + item)]
+    rows = [(7, "a TINY one"), (8, "tinyness"), (1, "Before. " + item.upper().replace(" ", "\n") + " After."), (1, "x " + item), (2, None), (3, ""), (4, item[:30] + "X" + item[30:] * 1), (5, "nothing here about rivers"), (None, item), (6, "w " * 600_000 + item)]
     df = frame(spark, rows)
     for size in (4_000_000, 60):
         got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.find(df, bench, block_chars=size).collect()}
-        assert got == {(1, 5): 0, (4, 5): 1, (None, 5): 0, (6, 5): 0}
+        assert got == {(1, 5): 0, (4, 5): 1, (None, 5): 0, (6, 5): 0, (7, 7): 0}
         kept = decontaminate.without_leaks(df, bench, block_chars=size)
-        assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5] and kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 8] and kept.columns == df.columns
     assert decontaminate.find(df, bench.limit(0)).count() == 0
     assert decontaminate.find(df.limit(0), bench).count() == 0
 
@@ -231,6 +269,9 @@ def test_op3_finds_whole_items(spark):
     got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, sf).collect()}
     assert want <= got and len(want) > 10
     texts = {r.doc_id: decontaminate.normal(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    near = {(r.doc_id, r.item_id): (r.distance, r.start, r.end) for r in queries.op3_decontamination(spark, sf).collect()}
+    short = [k for k in sorted(near) if len(texts[k[0]]) < 3000][:12]
+    assert short and all(near[d, i] == nearest(items[i], texts[d]) for d, i in short)
     assert all(distance(items[i], texts[d]) <= len(items[i]) // 10 for d, i in got - want)
 
 
