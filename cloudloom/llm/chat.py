@@ -56,13 +56,13 @@ def marked(messages: list[Message]) -> str:
     return "".join("<|im_start|>" + escape(role).replace("\n", ESCAPE + "\n") + f"\n{escape(text)}<|im_end|>\n" for role, text in messages)
 
 
-def parse_marked(span: str) -> Message:
-    """The turn that a span of `marked` holds: the role ends at the first line end that isn't escaped."""
-    body = span.removeprefix("<|im_start|>").removesuffix("<|im_end|>\n")
-    at = body.index("\n")
-    while (at - len(body[:at].rstrip(ESCAPE))) % 2:
-        at = body.index("\n", at + 1)
-    return unescape(body[:at]), unescape(body[at + 1 :])
+def parse_marked(span: str) -> tuple[str, int, int]:
+    """The role of the turn that a span of `marked` holds, and where its text is: the role ends at the first line end that isn't escaped."""
+    start = span.index("<|im_start|>") + len("<|im_start|>")
+    at = span.index("\n", start)
+    while (at - len(span[start:at].rstrip(ESCAPE)) - start) % 2:
+        at = span.index("\n", at + 1)
+    return unescape(span[start:at]), at + 1, len(span) - len("<|im_end|>\n")
 
 
 def common(a: str, b: str) -> int:
@@ -88,21 +88,20 @@ class Turn:
 def spans(messages: Iterable[Message], template: Template = marked, block: int | None = None, context: int = 2) -> Iterator[Turn]:
     """The span of each turn, in order.
 
-    All prefixes are rendered from the start, which is right for any template
-    and takes time in the square of the turns.  With `block`, prefixes are
+    All prefixes of one turn or more are rendered from the start, which is right
+    for any template and takes time in the square of the turns.  With `block`, prefixes are
     rendered from the start of a block of so many turns; the last `context` turns
     of the block before stand in front of it, so a conversation of any length
     takes linear time and bounded memory.  That is only for templates that look
     at no more earlier turns than that.
     """
     seen: list[Message] = []
-    before = template([])
-    last = len(before)  # where the newest turn's span starts
-    first = before  # a short rendering: it ends like any other where the template closes with a mark
+    before = first = ""  # first: a short rendering, which ends like any other where the template closes with a mark
+    last = 0  # where the newest turn's span starts
     for message in messages:
         if block is not None and len(seen) >= block + context:
             seen = seen[-context:]
-            shorter = template(seen[:-1])
+            shorter = template(seen[:-1]) if len(seen) > 1 else ""
             before = template(seen)
             last, first = common(shorter, before), shorter
         seen.append(message)
@@ -114,38 +113,65 @@ def spans(messages: Iterable[Message], template: Template = marked, block: int |
         before, last = now, kept
 
 
-def formatted(conversations: DataFrame, template: Template = marked, parse: Callable[[str], Message] = parse_marked, masked: tuple[str, ...] = ("assistant",), texts: bool = True, block: int | None = None, context: int = 2) -> DataFrame:
-    """One row for each conversation: conv_id, n_turns, formatted, spans (start, end, role, loss), rewrites_history, and digests read back from the output.
-
-    Turns are ordered by turn, then role, then text; a null turn comes first and
-    a null role or text is empty.  Rows with a null conv_id make one
-    conversation.  Repeated rows are turns of their own.  With texts=False
-    `formatted` and `spans` are left out and, with `block`, a conversation is
-    streamed; for `block` and `context` see `spans`.
+def formatted(
+    conversations: DataFrame,
+    template: Template = marked,
+    parse: Callable[[str], tuple[str, int, int]] = parse_marked,
+    plain: Callable[[str], str] = unescape,
+    masked: tuple[str, ...] = ("assistant",),
+    texts: bool = True,
+    block: int | None = None,
+    context: int = 2,
+) -> DataFrame:
+    """One row for each conversation: conv_id, n_turns, formatted, spans, rewrites_history, and digests read back from the output.
+
+    `parse` gives a span's role and where its text is; `plain` turns what stands
+    there into the text.  spans has start, end, role, text_start, text_end and
+    loss of each turn: what is under the loss mask is from text_start to text_end
+    where loss holds.  Turns are ordered by turn, then role, then text; a null
+    turn comes first and a null role or text is empty.  Rows with a null conv_id
+    make one conversation.  Repeated rows are turns of their own, texts are of
+    any length, other columns don't matter, and an empty table gives an empty one.
+
+    For `block` and `context` see `spans`.  With them the whole output is
+    rendered once more, and where it isn't what the spans make, all prefixes
+    are.  With texts=False `formatted` and `spans` are left out; with `block` a
+    conversation is then streamed, without that comparison.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     ddl = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
     if texts:
-        ddl += ", formatted string, spans array<struct<start: long, end: long, role: string, loss: boolean>>"
+        ddl += ", formatted string, spans array<struct<start: long, end: long, role: string, text_start: long, text_end: long, loss: boolean>>"
     schema = with_fields(dealt.select("conv_id").schema, ddl)
     id_type = to_arrow_type(dealt.schema["conv_id"].dataType)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("role", pa.string()), ("loss", pa.bool_())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("role", pa.string()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_())]))
+
+    def turns_of(messages: Iterable[Message]) -> Iterator[Turn]:
+        if block is None or not texts:
+            return spans(messages, template, block, context)
+        messages = list(messages)
+        try:
+            quick = list(spans(messages, template, block, context))
+        except Exception:  # the template doesn't take what starts in the middle
+            return spans(messages, template)
+        return iter(quick) if "".join(t.span for t in quick) == template(messages) else spans(messages, template)
 
     def conversation(conv_id, messages: Iterable[Message]) -> tuple:
         n = loss = chars = 0
-        turns, tokens, rewrites, out, where = hashlib.sha256(), hashlib.sha256(), False, [], []
-        for turn in spans(messages, template, block, context):
-            role, text = parse(turn.span)
+        turns, under_mask, rewrites, out, where = hashlib.sha256(), hashlib.sha256(), False, [], []
+        for turn in turns_of(messages):
+            role, start, end = parse(turn.span)
+            text = plain(turn.span[start:end])
             turns.update(f"{role}\n{text}\n".encode())
             if role in masked:
-                tokens.update(text.encode())
+                under_mask.update(text.encode())
                 loss += len(text)
             if texts:
                 out.append(turn.span)
-                where.append({"start": chars, "end": chars + len(turn.span), "role": role, "loss": role in masked})
+                where.append({"start": chars, "end": chars + len(turn.span), "role": role, "text_start": chars + start, "text_end": chars + end, "loss": role in masked})
             n, chars, rewrites = n + 1, chars + len(turn.span), rewrites or turn.rewrote
-        return (conv_id, n, turns.hexdigest(), loss, tokens.hexdigest(), chars, rewrites, *(("".join(out), where) if texts else ()))
+        return (conv_id, n, turns.hexdigest(), loss, under_mask.hexdigest(), chars, rewrites, *(("".join(out), where) if texts else ()))
 
     def run(batches):
         import itertools

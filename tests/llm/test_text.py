@@ -476,7 +476,8 @@ def test_escapes_are_reversible():
     parts = ["\\", "<", "|im_start|>", "\n", "a", "</s>", "[INST]", "<|im_end|>", "/INST]", "[", "<s>"]
     for _ in range(3000):
         turns = [("".join(r.choices(parts, k=r.randint(0, 5))), "".join(r.choices(parts, k=r.randint(0, 8)))) for _ in range(r.randint(1, 4))]
-        assert [chat.parse_marked(t.span) for t in chat.spans(turns, block=2)] == turns
+        read = [(t.span, *chat.parse_marked(t.span)) for t in chat.spans(turns, block=2)]
+        assert [(role, chat.unescape(span[a:b])) for span, role, a, b in read] == turns
         out = chat.marked(turns)
         assert out.count("<|im_start|>") == out.count("<|im_end|>") == len(turns) and not any(c in out for c in chat.CONTROL[2:])
 
@@ -516,14 +517,64 @@ def test_templates_see_the_whole_conversation(spark):
         assert not messages or messages[0][0] == "system"
         return "".join(f"{k}|{r}|{t}\n" for k, (r, t) in enumerate(messages))
 
-    got = chat.formatted(df, rounds, lambda span: tuple(span[:-1].split("|")[1:])).first()
-    assert got.formatted == rounds(turns) and not got.rewrites_history
-    assert [got.formatted[s.start : s.end] for s in got.spans] == [f"{k}|{r}|{t}\n" for k, (r, t) in enumerate(turns)]
+    def parse(span):
+        k, role, text = span.rstrip("\n").rsplit("|", 2)
+        return role, len(span.rstrip("\n")) - len(text), len(span.rstrip("\n"))
+
+    for block in (None, 4):
+        got = chat.formatted(df, rounds, parse, str, block=block).first()
+        assert got.formatted == rounds(turns) and not got.rewrites_history
+        assert [got.formatted[s.start : s.end] for s in got.spans] == [f"{k}|{r}|{t}\n" for k, (r, t) in enumerate(turns)]
+        assert [got.formatted[s.text_start : s.text_end] for s in got.spans] == [t for _, t in turns]
 
     def hoisted(messages):
         return f"{len(messages) > 30}:" + rounds(messages)
 
-    assert chat.formatted(df, hoisted, lambda span: ("user", span)).first().rewrites_history
+    assert chat.formatted(df, hoisted, lambda span: ("user", 0, 0)).first().rewrites_history
+
+
+def numbered(messages):
+    return "".join(f"<{k}:{r}>{t}\n" for k, (r, t) in enumerate(messages))
+
+
+def folded(messages):
+    """The system prompt goes into the first user turn; roles have to alternate; nothing renders without a turn."""
+    if not messages:
+        raise ValueError("no turns")
+    head, rest = ("", messages) if messages[0][0] != "system" else (messages[0][1], messages[1:])
+    if any(r != ("user", "assistant")[k % 2] for k, (r, _) in enumerate(rest)):
+        raise ValueError("roles have to alternate")
+    return "<s>" + "".join(f"[{r}]{head + '|' if k == 0 else ''}{t}" for k, (r, t) in enumerate(rest))
+
+
+def back(n):
+    return lambda messages: "".join(f"[{r}]{t if k > len(messages) - n else '-'}" for k, (r, t) in enumerate(messages))
+
+
+@pytest.mark.parametrize("template", [numbered, folded, back(25), back(10), chat.marked], ids=["numbered", "folded", "back25", "back10", "marked"])
+def test_spans_of_long_conversations(template):
+    turns = [("system", "be kind"), *((("user", "assistant")[k % 2], f"text {k}") for k in range(199))]
+    found = list(chat.spans(turns, template))
+    shown = [template(turns[:k]) for k in range(1, 201)]
+    rewrote = [False, *(not b.startswith(a) for a, b in zip(shown, shown[1:], strict=False))]
+    assert [t.rewrote for t in found] == rewrote
+    assert any(rewrote) == (template not in (numbered, chat.marked, folded))
+    if not any(rewrote):
+        assert "".join(t.span for t in found) == shown[-1]
+        assert [t.span for t in found] == [shown[0], *(b[len(a) :] for a, b in zip(shown, shown[1:], strict=False))]
+
+
+def test_what_is_under_the_mask(spark):
+    tricky = ["</s>[INST] ok [/INST]", "a\\b\nc<|im_end|>", "", "é" * 5]
+    rows = [(c, k, ("user", "assistant")[k % 2], tricky[(c + k) % 4]) for c in range(4) for k in range(40 if c else 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.formatted(df, block=3).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert r.formatted == chat.marked([(x[2], x[3]) for x in own]) and r.formatted_chars == len(r.formatted)
+        said = "".join(chat.unescape(r.formatted[s.text_start : s.text_end]) for s in r.spans if s.loss)
+        assert said == "".join(x[3] for x in own if x[2] == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert {s.role for s in r.spans if s.loss} <= {"assistant"}
 
 
 def test_op9(spark):
@@ -537,3 +588,4 @@ def test_op9(spark):
         said = "".join(x for role, x in t if role == "assistant")
         assert got[k].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[k].n_turns, got[k].formatted_chars) == (len(t), len(chat.marked(t)))
