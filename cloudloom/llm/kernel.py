@@ -1,8 +1,9 @@
 """Array kernels over Arrow string columns.
 
 Texts are handled as UTF-8 bytes in slices of about a megabyte, so that memory
-stays bounded however long a text or a batch is.  A text longer than a slice is
-cut at white space; what the callers compute adds up over the parts.
+stays bounded however long a batch is, or a text of words.  A text longer than a
+slice is cut before a byte that is no part of a word, however far that is, so no
+n-gram is lost or made up; what the callers compute adds up over the parts.
 """
 
 from __future__ import annotations
@@ -64,22 +65,24 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cuts(raw: np.ndarray, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Parts of about `limit` bytes, longer only where a word is."""
     while b - a > limit:
-        tail = raw[a + limit - limit // 4 : a + limit]
-        white = np.flatnonzero((tail == 32) | ((tail >= 9) & (tail <= 13)))
-        if len(white):
-            cut = a + limit - limit // 4 + int(white[-1])
-        else:
-            cut = a + limit
-            while cut > a + 1 and raw[cut] & 0xC0 == 0x80:
-                cut -= 1
+        cut = b
+        for lo in range(a + limit - limit // 4, b, limit):
+            found = np.flatnonzero(~WORDLIKE[raw[lo : min(b, lo + limit)]])
+            if len(found):
+                inside = found[found < a + limit - lo]
+                cut = lo + int(inside[-1] if len(inside) else found[0])
+                break
         yield a, cut
         a = cut
-    yield a, b
+    if b > a:
+        yield a, b
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row numbers) of parts of the column of about `limit` bytes."""
+def slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row numbers) of parts of the column of about `limit` bytes (SLICE_BYTES)."""
+    limit = limit or SLICE_BYTES
     raw, off = string_buffers(column)
     i, n = 0, len(column)
     while i < n:

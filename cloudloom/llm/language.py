@@ -126,8 +126,10 @@ def learn(documents: DataFrame, fold: Column, bound: int = BOUND, max_chars: int
 def identify(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of the documents (doc_id by default) with lang_pred and lang_score, which take the place of columns of these names.
 
-    A null text, or one without a letter, is `und` with score 0.  A text of
-    which no n-gram is known gets the first language, with score 0.
+    A null text, or one without a letter, is `und` with score 0.  Of languages
+    that tie the first one in order holds: so does a text of which no n-gram is
+    known, with score 0.  Texts are read whole, however long; rows are kept as they
+    are, repeated ones and null ids too; an empty table gives an empty one.
     """
     keep = kernel.apart(["doc_id"] if keep is None else keep, ["lang_pred", "lang_score"])
     text = kernel.fresh("__text", keep)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from . import kernel, sample
 
-BITS, RANK, BINS = 16, 6, 10
-#: Learn from about so many labelled rows at most, of so many characters at most; keep so many word buckets.
-BOUND, MAX_CHARS, WORDS, MIN_ROWS = 4_000, 60_000, 2_048, 3
+BITS, RANK, BINS = 18, 6, 10
+#: Learn from about so many labelled rows at most, of so many characters at most.
+BOUND, MAX_CHARS = 4_000, 60_000
+#: A word weighs less the less it differs between the labels, in standard errors against so many (see sample.shrinkage).
+CHANCE = 2.0
 EPOCHS = 20
 STATS = ("log bytes", "word length", "upper", "digit", "space", "ascii symbol", "exclamation", "bar", "line", "repeat of the word before", "distinct words", "declared length")
 N = (1 << BITS) + len(STATS) * BINS
@@ -31,9 +34,14 @@ N = (1 << BITS) + len(STATS) * BINS
 class Model:
     bias: float
     weights: np.ndarray  # of N features
-    factors: np.ndarray  # N x RANK
+    factors: np.ndarray  # N x RANK; a word's weight and factors have its shrinkage in them
     edges: np.ndarray  # of the bins: len(STATS) x (BINS - 1)
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Weight, factors and their sum of squares by feature."""
+        return np.column_stack((self.weights, self.factors, (self.factors.astype(float) ** 2).sum(1))).astype(float)
+
 
 def _class(chars: str) -> np.ndarray:
     table = np.zeros(256, bool)
@@ -61,6 +69,7 @@ def features(column: pa.Array, declared: pa.Array | None, table: np.ndarray | No
     raw_sums, words = np.zeros((n, 9)), np.zeros(n, np.int64)
     sums = None if table is None else np.zeros((n, table.shape[1]))
     buckets = [[] for _ in range(n)] if table is None else None
+    row_before, seen, last = -1, np.zeros(0, bool), np.uint64(0)  # of a text that is in several slices
     for raw, off, rows in kernel.slices(column):
         for k, chars in enumerate((_UPPER, _DIGIT, kernel.WHITE, _SYMBOL, _BANG, _BAR, _LINE)):
             c = np.concatenate(([0], np.cumsum(chars[raw], dtype=np.int32)))
@@ -72,8 +81,18 @@ def features(column: pa.Array, declared: pa.Array | None, table: np.ndarray | No
         text = np.repeat(np.arange(len(rows)), np.diff(edge))
         same = np.zeros(len(h), np.int64)
         same[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1])
+        if len(rows) > 1:
+            raw_sums[rows, 8] += np.bincount(np.unique(text << BITS | b) >> BITS, minlength=len(rows))
+        elif len(h):
+            if rows[0] == row_before:
+                same[0] = h[0] == last
+            else:
+                seen = np.zeros(1 << BITS, bool)
+            raw_sums[rows, 8] -= seen.sum()
+            seen[b] = True
+            raw_sums[rows, 8] += seen.sum()
+            row_before, last = rows[0], h[-1]
         raw_sums[rows, 7] += _sum(same, edge)
-        raw_sums[rows, 8] += np.bincount(np.unique(text << BITS | b) >> BITS, minlength=len(rows))
         words[rows] += np.diff(edge)
         if table is None:
             for k, row in enumerate(rows):
@@ -106,16 +125,11 @@ def train(rows: Iterable[tuple[str, int, int | None]], seed: int = 11) -> Model:
     stats, words, buckets = features(pa.array([r[0] for r in rows], pa.large_string()), pa.array([r[2] for r in rows], pa.int64()))
     edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     ones, zeros = (np.bincount(np.concatenate([np.unique(b) for b, k in zip(buckets, y, strict=True) if k == label]), minlength=1 << BITS) for label in (1, 0))
-    n1, n0 = float(y.sum()), float((1 - y).sum())
-    rate = (ones + zeros) / (n1 + n0)
-    differs = np.abs(ones / n1 - zeros / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-4) * (1 / n1 + 1 / n0))
-    differs[ones + zeros < MIN_ROWS] = 0
-    known = np.zeros(1 << BITS, bool)
-    known[np.argsort(-differs, kind="stable")[:WORDS]] = True
-    known &= differs > 0
+    shrink = sample.shrinkage(ones, zeros, float(y.sum()), float((1 - y).sum()), CHANCE)
+    known = shrink > 0
     fixed = bins(stats, edges)
     ids = [np.concatenate((f, b[known[b]])) for f, b in zip(fixed, buckets, strict=True)]
-    val = [np.concatenate((np.ones(len(f)), np.full(len(i) - len(f), 1 / max(1, w)))).astype(np.float32) for f, i, w in zip(fixed, ids, words, strict=True)]
+    val = [np.concatenate((np.ones(len(f)), shrink[i[len(f) :]] / max(1, w))).astype(np.float32) for f, i, w in zip(fixed, ids, words, strict=True)]
     rng = np.random.default_rng(seed)
     w = np.zeros(N, np.float32)
     v = (rng.standard_normal((N, RANK)) * 0.05).astype(np.float32)
@@ -144,11 +158,13 @@ def train(rows: Iterable[tuple[str, int, int | None]], seed: int = 11) -> Model:
             gv = np.column_stack([np.bincount(back, gv[:, f], len(touched)) for f in range(RANK)]) + 1e-4 * v[touched]
             v_sq[touched] += gv * gv
             v[touched] -= step * gv / np.sqrt(v_sq[touched])
-    return Model(bias, w.astype(float), v.astype(float), edges)
+    own = np.ones(N)
+    own[: 1 << BITS] = shrink
+    return Model(bias, (w * own).astype(np.float32), (v * own[:, None]).astype(np.float32), edges)
 
 
 def logits(column: pa.Array, declared: pa.Array | None, model: Model) -> np.ndarray:
-    table = np.column_stack((model.weights, model.factors, (model.factors**2).sum(1)))
+    table = model.table
     stats, words, sums = features(column, declared, table[: 1 << BITS])
     per = 1 / np.maximum(words, 1)[:, None]
     total = sums * np.concatenate((np.repeat(per, 1 + RANK, 1), per * per), 1) + table[bins(stats, model.edges)].sum(1)
@@ -159,8 +175,9 @@ def logits(column: pa.Array, declared: pa.Array | None, model: Model) -> np.ndar
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of the documents (doc_id by default) with quality_score (0 to 1), which takes the place of a column of that name.
 
-    A null text counts as empty and an unknown n_chars as a bin of its own; rows
-    are kept as they are, repeated ones and null ids too.
+    A null text counts as empty and an unknown n_chars as a bin of its own.  Texts
+    are read whole, however long.  Rows are kept as they are, repeated ones and
+    null ids too; an empty table gives an empty one.
     """
     keep = kernel.apart(["doc_id"] if keep is None else keep, ["quality_score"])
     declared = F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from . import kernel, sample
 
 SIZES = (3, 4, 5, 6, 7)
-BITS = 17
+BITS = 19
 DIM = 8
 #: Learn from about so many labelled rows at most, of so many characters at most.
 BOUND, MAX_CHARS = 3_000, 60_000
-#: A gram has to be in so many of those rows, and among so many grams whose share of rows differs most between the labels.
-MIN_ROWS, GRAMS = 3, 1_024
+#: Embeddings are shrunk by how far grams differ between the labels, in standard errors against so many (see sample.shrinkage).
+CHANCE = 3.0
 EPOCHS = 40
 ONE = 1 << 20
 
@@ -57,15 +57,11 @@ def train(rows: Iterable[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, i
     if len(set(y.tolist())) < 2:
         p = min(max(y.sum() / (len(y) + 1), 1e-6), 1 - 1e-6)
         return np.zeros(1 << BITS, np.int64), int(round(np.log(p / (1 - p)) * ONE))
-    bags = [bag(text) for text, _ in rows]
-    n1, n0 = y.sum(), (1 - y).sum()
-    ones, zeros = (np.bincount(np.concatenate([b for (b, _), k in zip(bags, y, strict=True) if k == label]), minlength=1 << BITS) for label in (1, 0))
-    rate = (ones + zeros) / (n1 + n0)
-    differs = np.abs(ones / n1 - zeros / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-4) * (1 / n1 + 1 / n0))
-    differs[ones + zeros < min(MIN_ROWS, len(rows))] = 0
-    known = np.zeros(1 << BITS, bool)
-    known[np.argsort(-differs, kind="stable")[:GRAMS]] = True
-    known &= differs > 0
+    held = np.zeros((2, 1 << BITS))  # rows of each label that hold a gram
+    for text, label in rows:  # bags are made again below: all at once they are larger than the texts
+        held[label, bag(text)[0]] += 1
+    shrink = sample.shrinkage(held[1], held[0], y.sum(), (1 - y).sum(), CHANCE)
+    known = shrink > 0
     rng = np.random.default_rng(seed)
     size = 1 << BITS
     emb = (rng.random((size, DIM), np.float32) - np.float32(0.5)) / np.float32(DIM)
@@ -74,9 +70,10 @@ def train(rows: Iterable[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, i
     bias = np.zeros(2, np.float32)
     emb_sq, out_sq, bias_sq = np.full(size, 1e-8, np.float32), np.full((DIM, 2), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     kept = []
-    for b, c in bags:
+    for text, _ in rows:
+        b, c = bag(text)
         k = known[b]
-        kept.append((b[k], (c[k] / max(1, c.sum())).astype(np.float32)))
+        kept.append((b[k], (shrink[b[k]] * c[k] / max(1, c.sum())).astype(np.float32)))
     for epoch in range(EPOCHS):
         rate = np.float32(0.4 * (1 - epoch / EPOCHS))
         order = rng.permutation(len(rows))
@@ -109,7 +106,7 @@ def train(rows: Iterable[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, i
                 grad[:, d] = np.bincount(inverse, part[:, d], len(touched))
             emb_sq[touched] += (grad * grad).mean(1)
             emb[touched] -= rate * grad / np.sqrt(emb_sq[touched])[:, None]
-    each = emb @ (out[:, 1] - out[:, 0])
+    each = shrink * (emb @ (out[:, 1] - out[:, 0]))
     return np.round(each.astype(np.float64) * ONE).astype(np.int64), int(round(float(bias[1] - bias[0]) * ONE))
 
 
@@ -130,8 +127,10 @@ def logits(column: pa.Array, each: np.ndarray, bias: int) -> np.ndarray:
 def score(documents: DataFrame, model: tuple[np.ndarray, int], keep: list[str] | None = None, name: str = "toxicity_score") -> DataFrame:
     """`keep` columns of the documents (doc_id by default) with the score (0 to 1) as column `name`, which takes the place of one of that name.
 
-    A null text counts as empty; an empty text scores as the bias alone.  Rows
-    are kept as they are, repeated ones and null ids too.
+    A null text counts as empty; an empty text, or one none of whose grams is
+    known, scores as the bias alone.  Texts are read whole, however long.  Rows are
+    kept as they are, repeated ones and null ids too; an empty table gives an empty
+    one.
     """
     keep = kernel.apart(["doc_id"] if keep is None else keep, [name])
     each, bias = model

@@ -35,17 +35,34 @@ def test_toxicity_of_held_out_documents(labelled):
     assert words[0] > words[1]  # a misspelling that no row has
 
 
-def test_toxicity_sums_do_not_depend_on_slices(labelled):
-    model = toxicity.train(zip(labelled.text[:300], labelled.toxic[:300], strict=True))
-    text = " ".join(labelled.text[:40])
-    one = toxicity.logits(pa.array([text, "a", None, ""]), *model)
-    kernel.SLICE_BYTES, old = 1 << 12, kernel.SLICE_BYTES
-    try:
-        cut = [(p, o) for p, o, _ in kernel.slices(pa.array([text]), 1 << 12)]
-    finally:
-        kernel.SLICE_BYTES = old
-    assert b"".join(p.tobytes() for p, _ in cut).decode() == text and len(cut) > 5
-    assert one[2] == one[3] == model[1] / toxicity.ONE
+@pytest.mark.parametrize("gap", [" ", "", "。"], ids=["spaces", "none", "marks"])
+def test_scores_do_not_depend_on_slices(labelled, monkeypatch, gap):
+    some = labelled[:400]
+    toxic = toxicity.train(zip(some.text, some.toxic, strict=True))
+    good = quality.train(zip(some.text, some.quality, some.n_chars, strict=True))
+    lang = language.build({"a": np.arange(9, dtype=np.uint64) << np.uint64(40), "b": language.kernel.Grams(*kernel.spaced(*kernel.string_buffers(pa.array(["idiot river stone"])))).of(3)[1]})
+    r = np.random.default_rng(3)
+    words = " ".join(labelled.text[:60]).split()
+    long = " ".join(words[:5000]) + gap.join(r.choice(words, 12_000 if gap == " " else 3_000)) + " idiot stone, river idiot\n" + " ".join(words[:9000])
+    column, n = pa.array([long, "a", None, "", long[:500], "one two"]), pa.array([len(long), 1, None, 0, 500, None])
+    whole = toxicity.logits(column, *toxic), quality.logits(column, n, good), language.decide(column, lang)[1], quality.features(column, n)[0]
+    assert len(list(kernel.slices(column))) == 1
+    for size in (1 << 10, 5_000, 1 << 16):
+        monkeypatch.setattr(kernel, "SLICE_BYTES", size)
+        parts = [p.tobytes() for p, o, rows in kernel.slices(column) if rows[0] == 0 and len(o) == 2]
+        assert b"".join(parts).decode() == long and len(parts) > 1
+        cut = toxicity.logits(column, *toxic), quality.logits(column, n, good), language.decide(column, lang)[1], quality.features(column, n)[0]
+        for x, y in zip(whole, cut, strict=True):
+            assert np.abs(x - y).max() < 1e-9
+    assert whole[0][2] == whole[0][3] == toxic[1] / toxicity.ONE
+
+
+def test_statistics_of_texts_of_megabytes():
+    for n in (100_000, 200_000, 400_000):
+        stats = dict(zip(quality.STATS, quality.features(pa.array(["ab cd ef gh ij " * (n // 5)]), None)[0][0], strict=True))
+        assert stats["distinct words"] == pytest.approx(5 / n) and stats["repeat of the word before"] == 0
+    stats = dict(zip(quality.STATS, quality.features(pa.array(["ab " * 900_000]), None)[0][0], strict=True))
+    assert stats["repeat of the word before"] == pytest.approx(1 - 1 / 900_000)
 
 
 def test_quality_of_held_out_documents(labelled):
@@ -131,3 +148,62 @@ def test_span_hashes_follow_the_bytes():
     assert h[0] == h[1] == h[2] != h[3]
     buf, starts = kernel.spaced(*kernel.string_buffers(pa.array(["Ab É", "", "c"])))
     assert bytes(kernel.lower(buf)).decode() == " ab é  c " and starts.tolist() == [0, 6, 7]
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize(("name", "fold", "label", "least", "sure"), [("op8_toxicity", (5, 0), "toxic", 0.5, 0.8), ("op10_quality", (4, 2), "quality", 0.7, 0.9)])
+def test_score_queries(spark, name, fold, label, least, sure):
+    documents = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    df = queries.QUERIES[name](spark, SMALL)
+    assert df.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    rows = df.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(documents)
+    held = {i for i in documents if crc(i) % fold[0] == fold[1]}
+    assert {r.doc_id for r in rows if r.held_out} == held
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= least) for r in rows)
+    assert len({(documents[r.doc_id].text, documents[r.doc_id].n_chars, r.score) for r in rows}) == len({(documents[r.doc_id].text, documents[r.doc_id].n_chars) for r in rows})
+    known = [r.predicted == labels[r.doc_id] for r in rows if r.held_out and labels.get(r.doc_id) in (0, 1)]
+    assert len(known) > 20 and np.mean(known) > sure
+    learned = [(documents[i].text or "", v, documents[i].n_chars) for i, v in labels.items() if i in documents and v in (0, 1) and i not in held and len(documents[i].text or "") <= 60_000]
+    learned.sort(key=lambda r: str((r[0], r[1]) if name == "op8_toxicity" else r))
+    texts = [documents[r.doc_id].text or "" for r in rows]
+    if name == "op8_toxicity":
+        z = toxicity.logits(pa.array(texts), *toxicity.train((t, v) for t, v, _ in learned))
+    else:
+        z = quality.logits(pa.array(texts), pa.array([documents[r.doc_id].n_chars for r in rows]), quality.train(learned))
+    assert [r.score for r in rows] == pytest.approx((1 / (1 + np.exp(-z))).tolist(), abs=2e-9)
+
+
+def test_language_query(spark):
+    documents = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    df = queries.op5_language_id(spark, SMALL)
+    assert df.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    rows = df.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(documents)
+    assert all(r.held_out == (crc(r.doc_id) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    learned = {d.lang for i, d in documents.items() if d.lang is not None and crc(i) % 4 != 2}
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in documents[r.doc_id].text or "")) and r.lang_pred in learned | {"und"} for r in rows)
+    # the n-grams of each language, counted one by one
+    model = language.learn(spark.read.parquet(f"{SMALL}/documents.parquet"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    some = [r for r in rows if 20 < len(documents[r.doc_id].text or "") < 400][:40]
+    for r in some:
+        hits, total = np.zeros(len(model.languages)), 0
+        grams = kernel.Grams(*kernel.spaced(*kernel.string_buffers(pa.array([documents[r.doc_id].text]))))
+        for n in language.SIZES:
+            for h in grams.of(n)[1]:
+                total += 1
+                at = [int(h) >> language.SLOT_BITS * k & (1 << language.SLOT_BITS) - 1 for k in range(language.HASHES)]
+                hits += [all(model.planes[k // 8][a] >> k % 8 & 1 for a in at) for k in range(len(model.languages))]
+        fair = np.maximum(0, (hits - total * model.wrong) / (1 - model.wrong))
+        assert r.lang_pred == model.languages[int(fair.argmax())] and r.score == pytest.approx(fair.max() / fair.sum(), abs=1e-8)
+
+
+def test_ties_go_to_the_first_language():
+    same = np.arange(1, 400, dtype=np.uint64) << np.uint64(20)
+    grams = kernel.Grams(*kernel.spaced(*kernel.string_buffers(pa.array(["stone river"])))).of(3)[1]
+    model = language.build({"b": np.concatenate([same, grams]), "a": np.concatenate([same, grams])})
+    kind, share = language.decide(pa.array(["stone river", "qqqq"]), model)
+    assert kind == ["a", "a"] and share[0] == pytest.approx(0.5, abs=0.01) and share[1] == 0
