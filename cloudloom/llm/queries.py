@@ -65,15 +65,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is stored as a PNG, WAV or BMP under a declared type that need not be right, sniffed, and read back."""
+    """Each text is stored as a PNG, WAV or BMP under a declared type that need not be right, or in a container; sniffed, carved, and read back."""
 
     def row(text: bytes) -> tuple:
-        stored_as = media.choose(text)
-        blob = media.pack(text, stored_as)
-        declared = sorted(media.STORES)[zlib.crc32(text) // 3 % 3]
-        kind, corrected, embedded = media.inspect(blob, declared)
-        payload = media.STORES[kind][1](blob)
-        feature = f"type={kind} declared={declared} corrected={int(corrected)} embedded={','.join(f'{t}:{o}:{n}' for o, n, t in embedded)} rows={len(payload) // media.WIDTH}"
+        blob, declared = media.store(text)
+        seen = media.inspect(blob, declared)
+        payload = media.payload_of(blob, seen)
+        feature = f"type={seen.kind} declared={declared} corrected={int(seen.corrected)} embedded={','.join(f'{t}:{o}:{n}' for o, n, t in seen.embedded)} rows={len(payload) // media.WIDTH}"
         return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature
 
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

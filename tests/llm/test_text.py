@@ -434,7 +434,29 @@ def test_media_round_trips_and_corrections():
         for kind, (_, read) in media.STORES.items():
             blob = media.pack(text, kind)
             assert media.sniff(blob)[0] == (0, len(blob), kind) and read(blob) == payload
-            assert media.inspect(blob, "gif")[:2] == (kind, True) and media.inspect(blob, kind)[:2] == (kind, False)
+            one, two = media.inspect(blob, "gif"), media.inspect(blob + b"tail", kind)
+            assert (one.kind, one.corrected, one.trailing) == (kind, True, 0) and (two.kind, two.corrected, two.trailing) == (kind, False, 4)
+
+
+def crc(data, bits, polynomial):
+    out = 0
+    for x in data:
+        for k in range(7, -1, -1):
+            top = out >> bits - 1 ^ x >> k & 1
+            out = (out << 1 ^ (polynomial if top else 0)) & (1 << bits) - 1
+    return out
+
+
+def make_flac(frames, samples=192):
+    """Verbatim blocks of one channel of 8 bits."""
+    info = (192).to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | 7 << 36 | frames * samples).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + bytes([0x80, 0, 0, 34]) + info
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x10, 0x02, k])
+        head += bytes([crc(head, 8, 0x07)])
+        body = head + b"\x02" + random.Random(k).randbytes(samples)
+        out += body + crc(body, 16, 0x8005).to_bytes(2, "big")
+    return out
 
 
 def test_carving():
@@ -442,11 +464,14 @@ def test_carving():
 
     inner = [media.pack(b"abc", k) for k in sorted(media.STORES)] + [gzip.compress(b"hello" * 50)]
     gif = b"GIF89a" + bytes([1, 0, 1, 0, 0x80, 0, 0, 0, 0, 0, 255, 255, 255]) + b"," + bytes([0, 0, 0, 0, 1, 0, 1, 0, 0, 2, 2, 0x44, 1, 0]) + b";"
-    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04ab\x12\xff\x00\x34\xff\xd9"
-    flac = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(34) + b"\xff\xf8rest"
-    blob = b"BM RIFF junk GIF89a \xff\xd8\xff " + b" ".join([*inner, gif, jpeg]) + b" tail " + flac
+    frame = b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x10\x01\x01\x11\x00"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab" + frame + b"\xff\xda\x00\x04ab\x12\xff\x00\x34\xff\xd9"
+    flac = make_flac(3)
+    blob = b"BM RIFF junk GIF89a \xff\xd8\xff " + b" ".join([*inner, gif, jpeg]) + b" tail " + flac + inner[1]
     got = [(k, blob[o : o + n]) for o, n, k in media.sniff(blob)]
-    assert got == [("bmp", inner[0]), ("png", inner[1]), ("wav", inner[2]), ("gzip", inner[3]), ("gif", gif), ("jpeg", jpeg), ("flac", flac)]
+    assert got == [("bmp", inner[0]), ("png", inner[1]), ("wav", inner[2]), ("gzip", inner[3]), ("gif", gif), ("jpeg", jpeg), ("flac", flac), ("png", inner[1])]
+    assert media.sniff(jpeg.replace(frame, b"")) == [] and media.sniff(b"\xff\xd8\xff\xda\x00\x02\xff\xd9") == []
+    assert media.sniff(flac[:-1]) == [] and media.sniff(flac[:42] + bytes(3) + flac[45:]) == [] and media.sniff(b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(34) + b"\xff\xf8rest") == []
     broken = bytearray(inner[1])
     broken[-20] ^= 1
     assert media.sniff(bytes(broken)) == [] and media.sniff(inner[0][:-1]) == [] and media.sniff(gif[:-1]) == []
@@ -454,18 +479,52 @@ def test_carving():
 
 def test_media_columns(spark):
     df = spark.createDataFrame([(1, media.pack(b"q", "png"), "wav"), (2, None, None), (3, b"text", "txt"), (3, b"text", "txt")], "doc_id long, blob binary, declared string")
-    got = {r.doc_id: (r.media_type, r.corrected) for r in media.sniff_media(df).collect()}
-    assert got == {1: ("png", True), 2: ("unknown", True), 3: ("txt", False)}
+    got = {r.doc_id: (r.media_type, r.corrected, r.trailing) for r in media.sniff_media(df).collect()}
+    assert got == {1: ("png", True, 0), 2: ("unknown", True, 0), 3: ("txt", False, 0)}
     assert media.sniff_media(df.limit(0)).count() == 0
 
 
+def slow_stored(text):
+    """The stored form and its type, written without the module's writers."""
+    import io
+    import struct
+    import wave
+
+    payload = text + bytes(-len(text) % 64 or (0 if text else 64))
+    code = zlib.crc32(text)
+    kind = ("bmp", "png", "wav")[code % 3]
+    if kind == "wav":
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setparams((1, 1, 8000, 0, "NONE", ""))
+            f.writeframes(payload)
+        blob = out.getvalue()
+    elif kind == "png":
+        rows = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+        parts = [(b"IHDR", struct.pack(">II5B", 64, len(rows), 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows), 1)), (b"IEND", b"")]
+        blob = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d)) for n, d in parts)
+    else:
+        palette = b"".join(bytes([k, k, k, 0]) for k in range(256))
+        blob = struct.pack("<2sIII", b"BM", 54 + 1024 + len(payload), 0, 54 + 1024) + struct.pack("<IiiHHIIIIII", 40, 64, -(len(payload) // 64), 1, 8, 0, len(payload), 2835, 2835, 256, 256)[:40] + palette + payload
+    return (b"--part\r\nContent-Type: application/octet-stream\r\n\r\n" + blob + b"\r\n--part--\r\n", kind, True) if code // 9 % 3 == 0 else (blob, kind, False)
+
+
 def test_op7(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for r in queries.op7_media_columns(spark, SF).collect():
+    rows = queries.op7_media_columns(spark, SF).collect()
+    carved = 0
+    for r in rows:
         t = texts[r.doc_id]
         payload = t + bytes(-len(t) % 64 or (0 if t else 64))
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(t), len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+        blob, kind, inside = slow_stored(t)
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        declared = "container" if inside else ("bmp", "png", "wav")[zlib.crc32(t) // 3 % 3]
+        embedded = f"{kind}:50:{len(blob) - 50 - 12}" if inside else ""
+        assert r.feature == f"type={declared if inside else kind} declared={declared} corrected={int(not inside and kind != declared)} embedded={embedded} rows={len(payload) // 64}"
+        carved += inside
+    assert len(rows) == len(texts) and 0.2 < carved / len(rows) < 0.47
 
 
 # --- 9: chat ------------------------------------------------------------------------------------
