@@ -4,9 +4,9 @@ The lattice of a text has an edge for each piece of the vocabulary at each place
 with the piece's score, and an edge for each unknown character, which becomes
 byte pieces.  No piece has a space after another character, nor a line end, so
 the lattice is a chain of independent ones, one for each chunk of a text.  Equal
-chunks of a batch are solved once: a forward Viterbi pass over all of them in
-numpy gives best scores, and a backward pass the loss of each chunk's second
-best.  The N best of a text change only the N - 1 chunks whose second best loses
+chunks are solved once, and kept for the batches to come: a forward Viterbi pass
+over all new ones in numpy gives best scores, and, where more than the best are
+asked for, a backward pass the loss of each chunk's second best.  The N best of a text change only the N - 1 chunks whose second best loses
 least; for these, A-star runs backward from the end of the chunk with the
 forward scores as exact heuristics, and what it finds is combined.
 
@@ -18,9 +18,9 @@ they are: the vocabulary's own normaliser has to be the identity.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +37,8 @@ _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Chunks of more characters are solved one by one.
 LONG = 40
 BATCH_CHARS = 2_000_000
+#: A task keeps about so many solved chunks.
+KEPT = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,9 +64,10 @@ class Vocabulary:
                 self.ids.setdefault(t, k)
         self.longest = max(map(len, self.ids))
         self.low = min(self.scores[k] for k in self.ids.values()) - UNKNOWN
-        keys = list(self.ids)
-        h = np.array([self.hash_of(t) for t in keys], np.uint64)
-        ids = np.array([self.ids[t] for t in keys], np.int32)
+        # Beginnings of pieces that are no pieces themselves have the number -2.
+        begun = dict.fromkeys((t[:k] for t in self.ids for k in range(1, len(t))), -2) | self.ids
+        h = np.array([self.hash_of(t) for t in begun], np.uint64)
+        ids = np.array(list(begun.values()), np.int32)
         self.tables = []
         for _ in range(64):
             if not len(h):
@@ -92,7 +95,7 @@ class Vocabulary:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of hashes, -1 where there is no such piece."""
+        """Ids of hashes, -2 where a piece only begins so, -1 where there is no such piece."""
         out = np.full(len(h), -1, np.int32)
         for k, (by, bits, key, value) in enumerate(self.tables):
             if k == 0:
@@ -100,14 +103,14 @@ class Vocabulary:
                 ok = key[slot] == h
                 out = np.where(ok, value[slot], np.int32(-1))
                 # Only where the slot is taken by another piece may a later table have it.
-                rest = np.flatnonzero(~ok & (value[slot] >= 0))
+                rest = np.flatnonzero(~ok & (value[slot] != -1))
                 continue
             if not len(rest):
                 break
             slot = _mixed(h[rest], by, bits)
             ok = key[slot] == h[rest]
             out[rest[ok]] = value[slot[ok]]
-            rest = rest[~ok & (value[slot] >= 0)]
+            rest = rest[~ok & (value[slot] != -1)]
         return out
 
 
@@ -186,8 +189,8 @@ def plain(chunk: str, ids: list[int], v: Vocabulary) -> list[int]:
 # --- many chunks ----------------------------------------------------------------
 
 
-def solve(chunks: list[str], v: Vocabulary) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(ids, score, loss of the second best or infinity) of each chunk."""
+def solve(chunks: list[str], v: Vocabulary, n_best: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(ids, score, loss of the second best or infinity) of each chunk; with n_best=1 the loss is left out."""
     ids: list = [None] * len(chunks)
     score, loss = np.zeros(len(chunks)), np.full(len(chunks), np.inf)
     size = np.array([len(c) for c in chunks], np.int64)
@@ -195,7 +198,7 @@ def solve(chunks: list[str], v: Vocabulary) -> tuple[list[np.ndarray], np.ndarra
         own = np.flatnonzero(size == n)
         if n > LONG:
             for k in own:
-                two = nbest_chunk(chunks[k], v, 2)
+                two = nbest_chunk(chunks[k], v, min(n_best, 2))
                 ids[k] = np.array(plain(chunks[k], two[0][1], v), np.int32)
                 score[k] = two[0][0]
                 loss[k] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
@@ -203,7 +206,7 @@ def solve(chunks: list[str], v: Vocabulary) -> tuple[list[np.ndarray], np.ndarra
         for lo in range(0, len(own), 4096):
             some = own[lo : lo + 4096]
             codes = np.frombuffer("".join([chunks[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-            _solve_equal(codes, some, chunks, v, ids, score, loss)
+            _solve_equal(codes, some, chunks, v, ids, score, loss if n_best > 1 else None)
     return ids, score, loss
 
 
@@ -212,14 +215,19 @@ def _solve_equal(codes, some, chunks, v, ids, score, loss) -> None:
     code = [codes[:, j].astype(np.uint64) + np.uint64(1) for j in range(n)]
     piece, gain = {}, {}
     for i in range(n):
-        h = np.zeros(m, np.uint64)
+        h, on = np.zeros(m, np.uint64), np.arange(m)  # rows in which some piece begins with what is read
         for j in range(i + 1, min(n, i + v.longest) + 1):
-            h = h * _BASE + code[j - 1]
+            h = h * _BASE + code[j - 1][on]
             k = v.find(h)
-            if j - i > 1 and not (k >= 0).any():
-                continue
-            piece[i, j] = k
-            gain[i, j] = v.score[k] if j - i == 1 else np.where(k >= 0, v.score[k], -np.inf)
+            if j - i == 1 or (k >= 0).any():
+                own = np.full(m, -1, np.int32)
+                own[on] = np.maximum(k, -1)
+                piece[i, j] = own
+                gain[i, j] = v.score[own] if j - i == 1 else np.where(own >= 0, v.score[own], -np.inf)
+            more = k != -1
+            h, on = h[more], on[more]
+            if not len(on):
+                break
     best, start = [np.zeros(m)], [None]
     for j in range(1, n + 1):
         top, at = np.full(m, -np.inf), np.zeros(m, np.int8)
@@ -231,7 +239,7 @@ def _solve_equal(codes, some, chunks, v, ids, score, loss) -> None:
         best.append(top)
         start.append(at)
     back = [None] * n + [np.zeros(m)]
-    for i in range(n - 1, -1, -1):
+    for i in range(n - 1, -1, -1) if loss is not None else ():
         top = np.full(m, -np.inf)
         for j in range(i + 1, min(n, i + v.longest) + 1):
             if (i, j) in gain:
@@ -244,11 +252,13 @@ def _solve_equal(codes, some, chunks, v, ids, score, loss) -> None:
         for i in range(max(0, j - v.longest), j):
             if (i, j) in gain:
                 on = here & (start[j] == i)
-                second = np.maximum(second, np.where(on, -np.inf, best[i] + gain[i, j] + back[j]))
+                if loss is not None:
+                    second = np.maximum(second, np.where(on, -np.inf, best[i] + gain[i, j] + back[j]))
                 taken[on, i] = piece[i, j][on]
         cur = np.where(here, start[j], cur)
     score[some] = best[n]
-    loss[some] = best[n] - second
+    if loss is not None:
+        loss[some] = best[n] - second
     used = taken != -2
     flat, edge = taken[used], np.concatenate(([0], np.cumsum(used.sum(1))))
     strange = (taken == -1).any(1)
@@ -261,48 +271,80 @@ def _solve_equal(codes, some, chunks, v, ids, score, loss) -> None:
 class Encoded:
     ids: np.ndarray
     score: float
-    others: list[tuple[float, np.ndarray]]  # second best and so on
+    others: list[tuple[float, list[tuple[int, int, list[int]]]]]  # second best and so on: score, and (place, pieces, new ids) where it differs from the best
+
+
+def changed(ids: np.ndarray | list[int], changes: Iterable[tuple[int, int, list[int]]]) -> list[int]:
+    """The ids of another segmentation: from each place so many pieces of the best one give way to others."""
+    out, last = [], 0
+    for at, n, new in changes:
+        out += [*ids[last:at], *new]
+        last = at + n
+    return [*map(int, out), *map(int, ids[last:])]
+
+
+class Encoder:
+    """Encodes batch after batch and keeps what chunks it has solved, up to about `kept`."""
+
+    def __init__(self, v: Vocabulary, n: int = 1, kept: int = KEPT):
+        self.v, self.n, self.kept = v, n, kept
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.several: dict[str, list] = {}
+        self.flat = np.zeros(0, np.int32)
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.score, self.loss = np.zeros(0), np.zeros(0)
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids, score, loss = solve(chunks, self.v, self.n)
+        size = np.array([len(x) for x in ids], np.int64)
+        self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
+        self.size = np.concatenate([self.size, size])
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
+
+    def encode(self, texts: list[str]) -> Iterator[Encoded]:
+        """The n best segmentations of each text; ties go to the chunk that comes first."""
+        if len(self.number) > self.kept:
+            self._forget()
+        v, n, number, known = self.v, self.n, self.number, len(self.number)
+        rows, words = [], []
+        for text in texts:
+            found = _CHUNK.findall(" " + text if v.prefix and text else text)
+            rows.append(np.array([number.setdefault(c, len(number)) for c in found], np.int64))
+            words.append(found if n > 1 else ())
+        if len(number) > known:
+            self._learn(list(itertools.islice(number, known, None)))
+        flat, start, size, score, loss = self.flat, self.start, self.size, self.score, self.loss
+        for row, chunks in zip(rows, words, strict=True):
+            own = size[row]
+            edge = np.concatenate(([0], np.cumsum(own)))
+            out = flat[np.repeat(start[row] - edge[:-1], own) + np.arange(edge[-1])]
+            total = float(score[row].sum())
+            others: list[tuple[float, list]] = []
+            if n > 1 and len(row):
+                lost = loss[row]
+                least = np.argpartition(lost, n - 2)[: n - 1] if len(row) > n else np.arange(len(row))
+                limit = lost[least].max()
+                at = np.flatnonzero(lost <= limit) if np.isfinite(limit) else np.flatnonzero(np.isfinite(lost))
+                at = np.sort(at[np.argsort(lost[at], kind="stable")[: n - 1]])
+                ways: list[tuple[float, tuple]] = [(0.0, ())]
+                for p in at:
+                    chunk = chunks[p]
+                    if chunk not in self.several:
+                        self.several[chunk] = nbest_chunk(chunk, v, n)
+                    top = self.several[chunk][0][0]
+                    ways = heapq.nsmallest(n, ((a + top - s, (*how, *(((int(p), r),) if r else ()))) for a, how in ways for r, (s, _) in enumerate(self.several[chunk])))
+                for less, how in ways[1:]:
+                    others.append((total - less, [(int(edge[p]), int(own[p]), plain(chunks[p], self.several[chunks[p]][r][1], v)) for p, r in how]))
+            yield Encoded(out, total, others)
 
 
 def encode_batch(texts: list[str], v: Vocabulary, n: int = 1) -> Iterator[Encoded]:
-    """The n best segmentations of each text; ties go to the chunk that comes first."""
-    number: dict[str, int] = {}
-    rows = []
-    for text in texts:
-        found = _CHUNK.findall(" " + text if v.prefix and text else text)
-        rows.append(np.array([number.setdefault(c, len(number)) for c in found], np.int64))
-    chunks = list(number)
-    ids, score, loss = solve(chunks, v)
-    size = np.array([len(x) for x in ids], np.int64)
-    start = np.concatenate(([0], np.cumsum(size)))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    several: dict[int, list] = {}
-    for row in rows:
-        own = size[row]
-        edge = np.concatenate(([0], np.cumsum(own)))
-        out = flat[np.repeat(start[row] - edge[:-1], own) + np.arange(edge[-1])]
-        total = float(score[row].sum())
-        others: list[tuple[float, np.ndarray]] = []
-        if n > 1 and len(row):
-            lost = loss[row]
-            least = np.argpartition(lost, n - 2)[: n - 1] if len(row) > n else np.arange(len(row))
-            limit = lost[least].max()
-            at = np.flatnonzero(lost <= limit) if np.isfinite(limit) else np.flatnonzero(np.isfinite(lost))
-            at = np.sort(at[np.argsort(lost[at], kind="stable")[: n - 1]])
-            ways: list[tuple[float, tuple]] = [(0.0, ())]
-            for p in at:
-                k = int(row[p])
-                if k not in several:
-                    several[k] = nbest_chunk(chunks[k], v, n)
-                top = several[k][0][0]
-                ways = heapq.nsmallest(n, ((a + top - s, (*how, *(((int(p), r),) if r else ()))) for a, how in ways for r, (s, _) in enumerate(several[k])))
-            for less, how in ways[1:]:
-                parts, last = [], 0
-                for p, r in how:
-                    parts += [out[edge[last] : edge[p]], np.array(plain(chunks[row[p]], several[int(row[p])][r][1], v), np.int32)]
-                    last = p + 1
-                others.append((total - less, np.concatenate([*parts, out[edge[last] :]])))
-        yield Encoded(out, total, others)
+    """The n best segmentations of each text."""
+    return Encoder(v, n).encode(texts)
 
 
 def decode(ids: np.ndarray | list[int], v: Vocabulary) -> bytes:
@@ -312,17 +354,24 @@ def decode(ids: np.ndarray | list[int], v: Vocabulary) -> bytes:
 
 
 def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | None = None, other_ids: bool = True) -> DataFrame:
-    """`keep` columns (doc_id by default) with ids, score, others (score, ids or their checksum) and decoded, of every row; columns of these names give way.
+    """`keep` columns (doc_id by default) with ids, score, others and decoded, of every row; columns of these names give way.
+
+    others has the score and ids of the second best segmentation and so on; with
+    other_ids=False not all ids but `changes`: at each place `at` of the best ids
+    `n` of them give way to `ids` (see `changed`).
 
     A null text is empty: no ids, score 0, no others.  Fewer than n - 1 others
-    come back where a text has fewer segmentations.
+    come back where a text has fewer segmentations.  Of segmentations that tie,
+    those that change earlier chunks come first; equal texts have equal ones.
+    Texts are read whole, however long; an empty table gives an empty one.
     """
     keep = apart(["doc_id"] if keep is None else keep, ["ids", "score", "others", "decoded"])
     name = fresh("__text", keep)
     given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(name))
-    kind = "ids: array<int>" if other_ids else "ids_crc32: long"
+    kind = "ids: array<int>" if other_ids else "changes: array<struct<at: int, n: int, ids: array<int>>>"
     schema = with_fields(given.drop(name).schema, f"ids array<int>, score double, others array<struct<score: double, {kind}>>, decoded binary")
-    other = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32())) if other_ids else ("ids_crc32", pa.int64())]))
+    change = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    other = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32())) if other_ids else ("changes", pa.list_(change))]))
 
     def parts(batch):
         lo = size = 0
@@ -337,12 +386,13 @@ def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | No
             yield batch.slice(lo, len(texts)), texts
 
     def run(batches):
+        encoder = Encoder(v, n)
         for batch in batches:
             for part, texts in parts(batch):
-                found = list(encode_batch(texts, v, n))
+                found = list(encoder.encode(texts))
                 edge = np.concatenate(([0], np.cumsum([len(f.ids) for f in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([f.ids for f in found]).astype(np.int32)))
-                more = [[{"score": s, "ids": i} if other_ids else {"score": s, "ids_crc32": zlib.crc32(i.tobytes())} for s, i in f.others] for f in found]
+                more = [[{"score": s, "ids": changed(f.ids, c)} if other_ids else {"score": s, "changes": [{"at": a, "n": k, "ids": i} for a, k, i in c]} for s, c in f.others] for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], ids, pa.array([f.score for f in found]), pa.array(more, other), pa.array([decode(f.ids, v) for f in found], pa.binary())], names=[f.name for f in schema]
                 )

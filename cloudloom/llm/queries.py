@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, vocabulary: str = pieces.VOCABULARY, n: int = 4) -> DataFrame:
-    """doc_id, ids of the best segmentation and its score, the n - 1 next ones' scores and checksums, and a digest of the decoded text."""
+    """doc_id, ids of the best segmentation and its score, the n - 1 next ones' scores and where they change the ids, and a digest of the decoded text."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pieces.encode(documents, pieces.load(vocabulary), n, other_ids=False)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", "others", F.sha2("decoded", 256).alias("decoded_sha256"))

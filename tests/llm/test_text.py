@@ -50,14 +50,14 @@ def test_nbest_is_exact(vocabulary):
         for n in (2, 3, 6):
             e = next(pieces.encode_batch([text], vocabulary, n))
             assert [e.score, *(s for s, _ in e.others)] == every_segmentation(" " + text, vocabulary)[:n]
-            assert len({tuple(i) for _, i in e.others} | {tuple(e.ids)}) == len(e.others) + 1
+            assert len({tuple(pieces.changed(e.ids, c)) for _, c in e.others} | {tuple(e.ids)}) == len(e.others) + 1
 
 
 def test_pieces_round_trip(spark, vocabulary):
     texts = ["", "a", " ", "  a  b \n\n c\t", "▁x▁", "日本語テキスト" * 40 + "🙂", "\x00\x7f", "x" * 20_000, "w " * 5000, "x" * 39 + "y"]
     for e, t in zip(pieces.encode_batch(texts, vocabulary, 5), texts, strict=True):
         assert pieces.decode(e.ids, vocabulary).decode() == t
-        assert all(pieces.decode(i, vocabulary).decode() == t for _, i in e.others)
+        assert all(pieces.decode(pieces.changed(e.ids, c), vocabulary).decode() == t for _, c in e.others)
         assert [s for s, _ in e.others] == sorted((s for s, _ in e.others), reverse=True)
     got = {r.doc_id: r for r in pieces.encode(frame(spark, [(1, None), (2, "a b"), (2, "a b"), (None, "")]), vocabulary, 3).collect()}
     assert got[1].ids == [] and got[1].score == 0 and got[1].others == [] and got[2].decoded == b"a b"
@@ -78,11 +78,47 @@ def test_pieces_agree_with_the_library(vocabulary):
         assert sum(vocabulary.scores[k] for k in sp.nbest_encode(text, nbest_size=2)[0]) == e.score
 
 
-def test_op1(spark):
+def test_chunks_are_kept_and_forgotten(vocabulary):
+    texts = [t for k in range(40) for t in (f"the station {k} of things " * 3, "of things and " + "ab" * k)]
+    for n in (1, 3):
+        encoder = pieces.Encoder(vocabulary, n, kept=30)
+        sizes, found = [], []
+        for k in range(0, len(texts), 5):
+            found += encoder.encode(texts[k : k + 5])
+            sizes.append(len(encoder.number))
+        assert any(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+        for e, t in zip(found, texts, strict=True):
+            one = next(pieces.encode_batch([t], vocabulary, 3))
+            assert (list(e.ids), e.score) == (list(one.ids), one.score) and e.others == (one.others if n == 3 else [])
+
+
+def test_op1(spark, vocabulary):
     got = {r.doc_id: r for r in queries.op1_sentencepiece(spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert got.keys() == texts.keys()
     assert all(got[k].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items())
+    v = vocabulary
+    for k in sorted(texts, key=lambda k: len(texts[k]))[:60]:
+        text, r = texts[k], got[k]
+        # The four best over the whole text's lattice, without chunks: each place keeps the four best ways to it.
+        ways = [[(0.0, ())]]
+        whole = " " + text if text else ""
+        for j in range(1, len(whole) + 1):
+            own = []
+            for i in range(max(0, j - v.longest), j):
+                p = v.ids.get(whole[i:j], -1)
+                if p >= 0 or j == i + 1:
+                    own += [(s + (v.scores[p] if p >= 0 else v.low), (w, (p, whole[i:j]))) for s, w in ways[i]]
+            ways.append(sorted(own, key=lambda x: -x[0])[:4])
+        scores = [s for s, _ in ways[-1]]
+        assert [r.score, *(o.score for o in r.others)] == pytest.approx(scores, abs=1e-6)
+        assert r.n_pieces == len(r.ids)
+        seen = {tuple(r.ids)}
+        for o in r.others:
+            ids = pieces.changed(r.ids, [tuple(c) for c in o.changes])
+            seen.add(tuple(ids))
+            assert pieces.decode(ids, v).decode() == text
+        assert len(seen) == len(scores)
 
 
 # --- 2: fingerprints -----------------------------------------------------------------
