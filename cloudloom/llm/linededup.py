@@ -6,7 +6,8 @@ stay and later ones are dropped.  The range is over hash, document and position
 together, so that a line which a third of all documents have is dealt over many
 partitions; what such neighbours have to know of each other is one row for each
 key at a partition's edge.  Documents come back as compressed bitmaps of the
-lines to keep; text only moves when they are applied.
+lines to keep, which go to the texts where they are small enough to be broadcast;
+else the texts that may lose a line go to their bitmaps.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .kernel import apart, fresh, with_fields
-from .shared import partitions, saved
+from .shared import is_small, partitions, saved, stored, told_apart
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Stands for a null id: smaller than any other.
@@ -148,7 +149,9 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """
     spark = documents.sparkSession
     order = [F.col("h1"), F.col("h2"), F.col("d").desc(), F.col("p"), F.col("t")]
-    dealt = line_rows(documents, min_chars).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # Stored, as the ranges are found in a pass of their own.
+    lines = stored(line_rows(documents, min_chars), "lines")
+    dealt = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
 
     def stream(batches):
         def packed(found):
@@ -213,17 +216,22 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     white space at either end, A-Z lower-cased; keys of `min_chars` characters
     that at least `min_docs` documents have lose all their lines but those of
     the largest doc_id (a null id is smallest).  Rows that repeat an id count as
-    one document.  With `row` a function of (text left, lines, dropped) and its
+    one document; an empty table gives an empty one.  With `row` a function of (text left, lines, dropped) and its
     schema, the columns `keep` and what it returns come back instead.  Columns
     named as an output give way to it.
     """
     ddl = f"text string, `{counts[0]}` long, `{counts[1]}` long" if row is None else schema
     keep = apart(documents.columns if keep is None else keep, counts if row is None else StructType.fromDDL(ddl).names)
     d, t, x, null, bits = (fresh(f"__{c}", keep) for c in ("d", "t", "x", "null", "bits"))
-    maps = keep_bitmaps(documents, min_chars, min_docs).select(F.col("d").alias(d), F.col("t").alias(t), F.col("keep").alias(bits))
+    maps = saved(keep_bitmaps(documents, min_chars, min_docs).select(F.col("d").alias(d), F.col("t").alias(t), F.col("keep").alias(bits)))
     names = [c for c in keep if c != "text" or row]
     given = _keyed(documents, [d, t, x], *names, F.col("text").isNull().alias(null))
-    plain = given.join(maps, [d, t], "left").select(*names, null, x, bits)
+    if is_small(maps, bits):
+        met = given.join(F.broadcast(maps), [d, t], "left")
+    else:  # texts that lose nothing stay where they are
+        maybe, same = told_apart(given, F.xxhash64(d, t), maps, F.xxhash64(d, t))
+        met = maybe.join(maps, [d, t], "left").unionByName(same, allowMissingColumns=True)
+    plain = met.select(*names, null, x, bits)
     out = with_fields(plain.select(*names).schema, ddl)
     types = [pa.string(), pa.int64(), pa.int64()] if row is None else None
 

@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .kernel import fresh
-from .shared import components, partitions, saved
+from .shared import components, partitions, saved, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -141,10 +140,32 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # --- links --------------------------------------------------------------------
 
 
+#: A bucket of more fingerprints is split by parts of the bits in which they differ.
+BIG = 2_048
+
+
 def forest(fp: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Links that connect what links of `bits` bits at most connect: no more than len(fp) - 1, found breadth first."""
-    links, rest = [], fp.view(np.uint64)
-    signed = np.int64
+    """Links that connect what links of `bits` bits at most connect.
+
+    Found breadth first; in a big bucket by parts: the bits in which its
+    fingerprints differ are dealt into bits + 1 groups, and two fingerprints
+    that link have the same bits in one of the groups at least.
+    """
+    rest = fp.view(np.uint64)
+    if len(rest) > BIG:
+        varies = int(np.bitwise_or.reduce(rest ^ rest[0]))
+        places = [k for k in range(64) if varies >> k & 1]
+        if len(places) > bits:
+            links = []
+            for k in range(bits + 1):
+                key = rest & np.uint64(sum(1 << p for p in places[k :: bits + 1]))
+                order = np.argsort(key, kind="stable")
+                edge = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]))
+                for lo, hi in zip(edge, edge[1:], strict=False):
+                    if hi - lo > 1:
+                        links += forest(fp[order[lo:hi]], bits)
+            return links
+    links, signed = [], np.int64
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
@@ -162,8 +183,8 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): verified links between distinct fingerprints, enough to connect each group, in any bucket.
 
     A bucket holds distinct fingerprints that share 33 bits of key, 8 bytes each,
-    and is worked off breadth first, so that a large group of copies gives a
-    tree and not all its pairs.
+    and is worked off breadth first, a big one in parts, so that a large group of
+    copies gives trees and not all its pairs.
     """
     if bits > BITS:
         raise ValueError(f"the keys find fingerprints that differ in {BITS} bits at most")
@@ -217,7 +238,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, bits: int = BI
     than a shingle is one shingle, and one without words (a null text too) has
     fingerprint 0 and links like any other.  Equal fingerprints always link, so
     repeated rows share a component.  A null doc_id counts only where a whole
-    component has no other: its component_id is then null.
+    component has no other: its component_id is then null.  Texts are read whole, in
+    parts of a megabyte; an empty table gives an empty one; other columns don't matter.
     """
     prints = saved(fingerprints(documents, shingle))
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -235,13 +257,12 @@ def hex_of(fp: Column) -> Column:
 def one_of_each(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of the documents whose doc_id is their component's smallest, all columns.
 
-    What is dropped moves as ids only.  Rows that repeat an id stay or go
+    What is dropped moves as ids only, and texts stay where they are but for those
+    of ids that are dropped (see shared.without).  Rows that repeat an id stay or go
     together.  Rows with a null id stay.
     """
     marked = near_duplicates(documents, shingle, bits)
-    name = fresh("__id", documents.columns)
-    dropped = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
+    return without(documents, marked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
 
 
 # --- near copies ----------------------------------------------------------------
@@ -319,6 +340,4 @@ def near_copies(documents: DataFrame) -> DataFrame:
 def one_of_near_copies(documents: DataFrame) -> DataFrame:
     """The rows of the documents but for those that links of near copies connect with a smaller doc_id, all columns."""
     roots = components(near_copies(documents))
-    name = fresh("__id", documents.columns)
-    dropped = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias(name))
-    return documents.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
+    return without(documents, roots.where(F.col("node") != F.col("root")).select("node"))

@@ -11,8 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cloudloom.llm import chat, decontaminate, linededup, media, pieces, queries, secrets, simhash
-from cloudloom.llm.shared import components
+from cloudloom.llm import chat, decontaminate, linededup, media, pieces, queries, secrets, shared, simhash
+from cloudloom.llm.shared import components, told_apart, without
 
 SF = "/root/testdata/sf0.001"
 
@@ -200,6 +200,30 @@ def test_forest_keeps_components():
     assert groups(len(fp), lambda i, j: frozenset((i, j)) in pairs) == slow and len(links) < len(fp)
 
 
+def test_big_buckets_are_split(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.uint64(0x0123456789ABCDEF)
+    few = [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(30, rng.integers(0, 9), replace=False))) for _ in range(500)]
+    fp = np.unique(np.array(few, np.uint64)).view(np.int64)
+    at = {int(x): i for i, x in enumerate(fp)}
+    whole = {frozenset((at[a], at[b])) for a, b in simhash.forest(fp)}
+    monkeypatch.setattr(simhash, "BIG", 8)
+    parts = {frozenset((at[a], at[b])) for a, b in simhash.forest(fp)}
+    assert all(int(fp[min(x)] ^ fp[max(x)]).bit_count() <= 3 for x in parts)
+    slow = groups(len(fp), lambda i, j: int(fp[i] ^ fp[j]).bit_count() <= 3)
+    assert groups(len(fp), lambda i, j: frozenset((i, j)) in whole) == slow == groups(len(fp), lambda i, j: frozenset((i, j)) in parts)
+    assert len(set(slow)) > 3
+
+
+def test_op2(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(texts)
+    prints = [slow_fingerprint(texts[i]) for i in ids]
+    root = groups(len(ids), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    got = sorted(map(tuple, queries.op2_simhash(spark, SF).select("doc_id", "fingerprint", "component_id").collect()))
+    assert got == [(ids[k], f"{prints[k]:016x}", ids[root[k]]) for k in range(len(ids))]
+
+
 def test_long_texts_in_chunks():
     text = "a bb ccc " * 60
     whole = simhash.fingerprint(text.encode())
@@ -217,6 +241,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_rows_without_ids(spark, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(shared, "SMALL_ROWS", -1)
+    monkeypatch.setattr(shared, "FILTER_BITS", 1 << 9)
+    rows = [(k % 300 if k % 50 else None, f"t{k}") for k in range(400)]
+    df = frame(spark, rows).withColumn("__id", F.lit(1)).withColumn("__word", F.lit(2))
+    dropped = spark.createDataFrame([(k,) for k in range(0, 300, 7)], "doc_id long")
+    got = without(df, dropped)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted((r for r in rows if r[0] is None or r[0] % 7), key=str)
+    assert without(df, dropped.limit(0)).count() == 400 and without(df.limit(0), dropped).count() == 0
+    maybe, no = told_apart(df, F.xxhash64("doc_id"), dropped, F.xxhash64("doc_id"))
+    assert {r.doc_id for r in maybe.collect()} >= {r[0] for r in rows if r[0] is not None and r[0] % 7 == 0} and maybe.count() + no.count() == 400 and no.count() > 100
+
+
 # --- 3: decontamination -----------------------------------------------------------------
 
 
@@ -443,8 +483,10 @@ def slow_lines(rows, min_chars=20, min_docs=3):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("partitions", [1, 2, 7])
-def test_line_dedup(spark, partitions):
+@pytest.mark.parametrize(("partitions", "small"), [(1, True), (2, False), (7, True), (7, False)])
+def test_line_dedup(spark, partitions, small, monkeypatch):
+    if not small:
+        monkeypatch.setattr(shared, "SMALL_ROWS", -1)
     r = random.Random(5)
     pool = [f"The quick brown fox jumps {i}" for i in range(12)] + ["é" * 20, "short", "", "  THE QUICK BROWN FOX JUMPS 3\t", "x" * 19, "é" * 19]
     rows = [(i if r.random() < 0.95 else None, None if r.random() < 0.05 else "\n".join(r.choices([*pool, f"a line of its own, number {i}"], k=r.randint(0, 6)))) for i in range(150)]
