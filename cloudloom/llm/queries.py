@@ -102,7 +102,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_decontamination, op4_secret_scan, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)}
+# --- parts that SQL can say ---------------------------------------------------------
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decoded texts of op1."""
+    return op1_sentencepiece(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def exact_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches of op3 without an edit."""
+    return op3_decontamination(spark, sf_dir).where("distance = 0").select("doc_id", "item_id", "start", "end")
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of op4's base spans."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 reads back."""
+    return op7_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 reads back."""
+    return op9_chat_formatting(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+OPERATORS = (op1_sentencepiece, op2_simhash, op3_decontamination, op4_secret_scan, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)
+PARTS = (piece_round_trip, exact_leaks, secret_base_counts, media_payloads, chat_digests)
+QUERIES = {f.__name__: f for f in (*OPERATORS, *PARTS)}
 
 _OP6 = r"""
 WITH lines AS (
@@ -118,5 +148,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
-#: Without SQL: op1 (lattices), op2 (XXH64), op3 (edit distance within a text), op4 (match positions), op7 and op9 (digests of rebuilt bytes), and the learned models.
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": _OP6}
+_ROUND_TRIP = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+_LEAKS = r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM benchmark WHERE text IS NOT NULL)
+SELECT doc_id, item_id, strpos(d.t, i.t)::BIGINT - 1 AS start, strpos(d.t, i.t)::BIGINT - 1 + length(i.t) AS "end" FROM d JOIN i ON contains(d.t, i.t) WHERE length(i.t) >= 20
+"""
+
+_SECRETS = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM t
+"""
+
+_PAYLOADS = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, n, text || repeat(chr(0), CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END) AS payload FROM t)
+SELECT doc_id, n AS n_bytes, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256 FROM p
+"""
+
+_DIGESTS = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), a AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256 FROM a
+"""
+
+#: Without SQL of their own: op1 (lattices), op2 (XXH64), op3 (edit distance within a text), op4 (match positions), op7 and op9 (digests of rebuilt bytes), and the learned models.
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": _OP6,
+    "piece_round_trip": _ROUND_TRIP,
+    "exact_leaks": _LEAKS,
+    "secret_base_counts": _SECRETS,
+    "media_payloads": _PAYLOADS,
+    "chat_digests": _DIGESTS,
+}
