@@ -36,9 +36,9 @@ UNKNOWN = 10.0
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Chunks of more characters are solved one by one.
 LONG = 40
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: A task keeps about so many solved chunks.
-KEPT = 250_000
+KEPT = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
