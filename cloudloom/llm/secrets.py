@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, sample
@@ -352,10 +352,16 @@ def learn(documents: DataFrame, bound: int = DOCUMENTS, examples: int = EXAMPLES
 
     found = saved(chosen.mapInArrow(run, "kind string, classes int, token string").distinct())
     count = {(r["kind"], r["classes"]): r["count"] for r in found.groupBy("kind", "classes").count().collect()}
-    first = Window.partitionBy("kind", "classes").orderBy(F.xxhash64("token"), "token")
     by_kind: dict[str, list[str]] = {}
-    for r in found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= examples).select("kind", "token").collect():
-        by_kind.setdefault(r.kind, []).append(r.token)
+    if count:
+        # About four times as many as wanted come to the driver; groups of so few come whole.
+        limit = F.create_map(*(F.lit(x) for (kind, c), n in sorted(count.items()) for x in (f"{kind}{c}", sample.share(4 * examples, n))))
+        some = found.where(sample.bucket(F.col("token")) < limit[F.concat("kind", F.col("classes").cast("string"))])
+        groups: dict[tuple[str, int], list[tuple[int, str]]] = {}
+        for r in some.select("kind", "classes", "token", sample.bucket(F.col("token")).alias("at")).collect():
+            groups.setdefault((r["kind"], r["classes"]), []).append((r["at"], r["token"]))
+        for (kind, _), tokens in groups.items():
+            by_kind.setdefault(kind, []).extend(t for _, t in sorted(tokens)[:examples])
     return train(by_kind, count)
 
 
