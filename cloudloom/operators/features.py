@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..cloud import cross, dot, finite, require
 from ..functions.linalg import normal_udf, oriented, solve_udf
 from .aggregates import PAIRS, centroid, centroid_and_cov
-from .neighbors import radius_search
+from .neighbors import cell_join, radius_search
+from .store import saved
 
 HIST_MAX = 100.0
 NORMAL = ("nx", "ny", "nz")
@@ -131,9 +132,14 @@ def _triple(prefix: str, names=("x", "y", "z")) -> tuple:
 
 
 def pfh_counts(df: DataFrame, radius: float, bins: int) -> DataFrame:
-    """idx, bin, v of the pair histogram over the unordered pairs of each neighbourhood (the smaller idx comes first)."""
+    """idx, bin, v of the pair histogram over the unordered pairs of each neighbourhood (the smaller idx comes first).
+
+    Pairs are made by a join on the neighbourhood, which Spark splits where one
+    is dense, and are counted where they are made: what is shuffled of them is
+    one row for each bin of a neighbourhood.
+    """
     require(df, *NORMAL)
-    near = radius_search(df, radius, extra=("x", "y", "z", *NORMAL)).drop("distance")
+    near = saved(radius_search(df, radius, extra=("x", "y", "z", *NORMAL)).drop("distance"))
     size = near.groupBy("qidx").agg(F.count("*").alias("n"))
     a = near.select("qidx", F.col("idx").alias("i"), *(F.col(c).alias(f"a{c}") for c in ("x", "y", "z", *NORMAL)))
     b = near.select("qidx", F.col("idx").alias("j"), *(F.col(c).alias(f"b{c}") for c in ("x", "y", "z", *NORMAL)))
@@ -149,31 +155,49 @@ def pfh(df: DataFrame, radius: float, bins: int = 5) -> DataFrame:
     return dense(pfh_counts(df, radius, bins), ["idx"], bins**3)
 
 
-def spfh_counts(df: DataFrame, radius: float, bins: tuple[int, int, int]) -> DataFrame:
-    """idx, bin, v of the simplified histogram: each point with its neighbours; three parts one after the other."""
+def _neighbor_pairs(df: DataFrame, radius: float) -> DataFrame:
+    """qidx, idx, distance, and both points' coordinates and normals (the query's with a q), saved: what follows reads it more than once."""
     require(df, *NORMAL)
-    near = radius_search(df, radius, extra=("x", "y", "z", *NORMAL))
-    size = near.groupBy("qidx").agg(F.count("*").alias("n"))
-    pairs = near.where(F.col("idx") != F.col("qidx")).join(_with_normals(df, "q", "qidx"), "qidx")
+    ok = finite(df)
+    queries = ok.select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "z", *NORMAL)))
+    found = cell_join(queries, ok.select("idx", "x", "y", "z", *NORMAL), radius).where(F.col("d2") <= float(radius) * float(radius))
+    return saved(found.withColumn("distance", F.sqrt("d2")).drop("d2"))
+
+
+def _spfh(near: DataFrame, bins: tuple[int, int, int]) -> DataFrame:
+    """qidx and simple, an array of sum(bins): each point with its neighbours, the three parts one after the other; only points with a neighbour elsewhere."""
     f = pair_features(_triple("q"), _triple("q", NORMAL), _triple(""), _triple("", NORMAL))
     theta, alpha, phi = pair_bins(f, bins)
-    each = pairs.where(f["distance"] > 0).select("qidx", F.explode(F.array(theta, alpha + bins[0], phi + bins[0] + bins[1])).alias("bin"))
-    return each.groupBy("qidx", "bin").agg(F.count("*").alias("c")).join(size, "qidx").select(F.col("qidx").alias("idx"), "bin", (F.col("c") * HIST_MAX / (F.col("n") - 1)).alias("v"))
+    apart = (F.col("idx") != F.col("qidx")) & (f["distance"] > 0)
+    binned = near.select("qidx", apart.alias("apart"), theta.alias("t"), alpha.alias("a"), phi.alias("p"))
+    counts = [F.count_if(F.col("apart") & (F.col(c) == k)) for c, n in zip("tap", bins, strict=True) for k in range(n)]
+    return binned.groupBy("qidx").agg(F.count("*").alias("n"), F.count_if("apart").alias("others"), F.array(*counts).alias("c")).where("others > 0").select("qidx", F.transform("c", lambda c: c * HIST_MAX / (F.col("n") - 1)).alias("simple"))
 
 
-def fpfh_counts(df: DataFrame, radius: float, bins: tuple[int, int, int]) -> DataFrame:
-    """idx, bin, v: neighbours' simplified histograms, weighted by 1 / distance; each of the three parts sums to 100."""
-    near = radius_search(df, radius).where("distance > 0")
-    simple = spfh_counts(df, radius, bins).withColumnRenamed("idx", "jdx")
-    total = near.join(simple, near.idx == simple.jdx).groupBy("qidx", "bin").agg(F.sum(F.col("v") / F.col("distance")).alias("s"))
-    part = F.when(F.col("bin") < bins[0], 0).when(F.col("bin") < bins[0] + bins[1], 1).otherwise(2)
-    w = Window.partitionBy("qidx", part)
-    return total.select(F.col("qidx").alias("idx"), "bin", (F.col("s") * HIST_MAX / F.sum("s").over(w)).alias("v"))
+def spfh_counts(df: DataFrame, radius: float, bins: tuple[int, int, int]) -> DataFrame:
+    """idx, bin, v of the simplified histogram, without empty bins."""
+    found = _spfh(_neighbor_pairs(df, radius), bins).select(F.col("qidx").alias("idx"), F.posexplode("simple").alias("bin", "v"))
+    return found.where("v > 0")
 
 
 def fpfh(df: DataFrame, radius: float, bins: tuple[int, int, int] = (11, 11, 11)) -> DataFrame:
-    """idx, hist of sum(bins)."""
-    return dense(fpfh_counts(df, radius, bins), ["idx"], sum(bins))
+    """idx, hist of sum(bins): neighbours' simplified histograms, weighted by 1 / distance; each of the three parts sums to 100.
+
+    A neighbour brings its whole histogram as one row; only what is added up is
+    one number for each bin.
+    """
+    near = _neighbor_pairs(df, radius)
+    simple = _spfh(near, bins).withColumnRenamed("qidx", "idx")
+    size = sum(bins)
+    total = near.where("distance > 0").select("qidx", "idx", "distance").join(simple, "idx").groupBy("qidx").agg(*(F.sum(F.col("simple")[k] / F.col("distance")).alias(f"s{k}") for k in range(size)))
+    edge = [0, bins[0], bins[0] + bins[1], size]
+    parts = [(k, sum((F.col(f"s{j}") for j in range(edge[p], edge[p + 1])), F.lit(0.0))) for p in range(3) for k in range(edge[p], edge[p + 1])]
+    return total.select(F.col("qidx").alias("idx"), F.array(*(F.when(whole > 0, F.col(f"s{k}") * HIST_MAX / whole).otherwise(0.0) for k, whole in parts)).alias("hist"))
+
+
+def fpfh_counts(df: DataFrame, radius: float, bins: tuple[int, int, int]) -> DataFrame:
+    """idx, bin, v of that, without empty bins."""
+    return fpfh(df, radius, bins).select("idx", F.posexplode("hist").alias("bin", "v")).where("v > 0")
 
 
 def vfh_counts(df: DataFrame, bins: tuple[int, int, int, int], viewpoint_bins: int, viewpoint: tuple[float, float, float], has_size: bool = True) -> DataFrame:

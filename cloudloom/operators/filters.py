@@ -24,12 +24,12 @@ def radius_outlier_removal(df: DataFrame, radius: float, least: int, negative: b
 
 
 def local_maximum_z(df: DataFrame, radius: float, negative: bool = False) -> DataFrame:
-    """Drops each point that is higher than all others within the radius in the xy plane; one without others stays."""
+    """Drops each point in whose radius in the xy plane no other point is as high; one without others is dropped too."""
     df_ = finite(df)
     q = df_.select(F.col("idx").alias("qidx"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"))
     near = cell_join(q, df_.select("idx", "x", "y", "z"), radius, "xy").where((F.col("d2") <= radius * radius) & (F.col("idx") != F.col("qidx")))
-    top = near.groupBy(F.col("qidx").alias("idx")).agg(F.max(F.col("z") - F.col("qz")).alias("over")).where("over < 0").select("idx")
-    return df.join(top, "idx", "left_semi" if negative else "left_anti")
+    below = near.where(F.col("z") >= F.col("qz")).select(F.col("qidx").alias("idx")).distinct()
+    return df_.join(below, "idx", "left_anti" if negative else "left_semi")
 
 
 def gauss(d: Column, sigma: float) -> Column:
@@ -131,10 +131,10 @@ def gauss_kernel(df: DataFrame, sigma: float, reach: float, squared: bool = Fals
 
 
 def gauss_kernel_rgba(df: DataFrame, sigma: float, reach: float, squared: bool = False) -> DataFrame:
-    """The same with the weighted mean of each colour channel, cut to integers: x, y, z, rgba."""
+    """The same with the weighted mean of each colour channel, cut to integers (a billionth keeps equal values what they are): x, y, z, rgba."""
     from .points import pack_rgba, unpack_rgba
 
     require(df, "rgba")
     split = df.withColumns({f"__{c}": part.cast("double") for c, part in unpack_rgba(F.col("rgba")).items()})
     out = gauss_kernel(split, sigma, reach, squared, ("x", "y", "z", *(f"__{c}" for c in "bgra")))
-    return out.select("idx", "x", "y", "z", pack_rgba(*(F.floor(f"__{c}") for c in "bgra")).alias("rgba"))
+    return out.select("idx", "x", "y", "z", pack_rgba(*(F.floor(F.col(f"__{c}") + 1e-9) for c in "bgra")).alias("rgba"))

@@ -52,6 +52,28 @@ def octree_depth(extent: float, resolution: float) -> int:
     return max(0, math.ceil(math.log2(extent / resolution))) if extent > 0 else 0
 
 
+def octree_side(resolution: float, depth: int, level: int) -> float:
+    """The side of a voxel `level` below the root (0: the whole cube) of a tree of some depth."""
+    return resolution * 2.0 ** (depth - level)
+
+
+def octree_diagonal(resolution: float, depth: int, level: int) -> float:
+    return octree_side(resolution, depth, level) * math.sqrt(3.0)
+
+
+def octree_centres(leaves: DataFrame, bound: DataFrame, resolution: float, depth: int) -> DataFrame:
+    """level, kx, ky, kz, x, y, z, side, diagonal of each voxel from the root (level 0) down to the leaves; bound has min_x, min_y and min_z.
+
+    A voxel's key is its leaves' key without the lower bits; its centre is half
+    a side from its lower corner.
+    """
+    up = leaves.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    voxels = up.withColumns({k: F.expr(f"shiftright({k}, {depth} - level)") for k in KEYS}).distinct()
+    side = F.lit(float(resolution)) * F.pow(F.lit(2.0), F.lit(depth) - F.col("level"))
+    centre = {c: F.col(f"min_{c}") + (F.col(f"k{c}") + 0.5) * side for c in "xyz"}
+    return voxels.crossJoin(F.broadcast(bound)).select("level", *KEYS, *(v.alias(c) for c, v in centre.items()), side.alias("side"), (side * math.sqrt(3.0)).alias("diagonal"))  # one row
+
+
 def octree_leaves(df: DataFrame, resolution: float) -> DataFrame:
     """kx, ky, kz and n (points) of each leaf; centre is min + (k + 0.5) * resolution."""
     return keyed(df, (resolution,) * 3).groupBy(*KEYS).agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column
@@ -278,4 +280,26 @@ def fit_cone(p: np.ndarray) -> list[Cone]:
 
 #: Points that a minimal sample has.
 MIN_SAMPLES = {"plane": 3, "perpendicular plane": 1, "parallel plane": 2, "line": 2, "stick": 2, "parallel line": 1, "circle": 3, "sphere": 4, "cylinder": 4, "cone": 4}
-FITS = {"plane": fit_plane, "line": fit_line, "stick": fit_stick, "circle": fit_circle, "sphere": fit_sphere, "cylinder": fit_cylinder, "cone": fit_cone}
+FITS = {
+    "plane": fit_plane,
+    "perpendicular plane": fit_plane,
+    "parallel plane": fit_plane,
+    "line": fit_line,
+    "stick": fit_stick,
+    "parallel line": fit_line,
+    "circle": fit_circle,
+    "sphere": fit_sphere,
+    "cylinder": fit_cylinder,
+    "cone": fit_cone,
+}
+#: What is given of a constrained model: a plane's normal, a direction that a plane contains, a line's direction.
+CONSTRAINTS = {"perpendicular plane": "normal", "parallel plane": "direction", "parallel line": "direction"}
+
+
+def estimator(kind: str, constraint: Vector | None = None) -> Callable[[np.ndarray], list]:
+    """The fit of a kind of model, with the vector that a constrained one takes."""
+    if kind not in CONSTRAINTS:
+        return FITS[kind]
+    if constraint is None or not np.linalg.norm(constraint) > 1e-12:
+        raise ValueError(f"a {kind} takes a {CONSTRAINTS[kind]}")
+    return partial(FITS[kind], **{CONSTRAINTS[kind]: np.asarray(constraint, float)})

@@ -8,13 +8,16 @@ the 27 copies of narrow rows (id, coordinates), not the attributes.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cloud import finite
-from .aggregates import finite_bound
+from ..cloud import dot, finite, require
+from .aggregates import finite_bound, projection_matrix
 from .store import saved
 
 QUERY = ("qidx", "qx", "qy", "qz")
@@ -53,44 +56,101 @@ def radius_search(df: DataFrame, radius: float, queries: DataFrame | None = None
     return near.select("qidx", "idx", F.sqrt("d2").alias("distance"), *extra)
 
 
-def knn_search(df: DataFrame, k: int, queries: DataFrame | None = None, start: float | None = None) -> DataFrame:
-    """qidx, rank (1 to k), idx, distance: the k nearest points of each query, itself included, the smallest idx of equals.
+#: Places on the space-filling curve: so many bits for each axis, in two numbers.
+CURVE_BITS = 21
+
+
+def _spread(v: Column) -> Column:
+    """The 21 bits of a number, each with two zeros before it."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def curve(low: dict[str, float], side: float, shift: float) -> list[Column]:
+    """Two numbers that sort points along a Z-order curve over a cube of twice the side, moved by a share of it."""
+    cells = {a: F.floor((F.col(a) - low[a] + shift * side) / (2 * side) * 2.0 ** (2 * CURVE_BITS)) for a in "xyz"}
+    parts = [{a: F.shiftright(c, CURVE_BITS) for a, c in cells.items()}, {a: c.bitwiseAND(F.lit((1 << CURVE_BITS) - 1)) for a, c in cells.items()}]
+    return [_spread(p["x"]).bitwiseOR(F.shiftleft(_spread(p["y"]), 1)).bitwiseOR(F.shiftleft(_spread(p["z"]), 2)) for p in parts]
 
-    Searches within a radius; queries with fewer than k points in it go on with
-    twice the radius, until it spans the cloud, so there are at most about
-    log2(extent / start) rounds.  The default start expects about 2 k points in
-    a ball if points were spread evenly over their box.
+
+def reach_bounds(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The queries with r2: a squared distance within which each has k points (all of them, where there are fewer).
+
+    Points and queries are dealt by ranges of a space-filling curve; the k-th
+    nearest of the 4 k points around a query's place on the curve gives the
+    bound, the better one of two curves.  It only has to be near enough: what
+    is within it is searched exactly.
     """
-    points = saved(finite(df).select("idx", "x", "y", "z"))
-    todo = saved(as_queries(df) if queries is None else queries.select(*QUERY))
-    b = finite_bound(points).crossJoin(points.agg(F.count("*").alias("n"))).first()
+    b = finite_bound(points.union(queries.toDF("idx", "x", "y", "z"))).first()
     if b is None:
-        return radius_search(df, 1.0, queries).selectExpr("qidx", "1 rank", "idx", "distance").limit(0)
+        return queries.withColumn("r2", F.lit(0.0))
+    low = {a: b[f"min_{a}"] for a in "xyz"}
     sides = [b[f"max_{a}"] - b[f"min_{a}"] for a in "xyz"]
-    extent = math.dist([0, 0, 0], sides)
-    far = todo.agg(*(F.max(F.greatest(F.abs(F.col(f"q{a}") - b[f"min_{a}"]), F.abs(F.col(f"q{a}") - b[f"max_{a}"]))).alias(a) for a in "xyz")).first()
-    reach = math.dist([0, 0, 0], [v or 0.0 for v in far]) + extent
-    if start is None:
-        real = [s for s in sides if s > 0]
-        start = (2 * k / b["n"] * math.prod(real)) ** (1 / len(real)) / 2 if real else 1.0
-    radius, out = max(start, reach * 2.0**-40, 1e-300), None
-    order = Window.partitionBy("qidx").orderBy("d2", "idx")
-    while True:
-        last = radius > reach
-        found = cell_join(todo, points, radius).where(F.col("d2") <= radius * radius)
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if last:
-            part = ranked
-        else:
-            part = saved(ranked.withColumn("__n", F.count("*").over(Window.partitionBy("qidx"))).where(F.col("__n") >= k))
-        part = part.select("qidx", "rank", "idx", F.sqrt("d2").alias("distance"))
+    side = max(*sides, 1e-300)
+    everything = sum(s * s for s in sides) * (1 + 1e-9)
+    both = points.select(F.lit(None).cast("bigint").alias("qidx"), "x", "y", "z").union(queries.toDF("qidx", "x", "y", "z"))
+
+    def bound(batches):
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if table is None:
+            return
+        is_query = pc.is_valid(table.column(0)).to_numpy()
+        at = np.column_stack([table.column(a).to_numpy() for a in "xyz"])
+        own, asked = at[~is_query], at[is_query]
+        place = np.cumsum(~is_query)[is_query]
+        ids = table.column(0).filter(pa.array(is_query)).combine_chunks()
+        wide = min(2 * k, len(own))
+        for lo in range(0, len(asked), 4096):
+            q = asked[lo : lo + 4096]
+            r2 = np.full(len(q), everything)
+            if len(own) >= k:
+                first = np.clip(place[lo : lo + 4096] - wide, 0, max(0, len(own) - 2 * wide))
+                near = own[np.minimum(first[:, None] + np.arange(2 * wide), len(own) - 1)]
+                d2 = ((near - q[:, None]) ** 2).sum(2)
+                d2[first[:, None] + np.arange(2 * wide) >= len(own)] = np.inf
+                r2 = np.partition(d2, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(q)), *(pa.array(np.ascontiguousarray(q[:, c])) for c in range(3)), pa.array(np.minimum(r2, everything))], names=["qidx", "qx", "qy", "qz", "r2"])
+
+    out = None
+    for shift in (0.0, 1 / 3):
+        hi, lo = curve(low, side, shift)
+        dealt = both.withColumns({"h": hi, "l": lo}).repartitionByRange("h", "l").sortWithinPartitions("h", "l").select("qidx", "x", "y", "z")
+        part = dealt.mapInArrow(bound, "qidx bigint, qx double, qy double, qz double, r2 double")
         out = part if out is None else out.union(part)
-        if last:
-            return out
-        todo = saved(todo.join(part.select("qidx").distinct(), "qidx", "left_anti"))
-        if todo.isEmpty():
-            return out
-        radius *= 2
+    return out.groupBy(*QUERY).agg(F.min("r2").alias("r2"))
+
+
+def within_reach(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """All pairs of a query (with r2, of any size) and a point within it, with d2: cells are as wide as the next power of 2, for each size that occurs."""
+    r = F.sqrt("r2") * (1 + 1e-9)
+    level = F.when(F.col("r2") > 0, F.ceil(F.log2(r))).otherwise(-1000).cast("int")
+    asked = saved(queries.withColumn("__l", F.greatest(level, F.lit(-1000))))
+    # A few dozen sizes at most: the exponents of a double's range of radii that occur.
+    levels = sorted(row[0] for row in asked.select("__l").distinct().collect())
+    if not levels:
+        return points.crossJoin(asked.limit(0)).drop("__l").withColumn("d2", F.lit(0.0))
+    wide = F.pow(F.lit(2.0), F.col("__l"))
+    cells = {f"__c{a}": F.explode(F.sequence(F.floor((F.col(f"q{a}") - r) / wide), F.floor((F.col(f"q{a}") + r) / wide))) for a in "xyz"}
+    near = asked
+    for name, each in cells.items():
+        near = near.withColumn(name, each)
+    keyed = points.withColumn("__l", F.explode(F.array(*map(F.lit, levels)))).withColumns({f"__c{a}": F.floor(F.col(a) / wide) for a in "xyz"})
+    d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
+    return near.join(keyed, ["__l", *cells]).drop("__l", *cells).withColumn("d2", d2).where(F.col("d2") <= F.col("r2"))
+
+
+def knn_search(df: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """qidx, rank (1 to k), idx, distance: the k nearest points of each query, itself included, the smallest idx of equals.
+
+    Each query searches within a radius of its own, which is known to hold k
+    points (see reach_bounds), so a point far away widens nobody else's search.
+    """
+    points = saved(finite(df).select("idx", "x", "y", "z"))
+    asked = saved(as_queries(df) if queries is None else queries.select(*QUERY))
+    found = within_reach(points, reach_bounds(points, asked, k))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qidx").orderBy("d2", "idx"))).where(F.col("rank") <= k)
+    return ranked.select("qidx", "rank", "idx", F.sqrt("d2").alias("distance"))
 
 
 def grid_window(df: DataFrame, half: int) -> DataFrame:
@@ -102,13 +162,110 @@ def grid_window(df: DataFrame, half: int) -> DataFrame:
 
 
 def organized_radius(df: DataFrame, radius: float, half: int) -> DataFrame:
-    """qidx, idx, distance within a radius among the pixels of a window around each pixel."""
+    """qidx, idx, distance within a radius among the pixels of a window around each pixel; neighbours outside the window don't count (see organized_search)."""
     q = as_queries(df)
     near = grid_window(finite(df), half).select("qidx", "idx", "x", "y", "z").join(q, "qidx")
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
     return near.withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("qidx", "idx", F.sqrt("d2").alias("distance"))
 
 
+# --- organized clouds: the pixels that a sphere can fall on -------------------------
+
+
+@dataclass(frozen=True)
+class Projection:
+    """A 3 x 4 camera matrix, how far any point's pixel is from where the matrix puts it, and the image's last row and column."""
+
+    matrix: tuple[tuple[float, ...], ...]
+    slack: float
+    last_row: int
+    last_col: int
+
+    def project(self, p: tuple = ("x", "y", "z")) -> dict[str, Column]:
+        """col and row (not rounded) of points; null where they have none."""
+        u, v, w = (self._row(k, p) for k in range(3))
+        w = F.when(w != 0, w)
+        return {"col": u / w, "row": v / w}
+
+    def _row(self, k: int, p: tuple) -> Column:
+        m = self.matrix[k]
+        return dot(tuple(m[:3]), p) + float(m[3])
+
+    def box(self, radius: float, p: tuple = ("qx", "qy", "qz")) -> dict[str, Column]:
+        """first_row, last_row, first_col, last_col: the pixels that the sphere around a point can fall on; the whole image where it reaches the camera's own plane.
+
+        A plane through the camera centre touches the sphere where
+        r^2 |k|^2 = (p . m)^2; for planes of a constant row or column that is
+        a quadratic equation in it.
+        """
+        m = np.asarray(self.matrix)
+        k = m[:, :3] @ m[:, :3].T * radius * radius
+        u, v, w = (self._row(i, p) for i in range(3))
+        a = F.lit(float(k[2, 2])) - w * w
+        out = {}
+        for name, at, i, last in (("row", v, 1, self.last_row), ("col", u, 0, self.last_col)):
+            b = F.lit(float(k[i, 2])) - at * w
+            root = F.sqrt(F.greatest(F.lit(0.0), b * b - a * (F.lit(float(k[i, i])) - at * at)))
+            ends = (b - root) / a, (b + root) / a
+            lo = F.greatest(F.lit(0), F.floor(F.least(*ends) - self.slack - 1e-6))
+            hi = F.least(F.lit(last), F.ceil(F.greatest(*ends) + self.slack + 1e-6))
+            out[f"first_{name}"] = F.when(a < 0, lo).otherwise(0).cast("long")
+            out[f"last_{name}"] = F.when(a < 0, hi).otherwise(last).cast("long")
+        return out
+
+
+def organized_fit(df: DataFrame, epsilon: float) -> Projection | None:
+    """The projection that an organized cloud's pixels follow, if their mean squared residual is no more than epsilon."""
+    require(df, "row", "col")
+    if finite(df).limit(6).count() < 6:
+        return None
+    matrix, residual = projection_matrix(df)
+    if residual > epsilon:
+        return None
+    p = Projection(tuple(map(tuple, matrix.tolist())), 0.0, 0, 0)
+    at = p.project()
+    far = finite(df).agg(F.max(F.greatest(F.abs(at["row"] - F.col("row")), F.abs(at["col"] - F.col("col")))).alias("slack"), F.max("row").alias("r"), F.max("col").alias("c"), F.count_if(at["row"].isNull()).alias("none")).first()
+    return None if far.none else Projection(p.matrix, float(far.slack), int(far.r), int(far.c))
+
+
+#: Pixels a side of the tiles that boxes are looked up in; larger boxes than so many tiles a side are no help.
+TILE, TILES = 16, 4
+
+
+def organized_search(df: DataFrame, radius: float, epsilon: float, queries: DataFrame | None = None) -> DataFrame:
+    """qidx, idx, distance of all points within the radius of each query, itself included.
+
+    Where the cloud follows a projection (see organized_fit), a query looks into
+    the tiles of the image that its sphere can fall on; queries whose box is
+    larger than TILES tiles a side, and clouds without a projection, take the
+    search by cells.  The result is the same.
+    """
+    fit = organized_fit(df, epsilon)
+    asked = as_queries(df) if queries is None else queries.select(*QUERY)
+    if fit is None:
+        return radius_search(df, radius, asked)
+    boxed = asked.withColumns(fit.box(radius))
+    tiles = {f"__{c}": (F.expr(f"first_{c} div {TILE}"), F.expr(f"last_{c} div {TILE}")) for c in ("row", "col")}
+    small = F.lit(True)
+    for lo, hi in tiles.values():
+        small = small & (hi - lo < TILES)
+    near = boxed.where(small & (F.col("first_row") <= F.col("last_row")) & (F.col("first_col") <= F.col("last_col")))
+    for name, (lo, hi) in tiles.items():
+        near = near.withColumn(name, F.explode(F.sequence(lo, hi)))
+    points = finite(df).select("idx", "x", "y", "z", "row", "col").withColumns({f"__{c}": F.expr(f"{c} div {TILE}") for c in ("row", "col")})
+    d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
+    found = near.join(points, list(tiles)).where(F.col("row").between(F.col("first_row"), F.col("last_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
+    found = found.withColumn("d2", d2).where(F.col("d2") <= float(radius) * float(radius)).select("qidx", "idx", F.sqrt("d2").alias("distance"))
+    return found.union(radius_search(df, radius, boxed.where(~small).select(*QUERY)))
+
+
+def insert(df: DataFrame, more: DataFrame) -> DataFrame:
+    """The points and more points, numbered on after the largest idx in order of their own; searches take the result as any cloud."""
+    last = F.broadcast(df.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("__last")))  # one row
+    numbered = more.crossJoin(last).withColumn("idx", F.col("idx") + F.col("__last") + 1).drop("__last")
+    return df.unionByName(numbered.select(*more.columns), allowMissingColumns=True)
+
+
 def voxel_search(df: DataFrame, query: tuple[float, float, float], resolution: float) -> DataFrame:
     """The points in the voxel (of a grid that starts at the smallest coordinates) that the query is in."""
     b = F.broadcast(finite_bound(df))  # one row

@@ -90,3 +90,25 @@ def voxel_search(spark, sf_dir):
     from ..operators.neighbors import voxel_search as search
 
     return search(embedding_points(spark, sf_dir), (0.05, 0.05, 0.05), 0.2).select(F.col("idx"))
+
+
+@query(
+    f"""{EMB}, {_B}, v AS (SELECT DISTINCT {_key(0.1)} FROM p, b), u AS (SELECT DISTINCT l::INTEGER AS level, kx >> (4 - l) AS kx, ky >> (4 - l) AS ky, kz >> (4 - l) AS kz FROM v, (SELECT unnest([0, 1, 2, 3, 4]) AS l))
+SELECT level, kx, ky, kz, {', '.join(r6(f'min_{c} + (k{c} + 0.5) * 0.1 * pow(2.0, 4 - level)', c) for c in 'xyz')}, {r6('0.1 * pow(2.0, 4 - level)', 'side')}, {r6('0.1 * pow(2.0, 4 - level) * sqrt(3.0)', 'diagonal')} FROM u, b"""
+)
+def octree_geometry(spark, sf_dir):
+    p = embedding_points(spark, sf_dir)
+    v = G.octree_centres(G.octree_leaves(p, 0.1), G.finite_bound(p), 0.1, 4)
+    return v.select("level", *G.KEYS, *map(rounded, ("x", "y", "z", "side", "diagonal")))
+
+
+@query(
+    f"""{EMB}, {_B}, k AS (SELECT {_key(0.1)}, min(idx) AS v, max(idx) AS w FROM p, b GROUP BY ALL)
+SELECT kx, ky, kz, CASE WHEN (kx + ky) % 2 = 0 THEN w ELSE v END AS value FROM k WHERE (kx + kz) % 3 <> 0"""
+)
+def octree_map(spark, sf_dir):
+    """Smallest ids, of which largest ids replace some and others are removed."""
+    key = G.keyed(embedding_points(spark, sf_dir), (0.1, 0.1, 0.1)).groupBy(*G.KEYS).agg(F.min("idx").alias("v"), F.max("idx").alias("w"))
+    tree = G.Octree(key.select(*G.KEYS, F.col("v").alias("value")), 4)
+    tree = tree.insert(key.where("(kx + ky) % 2 = 0").select(*G.KEYS, F.col("w").alias("value")))
+    return tree.remove(key.where("(kx + kz) % 3 = 0")).df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..cloud import embedding_points, event_grid
@@ -11,7 +12,7 @@ from ..operators import models as M
 from ..operators import range_image as R
 from ..operators import sac as S
 from ..operators.points import box_select
-from .registry import EMB, EVT, query, r6, rounded
+from .registry import EMB, EVT, ORACLE_SQL, query, r6, rounded
 
 PLANE = M.Plane((0.02, -0.01, 0.03), (0.0, 3.0, 4.0))
 LINE = M.Line((0.05, 0.0, -0.02), (1.0, 2.0, 2.0))
@@ -78,6 +79,74 @@ def inlier_projection(spark, sf_dir):
     return S.inlier_projection(p, some, PLANE).select("idx", *map(rounded, ("x", "y", "z", "intensity")))
 
 
+def _projected(spark, sf_dir, model, distance=None):
+    """How far the projection moves each point, and how far from the model it leaves it."""
+    p = embedding_points(spark, sf_dir).withColumns({f"__{c}": v for c, v in zip("xyz", model.project(M.xyz()), strict=True)})
+    to = tuple(F.col(f"__{c}") for c in "xyz")
+    return p.select("idx", rounded(M.length(M.minus(M.xyz(), to)), "moved"), rounded(model.distance(to), "off"))
+
+
+def _moved(name: str) -> str:
+    return ORACLE_SQL[name].replace("AS distance", "AS moved, 0.0::DOUBLE AS off")
+
+
+@query(_moved("plane_distance"))
+def plane_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, PLANE)
+
+
+@query(_moved("line_distance"))
+def line_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, LINE)
+
+
+@query(_moved("stick_distance"))
+def stick_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, STICK)
+
+
+@query(_moved("circle_distance"))
+def circle_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, CIRCLE)
+
+
+@query(_moved("sphere_distance"))
+def sphere_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, SPHERE)
+
+
+@query(_moved("cylinder_distance"))
+def cylinder_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, CYLINDER)
+
+
+@query(_moved("cone_distance"))
+def cone_projection(spark, sf_dir):
+    return _projected(spark, sf_dir, CONE)
+
+
+_FITTED = {k: n for k, n in M.MIN_SAMPLES.items()}
+
+
+@query(
+    "SELECT kind, idx::BIGINT AS idx, 0.0::DOUBLE AS distance FROM (VALUES "
+    + ", ".join(f"('{k}', {n})" for k, n in _FITTED.items())
+    + ") t(kind, n), range(4) r(idx), (SELECT count(*) AS points FROM embeddings WHERE vec_id < 4) WHERE idx < n AND points = 4"
+)
+def fitted_models(spark, sf_dir):
+    """How far the first points are from the nearest model that is fitted to them: not at all."""
+    p = embedding_points(spark, sf_dir).where("idx < 4")
+    at = np.array([tuple(r) for r in p.orderBy("idx").select("x", "y", "z").collect()])
+    out = None
+    for kind, n in _FITTED.items():
+        models = M.estimator(kind, (1.0, 2.0, -1.0) if kind in M.CONSTRAINTS else None)(at)
+        distances = [m.circumference_distance(M.xyz()) if kind == "circle" else m.distance(M.xyz()) for m in models]
+        far = F.least(*distances) if len(distances) > 1 else distances[0]
+        part = p.where(F.col("idx") < n).select(F.lit(kind).alias("kind"), "idx", rounded(far, "distance"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query()
 def sac_plane(spark, sf_dir):
     return S.consensus(embedding_points(spark, sf_dir), "plane", 0.05)[1]
@@ -88,6 +157,21 @@ def sac_line(spark, sf_dir):
     return S.consensus(embedding_points(spark, sf_dir), "line", 0.1)[1]
 
 
+@query()
+def sac_perpendicular_plane(spark, sf_dir):
+    return S.consensus(embedding_points(spark, sf_dir), "perpendicular plane", 0.05, constraint=(0.0, 0.0, 1.0))[1]
+
+
+@query()
+def sac_parallel_plane(spark, sf_dir):
+    return S.consensus(embedding_points(spark, sf_dir), "parallel plane", 0.05, constraint=(1.0, 0.0, 0.0))[1]
+
+
+@query()
+def sac_parallel_line(spark, sf_dir):
+    return S.consensus(embedding_points(spark, sf_dir), "parallel line", 0.1, constraint=(0.0, 1.0, 0.0))[1]
+
+
 @query()
 def sac_sphere(spark, sf_dir):
     return S.consensus(embedding_points(spark, sf_dir), "sphere", 0.05)[1]
@@ -144,12 +228,12 @@ def event_image(spark, sf_dir):
 
 
 @query(
-    f"""{EVT}, i AS (SELECT *, 10 + z / 100 AS range FROM p WHERE "row" < 20), s AS (SELECT "row", col, range, lead(range) OVER (PARTITION BY "row" ORDER BY col) AS next FROM i)
+    f"""{EVT}, i AS (SELECT *, 10 + z / 100 AS range FROM p), s AS (SELECT "row", col, range, lead(range) OVER (PARTITION BY "row" ORDER BY col) AS next FROM i)
 SELECT "row", col, next > range AS farther FROM s WHERE next IS NOT NULL AND next <> range"""
 )
 def pair_impact_side(spark, sf_dir):
-    """Whether the next pixel is farther: the sign of the angle between the two, in the 20 rows that the SQL takes."""
-    a = R.pair_impact_angles(event_image(spark, sf_dir).where("row < 20"))
+    """Whether the next pixel is farther: the sign of the angle between the two."""
+    a = R.pair_impact_angles(event_image(spark, sf_dir))
     return a.where("impact_angle != 0").select("row", "col", (F.col("impact_angle") > 0).alias("farther"))
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from ..cloud import embedding_points, event_grid
 from ..operators import features as E
 from ..operators import filters as L
 from ..operators import neighbors as N
-from .registry import EMB, EVT, query, r6, rounded
+from .points import RGBA
+from .registry import EMB, EVT, ORACLE_SQL, query, r6, r6s, rounded
 
 _D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
@@ -35,6 +34,33 @@ def organized_radius(spark, sf_dir):
     return N.organized_radius(event_grid(spark, sf_dir), 20.0, 2).select("qidx", "idx", rounded("distance"))
 
 
+@query(f"""{EVT}, g AS (SELECT idx, "row", col, x, y FROM p) SELECT a.idx AS qidx, b.idx AS idx, {r6('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'distance')} FROM g a JOIN g b ON abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1""")
+def radius_search_strict(spark, sf_dir):
+    """Pixels nearer than 2, but not those at 2."""
+    flat = event_grid(spark, sf_dir).withColumn("z", F.lit(0.0))
+    return N.radius_search(flat, 2.0, strict=True).select("qidx", "idx", rounded("distance"))
+
+
+@query(f"""{EVT} SELECT a.idx AS qidx, b.idx AS idx, {r6(f'sqrt({_D2})', 'distance')} FROM p a JOIN p b ON abs(a."row" - b."row") <= 6 AND abs(a.col - b.col) <= 6 WHERE {_D2} <= 36""")
+def organized_search(spark, sf_dir):
+    return N.organized_search(event_grid(spark, sf_dir), 6.0, 0.01).select("qidx", "idx", rounded("distance"))
+
+
+@query(f"""{EVT} SELECT idx, {r6('x', 'col')}, {r6('y', '"row"')} FROM p""")
+def organized_projection(spark, sf_dir):
+    """Where the fitted projection puts each pixel's point: on the pixel."""
+    p = event_grid(spark, sf_dir)
+    at = N.organized_fit(p, 0.01).project()
+    return p.select("idx", *((F.round(at[c], 2) + F.lit(0.0)).alias(c) for c in ("col", "row")))
+
+
+@query(f"{EMB}, m AS (SELECT max(idx) + 1 AS n FROM p), u AS (SELECT idx, x, y, z FROM p UNION ALL SELECT idx + n, x + 1, y, z FROM p, m) SELECT a.idx AS qidx, b.idx AS idx, {r6('sqrt(' + _D2 + ')', 'distance')} FROM u a, u b WHERE {_D2} <= 0.08 * 0.08")
+def insert_points(spark, sf_dir):
+    """A radius search after the same points, moved by 1, were inserted."""
+    p = embedding_points(spark, sf_dir).select("idx", "x", "y", "z")
+    return N.radius_search(N.insert(p, p.withColumn("x", F.col("x") + 1)), 0.08).select("qidx", "idx", rounded("distance"))
+
+
 @query(
     f"""{EMB}, r AS (SELECT a.idx AS q, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY a.idx ORDER BY {_D2}, b.idx) AS k FROM p a, p b),
 m AS (SELECT q, avg(d) AS d FROM r WHERE k <= 8 GROUP BY q) SELECT q AS idx FROM m WHERE d <= (SELECT avg(d) + 1.0 * stddev_pop(d) FROM m)"""
@@ -49,8 +75,7 @@ def radius_outlier_removal(spark, sf_dir):
 
 
 @query(
-    f"""{EMB}, n AS (SELECT a.idx AS q, max(b.z - a.z) AS over FROM p a JOIN p b ON a.idx <> b.idx AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05 * 0.05 GROUP BY a.idx)
-SELECT idx FROM p WHERE idx NOT IN (SELECT q FROM n WHERE over < 0)"""
+    f"""{EMB} SELECT a.idx FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE a.idx <> b.idx AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05 * 0.05 AND b.z >= a.z)"""
 )
 def local_maximum_z(spark, sf_dir):
     return L.local_maximum_z(embedding_points(spark, sf_dir), 0.05).select("idx")
@@ -106,6 +131,14 @@ def convolve_repeated(spark, sf_dir):
     return L.convolve(event_grid(spark, sf_dir), KERNEL, border="repeated", values=("z",)).select("idx", rounded("z"))
 
 
+@query(
+    f"""{EVT}, {_lagged('"row"', 'col')}, d AS (SELECT idx, "row", col, coalesce(v, 0.0) AS z FROM c),
+e AS (SELECT idx, ({' + '.join(f'{k!r} * lag(z, {1 - d}) OVER w' for d, k in enumerate([3.0, 2.0, 1.0]))}) / 6.0 AS v FROM d WINDOW w AS (PARTITION BY col ORDER BY "row")) SELECT idx, {r6('coalesce(v, 0.0)', 'z')} FROM e"""
+)
+def convolve_both(spark, sf_dir):
+    return L.convolve_both(event_grid(spark, sf_dir), KERNEL, [1.0, 2.0, 3.0], values=("z",)).select("idx", rounded("z"))
+
+
 @query(f"{EMB}, {near(0.1, 'b.x, b.y, b.z')}, w AS (SELECT *, exp(-d / (2.0 * 0.05 * 0.05)) AS w FROM n) SELECT q AS idx, {', '.join(r6(f'sum(w * {c}) / sum(w)', c) for c in 'xyz')} FROM w GROUP BY q")
 def gauss_kernel(spark, sf_dir):
     return L.gauss_kernel(embedding_points(spark, sf_dir), 0.05, 2.0).select("idx", *map(rounded, "xyz"))
@@ -121,7 +154,14 @@ def gauss_kernel_squared(spark, sf_dir):
     return L.gauss_kernel(embedding_points(spark, sf_dir), 0.05, 2.0, True).select("idx", *map(rounded, "xyz"))
 
 
-@query()
+_PARTS = {"b": 0, "g": 8, "r": 16, "a": 24}
+
+
+@query(
+    f"""{EMB}, {near(0.1, 'b.x, b.y, b.z')}, w AS (SELECT n.*, exp(-d / (2.0 * 0.05 * 0.05)) AS w, {{rgba}} AS rgba FROM n),
+m AS (SELECT q, {', '.join(f'sum(w * {c}) / sum(w) AS {c}' for c in 'xyz')}, {', '.join(f'floor(sum(w * ((rgba >> {k}) & 255)) / sum(w) + 1e-9)::BIGINT AS {c}' for c, k in _PARTS.items())} FROM w GROUP BY q)
+SELECT q AS idx, {r6s('x', 'y', 'z')}, {' + '.join(f'({c} << {k})' for c, k in _PARTS.items())} AS rgba FROM m""".replace("{rgba}", RGBA.replace("idx", "i"))
+)
 def gauss_kernel_rgba(spark, sf_dir):
     from .points import _coloured
 
@@ -170,6 +210,28 @@ def moment_invariants(spark, sf_dir):
     return E.moment_invariants(embedding_points(spark, sf_dir), 0.15).select("idx", *map(rounded, ("j1", "j2", "j3")))
 
 
+def _det(a: str, b: str, c: str) -> str:
+    """Of the matrix with these three columns, each of three names."""
+    p, q, r = (v.split() for v in (a, b, c))
+    return f"({p[0]} * ({q[1]} * {r[2]} - {q[2]} * {r[1]}) - {q[0]} * ({p[1]} * {r[2]} - {p[2]} * {r[1]}) + {r[0]} * ({p[1]} * {q[2]} - {p[2]} * {q[1]}))"
+
+
+_CX, _CY, _CZ, _CI = "xx xy xz", "xy yy yz", "xz yz zz", "ix iy iz"
+
+
+@query(
+    f"""{EMB}, {near(0.15, 'b.x, b.y, b.z, b.intensity AS v')}, s AS (SELECT q, count(*) AS k, {', '.join(f'covar_pop({c[0]}, {c[1]}) * count(*) AS {c}' for c in _COV)}, {', '.join(f'covar_pop({c}, v) * count(*) AS i{c}' for c in 'xyz')} FROM n GROUP BY q),
+g AS (SELECT *, {_det(_CX, _CY, _CZ)} AS det FROM s), h AS (SELECT q, k, {_det(_CI, _CY, _CZ)} / det AS a, {_det(_CX, _CI, _CZ)} / det AS b, {_det(_CX, _CY, _CI)} / det AS c FROM g WHERE k >= 5),
+t AS (SELECT h.*, nx, ny, nz, a * nx + b * ny + c * nz AS along FROM h JOIN p ON p.idx = h.q)
+SELECT q AS idx, round(a - nx * along, 4) + 0 AS gx, round(b - ny * along, 4) + 0 AS gy, round(c - nz * along, 4) + 0 AS gz FROM t"""
+)
+def intensity_gradient_solved(spark, sf_dir):
+    """The gradients of the neighbourhoods of five points or more, where the three equations have one solution."""
+    p = embedding_points(spark, sf_dir)
+    many = N.radius_search(p, 0.15).groupBy(F.col("qidx").alias("idx")).agg(F.count("*").alias("n")).where("n >= 5").select("idx")
+    return E.intensity_gradient(p, 0.15).join(many, "idx").select("idx", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("gx", "gy", "gz")))
+
+
 @query()
 def intensity_gradient(spark, sf_dir):
     return E.intensity_gradient(embedding_points(spark, sf_dir), 0.15).select("idx", *map(rounded, ("gx", "gy", "gz")))
@@ -203,7 +265,7 @@ def pfh(spark, sf_dir):
     return E.pfh_counts(embedding_points(spark, sf_dir), 0.1, 3).select("idx", "bin", rounded("v"))
 
 
-@query()
+@query(ORACLE_SQL["pfh"].replace("SELECT q AS idx, bin,", "SELECT idx, list_transform(range(27), lambda k: coalesce(list_extract(map_extract(m, k::INTEGER), 1), 0.0)) AS hist FROM (SELECT idx, map_from_entries(list((bin, v))) AS m FROM (SELECT q AS idx, bin,") + ") GROUP BY idx)")
 def pfh_dense(spark, sf_dir):
     return E.pfh(embedding_points(spark, sf_dir), 0.1, 3).select("idx", F.transform("hist", lambda h: rounded(h)).alias("hist"))
 
@@ -249,7 +311,10 @@ def crh_bins(spark, sf_dir):
     return E.crh_bins(embedding_points(spark, sf_dir), _CENTRE).select("bin", rounded("v"))
 
 
-@query()
+@query(
+    ORACLE_SQL["crh_bins"].replace("SELECT bin, round(w / sum(w) OVER (), 6) + 0 AS v FROM s", "t AS (SELECT bin, w / sum(w) OVER () AS v FROM s), k AS (SELECT unnest(range(45)) AS k)").replace("FROM b GROUP BY bin) t AS", "FROM b GROUP BY bin), t AS")
+    + """, c AS (SELECT k, round(sum(v * cos(2 * pi() * k * bin / 90)), 6) + 0 AS re, round(-sum(v * sin(2 * pi() * k * bin / 90)), 6) + 0 AS im FROM k, t GROUP BY k) SELECT flatten(list([re, im] ORDER BY k)) AS hist FROM c"""
+)
 def crh_fft(spark, sf_dir):
     return E.crh(embedding_points(spark, sf_dir), _CENTRE).select(F.transform("hist", lambda h: rounded(h)).alias("hist"))
 

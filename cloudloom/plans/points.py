@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..cloud import embedding_points, event_grid, with_grid
+from ..cloud import Cloud, embedding_points, event_grid, with_grid
 from ..operators import aggregates as A
 from ..operators import points as P
 from .registry import EMB, EVT, query, r6, r6s, rounded
@@ -96,7 +96,7 @@ def centroid_coords(spark, sf_dir):
     return A.centroid(embedding_points(spark, sf_dir)).select(*map(rounded, "xyz"), "n")
 
 
-_RGBA = "((idx * 37) % 256) + ((idx * 91) % 256) * 256 + ((idx * 53) % 256) * 65536 + 255 * 16777216::BIGINT"
+RGBA = "((idx * 37) % 256) + ((idx * 91) % 256) * 256 + ((idx * 53) % 256) * 65536 + 255 * 16777216::BIGINT"
 
 
 def _coloured(spark, sf_dir):
@@ -175,7 +175,7 @@ def random_sample(spark, sf_dir):
     return P.random_sample(embedding_points(spark, sf_dir), 100, 42)[0].select("idx", "x", "y", "z")
 
 
-@query(f"SELECT idx, v & 255 AS b, (v >> 8) & 255 AS g, (v >> 16) & 255 AS r, (v >> 24) & 255 AS a FROM (SELECT vec_id AS idx, {_RGBA.replace('idx', 'vec_id')} AS v FROM embeddings)")
+@query(f"SELECT idx, v & 255 AS b, (v >> 8) & 255 AS g, (v >> 16) & 255 AS r, (v >> 24) & 255 AS a FROM (SELECT vec_id AS idx, {RGBA.replace('idx', 'vec_id')} AS v FROM embeddings)")
 def rgba_unpack(spark, sf_dir):
     return _coloured(spark, sf_dir).select("idx", *(c.alias(k) for k, c in P.unpack_rgba(F.col("rgba")).items()))
 
@@ -185,3 +185,21 @@ def projection_matrix(spark, sf_dir):
     """One row for each entry of the camera matrix of the event grid, whose pixels follow from x, y alone."""
     matrix, residual = A.projection_matrix(event_grid(spark, sf_dir))
     return spark.createDataFrame([(r, c, float(matrix[r, c]), residual) for r in range(3) for c in range(4)], "row int, col int, value double, residual double")
+
+
+@query(f"{EMB} SELECT idx, {r6('2 * x + 1', 'x')}, {r6('x * y', 'y')} FROM p")
+def map_points(spark, sf_dir):
+    return P.map_points(embedding_points(spark, sf_dir), x=2 * F.col("x") + 1, y=F.col("x") * F.col("y")).select("idx", *map(rounded, "xy"))
+
+
+@query(f"{EMB} SELECT idx, {r6s('x', 'y', 'z')} FROM p WHERE label % 3 = 0")
+def select_ids(spark, sf_dir):
+    """Ids that are given twice select a row once."""
+    p = embedding_points(spark, sf_dir)
+    ids = p.where("label % 3 = 0").select("idx")
+    return P.select_ids(p, ids.union(ids)).select("idx", *map(rounded, "xyz"))
+
+
+@query(f"""{EVT} SELECT idx, z FROM p WHERE col = 7 AND "row" = 3""")
+def grid_at(spark, sf_dir):
+    return Cloud(event_grid(spark, sf_dir), 100).at(7, 3).select("idx", "z")

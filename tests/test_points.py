@@ -74,7 +74,7 @@ def test_voxels_with_an_empty_corner(spark):
 def test_ties_go_to_the_smallest_idx(spark):
     df = cloud(spark, [(0, 0, 1), (0, 0, 1), (1, 0, 1), (-1, 0, 1)])
     assert [r.idx for r in G.grid_minimum_z(df, (10, 10)).collect()] == [0]
-    near = N.knn_search(df, 3, start=0.1).where("qidx = 0").orderBy("rank").collect()
+    near = N.knn_search(df, 3).where("qidx = 0").orderBy("rank").collect()
     assert [r.idx for r in near] == [0, 1, 2]
     assert A.max_distance(df, (0, 0, 1)).first().idx == 2
 
