@@ -36,3 +36,18 @@ def pcd_roundtrip_binary(spark, sf_dir):
 @query(_SQL)
 def pcd_roundtrip_ascii(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "ascii")
+
+
+@query(
+    f"""{EMB}, k AS (SELECT *, label % 2 = 0 AS even FROM p)
+SELECT idx, {', '.join(f'{c}::FLOAT AS {c}' for c in ('x', 'y', 'z'))}, [1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1.0]::DOUBLE[] AS viewpoint FROM k WHERE even"""
+)
+def pcd_overwrite(spark, sf_dir):
+    """All points written, then half of them in their place, with a viewpoint; idx goes along as a label."""
+    pcd.register(spark)
+    path = f"{shared_folder(spark)}/pcd-{uuid.uuid4().hex}"
+    p = embedding_points(spark, sf_dir).select("idx", "x", "y", "z", F.col("idx").alias("label"), (F.col("label") % 2 == 0).alias("even"))
+    pcd.write_pcd(p.drop("even"), path)
+    pcd.write_pcd(p.where("even").drop("even"), path, "ascii", mode="overwrite", viewpoint=(1, 2, 3, 0, 0, 0, 1))
+    back = pcd.read_pcd(spark, path, ["x", "y", "z", "label"], viewpoint=True)
+    return back.select(F.col("label").alias("idx"), *(F.col(c).cast("float").alias(c) for c in ("x", "y", "z")), "viewpoint")

@@ -9,15 +9,15 @@ Python data source (register with `register(spark)`).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import lzf
 
@@ -112,11 +112,10 @@ def decode(blob: bytes) -> tuple[Header, dict[str, np.ndarray]]:
         per = sum(f.count for f in head.fields)
         if len(words) < n * per:
             raise PcdError("points are missing")
-        table = np.array(words[: n * per], dtype=object).reshape(n, per)
+        table = np.array(words[: n * per], "S").reshape(n, per)
         out, k = {}, 0
         for f in head.fields:
-            part = table[:, k : k + f.count]
-            out[f.name] = np.array([[float(v) if f.kind == "F" else int(float(v)) if b"." in v or b"e" in v else int(v) for v in r] for r in part], np.dtype(f.dtype) if f.dtype != "V16" else object).reshape(n, f.count)
+            out[f.name] = _numbers(table[:, k : k + f.count], f)
             k += f.count
         return head, out
     if head.data == "binary":
@@ -137,16 +136,26 @@ def decode(blob: bytes) -> tuple[Header, dict[str, np.ndarray]]:
     return head, out
 
 
+def _numbers(words: np.ndarray, f: Field) -> np.ndarray:
+    """The values of a field's words; integers may be written as floats."""
+    if f.dtype == "V16":
+        return np.array([[int(w) for w in row] for row in words.tolist()], object).reshape(words.shape)
+    if not words.size:
+        return np.zeros(words.shape, f.dtype)
+    try:
+        return words.astype("f8").astype(f.dtype) if f.kind == "F" else words.astype("u8" if f.kind == "U" else "i8").astype(f.dtype)
+    except ValueError:
+        return words.astype("f8").astype("i8").astype(f.dtype)
+
+
 def encode(head: Header, columns: dict[str, np.ndarray]) -> bytes:
     """The file's bytes.  Compressed data that don't shrink are stored as they are, with equal sizes."""
     n = head.points
     parts = [np.asarray(columns[f.name]).astype(f.dtype).reshape(n, f.count) for f in head.fields]
     out = head.text().encode()
     if head.data == "ascii":
-        def word(f, v):
-            return repr(float(v)) if f.kind == "F" and f.size == 8 else str(v) if f.kind == "F" else str(int(v))
-
-        return out + "".join(" ".join(word(f, v) for f, p in zip(head.fields, parts, strict=True) for v in p[r]) + "\n" for r in range(n)).encode()
+        texts = [p[:, k].astype(str).tolist() for p in parts for k in range(p.shape[1])]
+        return out + "".join(" ".join(row) + "\n" for row in zip(*texts, strict=True)).encode()
     if head.data == "binary":
         rows = np.zeros(n, head.record())
         for k, p in enumerate(parts):
@@ -208,29 +217,48 @@ def pack(columns: dict[str, np.ndarray], width: int | None = None, data: str = "
 COLUMN_TYPES = {"rgba": "long", "label": "long"}
 
 
-def read_pcd(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """file, idx (position in the file), row, col and the point columns of all files under a path."""
+def read_pcd(spark: SparkSession, path: str, columns: list[str] | None = None, viewpoint: bool = False) -> DataFrame:
+    """file, idx (position in the file), row, col and the point columns of all files under a path; with `viewpoint` also the file's (position, then quaternion x y z w)."""
     names = columns or ["x", "y", "z"]
-    ddl = "file string, idx long, row long, col long, " + ", ".join(f"{c} {COLUMN_TYPES.get(c, 'double')}" for c in names)
+    ddl = "file string, idx long, row long, col long, " + ", ".join(f"{c} {COLUMN_TYPES.get(c, 'double')}" for c in names) + (", viewpoint array<double>" if viewpoint else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, blob in zip(pdf["path"], pdf["content"], strict=True):
-                head, data = decode(bytes(blob))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                head, data = decode(blob.as_py())
                 got = point_columns(head, data, names)
-                idx = np.arange(head.points)
-                for lo in range(0, max(1, head.points), 65_536):
-                    part = slice(lo, lo + 65_536)
-                    yield pd.DataFrame({"file": name, "idx": idx[part], "row": idx[part] // max(1, head.width), "col": idx[part] % max(1, head.width), **{c: v[part].astype("i8" if c in COLUMN_TYPES else "f8") for c, v in got.items()}})
+                for lo in range(0, head.points, 65_536):
+                    idx = np.arange(lo, min(head.points, lo + 65_536))
+                    columns = {"file": pa.array([name] * len(idx), pa.string()), "idx": pa.array(idx), "row": pa.array(idx // head.width), "col": pa.array(idx % head.width)}
+                    columns |= {c: pa.array(v[lo : lo + 65_536].astype("i8" if c in COLUMN_TYPES else "f8")) for c, v in got.items()}
+                    if viewpoint:
+                        columns["viewpoint"] = pa.array([head.viewpoint] * len(idx), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ddl)
 
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, width, height, points, fields, data and viewpoint (position, then quaternion x y z w) of all files under a path."""
 
-def write_pcd(df: DataFrame, path: str, data: str = "binary", width: int | None = None, single: bool = True) -> None:
-    """The columns of df, ordered by idx, as one file, or as one file for each partition (ranges of idx)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [parse_header(blob.as_py())[0] for blob in batch.column(1)]
+            rows = [(h.width, h.height, h.points, [f.name for f in h.fields], h.data, h.viewpoint) for h in heads]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["file", "width", "height", "points", "fields", "data", "viewpoint"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, width long, height long, points long, fields array<string>, data string, viewpoint array<double>")
+
+
+def write_pcd(df: DataFrame, path: str, data: str = "binary", width: int | None = None, single: bool = False, mode: str = "append", viewpoint: tuple[float, ...] | None = None) -> None:
+    """The columns of df, ordered by idx, as one file for each partition (ranges of idx), or as a single one for a cloud that one task can hold."""
     names = [c for c in df.columns if c not in ("idx", "row", "col", "file")]
     dealt = df.coalesce(1) if single else df.repartitionByRange("idx")
-    dealt.sortWithinPartitions("idx").select(*names).write.format("pcd").option("data", data).option("width", str(width or 0)).mode("append").save(path)
+    out = dealt.sortWithinPartitions("idx").select(*names).write.format("pcd").option("data", data).option("width", str(width or 0)).mode(mode)
+    if viewpoint:
+        out = out.option("viewpoint", " ".join(map(repr, map(float, viewpoint))))
+    out.save(path)
 
 
 class PcdSource(DataSource):
@@ -247,8 +275,11 @@ class PcdSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self.options["path"], [f.name for f in schema if f.name != "idx"])
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], schema.fieldNames(), self.options.get("data", "binary"), int(self.options.get("width", 0) or 0))
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        view = tuple(float(v) for v in self.options.get("viewpoint", "").split())
+        if view and len(view) != 7:
+            raise PcdError("a viewpoint has seven numbers")
+        return _Writer(self.options["path"], schema.fieldNames(), self.options.get("data", "binary"), int(self.options.get("width", 0) or 0), view or None, overwrite)
 
 
 def _folder(path: str):
@@ -279,22 +310,52 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays(arrays, names=["idx", *self.names])
 
 
-class _Writer(DataSourceWriter):
-    def __init__(self, path: str, names: list[str], data: str, width: int):
-        self.path, self.names, self.data, self.width = path, names, data, width
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+class _Writer(DataSourceArrowWriter):
+    """Tasks write into a folder of the job's own inside the target, which readers pass over; committed files are moved out of it, and what else is there goes with it."""
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import uuid
+    def __init__(self, path: str, names: list[str], data: str, width: int, viewpoint: tuple[float, ...] | None, overwrite: bool):
+        self.path, self.names, self.data, self.width, self.viewpoint, self.overwrite = path, names, data, width, viewpoint, overwrite
+        self.job = f"_writing-{uuid.uuid4().hex}"
 
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        table = list(rows)  # one file's points
-        columns = {c: np.array([r[k] for r in table], "i8" if c in COLUMN_TYPES else "f8") for k, c in enumerate(self.names)}
+        batches = list(iterator)  # one file's points, as columns
+        table = pa.Table.from_batches(batches).select(self.names) if batches else None
+        columns = {c: (np.zeros(0) if table is None else table.column(c).to_numpy()).astype("i8" if c in COLUMN_TYPES else "f8") for c in self.names}
+        system, folder = _folder(self.path)
+        system.create_dir(f"{folder}/{self.job}", recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pcd"
+        with system.open_output_stream(f"{folder}/{self.job}/{name}") as out:
+            out.write(pack(columns, self.width or None, self.data, self.viewpoint))
+        return _Written(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
         system, folder = _folder(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pcd") as out:
-            out.write(pack(columns, self.width or None, self.data))
-        return WriterCommitMessage()
+        old = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.is_file and f.path.endswith(".pcd")] if self.overwrite else []
+        for m in messages:
+            if m is not None:
+                system.move(f"{folder}/{self.job}/{m.name}", f"{folder}/{m.name}")
+        for path in old:
+            system.delete_file(path)
+        self._clear(system, folder)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clear(*_folder(self.path))
+
+    def _clear(self, system, folder: str) -> None:
+        from pyarrow import fs
+
+        if system.get_file_info(f"{folder}/{self.job}").type != fs.FileType.NotFound:
+            system.delete_dir(f"{folder}/{self.job}")
 
 
 def register(spark: SparkSession) -> None:
