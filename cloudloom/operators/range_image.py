@@ -39,15 +39,18 @@ class View:
     def position(self) -> tuple[float, float, float]:
         return tuple(float(row[3]) for row in self.pose[:3])
 
-    def pixel(self, p: tuple = ("x", "y", "z")) -> dict[str, Column]:
-        """row, col (bigint) and range of a point of the world; the sensor's own place has range 0."""
+    def place(self, p: tuple = ("x", "y", "z")) -> dict[str, Column]:
+        """row, col (whole numbers at a pixel's first edges) and range of a point of the world; the sensor's own place has range 0."""
         q = [dot(tuple(m[:3]), p) + float(m[3]) for m in self.inverse()]
         r = F.sqrt(dot(tuple(q), tuple(q)))
         up = F.asin(F.when(r > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q[1] / r))).otherwise(0.0))
         turn = F.atan2(q[0], q[2])
-        col = F.floor((turn * F.cos(up) + math.pi) / self.step[0]) - self.offset[0]
-        row = F.floor((up + math.pi / 2) / self.step[1]) - self.offset[1]
-        return {"row": row, "col": col, "range": r}
+        return {"row": (up + math.pi / 2) / self.step[1] - self.offset[1], "col": (turn * F.cos(up) + math.pi) / self.step[0] - self.offset[0], "range": r}
+
+    def pixel(self, p: tuple = ("x", "y", "z")) -> dict[str, Column]:
+        """row, col (bigint) and range of a point of the world."""
+        at = self.place(p)
+        return {"row": F.floor(at["row"] + self.offset[1]) - self.offset[1], "col": F.floor(at["col"] + self.offset[0]) - self.offset[0], "range": at["range"]}
 
     def point(self, row: Column, col: Column, r: Column) -> dict[str, Column]:
         """x, y, z at the middle of a pixel."""
@@ -57,8 +60,13 @@ class View:
         return {c: dot(tuple(m[:3]), q) + float(m[3]) for c, m in zip("xyz", self.pose, strict=False)}
 
 
-def zbuffer(df: DataFrame, view: View, noise: float = 0.0, least: float = 0.0) -> DataFrame:
-    """row, col, range, n, x, y, z: for each pixel that sees a point farther than `least` the mean range of the points within `noise` of the nearest."""
+def zbuffer(df: DataFrame, view: View, noise: float = 0.0, least: float = 0.0, splat: bool = False) -> DataFrame:
+    """row, col, range, n, x, y, z: for each pixel that sees a point farther than `least` the mean range of the points within `noise` of the nearest.
+
+    With `splat` a point is also seen by the other three of the four pixels whose
+    middles are around it, where these see no point of their own: at the
+    smallest range of such points, and with n = 0.
+    """
     seen = finite(df).select("x", "y", "z").withColumns(view.pixel()).where(F.col("range") > least).select("row", "col", "range")
     near = seen.groupBy("row", "col").agg(F.min("range").alias("nearest"))
     if noise > 0:
@@ -66,6 +74,12 @@ def zbuffer(df: DataFrame, view: View, noise: float = 0.0, least: float = 0.0) -
         image = seen.groupBy("row", "col").agg(F.avg("range").alias("range"), F.count("*").alias("n"))
     else:
         image = seen.groupBy("row", "col").agg(F.min("range").alias("range"), F.count("*").alias("n"))
+    if splat:
+        at = view.place()
+        sides = [F.explode(F.array(low, low + 1)) for low in (F.floor(at[c] - 0.5) for c in ("row", "col"))]
+        around = finite(df).select("x", "y", "z").withColumns({"__r": sides[0]}).withColumns({"__c": sides[1], "range": at["range"]})
+        spread = around.where(F.col("range") > least).groupBy(F.col("__r").alias("row"), F.col("__c").alias("col")).agg(F.min("range").alias("range"))
+        image = image.unionByName(spread.join(image, ["row", "col"], "left_anti").withColumn("n", F.lit(0).cast("long")))
     return image.withColumns(view.point(F.col("row"), F.col("col"), F.col("range")))
 
 
@@ -82,6 +96,8 @@ def sphere_bounds(view: View, centre: tuple[float, float, float], radius: float)
         return None
     wide = math.asin(min(1.0, math.sin(half) / math.cos(up)))
     rows = tuple(math.floor((up + s * half + math.pi / 2) / view.step[1]) - view.offset[1] for s in (-1, 1))
+    if abs(turn) + wide >= math.pi:  # over the seam at the back: any column
+        return rows, (-view.offset[0], math.floor(2 * math.pi / view.step[0]) - view.offset[0])
     cosines = [math.cos(up - half), math.cos(up + half)] + ([1.0] if abs(up) < half else [])
     cols = [math.floor(((turn + s * wide) * c + math.pi) / view.step[0]) - view.offset[0] for s in (-1, 1) for c in cosines]
     return rows, (min(cols), max(cols))
@@ -137,19 +153,39 @@ def centroid_along(image: DataFrame, step: tuple[int, int], n: int) -> DataFrame
 # --- surfaces ------------------------------------------------------------------------
 
 
-def surface_info(image: DataFrame, half: int, nearest: int, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """idx, nx, ny, nz, curvature and farthest (distance) from the `nearest` seen pixels of a window; image has idx."""
+def surface_info(image: DataFrame, half: int, nearest: int, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0), all_neighbors: bool = False) -> DataFrame:
+    """idx, nx, ny, nz, curvature, mx, my, mz (mean) and farthest (distance) from the `nearest` seen pixels of a window; image has idx.
+
+    With all_neighbors also all_nx ... all_mz from all seen pixels of the window.
+    """
     require(image, "idx", "row", "col")
     q = image.select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
     near = grid_window(finite(image), half).select("qidx", "idx", "x", "y", "z").join(q, "qidx")
     d2 = sum(((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "xyz"), F.lit(0.0))
-    some = near.withColumn("d2", d2).withColumn("k", F.row_number().over(Window.partitionBy("qidx").orderBy("d2", "idx"))).where(F.col("k") <= nearest)
-    many = F.count("*") >= 3
-    cov = some.groupBy(F.col("qidx").alias("idx")).agg(*(F.when(many, F.covar_pop(a, b)).alias(f"c{a}{b}") for a, b in PAIRS), F.sqrt(F.max("d2")).alias("farthest"))
-    found = cov.withColumn("n", normal_udf()(*(F.col(f"c{a}{b}") for a, b in PAIRS))).join(q.withColumnRenamed("qidx", "idx"), "idx")
-    n = tuple(F.col(f"n.{c}") for c in ("nx", "ny", "nz"))
-    facing = dot(n, tuple(F.lit(float(v)) - F.col(f"q{c}") for v, c in zip(viewpoint, "xyz", strict=True)))
-    return found.select("idx", *((F.when(facing < 0, -c).otherwise(c)).alias(k) for c, k in zip(n, ("nx", "ny", "nz"), strict=True)), F.col("n.curvature").alias("curvature"), "farthest")
+    ranked = near.withColumn("d2", d2).withColumn("k", F.row_number().over(Window.partitionBy("qidx").orderBy("d2", "idx")))
+    sums, parts = [F.sqrt(F.max(F.when(F.col("k") <= nearest, F.col("d2")))).alias("farthest")], {"": F.col("k") <= nearest} | ({"all_": F.lit(True)} if all_neighbors else {})
+    for prefix, some in parts.items():
+        value = {c: F.when(some, F.col(c)) for c in "xyz"}
+        many = F.count_if(some) >= 3
+        sums += [F.avg(value[c]).alias(f"{prefix}m{c}") for c in "xyz"]
+        sums += [F.when(many, F.covar_pop(value[a], value[b])).alias(f"{prefix}c{a}{b}") for a, b in PAIRS]
+    found = ranked.groupBy(F.col("qidx").alias("idx")).agg(*sums).join(q.withColumnRenamed("qidx", "idx"), "idx")
+    out = []
+    for prefix in parts:
+        found = found.withColumn(f"{prefix}n", normal_udf()(*(F.col(f"{prefix}c{a}{b}") for a, b in PAIRS)))
+        n = tuple(F.col(f"{prefix}n.{c}") for c in ("nx", "ny", "nz"))
+        facing = dot(n, tuple(F.lit(float(v)) - F.col(f"q{c}") for v, c in zip(viewpoint, "xyz", strict=True)))
+        out += [F.when(facing < 0, -c).otherwise(c).alias(f"{prefix}{k}") for c, k in zip(n, ("nx", "ny", "nz"), strict=True)]
+        out += [F.col(f"{prefix}n.curvature").alias(f"{prefix}curvature"), *(F.col(f"{prefix}m{c}") for c in "xyz")]
+    return found.select("idx", *out, "farthest")
+
+
+def normal_within(image: DataFrame, half: int, nearest: int | None = None, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """idx, nx, ny, nz, and px, py, pz: the foot of the point on the plane through its neighbours' mean; image has idx."""
+    info = surface_info(image, half, nearest or (half + 1) ** 2, viewpoint).where("nx is not null").join(image.select("idx", "x", "y", "z"), "idx")
+    n, p = tuple(F.col(c) for c in ("nx", "ny", "nz")), tuple(F.col(c) for c in "xyz")
+    off = dot(n, tuple(F.col(f"m{c}") - c_ for c, c_ in zip("xyz", p, strict=True)))
+    return info.select("idx", "nx", "ny", "nz", *((a + b * off).alias(f"p{c}") for a, b, c in zip(p, n, "xyz", strict=True)))
 
 
 def impact_angles(df: DataFrame, sensor: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
@@ -287,47 +323,130 @@ def project_surface(df: DataFrame, keys: DataFrame, size: float, pixels: int) ->
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         patch = np.full((pixels, pixels), np.nan)
         patch[pdf["i"].astype(int), pdf["j"].astype(int)] = pdf["depth"]
-        while np.isnan(patch).any() and not np.isnan(patch).all():
-            wide = np.pad(patch, 1, constant_values=np.nan)
-            around = np.stack([wide[a : a + pixels, b : b + pixels] for a in range(3) for b in range(3)])
-            known = ~np.isnan(around)
-            mean = np.where(known.any(0), np.where(known, around, 0).sum(0) / np.maximum(known.sum(0), 1), np.nan)
-            patch = np.where(np.isnan(patch), mean, patch)
-        return pd.DataFrame({"idx": [key[0]], "patch": [np.nan_to_num(patch, nan=size / 2).ravel().tolist()]})
+        return pd.DataFrame({"idx": [key[0]], "patch": [_filled(patch, size / 2).ravel().tolist()]})
 
     return least.groupBy("qidx").applyInPandas(fill, "idx long, patch array<double>")  # pixels ** 2 rows a group
 
 
-def narf(df: DataFrame, keys: DataFrame, size: float, pixels: int = 20, beams: int = 36, rotate: bool = True) -> DataFrame:
+def triangles(image: DataFrame) -> DataFrame:
+    """row, col, half (0 or 1) and the corners a, b, c (structs x, y, z) of the two triangles between each four seen pixels that touch."""
+    seen = finite(image).select("row", "col", F.struct("x", "y", "z").alias("p"))
+
+    def moved(name: str, dr: int, dc: int) -> DataFrame:
+        return seen.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col("p").alias(name))
+
+    across = seen.withColumnRenamed("p", "a").join(moved("b", 1, 1), ["row", "col"])
+    sides = [across.join(moved("c", *step), ["row", "col"]).withColumn("half", F.lit(k)) for k, step in enumerate(((1, 0), (0, 1)))]
+    return sides[0].unionByName(sides[1])
+
+
+def project_triangles(image: DataFrame, keys: DataFrame, size: float, pixels: int) -> DataFrame:
+    """idx and patch: as project_surface, but of the surface of the image's triangles.
+
+    A triangle counts where all its corners are in the patch's square and its
+    first corner within the square's half diagonal of the key point; a cell has
+    the least depth of the triangles over its middle.
+    """
+    from .features import tangent_basis
+
+    require(keys, "idx", "x", "y", "z", "nx", "ny", "nz")
+    q = keys.select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "z", "nx", "ny", "nz")))
+    corners = triangles(image).select(F.monotonically_increasing_id().alias("idx"), "a", "b", "c").select("idx", "a.x", "a.y", "a.z", "b", "c")
+    near = cell_join(q, corners, size / math.sqrt(2) * 1.0000001 + 1e-12).where(F.col("d2") <= size * size / 2)
+    n = tuple(F.col(f"q{c}") for c in ("nx", "ny", "nz"))
+    u, v = tangent_basis(n)
+    lu, lv = F.sqrt(dot(u, u)), F.sqrt(dot(v, v))
+    local, inside = [], F.lit(True)
+    for corner in (("x", "y", "z"), ("b.x", "b.y", "b.z"), ("c.x", "c.y", "c.z")):
+        d = tuple(F.col(c) - F.col(f"q{k}") for c, k in zip(corner, "xyz", strict=True))
+        at = dot(d, u) / lu, dot(d, v) / lv, -dot(d, n)
+        local += at
+        inside = inside & (F.abs(at[0]) <= size / 2) & (F.abs(at[1]) <= size / 2)
+    part = near.where(inside).select("qidx", F.array(*local).alias("t"))
+
+    def raster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        patch = np.full(pixels * pixels, np.inf)
+        cell = (np.arange(pixels) + 0.5) / pixels * size - size / 2
+        at = np.stack(np.meshgrid(cell, cell, indexing="ij"), -1).reshape(-1, 2)
+        t = np.stack(pdf["t"].to_numpy()).reshape(-1, 3, 3)
+        for lo in range(0, len(t), 256):
+            a, e1, e2 = t[lo : lo + 256, 0], t[lo : lo + 256, 1] - t[lo : lo + 256, 0], t[lo : lo + 256, 2] - t[lo : lo + 256, 0]
+            det = e1[:, 0] * e2[:, 1] - e1[:, 1] * e2[:, 0]
+            d = at[None] - a[:, None, :2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (d[..., 0] * e2[:, None, 1] - d[..., 1] * e2[:, None, 0]) / det[:, None]
+                r = (e1[:, None, 0] * d[..., 1] - e1[:, None, 1] * d[..., 0]) / det[:, None]
+                over = (s >= -1e-9) & (r >= -1e-9) & (s + r <= 1 + 1e-9)
+                depth = a[:, None, 2] + s * e1[:, None, 2] + r * e2[:, None, 2]
+            patch = np.minimum(patch, np.where(over, depth, np.inf).min(0))
+        patch = np.where(np.isfinite(patch), patch, np.nan).reshape(pixels, pixels)
+        return pd.DataFrame({"idx": [key[0]], "patch": [_filled(patch, size / 2).ravel().tolist()]})
+
+    return part.groupBy("qidx").applyInPandas(raster, "idx long, patch array<double>")  # the triangles around one point
+
+
+def _filled(patch: np.ndarray, background: float) -> np.ndarray:
+    """Unknown cells take the mean of their known neighbours, again and again; the background where none is known."""
+    n = len(patch)
+    while np.isnan(patch).any() and not np.isnan(patch).all():
+        wide = np.pad(patch, 1, constant_values=np.nan)
+        around = np.stack([wide[a : a + n, b : b + n] for a in range(3) for b in range(3)])
+        known = ~np.isnan(around)
+        mean = np.where(known.any(0), np.where(known, around, 0).sum(0) / np.maximum(known.sum(0), 1), np.nan)
+        patch = np.where(np.isnan(patch), mean, patch)
+    return np.nan_to_num(patch, nan=background)
+
+
+def star(patch: np.ndarray, beams: int, size: float, rotation: float = 0.0) -> np.ndarray:
+    """One number from -1 to 1 for each beam of a star over a square patch: its weighted changes of depth as 2/pi times their arc tangent."""
+    pixels = len(patch)
+    angle = 2 * np.pi * np.arange(beams) / beams + rotation
+    steps = np.linspace(0, (pixels - 1) / 2, pixels // 2)
+    at = [np.clip(np.rint((pixels - 1) / 2 + np.outer(f(angle), steps)).astype(int), 0, pixels - 1) for f in (np.cos, np.sin)]
+    change = np.diff(patch[at[0], at[1]], axis=1) / size
+    return np.arctan((change * np.linspace(2, 1, len(steps) - 1)).sum(1) * 10) * 2 / np.pi
+
+
+def dominant_rotations(descriptor: np.ndarray, apart: float = math.radians(70), share: float = 0.2) -> list[float]:
+    """Angles in which a descriptor is strong, best first.
+
+    An orientation's score weighs the beams by the square of their closeness.
+    Those within `share` of the range of scores from the best one are taken in
+    order of score, each only if it is at least `apart` from all taken before.
+    """
+    n, m = len(descriptor), max(36, len(descriptor))
+    angles, beams = 2 * np.pi * np.arange(m) / m, 2 * np.pi * np.arange(n) / n
+    gap = np.abs((angles[:, None] - beams + np.pi) % (2 * np.pi) - np.pi)
+    score = ((1 - gap / np.pi) ** 2 * descriptor).mean(1) + 0.5
+    out: list[float] = []
+    for k in np.argsort(-score, kind="stable"):
+        if score[k] <= score.max() - share * (score.max() - score.min()) and out:
+            break
+        if all(abs((angles[k] - a + np.pi) % (2 * np.pi) - np.pi) >= apart for a in out):
+            out.append(float(angles[k]))
+    return out
+
+
+def narf(df: DataFrame, keys: DataFrame, size: float, pixels: int = 20, beams: int = 36, rotate: bool = True, image: bool = False) -> DataFrame:
     """idx, rotation, descriptor: normal-aligned radial features of key points.
 
-    The blurred patch is read along beams of a star; a beam's number sums its
-    changes of depth, weighted toward the centre, as 2/pi times their arc
-    tangent.  With rotate there is one row for each dominant direction of the
-    descriptor, which starts there; else one row with rotation 0.
+    The patch around a key point, of the points of df or (with `image`) of the
+    triangles of a range image, is blurred and read along beams of a star.  With
+    rotate there is one row for each dominant rotation, read from there on; else
+    one row with rotation 0.
     """
-    patches = project_surface(df, keys, size, pixels)
+    patches = (project_triangles if image else project_surface)(df, keys, size, pixels)
 
     def describe(batches):
-        angle = 2 * np.pi * np.arange(beams) / beams
-        steps = np.linspace(0, (pixels - 1) / 2, pixels // 2)
-        weight = np.linspace(2, 1, len(steps) - 1)
-        at = [np.clip(np.rint((pixels - 1) / 2 + np.outer(f(angle), steps)).astype(int), 0, pixels - 1) for f in (np.cos, np.sin)]
         for pdf in batches:
             rows = []
             for idx, flat in zip(pdf["idx"], pdf["patch"], strict=True):
                 wide = np.pad(np.asarray(flat, float).reshape(pixels, pixels), 1, mode="edge")
                 total = np.pad(wide.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
                 blurred = (total[3:, 3:] - total[:-3, 3:] - total[3:, :-3] + total[:-3, :-3]) / 9
-                change = np.diff(blurred[at[0], at[1]], axis=1) / size
-                value = np.arctan((change * weight).sum(1) * 10) * 2 / np.pi
-                if not rotate:
-                    rows.append((idx, 0.0, value.tolist()))
-                    continue
-                smooth = sum(np.roll(value, k) for k in (-1, 0, 1)) / 3
-                top = (smooth >= np.roll(smooth, 1)) & (smooth > np.roll(smooth, -1)) & (smooth >= 0.8 * smooth.max())
-                for k in np.flatnonzero(top) if top.any() else [0]:
-                    rows.append((idx, float(angle[k]), np.roll(value, -k).tolist()))
+                value = star(blurred, beams, size)
+                for angle in dominant_rotations(value) if rotate else [0.0]:
+                    rows.append((idx, angle, star(blurred, beams, size, angle).tolist()))
             yield pd.DataFrame(rows, columns=["idx", "rotation", "descriptor"])
 
     return patches.mapInPandas(describe, "idx long, rotation double, descriptor array<double>")

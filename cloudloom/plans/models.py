@@ -242,6 +242,51 @@ def pair_impact_angles(spark, sf_dir):
     return R.pair_impact_angles(event_image(spark, sf_dir)).select("row", "col", rounded("impact_angle"))
 
 
+@query(
+    f"""{_PIX}, m AS (SELECT "row", col, min(range) AS range, count(*) AS n FROM i GROUP BY ALL),
+f AS (SELECT (up + {math.pi / 2!r}) / {STEP!r} - 0.5 AS u, (turn * cos(up) + {math.pi!r}) / {STEP!r} - 0.5 AS v, range FROM a),
+s AS (SELECT floor(u)::BIGINT + i AS "row", floor(v)::BIGINT + j AS col, min(range) AS range FROM f, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) GROUP BY ALL)
+SELECT "row", col, {r6('range', 'range')}, n FROM m UNION ALL SELECT "row", col, {r6('range', 'range')}, 0 FROM s ANTI JOIN m USING ("row", col)"""
+)
+def range_image_splat(spark, sf_dir):
+    return R.zbuffer(embedding_points(spark, sf_dir), VIEW, splat=True).select("row", "col", rounded("range"), "n")
+
+
+@query(
+    f"""{_PIX}, m AS (SELECT "row", col, min(range) AS range FROM i GROUP BY ALL), g AS (SELECT r."row", c.col FROM range(60) r("row"), range(120) c(col)),
+far AS (SELECT DISTINCT "row", col FROM i WHERE idx % 10 = 0 AND range > 0)
+SELECT g."row", g.col, CASE WHEN m.range IS NOT NULL THEN 'seen' WHEN far.col IS NOT NULL THEN 'far' ELSE 'unseen' END AS state
+FROM g LEFT JOIN (SELECT * FROM m WHERE col < 60) m ON m."row" = g."row" AND m.col = g.col LEFT JOIN far ON far."row" = g."row" AND far.col = g.col"""
+)
+def far_ranges(spark, sf_dir):
+    """Half of the image is kept; of the other half, pixels of every tenth point are far."""
+    p = embedding_points(spark, sf_dir)
+    full = R.all_pixels(R.zbuffer(p, VIEW).where("col < 60"), 60, 120)
+    out = R.integrate_far_ranges(full, p.where("idx % 10 = 0"), VIEW)
+    state = F.when(F.col("range") == float("inf"), "far").when(F.col("range") == float("-inf"), "unseen").otherwise("seen")
+    return out.select("row", "col", state.alias("state"))
+
+
+@query(
+    f"""{EVT}, e AS (SELECT a.idx, avg(b.x) AS x, avg(b.y) AS y, avg(b.z) AS z, count(*) AS n FROM p a JOIN p b ON b."row" BETWEEN a."row" AND a."row" + 3 AND b.col - a.col = b."row" - a."row" GROUP BY a.idx)
+SELECT idx // 100 AS "row", idx % 100 AS col, {', '.join(r6(f'{c} + 1e-9', c) for c in 'xyz')}, n FROM e"""
+)
+def centroid_along(spark, sf_dir):
+    """Down the diagonal, four pixels at most."""
+    found = R.centroid_along(event_grid(spark, sf_dir), (1, 1), 4)
+    return found.select("row", "col", *(rounded(F.col(c) + 1e-9, c) for c in "xyz"), "n")
+
+
+@query()
+def normal_within(spark, sf_dir):
+    return R.normal_within(event_image(spark, sf_dir), 2, 15).select("idx", *map(rounded, ("nx", "ny", "nz", "px", "py", "pz")))
+
+
+@query(f"""{EVT}, s AS (SELECT max("row") AS h FROM p) SELECT "row", col, half FROM p, s, (SELECT unnest([0, 1])::INTEGER AS half) WHERE "row" < h AND col < 99""")
+def image_triangles(spark, sf_dir):
+    return R.triangles(event_image(spark, sf_dir)).select("row", "col", "half")
+
+
 @query()
 def surface_info(spark, sf_dir):
     return R.surface_info(event_image(spark, sf_dir), 2, 9).select("idx", *map(rounded, ("nx", "ny", "nz", "curvature", "farthest")))

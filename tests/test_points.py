@@ -168,3 +168,49 @@ def test_convolution_rejects_bad_kernels(spark):
         with pytest.raises(ValueError):
             L.convolve(df, kernel)
     assert L.convolve_both(df, [1.0, 1.0, 1.0], [1.0, 1.0, 1.0], "repeated").where("idx = 55").first().x == 5.0
+
+
+def test_an_outlier_does_not_widen_other_searches(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    points = [tuple(map(float, p)) for p in r.random((1500, 3))] + [(1e6, -1e6, 3.0)] + [(0.5, 0.5, 0.5)] * 12
+    df = cloud(spark, points)
+    at, k, n = np.array(points), 5, len(points)
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    got = N.knn_search(df, k).orderBy("qidx", "rank").collect()
+    assert [r.idx for r in got] == np.argsort(d2, axis=1, kind="stable")[:, :k].ravel().tolist()
+    asked = N.as_queries(df)
+    assert N.within_reach(df, N.reach_bounds(df, asked, k)).count() <= 50 * n * k
+    kept = {r.idx for r in L.statistical_outlier_removal(df, k, 1.0).select("idx").collect()}
+    assert 1500 not in kept and len(kept) == n - 1
+    far = df.limit(0).select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
+    assert N.knn_search(df, k, far).count() == 0 and N.knn_search(df.limit(0), k).count() == 0
+    other = spark.createDataFrame([(7, 0.2, 0.2, 0.2), (8, 1e5, 0.0, 0.0)], "qidx long, qx double, qy double, qz double")
+    for q in N.knn_search(df, 3, other).groupBy("qidx").agg(F.collect_list("idx").alias("i")).collect():
+        d = ((at - ((0.2,) * 3 if q.qidx == 7 else (1e5, 0, 0))) ** 2).sum(1)
+        assert sorted(q.i) == sorted(np.argsort(d, kind="stable")[:3].tolist())
+
+
+def test_organized_search_finds_what_cells_find(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [(i * 20 + j, i, j, float(d * (j - 9.5) / 15), float(d * (i - 9.5) / 15), float(d)) for i in range(20) for j in range(20) for d in [2 + 3 * r.random()]]
+    df = spark.createDataFrame(rows, "idx long, row long, col long, x double, y double, z double")
+    fit = N.organized_fit(df, 1e-6)
+    assert fit is not None and fit.slack < 1e-3
+    for radius in (0.3, 1.0, 9.0):
+        ours = {(x.qidx, x.idx) for x in N.organized_search(df, radius, 1e-6).collect()}
+        assert ours == {(x.qidx, x.idx) for x in N.radius_search(df, radius).collect()}
+    box = df.select("idx", "row", "col", *(F.col(c).alias(f"q{c}") for c in "xyz")).withColumns(fit.box(0.3)).select(F.avg((F.col("last_row") - F.col("first_row") + 1) * (F.col("last_col") - F.col("first_col") + 1))).first()[0]
+    assert box < 60  # of 400 pixels
+    assert N.organized_fit(df.withColumn("x", F.rand(1)), 1e-6) is None
+    assert N.organized_search(df.withColumn("x", F.rand(1)), 0.1, 1e-6).count() > 0
+
+
+def test_inserted_points_are_found(spark):
+    df = N.insert(cloud(spark, [(0, 0, 0), (1, 0, 0)]), cloud(spark, [(0, 0, 0.5)]))
+    assert sorted(r.idx for r in df.collect()) == [0, 1, 2]
+    assert [r.idx for r in N.knn_search(df, 2).where("qidx = 0").orderBy("rank").collect()] == [0, 2]
+    assert N.insert(cloud(spark, [(0, 0, 0)]).limit(0), cloud(spark, [(0, 0, 1)])).first().idx == 0

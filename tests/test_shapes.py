@@ -186,6 +186,84 @@ def test_narf_is_flat_on_a_plane(spark):
     assert len(r.descriptor) == 36 and max(map(abs, r.descriptor)) < 1e-9
 
 
+def test_triangles_of_a_tilted_plane(spark):
+    df = cloud(spark, [(i / 10, j / 10, 0.5 * i / 10) for j in range(40) for i in range(40)]).withColumn("row", F.expr("idx div 40")).withColumn("col", F.col("idx") % 40)
+    assert R.triangles(df).count() == 2 * 39 * 39
+    keys = spark.createDataFrame([(820, 2.0, 2.0, 1.0, 0.0, 0.0, 1.0)], XYZ + ", nx double, ny double, nz double")
+    patch = np.array(R.project_triangles(df, keys, 1.0, 8).first().patch).reshape(8, 8)[1:-1, 1:-1]
+    slope = np.abs(np.diff(patch, axis=0)).max(), np.abs(np.diff(patch, axis=1)).max()
+    assert sorted(slope) == pytest.approx([0, 0.5 / 8], abs=1e-9)
+    flat = R.narf(df.withColumn("z", F.lit(1.0)), keys, 1.0, 8, rotate=False, image=True).first()
+    assert len(flat.descriptor) == 36 and max(map(abs, flat.descriptor)) < 1e-9
+
+
+def test_rotated_patches_have_the_same_descriptor():
+    i, j = np.mgrid[:16, :16]
+    patch = np.sin(i / 6) * 0.1 + np.cos(j / 9) * 0.07 + i * j / 4000
+    turned = np.rot90(patch, -1)
+    a, b = R.star(patch, 36, 1.0), R.star(turned, 36, 1.0)
+    found = [R.dominant_rotations(x) for x in (a, b)]
+    assert len(found[0]) == len(found[1])
+    shifts = {round(math.degrees((y - x) % (2 * math.pi))) for x, y in zip(*found, strict=True)}
+    assert all(min(abs(s - 90), abs(s - 270)) <= 15 for s in shifts)  # a beam's steps fall on whole pixels
+    for x, y in zip(*found, strict=True):
+        assert np.abs(R.star(patch, 36, 1.0, x) - R.star(turned, 36, 1.0, y)).mean() < 0.1
+    peaks = np.zeros(36)
+    peaks[[0, 9, 20]] = [1.0, 0.99, 0.98]
+    angles = R.dominant_rotations(peaks)
+    assert all(abs((p - q + math.pi) % (2 * math.pi) - math.pi) >= math.radians(70) - 1e-9 for i, p in enumerate(angles) for q in angles[:i])
+
+
+def test_pedal_points_lie_on_the_plane(spark):
+    view = R.View((math.radians(1), math.radians(1)), (170, 80))
+    grid = spark.range(100).select(F.col("id").alias("idx"), F.expr("id div 10").alias("row"), (F.col("id") % 10).alias("col"))
+    ray = grid.withColumns(view.point(F.col("row"), F.col("col"), F.lit(1.0)))
+    df = ray.withColumns({c: F.col(c) * 4 / F.col("z") for c in "xyz"})  # the wall z = 4
+    info = R.surface_info(df, 2, 9, all_neighbors=True).collect()
+    assert all(abs(abs(r.nz) - 1) < 1e-6 and abs(abs(r.all_nz) - 1) < 1e-6 and r.nz < 0 for r in info)
+    for r in R.normal_within(df, 2, 15).join(df, "idx").collect():
+        assert (r.px, r.py, r.pz) == pytest.approx((r.x, r.y, 4.0), abs=1e-6)
+
+
+def test_bounds_of_spheres_hold_their_points(spark):
+    view = R.View((math.radians(1), math.radians(1)), (3, 5))
+    r = np.random.default_rng(1)
+    for centre, radius in (((1.0, 0.5, 4.0), 1.0), ((-3.0, 2.0, 1.0), 0.7), ((0.5, -1.0, -2.0), 1.0)):
+        d = r.normal(size=(4000, 3))
+        at = np.asarray(centre) + radius * d / np.linalg.norm(d, axis=1, keepdims=True)
+        got = cloud(spark, [tuple(map(float, p)) for p in at]).withColumns(view.pixel()).agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+        rows, cols = R.sphere_bounds(view, centre, radius)
+        assert rows[0] <= got[0] <= rows[0] + 2 and rows[1] - 2 <= got[1] <= rows[1]
+        assert cols[0] <= got[2] and got[3] <= cols[1]
+
+
+def test_models_with_constraints(spark):
+    rows = [(float(i), float(j), 1.0) for i in range(10) for j in range(10)] + [(float(i), 3.0, float(k)) for i in range(3) for k in range(2, 12)]
+    df = cloud(spark, rows)
+    model, inliers = S.consensus(df, "perpendicular plane", 0.01, constraint=(0, 0, 5))
+    assert inliers.count() == 103 - 3 and model.centre[2] == 1.0
+    model, inliers = S.consensus(df, "parallel plane", 0.01, constraint=(0, 0, 1))
+    assert abs(model.normal[2]) < 1e-12 and inliers.count() == max(30 + 10, 10)
+    model, inliers = S.consensus(df, "parallel line", 0.01, constraint=(0, 0, 2))
+    assert inliers.count() == 11
+    with pytest.raises(ValueError, match="takes a direction"):
+        S.consensus(df, "parallel line", 0.01)
+
+
+def test_ratio_test_drops_bad_hypotheses():
+    r = np.random.default_rng(0)
+    good, bad = r.random((200, 256)) < 0.7, r.random((200, 256)) < 0.1
+    assert S.unlikely(good, 0.7, 0.1, 1e3).mean() < 0.01 and S.unlikely(bad, 0.7, 0.1, 1e3).mean() > 0.99
+    slow = []
+    for row in np.concatenate([good[:20], bad[:20]]):
+        ratio, out = 1.0, False
+        for x in row:
+            ratio *= 0.1 / 0.7 if x else 0.9 / 0.3
+            out |= ratio > 1e3
+        slow.append(out)
+    assert slow == S.unlikely(np.concatenate([good[:20], bad[:20]]), 0.7, 0.1, 1e3).tolist()
+
+
 # --- files and streams ---------------------------------------------------------------
 
 
