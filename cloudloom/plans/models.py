@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..cloud import embedding_points, event_grid
@@ -232,9 +233,11 @@ def event_image(spark, sf_dir):
 SELECT "row", col, next > range AS farther FROM s WHERE next IS NOT NULL AND next <> range"""
 )
 def pair_impact_side(spark, sf_dir):
-    """Whether the next pixel is farther: the sign of the angle between the two."""
-    a = R.pair_impact_angles(event_image(spark, sf_dir))
-    return a.where("impact_angle != 0").select("row", "col", (F.col("impact_angle") > 0).alias("farther"))
+    """Whether the next pixel is farther, where the two are not as far: the sign of the angle between them."""
+    image = event_image(spark, sf_dir)
+    ahead = F.lead("range").over(Window.partitionBy("row").orderBy("col"))
+    differ = image.select("row", "col", (ahead != F.col("range")).alias("differ")).where("differ")
+    return R.pair_impact_angles(image).join(differ, ["row", "col"]).select("row", "col", (F.col("impact_angle") > 0).alias("farther"))
 
 
 @query()
