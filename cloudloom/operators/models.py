@@ -106,34 +106,55 @@ def any_normal(normal: Vector) -> Vector:
     return _unit(np.cross(n, axis))
 
 
+def _away(rho: Column, up: Column, to: tuple[Column, Column]) -> Column:
+    return F.sqrt((rho - to[0]) * (rho - to[0]) + (up - to[1]) * (up - to[1]))
+
+
 @dataclass(frozen=True)
 class Circle:
-    """A filled disc."""
+    """A filled disc.
+
+    Shapes around an axis are worked out in the half plane of a point: its
+    distance from the axis, rho, and its height over the disc, up.
+    """
 
     centre: Vector
     normal: Vector
     radius: float
 
-    def rim(self, p: Point) -> Point:
-        """The nearest point of the circumference; a fixed one for points on the axis."""
+    def profile(self, p: Point) -> tuple[Column, Column, Point]:
+        """(rho, up, unit vector from the axis to the point; a fixed one for points on the axis)."""
         n = _unit(self.normal)
         d = minus(p, self.centre)
-        flat = minus(d, times([F.lit(k) for k in n], inner(d, n)))
-        size = length(flat)
-        outward = chosen(size > 1e-12, times(flat, F.lit(1.0) / F.greatest(size, F.lit(1e-300))), [F.lit(k) for k in any_normal(self.normal)])
-        return tuple(F.lit(float(c)) + o * float(self.radius) for c, o in zip(self.centre, outward, strict=True))
+        up = inner(d, n)
+        flat = minus(d, times([F.lit(k) for k in n], up))
+        rho = length(flat)
+        outward = chosen(rho > 1e-12, times(flat, F.lit(1.0) / F.greatest(rho, F.lit(1e-300))), [F.lit(k) for k in any_normal(self.normal)])
+        return rho, up, outward
+
+    def place(self, to: tuple[Column, Column], outward: Point) -> Point:
+        """The point of the half plane in space."""
+        n = _unit(self.normal)
+        return tuple(F.lit(float(c)) + o * to[0] + to[1] * k for c, o, k in zip(self.centre, outward, n, strict=True))
 
-    def circumference_distance(self, p: Point) -> Column:
-        return length(minus(p, self.rim(p)))
+    def rim(self, p: Point) -> Point:
+        """The nearest point of the circumference; a fixed one for points on the axis."""
+        return self.place((F.lit(float(self.radius)), F.lit(0.0)), self.profile(p)[2])
 
-    def _over(self, p: Point) -> Column:
-        return Line(self.centre, self.normal).distance(p) <= float(self.radius)
+    def disc(self, rho: Column, height: float = 0.0) -> tuple[Column, Column]:
+        return F.least(rho, F.lit(float(self.radius))), F.lit(float(height))
+
+    def circumference_distance(self, p: Point) -> Column:
+        rho, up, _ = self.profile(p)
+        return _away(rho, up, (F.lit(float(self.radius)), F.lit(0.0)))
 
     def distance(self, p: Point) -> Column:
-        return F.when(self._over(p), Plane(self.centre, self.normal).distance(p)).otherwise(self.circumference_distance(p))
+        rho, up, _ = self.profile(p)
+        return _away(rho, up, self.disc(rho))
 
     def project(self, p: Point) -> Point:
-        return chosen(self._over(p), Plane(self.centre, self.normal).project(p), self.rim(p))
+        rho, _, outward = self.profile(p)
+        return self.place(self.disc(rho), outward)
 
 
 @dataclass(frozen=True)
@@ -151,25 +172,33 @@ class Sphere:
         return tuple(F.lit(float(c)) + o for c, o in zip(self.centre, out, strict=True))
 
 
-def _nearest(p: Point, parts) -> Point:
-    """The projection that is nearest; earlier parts win ties."""
-    best_d, best = parts[0]
-    for d, q in parts[1:]:
-        best = chosen(best_d <= d, best, q)
-        best_d = F.least(best_d, d)
-    return best
+class _Around:
+    """A closed shape around the axis of its base circle, by the nearest of its parts; earlier parts win ties."""
+
+    circle: Circle
+
+    def parts(self, rho: Column, up: Column) -> list[tuple[Column, Column]]:
+        """The nearest point of each part in the half plane."""
+        raise NotImplementedError
 
+    def distance(self, p: Point) -> Column:
+        rho, up, _ = self.circle.profile(p)
+        return F.least(*(_away(rho, up, to) for to in self.parts(rho, up)))
 
-def _segment(p: Point, a: Point, b: Point) -> Point:
-    """The nearest point of the segment from a to b, which may be columns."""
-    d = minus(b, a)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner(minus(p, a), d) / inner(d, d)))
-    return plus(a, times(d, t))
+    def project(self, p: Point) -> Point:
+        rho, up, outward = self.circle.profile(p)
+        parts = self.parts(rho, up)
+        far = [_away(rho, up, to) for to in parts]
+        best = parts[-1]
+        for k in reversed(range(len(parts) - 1)):
+            wins = far[k] <= (F.least(*far[k + 1 :]) if k + 2 < len(parts) else far[k + 1])
+            best = tuple(F.when(wins, a).otherwise(b) for a, b in zip(parts[k], best, strict=True))
+        return self.circle.place(best, outward)
 
 
 @dataclass(frozen=True)
-class Cylinder:
-    """Closed: base disc, top disc and the side between them."""
+class Cylinder(_Around):
+    """Closed: the side, base disc and top disc."""
 
     circle: Circle
     height: float
@@ -178,21 +207,14 @@ class Cylinder:
         n = _vector(_unit(self.circle.normal))
         return Circle(tuple((_vector(self.circle.centre) + n * self.height).tolist()), self.circle.normal, self.circle.radius)
 
-    def side(self, p: Point) -> Point:
-        a = self.circle.rim(p)
-        return _segment(p, a, plus(a, [F.lit(k * float(self.height)) for k in _unit(self.circle.normal)]))
-
-    def distance(self, p: Point) -> Column:
-        return F.least(self.circle.distance(p), self.top().distance(p), length(minus(p, self.side(p))))
-
-    def project(self, p: Point) -> Point:
-        side = self.side(p)
-        return _nearest(p, [(length(minus(p, side)), side), (self.circle.distance(p), self.circle.project(p)), (self.top().distance(p), self.top().project(p))])
+    def parts(self, rho: Column, up: Column) -> list[tuple[Column, Column]]:
+        side = F.lit(float(self.circle.radius)), F.greatest(F.lit(0.0), F.least(F.lit(float(self.height)), up))
+        return [side, self.circle.disc(rho), self.circle.disc(rho, self.height)]
 
 
 @dataclass(frozen=True)
-class Cone:
-    """Closed: base disc, apex and the side between them."""
+class Cone(_Around):
+    """Closed: the side, base disc and apex."""
 
     circle: Circle
     height: float
@@ -200,15 +222,10 @@ class Cone:
     def apex(self) -> Vector:
         return tuple((_vector(self.circle.centre) + _vector(_unit(self.circle.normal)) * self.height).tolist())
 
-    def side(self, p: Point) -> Point:
-        return _segment(p, self.circle.rim(p), [F.lit(k) for k in self.apex()])
-
-    def distance(self, p: Point) -> Column:
-        return F.least(self.circle.distance(p), length(minus(p, self.apex())), length(minus(p, self.side(p))))
-
-    def project(self, p: Point) -> Point:
-        side, apex = self.side(p), [F.lit(k) for k in self.apex()]
-        return _nearest(p, [(length(minus(p, side)), side), (self.circle.distance(p), self.circle.project(p)), (length(minus(p, self.apex())), apex)])
+    def parts(self, rho: Column, up: Column) -> list[tuple[Column, Column]]:
+        r, h = float(self.circle.radius), float(self.height)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (up * h - (rho - r) * r) / (r * r + h * h)))
+        return [(F.lit(r) - t * r, t * h), self.circle.disc(rho), (F.lit(0.0), F.lit(h))]
 
 
 # --- fits of minimal samples ------------------------------------------------------

@@ -13,6 +13,7 @@ from ..operators import models as M
 from ..operators import range_image as R
 from ..operators import sac as S
 from ..operators.points import box_select
+from ..operators.store import saved
 from .registry import EMB, EVT, ORACLE_SQL, query, r6, rounded
 
 PLANE = M.Plane((0.02, -0.01, 0.03), (0.0, 3.0, 4.0))
@@ -82,7 +83,7 @@ def inlier_projection(spark, sf_dir):
 
 def _projected(spark, sf_dir, model, distance=None):
     """How far the projection moves each point, and how far from the model it leaves it."""
-    p = embedding_points(spark, sf_dir).withColumns({f"__{c}": v for c, v in zip("xyz", model.project(M.xyz()), strict=True)})
+    p = saved(embedding_points(spark, sf_dir).withColumns({f"__{c}": v for c, v in zip("xyz", model.project(M.xyz()), strict=True)}))
     to = tuple(F.col(f"__{c}") for c in "xyz")
     return p.select("idx", rounded(M.length(M.minus(M.xyz(), to)), "moved"), rounded(model.distance(to), "off"))
 
