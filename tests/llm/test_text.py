@@ -215,6 +215,22 @@ def test_big_buckets_are_split(monkeypatch):
     assert len(set(slow)) > 3
 
 
+def test_fingerprints_of_texts_of_megabytes(spark):
+    text = "Ab cd\x0bef gh " * 90_000 + "y" * 1_200_000 + " z" * 5
+    got = {r.doc_id: r.fp for r in simhash.fingerprints(frame(spark, [(1, text), (2, None)])).collect()}
+    hashes = defaultdict(int)
+    words = text.lower().split()
+    for s in zip(words, words[1:], words[2:], strict=False):
+        hashes[" ".join(s)] += 1
+    total = sum(hashes.values())
+    bits = [0] * 64
+    for s, n in hashes.items():
+        h = xxhash.xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            bits[b] += n * (h >> b & 1)
+    assert got[1] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * bits[b] > total) and got[2] == 0
+
+
 def test_op2(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     ids = sorted(texts)
@@ -503,6 +519,14 @@ def test_line_dedup(spark, partitions, small, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_lines_of_texts_of_megabytes(spark):
+    shared_line = "a line that several documents have"
+    long = "\n".join(f"line {k} of a text that is very long" for k in range(40_000)) + "\n" + "x" * 1_300_000
+    rows = [(1, long + "\n" + shared_line), (2, shared_line), (3, shared_line + "\n" + long), (4, None), (5, long)]
+    got = linededup.dedup_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got), key=str) == slow_lines(rows)
+
+
 # --- 7: media -----------------------------------------------------------------------------------
 
 
