@@ -196,8 +196,8 @@ def fpfh(df: DataFrame, radius: float, bins: tuple[int, int, int] = (11, 11, 11)
 
 
 def fpfh_counts(df: DataFrame, radius: float, bins: tuple[int, int, int]) -> DataFrame:
-    """idx, bin, v of that, without empty bins."""
-    return fpfh(df, radius, bins).select("idx", F.posexplode("hist").alias("bin", "v")).where("v > 0")
+    """idx, bin, v of that, without empty bins; saved in between, or Spark would work the sums out again for its checks of the array."""
+    return saved(fpfh(df, radius, bins)).select("idx", F.posexplode("hist").alias("bin", "v")).where("v > 0")
 
 
 def vfh_counts(df: DataFrame, bins: tuple[int, int, int, int], viewpoint_bins: int, viewpoint: tuple[float, float, float], has_size: bool = True) -> DataFrame:
