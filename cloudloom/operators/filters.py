@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cloud import finite, require
-from .neighbors import cell_join, grid_window, knn_search, radius_search
+from ..cloud import finite, is_finite, require
+from .neighbors import cell_join, knn_search, radius_search
 
 
 def statistical_outlier_removal(df: DataFrame, k: int, factor: float, negative: bool = False) -> DataFrame:
@@ -52,11 +52,17 @@ def median(df: DataFrame, window: int, most: float) -> DataFrame:
     Windows are cut at the borders.  Missing points neither count nor change.
     """
     require(df, "row", "col")
-    ok = finite(df).select("idx", "row", "col", "z")
-    z = grid_window(ok, window // 2).groupBy(F.col("qidx").alias("idx")).agg(F.array_sort(F.collect_list("z")).alias("zs"))  # of one window
-    m = z.select("idx", F.element_at("zs", F.expr("cast(size(zs) div 2 + 1 as int)")).alias("__m"))
-    new = F.when(F.col("__m").isNull(), F.col("z")).when(F.col("z") - F.col("__m") <= most, F.col("__m")).otherwise(F.col("__m") + most)
-    return df.join(m, "idx", "left").withColumn("z", new).drop("__m")
+    half = window // 2
+
+    def around(c: str) -> Column:
+        return F.explode(F.sequence(F.col(c) - half, F.col(c) + half)).alias(c)
+
+    # First along rows, then along columns: 2 * window rows are shuffled for a pixel, not window ** 2.
+    across = finite(df).select("row", around("col"), "z").groupBy("row", "col").agg(F.collect_list("z").alias("zs"))  # of one window
+    down = across.select(around("row"), "col", "zs").groupBy("row", "col").agg(F.array_sort(F.flatten(F.collect_list("zs"))).alias("zs"))  # of one window
+    m = down.select("row", "col", F.element_at("zs", F.expr("cast(size(zs) div 2 + 1 as int)")).alias("__m"))
+    new = F.when(F.col("__m").isNull() | ~is_finite(), F.col("z")).when(F.col("z") - F.col("__m") <= most, F.col("__m")).otherwise(F.col("__m") + most)
+    return df.join(m, ["row", "col"], "left").withColumn("z", new).select(*df.columns)
 
 
 # --- convolution ----------------------------------------------------------------

@@ -214,3 +214,24 @@ def test_inserted_points_are_found(spark):
     assert sorted(r.idx for r in df.collect()) == [0, 1, 2]
     assert [r.idx for r in N.knn_search(df, 2).where("qidx = 0").orderBy("rank").collect()] == [0, 2]
     assert N.insert(cloud(spark, [(0, 0, 0)]).limit(0), cloud(spark, [(0, 0, 1)])).first().idx == 0
+
+
+@pytest.mark.parametrize("window", [1, 3, 5])
+def test_median_of_windows_with_missing_points(spark, window):
+    import numpy as np
+
+    r = np.random.default_rng(window)
+    z = r.random((9, 7)) * 10
+    z[r.random(z.shape) < 0.2] = np.nan
+    gone = {(2, 3), (8, 6)}  # no row at all
+    rows = [(i * 7 + j, i, j, float(j), float(i), float(z[i, j])) for i in range(9) for j in range(7) if (i, j) not in gone]
+    df = spark.createDataFrame(rows, "idx long, row long, col long, x double, y double, z double")
+    got = {(q.row, q.col): q.z for q in L.median(df, window, 1.5).collect()}
+    assert len(got) == len(rows)
+    for _, i, j, _, _, own in rows:
+        near = [z[a, b] for a in range(max(0, i - window // 2), min(9, i + window // 2 + 1)) for b in range(max(0, j - window // 2), min(7, j + window // 2 + 1)) if (a, b) not in gone and not np.isnan(z[a, b])]
+        if np.isnan(own):
+            assert np.isnan(got[i, j])
+            continue
+        m = sorted(near)[len(near) // 2]
+        assert got[i, j] == (m if own - m <= 1.5 else m + 1.5)
