@@ -64,12 +64,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if what is None else np.frombuffer(what, np.uint8)), offsets
 
 
-def _cuts(raw: np.ndarray, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]:
-    """Parts of about `limit` bytes, longer only where a word is."""
+def _cuts(raw: np.ndarray, a: int, b: int, limit: int, between: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of about `limit` bytes, longer only where no byte of the table `between` is."""
     while b - a > limit:
         cut = b
         for lo in range(a + limit - limit // 4, b, limit):
-            found = np.flatnonzero(~WORDLIKE[raw[lo : min(b, lo + limit)]])
+            found = np.flatnonzero(between[raw[lo : min(b, lo + limit)]])
             if len(found):
                 inside = found[found < a + limit - lo]
                 cut = lo + int(inside[-1] if len(inside) else found[0])
@@ -80,14 +80,17 @@ def _cuts(raw: np.ndarray, a: int, b: int, limit: int) -> Iterator[tuple[int, in
         yield a, b
 
 
-def slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row numbers) of parts of the column of about `limit` bytes (SLICE_BYTES)."""
-    limit = limit or SLICE_BYTES
+def slices(column: pa.Array, limit: int | None = None, between: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row numbers) of parts of the column of about `limit` bytes (SLICE_BYTES).
+
+    Longer texts are cut before one of the bytes `between` (all that are in no word of letters).
+    """
+    limit, between = limit or SLICE_BYTES, ~WORDLIKE if between is None else between
     raw, off = string_buffers(column)
     i, n = 0, len(column)
     while i < n:
         if off[i + 1] - off[i] > limit:
-            for a, b in _cuts(raw, int(off[i]), int(off[i + 1]), limit):
+            for a, b in _cuts(raw, int(off[i]), int(off[i + 1]), limit, between):
                 yield raw[a:b], np.array([0, b - a], np.int64), np.array([i])
             i += 1
             continue

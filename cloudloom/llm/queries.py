@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, linededup, media, pieces, quality, sample, secrets, simhash, toxicity
+from . import chat, decontaminate, infill, language, linededup, media, pieces, quality, rules, sample, secrets, simhash, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of 5 letters or more that is found 3 times."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.variants(variants.vocabulary(variants.runs(documents))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, and digests of the output and of the text rebuilt from it."""
+    found = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infill.restored(F.col("fim"), F.col("form"))
+    return found.select("doc_id", F.col("units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("fim", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, statistics, base_failed, kept and log_ratio of every document; trusted are those whose quality is labelled 1."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    found = rules.assess(documents, rules.learn(documents, trusted))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ratio")
+
+
 # --- parts that SQL can say ---------------------------------------------------------
 
 
@@ -130,8 +151,16 @@ def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_chat_formatting(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
 
 
-OPERATORS = (op1_sentencepiece, op2_simhash, op3_decontamination, op4_secret_scan, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality)
-PARTS = (piece_round_trip, exact_leaks, secret_base_counts, media_payloads, chat_digests)
+def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op13 counts in each text."""
+    return rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), None)
+
+
+OPERATORS = (
+    op1_sentencepiece, op2_simhash, op3_decontamination, op4_secret_scan, op5_language_id, op6_line_dedup, op7_media_columns, op8_toxicity, op9_chat_formatting, op10_quality,
+    op11_spelling_variants, op12_fill_in_middle, op13_quality_rules,
+)
+PARTS = (piece_round_trip, exact_leaks, secret_base_counts, media_payloads, chat_digests, rule_statistics)
 QUERIES = {f.__name__: f for f in (*OPERATORS, *PARTS)}
 
 _OP6 = r"""
@@ -183,7 +212,41 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256 FROM a
 """
 
-#: Without SQL of their own: op1 (lattices), op2 (XXH64), op3 (edit distance within a text), op4 (match positions), op7 and op9 (digests of rebuilt bytes), and the learned models.
+_INFILL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents),
+d AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t
+), c AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM d),
+s AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+"""
+
+_RULES = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, string_split(text, chr(10)) AS lines FROM t),
+x AS (
+  SELECT doc_id, i, word, list_slice(words, i, i + 7) AS gram, len(words) AS size
+  FROM (SELECT doc_id, words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w)
+), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) > 1 AND i + 7 <= size AS twice FROM x),
+r AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE near) AS n_repeat_words
+  FROM (SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS near FROM g) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(lines) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), s AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda v: length(v))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s
+"""
+
+#: Without SQL of their own: op1 (lattices), op2 (XXH64), op3 (edit distance within a text), op4 (match positions), op7 and op9 (digests of rebuilt bytes), op11 (CRC32), and the learned models.
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": _OP6,
     "piece_round_trip": _ROUND_TRIP,
@@ -191,4 +254,6 @@ ORACLE_SQL: dict[str, str] = {
     "secret_base_counts": _SECRETS,
     "media_payloads": _PAYLOADS,
     "chat_digests": _DIGESTS,
+    "op12_fill_in_middle": _INFILL,
+    "rule_statistics": _RULES,
 }

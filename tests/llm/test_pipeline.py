@@ -24,7 +24,7 @@ def ids(df):
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "decontamination", "sentencepiece"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert [int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")] == list(range(1, 14))
     assert queries.QUERIES.keys() <= entry.queries().keys() and queries.ORACLE_SQL.keys() <= entry.oracle_sql().keys()
 
 
