@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cloud import cross, dot, finite, require
-from ..functions.linalg import normal_udf, oriented, solve_udf
+from ..functions.linalg import across, least_axis, oriented, solution
 from .aggregates import PAIRS, centroid, centroid_and_cov
 from .neighbors import cell_join, radius_search
 from .store import saved
@@ -33,18 +33,13 @@ def neighborhood_cov(df: DataFrame, radius: float) -> DataFrame:
 
 def normal_estimation(df: DataFrame, radius: float, viewpoint: tuple[float, float, float] | None = None) -> DataFrame:
     """idx, nx, ny, nz, curvature: direction of least variance, turned to the viewpoint's direction; zeros below three points."""
-    n = normal_udf(viewpoint)(*(F.col(f"c{a}{b}") for a, b in PAIRS))
-    found = neighborhood_cov(df, radius).withColumn("__n", n)
+    found = neighborhood_cov(df, radius).withColumn("__n", least_axis([f"c{a}{b}" for a, b in PAIRS], viewpoint))
     return found.select("idx", *(F.when(F.col("n") >= 3, F.col(f"__n.{c}")).otherwise(0.0).alias(c) for c in (*NORMAL, "curvature")))
 
 
 def tangent_basis(n: tuple[Column, Column, Column]) -> tuple[tuple, tuple]:
     """Two directions at right angles to a normal: the axis of its smallest component gives the first."""
-    ax, ay, az = (F.abs(c) for c in n)
-    first = (ax <= ay) & (ax <= az)
-    second = ~first & (ay <= az)
-    axis = (F.when(first, 1.0).otherwise(0.0), F.when(second, 1.0).otherwise(0.0), F.when(first | second, 0.0).otherwise(1.0))
-    u = cross(n, axis)
+    u = across(n)
     return u, cross(n, u)
 
 
@@ -89,8 +84,8 @@ def intensity_gradient(df: DataFrame, radius: float) -> DataFrame:
     sums = near.groupBy(F.col("qidx").alias("idx")).agg(
         F.count("*").alias("n"), *((F.covar_pop(a, b) * F.count("*")).alias(f"c{a}{b}") for a, b in PAIRS), *((F.covar_pop(a, "intensity") * F.count("*")).alias(f"b{a}") for a in "xyz")
     )
-    solved = sums.withColumn("g", solve_udf()(*(F.col(f"c{a}{b}") for a, b in PAIRS), F.col("bx"), F.col("by"), F.col("bz"))).join(df.select("idx", *NORMAL), "idx")
-    g, n = tuple(F.col(f"g.g{a}") for a in "xyz"), tuple(F.col(c) for c in NORMAL)
+    solved = sums.withColumn("g", solution([f"c{a}{b}" for a, b in PAIRS], ["bx", "by", "bz"])).join(df.select("idx", *NORMAL), "idx")
+    g, n = tuple(F.col(f"g.{a}") for a in "xyz"), tuple(F.col(c) for c in NORMAL)
     along = dot(g, n)
     return solved.select("idx", *(F.when(F.col("n") >= 3, gk - nk * along).otherwise(0.0).alias(f"g{a}") for gk, nk, a in zip(g, n, "xyz", strict=True)))
 

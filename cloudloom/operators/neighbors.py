@@ -11,14 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cloud import dot, finite, require
+from . import pyramid
 from .aggregates import finite_bound, projection_matrix
-from .store import saved
 
 QUERY = ("qidx", "qx", "qy", "qz")
 
@@ -56,101 +54,22 @@ def radius_search(df: DataFrame, radius: float, queries: DataFrame | None = None
     return near.select("qidx", "idx", F.sqrt("d2").alias("distance"), *extra)
 
 
-#: Places on the space-filling curve: so many bits for each axis, in two numbers.
-CURVE_BITS = 21
-
-
-def _spread(v: Column) -> Column:
-    """The 21 bits of a number, each with two zeros before it."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
-
-
-def curve(low: dict[str, float], side: float, shift: float) -> list[Column]:
-    """Two numbers that sort points along a Z-order curve over a cube of twice the side, moved by a share of it."""
-    cells = {a: F.floor((F.col(a) - low[a] + shift * side) / (2 * side) * 2.0 ** (2 * CURVE_BITS)) for a in "xyz"}
-    parts = [{a: F.shiftright(c, CURVE_BITS) for a, c in cells.items()}, {a: c.bitwiseAND(F.lit((1 << CURVE_BITS) - 1)) for a, c in cells.items()}]
-    return [_spread(p["x"]).bitwiseOR(F.shiftleft(_spread(p["y"]), 1)).bitwiseOR(F.shiftleft(_spread(p["z"]), 2)) for p in parts]
-
-
-def reach_bounds(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The queries with r2: a squared distance within which each has k points (all of them, where there are fewer).
-
-    Points and queries are dealt by ranges of a space-filling curve; the k-th
-    nearest of the 4 k points around a query's place on the curve gives the
-    bound, the better one of two curves.  It only has to be near enough: what
-    is within it is searched exactly.
-    """
-    b = finite_bound(points.union(queries.toDF("idx", "x", "y", "z"))).first()
-    if b is None:
-        return queries.withColumn("r2", F.lit(0.0))
-    low = {a: b[f"min_{a}"] for a in "xyz"}
-    sides = [b[f"max_{a}"] - b[f"min_{a}"] for a in "xyz"]
-    side = max(*sides, 1e-300)
-    everything = sum(s * s for s in sides) * (1 + 1e-9)
-    both = points.select(F.lit(None).cast("bigint").alias("qidx"), "x", "y", "z").union(queries.toDF("qidx", "x", "y", "z"))
-
-    def bound(batches):
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None:
-            return
-        is_query = pc.is_valid(table.column(0)).to_numpy()
-        at = np.column_stack([table.column(a).to_numpy() for a in "xyz"])
-        own, asked = at[~is_query], at[is_query]
-        place = np.cumsum(~is_query)[is_query]
-        ids = table.column(0).filter(pa.array(is_query)).combine_chunks()
-        wide = min(2 * k, len(own))
-        for lo in range(0, len(asked), 4096):
-            q = asked[lo : lo + 4096]
-            r2 = np.full(len(q), everything)
-            if len(own) >= k:
-                first = np.clip(place[lo : lo + 4096] - wide, 0, max(0, len(own) - 2 * wide))
-                near = own[np.minimum(first[:, None] + np.arange(2 * wide), len(own) - 1)]
-                d2 = ((near - q[:, None]) ** 2).sum(2)
-                d2[first[:, None] + np.arange(2 * wide) >= len(own)] = np.inf
-                r2 = np.partition(d2, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(q)), *(pa.array(np.ascontiguousarray(q[:, c])) for c in range(3)), pa.array(np.minimum(r2, everything))], names=["qidx", "qx", "qy", "qz", "r2"])
-
-    out = None
-    for shift in (0.0, 1 / 3):
-        hi, lo = curve(low, side, shift)
-        dealt = both.withColumns({"h": hi, "l": lo}).repartitionByRange("h", "l").sortWithinPartitions("h", "l").select("qidx", "x", "y", "z")
-        part = dealt.mapInArrow(bound, "qidx bigint, qx double, qy double, qz double, r2 double")
-        out = part if out is None else out.union(part)
-    return out.groupBy(*QUERY).agg(F.min("r2").alias("r2"))
-
-
-def within_reach(points: DataFrame, queries: DataFrame) -> DataFrame:
-    """All pairs of a query (with r2, of any size) and a point within it, with d2: cells are as wide as the next power of 2, for each size that occurs."""
-    r = F.sqrt("r2") * (1 + 1e-9)
-    level = F.when(F.col("r2") > 0, F.ceil(F.log2(r))).otherwise(-1000).cast("int")
-    asked = saved(queries.withColumn("__l", F.greatest(level, F.lit(-1000))))
-    # A few dozen sizes at most: the exponents of a double's range of radii that occur.
-    levels = sorted(row[0] for row in asked.select("__l").distinct().collect())
-    if not levels:
-        return points.crossJoin(asked.limit(0)).drop("__l").withColumn("d2", F.lit(0.0))
-    wide = F.pow(F.lit(2.0), F.col("__l"))
-    cells = {f"__c{a}": F.explode(F.sequence(F.floor((F.col(f"q{a}") - r) / wide), F.floor((F.col(f"q{a}") + r) / wide))) for a in "xyz"}
-    near = asked
-    for name, each in cells.items():
-        near = near.withColumn(name, each)
-    keyed = points.withColumn("__l", F.explode(F.array(*map(F.lit, levels)))).withColumns({f"__c{a}": F.floor(F.col(a) / wide) for a in "xyz"})
-    d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
-    return near.join(keyed, ["__l", *cells]).drop("__l", *cells).withColumn("d2", d2).where(F.col("d2") <= F.col("r2"))
-
-
 def knn_search(df: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """qidx, rank (1 to k), idx, distance: the k nearest points of each query, itself included, the smallest idx of equals.
 
-    Each query searches within a radius of its own, which is known to hold k
-    points (see reach_bounds), so a point far away widens nobody else's search.
+    By descent through an octree, level by level (see pyramid): exact, whatever
+    the points' density, and a point far away widens nobody else's search.  Of
+    points at one place only the k with the smallest idx can be among the nearest,
+    and queries at one place have the same; so a heap of equal points makes no more
+    pairs than one point.
     """
-    points = saved(finite(df).select("idx", "x", "y", "z"))
-    asked = saved(as_queries(df) if queries is None else queries.select(*QUERY))
-    found = within_reach(points, reach_bounds(points, asked, k))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qidx").orderBy("d2", "idx"))).where(F.col("rank") <= k)
-    return ranked.select("qidx", "rank", "idx", F.sqrt("d2").alias("distance"))
+    points = finite(df).select("idx", "x", "y", "z")
+    asked = as_queries(df) if queries is None else queries.select(*QUERY)
+    places = asked.select("qx", "qy", "qz").distinct()
+    first = points.withColumn("__r", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("idx"))).where(F.col("__r") <= k).drop("__r")
+    found = pyramid.candidates(first, places, k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qx", "qy", "qz").orderBy("d2", "idx"))).where(F.col("rank") <= k)
+    return asked.join(ranked, ["qx", "qy", "qz"]).select("qidx", "rank", "idx", F.sqrt("d2").alias("distance"))
 
 
 def grid_window(df: DataFrame, half: int) -> DataFrame:

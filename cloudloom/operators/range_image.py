@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cloud import dot, finite, require
-from ..functions.linalg import normal_udf
+from ..functions.linalg import least_axis
 from .aggregates import PAIRS
 from .neighbors import cell_join, grid_window
 
@@ -172,7 +172,7 @@ def surface_info(image: DataFrame, half: int, nearest: int, viewpoint: tuple[flo
     found = ranked.groupBy(F.col("qidx").alias("idx")).agg(*sums).join(q.withColumnRenamed("qidx", "idx"), "idx")
     out = []
     for prefix in parts:
-        found = found.withColumn(f"{prefix}n", normal_udf()(*(F.col(f"{prefix}c{a}{b}") for a, b in PAIRS)))
+        found = found.withColumn(f"{prefix}n", least_axis([f"{prefix}c{a}{b}" for a, b in PAIRS]))
         n = tuple(F.col(f"{prefix}n.{c}") for c in ("nx", "ny", "nz"))
         facing = dot(n, tuple(F.lit(float(v)) - F.col(f"q{c}") for v, c in zip(viewpoint, "xyz", strict=True)))
         out += [F.when(facing < 0, -c).otherwise(c).alias(f"{prefix}{k}") for c, k in zip(n, ("nx", "ny", "nz"), strict=True)]

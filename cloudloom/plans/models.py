@@ -14,7 +14,7 @@ from ..operators import range_image as R
 from ..operators import sac as S
 from ..operators.points import box_select
 from ..operators.store import saved
-from .registry import EMB, EVT, ORACLE_SQL, query, r6, rounded
+from .registry import EMB, EVT, ORACLE_SQL, least_axis, query, r6, rounded
 
 PLANE = M.Plane((0.02, -0.01, 0.03), (0.0, 3.0, 4.0))
 LINE = M.Line((0.05, 0.0, -0.02), (1.0, 2.0, 2.0))
@@ -224,9 +224,26 @@ def impact_angle(spark, sf_dir):
 def event_image(spark, sf_dir):
     """The whole event grid as a range image: its rows share 20 degrees, of one degree each at most; range is 10 + value / 100."""
     p = event_grid(spark, sf_dir).select("idx", "row", "col", (10 + F.col("z") / 100).alias("range"))
-    rows = max(20, (p.agg(F.max("row")).first()[0] or 0) + 1)
-    view = R.View((math.radians(1), math.radians(20 / rows)), (130, 4 * rows))
-    return p.withColumns(view.point(F.col("row"), F.col("col"), F.col("range")))
+    # One row.
+    height = F.broadcast(p.agg(F.greatest(F.lit(20), F.max("row") + 1).alias("__rows")))
+    view = R.View((math.radians(1), F.lit(math.radians(20)) / F.col("__rows")), (130, 4 * F.col("__rows")))
+    return p.crossJoin(height).withColumns(view.point(F.col("row"), F.col("col"), F.col("range"))).drop("__rows")
+
+
+#: The same in SQL: idx, row, col, range, x, y, z.
+_IMAGE = f"""{EVT}, h AS (SELECT greatest(20, max("row") + 1) AS h FROM p),
+turned AS (SELECT idx, "row", col, 10 + z / 100 AS range, ("row" + 0.5 + 4 * h) * ({math.radians(20)!r} / h) - {math.pi / 2!r} AS up FROM p, h),
+image AS (SELECT idx, "row", col, range, range * sin(((col + 130.5) * {math.radians(1)!r} - {math.pi!r}) / cos(up)) * cos(up) AS x, range * sin(up) AS y, range * cos(((col + 130.5) * {math.radians(1)!r} - {math.pi!r}) / cos(up)) * cos(up) AS z FROM turned)"""
+_APART = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+def _patch(nearest: int) -> str:
+    """CTEs up to `facing`: the least axis of the nearest pixels of each 5 x 5 window, turned to the origin."""
+    entries = ("xx", "xy", "xz", "yy", "yz", "zz")
+    return f"""{_IMAGE}, w AS (SELECT a.idx, a.x AS qx, a.y AS qy, a.z AS qz, b.x, b.y, b.z, {_APART} AS d2, row_number() OVER (PARTITION BY a.idx ORDER BY {_APART}, b.idx) AS k
+  FROM image a JOIN image b ON b."row" BETWEEN a."row" - 2 AND a."row" + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2),
+s AS (SELECT idx, qx, qy, qz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, sqrt(max(d2)) AS farthest, {', '.join(f'covar_pop({k[0]}, {k[1]}) AS {k}' for k in entries)} FROM w WHERE k <= {nearest} GROUP BY ALL), {least_axis('s')},
+facing AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) * CASE WHEN vx * qx + vy * qy + vz * qz > 0 THEN -1 ELSE 1 END AS size FROM axis)"""
 
 
 @query(
@@ -241,7 +258,11 @@ def pair_impact_side(spark, sf_dir):
     return R.pair_impact_angles(image).join(differ, ["row", "col"]).select("row", "col", (F.col("impact_angle") > 0).alias("farther"))
 
 
-@query()
+@query(
+    f"""{_IMAGE}, s AS (SELECT a."row", a.col, a.range AS r, b.range AS s, {_APART} AS d2 FROM image a JOIN image b ON b."row" = a."row" AND b.col = a.col + 1),
+t AS (SELECT *, least(r, s) AS n, greatest(r, s) AS f FROM s)
+SELECT "row", col, {r6('CASE WHEN r > s THEN -1 ELSE 1 END * acos(greatest(0, least(1, (f * f + d2 - n * n) / (2 * sqrt(d2) * f))))', 'impact_angle')} FROM t"""
+)
 def pair_impact_angles(spark, sf_dir):
     return R.pair_impact_angles(event_image(spark, sf_dir)).select("row", "col", rounded("impact_angle"))
 
@@ -281,7 +302,10 @@ def centroid_along(spark, sf_dir):
     return found.select("row", "col", *(rounded(F.col(c) + 1e-9, c) for c in "xyz"), "n")
 
 
-@query()
+@query(
+    f"""{_patch(15)}, u AS (SELECT *, (vx * (mx - qx) + vy * (my - qy) + vz * (mz - qz)) / size / size AS off FROM facing)
+SELECT idx, {', '.join(r6(f'v{c} / size', f'n{c}') for c in 'xyz')}, {', '.join(r6(f'q{c} + v{c} * off', f'p{c}') for c in 'xyz')} FROM u"""
+)
 def normal_within(spark, sf_dir):
     return R.normal_within(event_image(spark, sf_dir), 2, 15).select("idx", *map(rounded, ("nx", "ny", "nz", "px", "py", "pz")))
 
@@ -291,7 +315,7 @@ def image_triangles(spark, sf_dir):
     return R.triangles(event_image(spark, sf_dir)).select("row", "col", "half")
 
 
-@query()
+@query(f"""{_patch(9)} SELECT idx, {', '.join(r6(f'v{c} / size', f'n{c}') for c in 'xyz')}, {r6('greatest(v, 0) / c2', 'curvature')}, {r6('farthest', 'farthest')} FROM facing""")
 def surface_info(spark, sf_dir):
     return R.surface_info(event_image(spark, sf_dir), 2, 9).select("idx", *map(rounded, ("nx", "ny", "nz", "curvature", "farthest")))
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..cloud import embedding_points, event_grid
 from ..operators import features as E
 from ..operators import filters as L
+from ..operators import kdtree as T
 from ..operators import neighbors as N
 from .points import RGBA
-from .registry import EMB, EVT, ORACLE_SQL, query, r6, r6s, rounded
+from .registry import EMB, EVT, ORACLE_SQL, least_axis, query, r6, r6s, rounded
 
 _D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
@@ -29,6 +30,27 @@ def knn_search(spark, sf_dir):
     return N.knn_search(embedding_points(spark, sf_dir), 5).select("qidx", "rank", "idx", rounded("distance"))
 
 
+_FAR = ", ".join(f"CASE WHEN idx % 100 = 0 THEN {c} * 1e6 ELSE {c} END AS {c}" for c in "xyz")
+
+
+@query(
+    f"""{EMB}, f AS (SELECT idx, {_FAR} FROM p), c AS (SELECT idx, x + 0.25 AS x, y, z FROM f),
+r AS (SELECT a.idx AS qidx, b.idx AS idx, {_D2} AS d2, row_number() OVER (PARTITION BY a.idx ORDER BY {_D2}, b.idx) AS rank FROM c a, f b) SELECT qidx, rank::INTEGER AS rank, idx, {r6('sqrt(d2)', 'distance')} FROM r WHERE rank <= 8"""
+)
+def octree_knn(spark, sf_dir):
+    """The nearest points of places beside them; one point of a hundred is a million times as far away."""
+    far = embedding_points(spark, sf_dir).select("idx", *(F.when(F.col("idx") % 100 == 0, F.col(c) * 1e6).otherwise(F.col(c)).alias(c) for c in "xyz"))
+    beside = N.as_queries(far).withColumn("qx", F.col("qx") + 0.25)
+    return N.knn_search(far, 8, beside).select("qidx", "rank", "idx", rounded("distance"))
+
+
+@query(f"{EMB} SELECT a.idx AS qidx, b.idx AS idx, {r6(f'sqrt({_D2})', 'distance')} FROM p a, p b WHERE {_D2} <= 0.12 * 0.12")
+def kd_radius(spark, sf_dir):
+    """A radius search dealt by a split tree with a hundred points in a leaf."""
+    p = embedding_points(spark, sf_dir)
+    return T.kd_radius(p, 0.12, tree=T.split_tree(p, leaf=100)).select("qidx", "idx", rounded("distance"))
+
+
 @query(f"""{EVT} SELECT a.idx AS qidx, b.idx AS idx, {r6(f'sqrt({_D2})', 'distance')} FROM p a JOIN p b ON abs(a."row" - b."row") <= 2 AND abs(a.col - b.col) <= 2 WHERE {_D2} <= 400""")
 def organized_radius(spark, sf_dir):
     return N.organized_radius(event_grid(spark, sf_dir), 20.0, 2).select("qidx", "idx", rounded("distance"))
@@ -181,7 +203,11 @@ def neighborhood_cov(spark, sf_dir):
     return E.neighborhood_cov(embedding_points(spark, sf_dir), 0.15).select("idx", *map(rounded, "xyz"), *(rounded(f"c{k}") for k in _COV), "n")
 
 
-@query()
+@query(
+    f"""{EMB}, {near(0.15, 'b.x, b.y, b.z')}, s AS (SELECT q, count(*) AS k, {', '.join(f'covar_pop({k[0]}, {k[1]}) AS {k}' for k in _COV)} FROM n GROUP BY q), {least_axis('s')},
+u AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) * CASE WHEN vz < 0 THEN -1 ELSE 1 END AS size FROM axis)
+SELECT q AS idx, {', '.join(r6(f'CASE WHEN k >= 3 THEN v{c} / size ELSE 0.0 END', f'n{c}') for c in 'xyz')}, {r6('CASE WHEN k >= 3 THEN greatest(v, 0) / c2 ELSE 0.0 END', 'curvature')} FROM u"""
+)
 def normal_estimation(spark, sf_dir):
     return E.normal_estimation(embedding_points(spark, sf_dir), 0.15, (0.0, 0.0, 1.0)).select("idx", *map(rounded, ("nx", "ny", "nz", "curvature")))
 
@@ -232,9 +258,20 @@ def intensity_gradient_solved(spark, sf_dir):
     return E.intensity_gradient(p, 0.15).join(many, "idx").select("idx", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("gx", "gy", "gz")))
 
 
-@query()
+_FILLED = {k: f"{k} + fill * v{k[0]} * v{k[1]} / (vx * vx + vy * vy + vz * vz)" for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+
+
+@query(
+    f"""{EMB}, {near(0.15, 'b.x, b.y, b.z, b.intensity AS w')}, s AS (SELECT q, count(*) AS k, {', '.join(f'covar_pop({c[0]}, {c[1]}) AS {c}' for c in _COV)}, {', '.join(f'covar_pop({c}, w) AS i{c}' for c in 'xyz')} FROM n GROUP BY q HAVING count(*) >= 3), {least_axis('s')},
+f AS (SELECT *, CASE WHEN v <= 1e-9 * c2 THEN c2 ELSE 0.0 END AS fill, (vx * ix + vy * iy + vz * iz) / (vx * vx + vy * vy + vz * vz) AS off FROM axis),
+m AS (SELECT q, {', '.join(f'{e} AS {k}' for k, e in _FILLED.items())}, {', '.join(f'i{c} - CASE WHEN fill > 0 THEN off * v{c} ELSE 0 END AS i{c}' for c in 'xyz')} FROM f),
+h AS (SELECT q, {_det(_CI, _CY, _CZ)} / {_det(_CX, _CY, _CZ)} AS a, {_det(_CX, _CI, _CZ)} / {_det(_CX, _CY, _CZ)} AS b, {_det(_CX, _CY, _CI)} / {_det(_CX, _CY, _CZ)} AS c FROM m),
+t AS (SELECT p.idx, nx, ny, nz, a, b, c, a * nx + b * ny + c * nz AS along FROM p LEFT JOIN h ON p.idx = h.q)
+SELECT idx, {', '.join(f'coalesce(round({g} - n{c} * along, 4), 0) + 0 AS g{c}' for g, c in zip('abc', 'xyz', strict=True))} FROM t"""
+)
 def intensity_gradient(spark, sf_dir):
-    return E.intensity_gradient(embedding_points(spark, sf_dir), 0.15).select("idx", *map(rounded, ("gx", "gy", "gz")))
+    """All gradients: of three points, or of points in a plane, the shortest one that fits."""
+    return E.intensity_gradient(embedding_points(spark, sf_dir), 0.15).select("idx", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("gx", "gy", "gz")))
 
 
 def _pair(a: str, b: str) -> str:

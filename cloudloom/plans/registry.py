@@ -52,3 +52,25 @@ def r6(sql: str, name: str) -> str:
 
 def r6s(*names: str) -> str:
     return ", ".join(r6(n, n) for n in names)
+
+
+def least_axis(table: str, entries: tuple[str, ...] = ("xx", "xy", "xz", "yy", "yz", "zz")) -> str:
+    """CTEs up to `axis`: the table with v, the smallest eigenvalue of its symmetric matrices, and the eigenvector vx, vy, vz of no given sign or length.
+
+    The root of the characteristic polynomial comes by Newton's steps from 0, below
+    which a covariance matrix has none; the vector is the longest column of the adjugate.
+    """
+    xx, xy, xz, yy, yz, zz = entries
+    c1, c0 = f"({xx} * {yy} - {xy} * {xy} + {xx} * {zz} - {xz} * {xz} + {yy} * {zz} - {yz} * {yz})", f"({xx} * ({yy} * {zz} - {yz} * {yz}) - {xy} * ({xy} * {zz} - {yz} * {xz}) + {xz} * ({xy} * {yz} - {yy} * {xz}))"
+    slope = "(3 * v * v - 2 * c2 * v + c1)"
+    crosses = {"a": ("({xx} - v)", "{xy}", "{xz}", "{xy}", "({yy} - v)", "{yz}"), "b": ("({xx} - v)", "{xy}", "{xz}", "{xz}", "{yz}", "({zz} - v)"), "c": ("{xy}", "({yy} - v)", "{yz}", "{xz}", "{yz}", "({zz} - v)")}
+    names = dict(xx=xx, xy=xy, xz=xz, yy=yy, yz=yz, zz=zz)
+    parts = []
+    for k, (a, b, c, d, e, f) in crosses.items():
+        a, b, c, d, e, f = (t.format(**names) for t in (a, b, c, d, e, f))
+        parts += [f"{b} * {f} - {c} * {e} AS j{k}x", f"{c} * {d} - {a} * {f} AS j{k}y", f"{a} * {e} - {b} * {d} AS j{k}z"]
+    size = {k: f"j{k}x * j{k}x + j{k}y * j{k}y + j{k}z * j{k}z" for k in "abc"}
+    pick = ", ".join(f"CASE WHEN {size['a']} >= greatest({size['b']}, {size['c']}) THEN ja{k} WHEN {size['b']} >= {size['c']} THEN jb{k} ELSE jc{k} END AS v{k}" for k in "xyz")
+    return f"""poly AS (SELECT *, {xx} + {yy} + {zz} AS c2, {c1} AS c1, {c0} AS c0 FROM {table}),
+root AS (SELECT *, list_reduce(list_transform(range(61), lambda k: k * 0.0::DOUBLE), lambda v, k: CASE WHEN {slope} <= 0 THEN v ELSE v - (((v - c2) * v + c1) * v - c0) / {slope} END) AS v FROM poly),
+adjugate AS (SELECT *, {', '.join(parts)} FROM root), axis AS (SELECT *, {pick} FROM adjugate)"""

@@ -241,8 +241,7 @@ def test_narf(spark, sf_dir, points):
         assert r.descriptor == pytest.approx(star(blurred, 36, 0.3, 2 * np.pi * round(r.rotation * 18 / np.pi) / 36).tolist(), abs=0.02)
 
 
-CHECKED = set(
-    "normal_estimation intensity_gradient gasd_shape gasd_shape_trilinear gasd_color random_sample sac_plane sac_line sac_sphere sac_perpendicular_plane sac_parallel_plane sac_parallel_line projection_matrix surface_info normal_within pair_impact_angles border_traits narf".split()
+CHECKED = set("gasd_shape gasd_shape_trilinear gasd_color random_sample sac_plane sac_line sac_sphere sac_perpendicular_plane sac_parallel_plane sac_parallel_line projection_matrix border_traits narf".split())
 )
 
 

@@ -10,6 +10,7 @@ from cloudloom.operators import aggregates as A
 from cloudloom.operators import filters as L
 from cloudloom.operators import grid as G
 from cloudloom.operators import neighbors as N
+from cloudloom.operators import kdtree, pyramid
 from cloudloom.operators import points as P
 
 XYZ = "idx long, x double, y double, z double"
@@ -180,8 +181,7 @@ def test_an_outlier_does_not_widen_other_searches(spark):
     d2 = ((at[:, None] - at[None]) ** 2).sum(2)
     got = N.knn_search(df, k).orderBy("qidx", "rank").collect()
     assert [r.idx for r in got] == np.argsort(d2, axis=1, kind="stable")[:, :k].ravel().tolist()
-    asked = N.as_queries(df)
-    assert N.within_reach(df, N.reach_bounds(df, asked, k)).count() <= 50 * n * k
+    assert pyramid.candidates(df, N.as_queries(df).select("qx", "qy", "qz").distinct(), k).count() <= 50 * n * k
     kept = {r.idx for r in L.statistical_outlier_removal(df, k, 1.0).select("idx").collect()}
     assert 1500 not in kept and len(kept) == n - 1
     far = df.limit(0).select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in "xyz"))
@@ -235,3 +235,57 @@ def test_median_of_windows_with_missing_points(spark, window):
             continue
         m = sorted(near)[len(near) // 2]
         assert got[i, j] == (m if own - m <= 1.5 else m + 1.5)
+
+
+def nearest(at, asked, k):
+    """Numbers of the k nearest points, the smallest number of equals."""
+    import numpy as np
+
+    d = (at[None] - asked[:, None]) ** 2
+    d = d[..., 0] + d[..., 1] + d[..., 2]
+    return [np.lexsort((np.arange(len(at)), row))[:k].tolist() for row in d]
+
+
+@pytest.mark.parametrize("top", [1, 8_192])
+def test_descent_through_the_pyramid(spark, monkeypatch, top):
+    """Densities a million apart, one point of a hundred far away, heaps of equal points; levels on the driver or all in joins."""
+    import numpy as np
+
+    monkeypatch.setattr(pyramid, "TOP", top)
+    r = np.random.default_rng(top)
+    far = r.standard_normal((300, 3))
+    far[::100] *= 1e6
+    clouds = {"dense": np.concatenate([r.random((150, 3)) * 1e-6, r.random((150, 3)) + 2]), "far": far, "heaps": np.concatenate([np.zeros((120, 3)), r.integers(0, 3, (120, 3)).astype(float)])}
+    for name, at in clouds.items() if top > 1 else [("far", far[:120])]:
+        df, k = cloud(spark, at).repartition(3), 6
+        got = {}
+        for row in N.knn_search(df, k).orderBy("qidx", "rank").collect():
+            got.setdefault(row.qidx, []).append(row.idx)
+        assert [got[i] for i in range(len(at))] == nearest(at, at, k), name
+        places = N.as_queries(df).select("qx", "qy", "qz").distinct()
+        assert pyramid.candidates(df, places, k).count() <= 50 * k * len(at)
+
+
+def test_split_tree(spark):
+    """Leaves of about the same number of points, where cells as wide as the radius are not; the same neighbours as cells find."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    at = np.concatenate([r.standard_normal((1_500, 3)) * 0.02, r.random((500, 3)) * 4, [[9.0, 9.0, 9.0]] * 5])
+    df = cloud(spark, at).repartition(3).union(spark.createDataFrame([(10_000, float("nan"), 0.0, 0.0)], XYZ))
+    tree = kdtree.split_tree(df, leaf=100)
+    sizes = [row.n for row in kdtree.leaf_sizes(df, tree).collect()]
+    assert tree.leaves == 32 and sum(sizes) == len(at) and max(sizes) <= 2 * sum(sizes) / tree.leaves
+    cells = df.where("idx < 10000").groupBy(*(F.floor(F.col(c) / 0.3) for c in "xyz")).count().agg(F.max("count"), F.avg("count")).first()
+    assert cells[0] > 10 * cells[1]
+    few = N.as_queries(df).where("qidx % 20 = 0 or qidx >= 2000")
+    for radius, strict in ((0.3, False), (0.01, True)):
+        want = {tuple(row) for row in N.radius_search(df, radius, few, strict).collect()}
+        got = kdtree.kd_radius(df, radius, few, strict, tree).collect()
+        assert len(got) == len(want) and {tuple(row) for row in got} == want
+    outside = spark.createDataFrame([(1, -50.0, 0.0, 0.0), (2, 9.0, 9.0, 9.1)], "qidx long, qx double, qy double, qz double")
+    assert {row.idx for row in kdtree.kd_radius(df, 0.2, outside, tree=tree).collect()} == set(range(2_000, 2_005))
+    none = df.where("idx < 0")
+    assert kdtree.split_tree(none).leaves == 1 and kdtree.kd_radius(none, 1.0).collect() == []
+    with_more = kdtree.kd_radius(df.withColumn("intensity", F.col("idx") * 2.0), 0.001, few, tree=kdtree.grow(at, 0), extra=("intensity",))
+    assert all(row.intensity == 2.0 * row.idx for row in with_more.collect())

@@ -380,3 +380,32 @@ def test_pcd_types_and_orders_of_fields(data):
         assert np.array_equal(got[k].reshape(np.array(v).shape), np.array(v).astype(got[k].dtype), equal_nan=k == "y"), k
     points = pcd.point_columns(again, got, ["x", "z", "nz", "label", "intensity"])
     assert points["x"].tolist() == [-7, 300] and points["nz"].tolist() == [1, 0] and points["label"].tolist() == [3, 255] and points["intensity"].tolist() == [0, 0]
+
+
+def test_least_axis_and_solution_of_all_ranks(spark):
+    """Closed forms against numpy: random matrices, and ones with equal or vanishing eigenvalues."""
+    from cloudloom.functions.linalg import ENTRIES, least_axis, solution
+
+    r = np.random.default_rng(3)
+    spectra = [*(10.0 ** r.uniform(-3, 3, (60, 3))), *([0, 0, 0], [1, 1, 1], [2, 1, 1], [2, 2, 1], [5, 0, 0], [5, 3, 0], [1, 1, 0], [1e-200, 2e-200, 3e-200])]
+    matrices = []
+    for d in spectra:
+        q = np.linalg.qr(r.standard_normal((3, 3)))[0]
+        matrices += [np.diag(d).astype(float), (q * np.asarray(d, float)) @ q.T]
+    right = r.standard_normal((len(matrices), 3))
+    rows = [(i, *(float(m["xyz".index(a), "xyz".index(b)]) for a, b in ENTRIES), *map(float, v)) for i, (m, v) in enumerate(zip(matrices, right, strict=True))]
+    df = spark.createDataFrame([*rows, (-1, None, *[1.0] * 8)], "i long, " + ", ".join(f"{n} double" for n in (*ENTRIES, "bx", "by", "bz")))
+    found = df.select("i", least_axis(list(ENTRIES)).alias("e"), solution(list(ENTRIES), ["bx", "by", "bz"]).alias("s")).where("i < 0 or e.nx is not null").collect()
+    assert len(found) == len(rows) + 1
+    for o in found:
+        if o.i < 0:
+            assert o.e is None and o.s is None
+            continue
+        m, b = matrices[o.i], right[o.i]
+        w, v = np.linalg.eigh(m)
+        n, most = np.array([o.e.nx, o.e.ny, o.e.nz]), max(np.abs(w).max(), 1e-300)
+        assert n @ n == pytest.approx(1) and np.abs(m @ n - o.e.l3 * n).max() <= 1e-7 * most and n[np.abs(n).argmax()] > 0
+        assert np.abs(np.array([o.e.l3, o.e.l2, o.e.l1]) - w).max() <= 1e-7 * most
+        kept = np.abs(w) > 1e-9 * most
+        want = v @ np.where(kept, (v.T @ b) / np.where(kept, w, 1), 0)
+        assert [o.s.x, o.s.y, o.s.z] == pytest.approx(want.tolist(), rel=1e-4, abs=1e-4 * np.abs(want).max())
