@@ -115,8 +115,8 @@ def first_pairs(rows: list, k: int, levels: int) -> tuple[np.ndarray, np.ndarray
         return down[who[down]], other[at][who[down]]
 
     root = np.flatnonzero(parent < 0)
-    q, c = root[asked[root] & (n[root] > 0)], root[asked[root] & (n[root] > 0)]
-    for _ in range(levels):
+    q = c = root[asked[root] & (n[root] > 0)]
+    for _ in range(levels if len(q) else 0):
         q, c = below(q, c, asked)
         c, q = below(c, q, n > 0)
         least, most = np.zeros(len(q)), np.zeros(len(q))
