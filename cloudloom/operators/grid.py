@@ -8,12 +8,16 @@ all points is one row from each task in the shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cloud import finite
 from .aggregates import attribute_means, finite_bound
+from .store import saved
 
 KEYS = ("kx", "ky", "kz")
 
@@ -52,6 +56,16 @@ def octree_depth(extent: float, resolution: float) -> int:
     return max(0, math.ceil(math.log2(extent / resolution))) if extent > 0 else 0
 
 
+def octree_extent(df: DataFrame) -> DataFrame:
+    """One row, to be broadcast: extent, the longest side of the finite points' box."""
+    return F.broadcast(finite_bound(df).select(F.greatest(*(F.col(f"max_{a}") - F.col(f"min_{a}") for a in "xyz")).alias("extent")))
+
+
+def depth_of(extent: Column, resolution: Column) -> Column:
+    """octree_depth() of columns."""
+    return F.when(extent > 0, F.greatest(F.lit(0), F.ceil(F.log2(extent / resolution)))).otherwise(0).cast("int")
+
+
 def octree_side(resolution: float, depth: int, level: int) -> float:
     """The side of a voxel `level` below the root (0: the whole cube) of a tree of some depth."""
     return resolution * 2.0 ** (depth - level)
@@ -120,30 +134,94 @@ def octree_occupancy(leaves: DataFrame, depth: int) -> DataFrame:
     return marked.groupBy("s.path", "s.level").agg(F.bit_or(F.expr("shiftleft(1, s.child)")).alias("occupancy"))
 
 
-def octree_encode(leaves: DataFrame, depth: int, value: str) -> tuple[bytes, list]:
-    """(occupancy bytes in pre-order, leaf values in the same order) of a tree that fits on the driver."""
-    code = [r.occupancy for r in octree_occupancy(leaves, depth).orderBy("path").collect()]
-    path = F.concat(F.lit(""), *(child_bit(depth - 1 - d).cast("string") for d in range(depth)))
-    return bytes(code), [r[0] for r in leaves.orderBy(path).select(value).collect()]
+#: Bytes of a block of an encoded octree.
+BLOCK = 1 << 16
+
 
+def _path(depth: int) -> Column:
+    return F.concat(F.lit(""), *(child_bit(depth - 1 - d).cast("string") for d in range(depth)))
+
+
+def _before(nodes: DataFrame, weight: Column) -> DataFrame:
+    """path, before: what comes earlier among a node's siblings, by the weights in and below them.
+
+    Each node counts for itself and all above it; the sums are made where the
+    nodes are, so a root is one row from each task.
+    """
+    up = F.explode(F.sequence(F.lit(0), F.length("path")))
+    total = nodes.select("path", weight.alias("w"), up.alias("n")).groupBy(F.expr("substring(path, 1, n)").alias("path")).agg(F.sum("w").alias("w"))
+    siblings = Window.partitionBy(F.expr("if(path = '', null, substring(path, 1, length(path) - 1))")).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # of 8 rows at most
+    return total.select("path", F.coalesce(F.sum("w").over(siblings), F.lit(0)).alias("before"))
 
-def octree_decode(code: bytes, values: list, depth: int) -> list[tuple[int, int, int, object]]:
-    """(kx, ky, kz, value) of the leaves, in order."""
-    out, at = [], 0
 
-    def walk(level: int, kx: int, ky: int, kz: int) -> None:
-        nonlocal at
-        if level == depth:
-            out.append((kx, ky, kz, values[len(out)]))
+def _numbered(nodes: DataFrame, before: DataFrame) -> DataFrame:
+    """The nodes with `at`: what comes before them in all of the tree, without the nodes above them."""
+    up = nodes.select(F.col("path").alias("node"), F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n")).select("node", F.expr("substring(node, 1, n)").alias("path"))
+    return nodes.join(up.join(before, "path").groupBy(F.col("node").alias("path")).agg(F.sum("before").alias("at")), "path")
+
+
+def octree_encode(leaves: DataFrame, depth: int, value: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(blocks, values) of an octree of a depth of 1 or more, with distinct leaves kx, ky, kz.
+
+    values: position of a leaf in depth-first order, and its value.  blocks: block,
+    start (the offset of its first byte), code (the bytes of up to `block` inner nodes
+    in that order, see octree_occupancy), and the state in which reading starts
+    there: path, the first node's, masks, the bytes of those above it, and leaf,
+    the number of leaves before it.  A node's offset is the number of those above it and
+    the sizes of all earlier siblings' subtrees, its own and theirs above it; so
+    offsets need no order over the whole tree.  Code blocks one after the other are the encoding.
+    """
+    nodes = saved(octree_occupancy(leaves, depth))
+    leaf = leaves.select(_path(depth).alias("path"), F.col(value).alias("value"))
+    shape = F.lit(1).cast("bigint")
+    at = saved(_numbered(nodes, _before(nodes, shape)).select("path", "level", "occupancy", (F.col("at") + F.col("level")).alias("offset")))
+    fruit = saved(_before(leaf.select("path"), shape))
+    values = _numbered(leaf, fruit).select(F.col("at").alias("position"), "value")
+    of = at.withColumn("block", F.expr(f"offset div {int(block)}"))
+    code = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "occupancy"))), lambda s: F.lpad(F.hex(s["occupancy"]), 2, "0")), ""))  # of a block
+    blocks = of.groupBy("block").agg(F.min("offset").alias("start"), F.min_by("path", "offset").alias("path"), code.alias("code"))
+    first = blocks.select("block", "path", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"))
+    above = first.where("n < length(path)").select("block", F.expr("substring(path, 1, n)").alias("path")).join(at, "path").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "occupancy"))), lambda s: s["occupancy"]).alias("masks"))  # of the depth
+    seen = first.select("block", F.expr("substring(path, 1, n)").alias("path")).join(fruit, "path").groupBy("block").agg(F.sum("before").alias("leaf"))
+    return blocks.join(above, "block", "left").join(seen, "block").select("block", "start", "path", F.coalesce("masks", F.expr("cast(array() as array<int>)")).alias("masks"), "leaf", "code"), values
+
+
+def read_block(code: bytes, path: str, masks: list[int], depth: int) -> Iterator[tuple[int, int, int]]:
+    """kx, ky, kz of the leaves below the nodes of a block, in order."""
+    x = y = z = 0
+    stack = []  # for each node above the current one, which children come after
+    for digit, mask in zip(map(int, path), masks, strict=True):
+        stack.append(mask >> digit + 1 << digit + 1)
+        x, y, z = x * 2 + (digit >> 2), y * 2 + (digit >> 1 & 1), z * 2 + (digit & 1)
+    for mask in code:
+        if len(stack) == depth - 1:
+            for child in range(8):
+                if mask >> child & 1:
+                    yield x * 2 + (child >> 2), y * 2 + (child >> 1 & 1), z * 2 + (child & 1)
+            mask = 0
+        stack.append(mask)
+        while stack and not stack[-1]:
+            stack.pop()
+            if stack:
+                x, y, z = x >> 1, y >> 1, z >> 1
+        if not stack:
             return
-        byte, at = code[at], at + 1
-        for child in range(8):
-            if byte >> child & 1:
-                walk(level + 1, kx * 2 + (child >> 2), ky * 2 + (child >> 1 & 1), kz * 2 + (child & 1))
-
-    if code or values:
-        walk(0, 0, 0, 0)
-    return out
+        child = (stack[-1] & -stack[-1]).bit_length() - 1
+        stack[-1] &= stack[-1] - 1
+        x, y, z = x * 2 + (child >> 2), y * 2 + (child >> 1 & 1), z * 2 + (child & 1)
+
+
+def octree_decode(blocks: DataFrame, values: DataFrame, depth: int) -> DataFrame:
+    """kx, ky, kz, value of the leaves; each block is read by itself, from the state that it starts in."""
+
+    def run(batches):
+        for batch in batches:
+            for path, masks, leaf, code in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                keys = np.array(list(read_block(code, path, masks, depth)), np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(3)), pa.array(leaf + np.arange(len(keys)))], names=[*KEYS, "position"])
+
+    found = blocks.select("path", "masks", "leaf", "code").mapInArrow(run, "kx bigint, ky bigint, kz bigint, position bigint")
+    return found.join(values, "position").select(*KEYS, "value")
 
 
 class Octree:

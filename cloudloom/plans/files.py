@@ -51,3 +51,14 @@ def pcd_overwrite(spark, sf_dir):
     pcd.write_pcd(p.where("even").drop("even"), path, "ascii", mode="overwrite", viewpoint=(1, 2, 3, 0, 0, 0, 1))
     back = pcd.read_pcd(spark, path, ["x", "y", "z", "label"], viewpoint=True)
     return back.select(F.col("label").alias("idx"), *(F.col(c).cast("float").alias(c) for c in ("x", "y", "z")), "viewpoint")
+
+
+@query(f"""{EMB}, n AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS pos FROM p) SELECT idx, {', '.join(f'{c}::FLOAT AS {c}' for c in 'xyz')}, (pos // 62)::INTEGER AS part FROM n WHERE pos >= 100""")
+def pcd_split_read(spark, sf_dir):
+    """One file of all points, read by a task for each 62 of them (992 bytes)."""
+    pcd.register(spark)
+    path = f"{shared_folder(spark)}/pcd-{uuid.uuid4().hex}"
+    p = embedding_points(spark, sf_dir).select("idx", "x", "y", "z", F.col("idx").alias("label"))
+    pcd.write_pcd(p, path, single=True)
+    back = pcd.read_pcd(spark, path, ["x", "y", "z", "label"], split=1_000)
+    return back.select(F.col("idx").alias("at"), F.col("label").alias("idx"), *(F.col(c).cast("float").alias(c) for c in "xyz"), F.spark_partition_id().alias("part")).where("at >= 100").drop("at")

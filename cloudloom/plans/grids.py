@@ -85,6 +85,33 @@ def octree_occupancy_bytes(spark, sf_dir):
     return G.octree_occupancy(G.octree_leaves(embedding_points(spark, sf_dir), 0.1), 4)
 
 
+_NODES = f"""{EMB}, {_B}, v AS (SELECT DISTINCT {_key(0.1)} FROM p, b), n AS (SELECT {', '.join(f'{_CHILD.format(3 - d)} AS c{d}' for d in range(4))} FROM v),
+s AS (SELECT '' AS path, c0 AS child FROM n UNION ALL SELECT c0::VARCHAR, c1 FROM n UNION ALL SELECT c0 || '' || c1, c2 FROM n UNION ALL SELECT c0 || '' || c1 || '' || c2, c3 FROM n),
+o AS (SELECT path, bit_or((1 << child)::INTEGER) AS mask, row_number() OVER (ORDER BY path) - 1 AS pos FROM s GROUP BY path)"""
+
+
+@query(f"{_NODES} SELECT pos // 16 AS block, min(pos) AS start, string_agg(printf('%02X', mask), '' ORDER BY pos) AS code FROM o GROUP BY ALL")
+def octree_bytes(spark, sf_dir):
+    """The encoding in blocks of 16 bytes."""
+    leaves = G.octree_leaves(embedding_points(spark, sf_dir), 0.1)
+    return G.octree_encode(leaves, 4, "n", 16)[0].select("block", "start", F.hex("code").alias("code"))
+
+
+@query(f"{EMB}, e AS (SELECT greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS extent FROM p) SELECT r AS resolution, greatest(0, ceil(log2(extent / r)))::INTEGER AS depth FROM e, (SELECT unnest([0.01, 0.05, 0.1, 2.0])::DOUBLE AS r)")
+def octree_depths(spark, sf_dir):
+    """How deep trees of some resolutions are."""
+    p = embedding_points(spark, sf_dir)
+    sizes = spark.createDataFrame([(0.01,), (0.05,), (0.1,), (2.0,)], "resolution double")
+    return sizes.crossJoin(G.octree_extent(p)).select("resolution", G.depth_of(F.col("extent"), F.col("resolution")).alias("depth"))
+
+
+@query(f"{EMB}, {_B}, k AS (SELECT {_key(0.1)} FROM p, b) SELECT kx, ky, kz, count(*) AS value FROM k GROUP BY ALL")
+def octree_decoded(spark, sf_dir):
+    """Leaves and their numbers of points, decoded from blocks of 16 bytes."""
+    leaves = G.octree_leaves(embedding_points(spark, sf_dir), 0.1)
+    return G.octree_decode(*G.octree_encode(leaves, 4, "n", 16), 4)
+
+
 @query(f"{EMB}, {_B}, k AS (SELECT *, {_key(0.2)} FROM p, b) SELECT idx FROM k WHERE kx = floor((0.05 - min_x) / 0.2) AND ky = floor((0.05 - min_y) / 0.2) AND kz = floor((0.05 - min_z) / 0.2)")
 def voxel_search(spark, sf_dir):
     from ..operators.neighbors import voxel_search as search

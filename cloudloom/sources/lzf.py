@@ -7,6 +7,8 @@ lower five, with the next byte, the distance less 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 WINDOW, MAX_MATCH, MAX_RUN = 1 << 13, 264, 32
 
 
@@ -103,3 +105,41 @@ def decompress(data: bytes, size: int) -> bytes:
             part = bytes(out[start:])
             out += (part * (length // len(part) + 1))[:length]
     return bytes(out)
+
+
+def stream(read: Callable[[int], bytes], packed: int, chunk: int = 1 << 18) -> Iterator[bytes]:
+    """The same in pieces of about `chunk` bytes, from `packed` bytes that read(n) gives in turn; only the last WINDOW bytes are kept."""
+    out, done, left, data, i = bytearray(), 0, packed, b"", 0
+    while True:
+        if len(data) - i < 34 and left:  # a token has 33 bytes at most
+            more = read(min(left, chunk))
+            if not more:
+                raise DataCorrupted("the data end early")
+            left -= len(more)
+            data, i = data[i:] + more, 0
+            continue
+        if i >= len(data):
+            break
+        control = data[i]
+        if control < MAX_RUN:
+            end = i + control + 2
+            if end > len(data):
+                raise DataCorrupted("a run is cut off")
+            out += data[i + 1 : end]
+            i = end
+        else:
+            far = control >> 5 == 7
+            if i + 1 + far >= len(data):
+                raise DataCorrupted("a reference is cut off")
+            length = (control >> 5) + 2 + (data[i + 1] if far else 0)
+            start = len(out) - ((control & 31) << 8 | data[i + 1 + far]) - 1
+            i += 2 + far
+            if start < 0:
+                raise DataCorrupted("a reference before the start")
+            part = bytes(out[start : start + length])
+            out += (part * (length // len(part) + 1))[:length]
+        if len(out) >= chunk + 2 * WINDOW:
+            yield bytes(out[done : len(out) - WINDOW])
+            del out[: len(out) - WINDOW]
+            done = 0
+    yield bytes(out[done:])

@@ -1,14 +1,14 @@
 """PCD files: a text header, then points as text, as records, or as compressed columns.
 
-read_pcd and write_pcd work on whole folders: a file is a row of Spark's binary
-source, decoded on an executor, and each partition of a DataFrame is written as
-one file by Spark's own writer protocol.  `format("pcd")` is the same as a
-Python data source (register with `register(spark)`).
+read_pcd and write_pcd work on whole folders by a Python data source,
+`format("pcd")` (register with `register(spark)`): files are read in splits, and
+each partition of a DataFrame is written as one file.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -217,25 +217,18 @@ def pack(columns: dict[str, np.ndarray], width: int | None = None, data: str = "
 COLUMN_TYPES = {"rgba": "long", "label": "long"}
 
 
-def read_pcd(spark: SparkSession, path: str, columns: list[str] | None = None, viewpoint: bool = False) -> DataFrame:
-    """file, idx (position in the file), row, col and the point columns of all files under a path; with `viewpoint` also the file's (position, then quaternion x y z w)."""
-    names = columns or ["x", "y", "z"]
-    ddl = "file string, idx long, row long, col long, " + ", ".join(f"{c} {COLUMN_TYPES.get(c, 'double')}" for c in names) + (", viewpoint array<double>" if viewpoint else "")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                head, data = decode(blob.as_py())
-                got = point_columns(head, data, names)
-                for lo in range(0, head.points, 65_536):
-                    idx = np.arange(lo, min(head.points, lo + 65_536))
-                    columns = {"file": pa.array([name] * len(idx), pa.string()), "idx": pa.array(idx), "row": pa.array(idx // head.width), "col": pa.array(idx % head.width)}
-                    columns |= {c: pa.array(v[lo : lo + 65_536].astype("i8" if c in COLUMN_TYPES else "f8")) for c, v in got.items()}
-                    if viewpoint:
-                        columns["viewpoint"] = pa.array([head.viewpoint] * len(idx), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_pydict(columns)
+def read_pcd(spark: SparkSession, path: str, columns: list[str] | None = None, viewpoint: bool = False, split: int | None = None) -> DataFrame:
+    """file, idx (position in the file), row, col and the point columns of all files under a path; with `viewpoint` also the file's (position, then quaternion x y z w).
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ddl)
+    Files are read in splits of about `split` bytes of points (SPLIT), only the
+    columns asked for are decoded, and no task holds more than its own points of them.
+    With spark.sql.python.filterPushdown.enabled, bounds of idx leave splits out.
+    """
+    register(spark)
+    names = columns or ["x", "y", "z"]
+    more = ["file", "row", "col", *(["viewpoint"] if viewpoint else [])]
+    found = spark.read.format("pcd").option("columns", ",".join(names)).option("more", ",".join(more)).option("split", str(split or SPLIT)).option("filters", spark.conf.get("spark.sql.python.filterPushdown.enabled")).load(path)
+    return found.select("file", "idx", "row", "col", *names, *more[3:])
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -269,11 +262,12 @@ class PcdSource(DataSource):
         return "pcd"
 
     def schema(self) -> str:
-        names = [c.strip() for c in self.options.get("columns", "x,y,z").split(",")]
-        return ", ".join(["idx long", *(f"{c} {COLUMN_TYPES.get(c, 'double')}" for c in names)])
+        names, more = ([c.strip() for c in self.options.get(k, v).split(",") if c.strip()] for k, v in (("columns", "x,y,z"), ("more", "")))
+        return ", ".join(["idx long", *(f"{c} {COLUMN_TYPES.get(c, 'double')}" for c in names), *(f"{c} {_MORE[c]}" for c in more)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], [f.name for f in schema if f.name != "idx"])
+        kind = _BoundedReader if self.options.get("filters", "false") == "true" else _Reader
+        return kind(self.options["path"], schema.fieldNames(), int(self.options.get("split", SPLIT)))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         view = tuple(float(v) for v in self.options.get("viewpoint", "").split())
@@ -289,9 +283,112 @@ def _folder(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+#: Bytes of points that one task reads.
+SPLIT = 64 << 20
+#: Points in a batch.
+BATCH = 65_536
+#: Columns of the file and not of its points.
+_MORE = {"file": "string", "row": "long", "col": "long", "viewpoint": "array<double>"}
+
+
+@dataclass
+class _Split(InputPartition):
+    """Points first to last - 1 of a file; of a file of text, all."""
+
+    path: str
+    head: Header
+    at: int
+    first: int
+    last: int
+
+
+def _header(stream) -> tuple[Header, int]:
+    """The header at the start of a stream, read until it is whole."""
+    blob = b""
+    while True:
+        more = stream.read(1 << 12)
+        blob += more
+        try:
+            return parse_header(blob)
+        except PcdError:
+            if not more or len(blob) > 1 << 20 or re.search(rb"(?m)^DATA\s.*\n", blob):
+                raise
+
+
+def _wanted(head: Header, names: list[str]) -> list[Field]:
+    """The fields that the columns come from."""
+    return [f for f in head.fields if any(t in names for t in GROUPS.get(f.name, (ALIASES.get(f.name, f.name),)))]
+
+
+def _read_text(stream, part: _Split, fields: list[Field]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Points of a file of text, batch by batch."""
+    per, n, rest = sum(f.count for f in part.head.fields), 0, []
+    columns, k = {}, 0
+    for f in part.head.fields:
+        columns[f.name] = slice(k, k + f.count)
+        k += f.count
+    cut = b""
+    while n < part.last:
+        raw = stream.read(1 << 20)
+        cut += raw
+        end = max(cut.rfind(b"\n"), cut.rfind(b" ")) + 1 if raw else len(cut)
+        rest += cut[:end].split()
+        cut = cut[end:]
+        have = min(len(rest) // per, part.last - n)
+        if not raw and n + have < part.last:
+            raise PcdError("points are missing")
+        if have:
+            table = np.array(rest[: have * per], "S").reshape(have, per)
+            yield n, {f.name: _numbers(table[:, columns[f.name]], f) for f in fields}
+            n, rest = n + have, rest[have * per :]
+
+
+def _read_records(stream, part: _Split, fields: list[Field]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Points of a file of records: only the bytes of the split are read."""
+    dtype, place = part.head.record(), {f.name: k for k, f in enumerate(part.head.fields)}
+    stream.seek(part.at + part.first * dtype.itemsize)
+    for lo in range(part.first, part.last, BATCH):
+        n = min(BATCH, part.last - lo)
+        raw = stream.read(n * dtype.itemsize)
+        if len(raw) < n * dtype.itemsize:
+            raise PcdError("points are missing")
+        rows = np.frombuffer(raw, dtype)
+        yield lo, {f.name: rows[f"f{place[f.name]}"] for f in fields}
+
+
+def _read_columns(stream, part: _Split, fields: list[Field]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Points of a compressed file, which has one field after the other: unpacked as it is read, up to the last byte that is asked for, of which the rest is not kept."""
+    stream.seek(part.at)
+    packed, size = (int.from_bytes(stream.read(4), "little") for _ in range(2))
+    head, parts, at = part.head, [], 0
+    if size < head.points * head.record().itemsize:
+        raise PcdError("points are missing")
+    for f in head.fields:
+        width = f.size * f.count
+        if any(f is g for g in fields):
+            parts.append((at + part.first * width, at + part.last * width, f, bytearray()))
+        at += head.points * width
+    chunks = lzf.stream(stream.read, packed) if packed != size else iter(lambda: stream.read(1 << 20), b"")
+    seen, end = 0, max((p[1] for p in parts), default=0)
+    while seen < end:
+        chunk = next(chunks, b"")
+        if not chunk:
+            raise PcdError("points are missing")
+        for lo, hi, _, held in parts:
+            held += chunk[max(0, lo - seen) : max(0, hi - seen)]
+        seen += len(chunk)
+    yield part.first, {f.name: np.frombuffer(held, f.dtype).reshape(part.last - part.first, f.count) for _, _, f, held in parts}
+
+
+_READ = {"ascii": _read_text, "binary": _read_records, "binary_compressed": _read_columns}
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, names: list[str]):
-        self.path, self.names = path, names
+    """Splits of whole records.  Text is one split a file, as a line's place tells nothing of its number, but is read in parts; compressed files have splits of the unpacked points."""
+
+    def __init__(self, path: str, names: list[str], split: int):
+        self.path, self.names, self.split = path, names, split
+        self.least, self.most = 0, math.inf
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -299,15 +396,51 @@ class _Reader(DataSourceReader):
         system, path = _folder(self.path)
         info = system.get_file_info(path)
         files = [info] if info.is_file else system.get_file_info(fs.FileSelector(path))
-        return [InputPartition(f.path) for f in sorted(files, key=lambda f: f.path) if f.path.endswith(".pcd")]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        out = []
+        for f in sorted(files, key=lambda f: f.path):
+            if f.path.endswith(".pcd"):
+                with system.open_input_stream(f.path) as stream:
+                    head, at = _header(stream)
+                step = max(1, self.split // max(1, head.record().itemsize)) if head.data != "ascii" else max(1, head.points)
+                out += [_Split(f.path, head, at, lo, min(head.points, lo + step)) for lo in range(0, head.points, step) if lo + step > self.least and lo <= self.most]
+        return out or [_Split("", Header([], 0, 0), 0, 0, 0)]
+
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+        if part.first >= part.last:
+            return
+        points = [n for n in self.names if n != "idx" and n not in _MORE]
         system, _ = _folder(self.path)
-        with system.open_input_stream(partition.value) as stream:
-            head, data = decode(stream.read())
-        got = point_columns(head, data, self.names)
-        arrays = [pa.array(np.arange(head.points)), *(pa.array(v.astype("i8" if c in COLUMN_TYPES else "f8")) for c, v in got.items())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["idx", *self.names])
+        fields = _wanted(part.head, points)
+        # Where no column is asked for that the file has, its points are still counted.
+        with system.open_input_file(part.path) as stream:
+            stream.seek(part.at)
+            for lo, data in _READ[part.head.data](stream, part, fields or part.head.fields[:1]):
+                n = len(next(iter(data.values())))
+                got = point_columns(Header(fields, n, 1), data, points)
+                for a in range(0, n, BATCH):
+                    idx = np.arange(lo + a, lo + min(n, a + BATCH))
+                    made = {"idx": pa.array(idx), "row": pa.array(idx // part.head.width), "col": pa.array(idx % part.head.width)}
+                    made |= {c: pa.array(v[a : a + BATCH].astype("i8" if c in COLUMN_TYPES else "f8")) for c, v in got.items()}
+                    if "file" in self.names:
+                        made["file"] = pa.array([part.path] * len(idx), pa.string())
+                    if "viewpoint" in self.names:
+                        made["viewpoint"] = pa.array([part.head.viewpoint] * len(idx), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([made[c] for c in self.names], names=self.names)
+
+
+class _BoundedReader(_Reader):
+    """The same where the session lets sources see filters."""
+
+    def pushFilters(self, filters):
+        """Bounds of idx leave splits out; Spark still tests all filters itself."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("idx",) and isinstance(getattr(f, "value", None), int):
+                kind = type(f).__name__
+                if kind in ("EqualTo", "GreaterThan", "GreaterThanOrEqual"):
+                    self.least = max(self.least, f.value + (kind == "GreaterThan"))
+                if kind in ("EqualTo", "LessThan", "LessThanOrEqual"):
+                    self.most = min(self.most, f.value - (kind == "LessThan"))
+        return filters
 
 
 @dataclass

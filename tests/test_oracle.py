@@ -242,7 +242,6 @@ def test_narf(spark, sf_dir, points):
 
 
 CHECKED = set("gasd_shape gasd_shape_trilinear gasd_color random_sample sac_plane sac_line sac_sphere sac_perpendicular_plane sac_parallel_plane sac_parallel_line projection_matrix border_traits narf".split())
-)
 
 
 def test_every_query_is_checked():

@@ -124,10 +124,12 @@ def test_octree_map(spark):
 
 def test_octree_codec(spark):
     leaves = spark.createDataFrame([(2, 3, 2, 232), (0, 0, 0, 0)], "kx long, ky long, kz long, v long")
-    code, values = G.octree_encode(leaves, 2, "v")
-    assert code == bytes([0b10000001, 0b00000001, 0b00000100])
-    assert values == [0, 232]
-    assert G.octree_decode(code, values, 2) == [(0, 0, 0, 0), (2, 3, 2, 232)]
+    for block in (1, 2, 99):
+        blocks, values = G.octree_encode(leaves, 2, "v", block)
+        assert b"".join(r.code for r in blocks.orderBy("block").collect()) == bytes([0b10000001, 0b00000001, 0b00000100])
+        assert [tuple(r) for r in values.orderBy("position").collect()] == [(0, 0), (1, 232)]
+        assert sorted(map(tuple, G.octree_decode(blocks, values, 2).collect())) == [(0, 0, 0, 0), (2, 3, 2, 232)]
+    assert G.octree_decode(*G.octree_encode(leaves.limit(0), 2, "v"), 2).collect() == []
     assert G.octree_depth(8, 1) == 3 and G.octree_depth(0.5, 1) == 0
 
 
@@ -289,3 +291,30 @@ def test_split_tree(spark):
     assert kdtree.split_tree(none).leaves == 1 and kdtree.kd_radius(none, 1.0).collect() == []
     with_more = kdtree.kd_radius(df.withColumn("intensity", F.col("idx") * 2.0), 0.001, few, tree=kdtree.grow(at, 0), extra=("intensity",))
     assert all(row.intensity == 2.0 * row.idx for row in with_more.collect())
+
+
+def test_octree_codec_in_blocks(spark):
+    """A random tree against a walk through it."""
+    import numpy as np
+
+    depth = 4
+    keys = sorted({tuple(map(int, k)) for k in np.random.default_rng(8).integers(0, 1 << depth, (300, 3))})
+    code, order = [], []
+
+    def walk(some, level):
+        if level < 0:
+            order.extend(some)
+            return
+        parts = [[k for k in some if (k[0] >> level & 1) * 4 + (k[1] >> level & 1) * 2 + (k[2] >> level & 1) == c] for c in range(8)]
+        code.append(sum(1 << c for c in range(8) if parts[c]))
+        for part in parts:
+            if part:
+                walk(part, level - 1)
+
+    walk(keys, depth - 1)
+    leaves = spark.createDataFrame([(*k, n) for n, k in enumerate(keys)], "kx long, ky long, kz long, v long").repartition(3)
+    for block in (7, 1 << 16):
+        blocks, values = G.octree_encode(leaves, depth, "v", block)
+        assert b"".join(r.code for r in blocks.orderBy("block").collect()) == bytes(code)
+        assert [keys[r.value] for r in values.orderBy("position").collect()] == order
+        assert sorted(map(tuple, G.octree_decode(blocks, values, depth).collect())) == [(*k, n) for n, k in enumerate(keys)]

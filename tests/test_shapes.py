@@ -409,3 +409,58 @@ def test_least_axis_and_solution_of_all_ranks(spark):
         kept = np.abs(w) > 1e-9 * most
         want = v @ np.where(kept, (v.T @ b) / np.where(kept, w, 1), 0)
         assert [o.s.x, o.s.y, o.s.z] == pytest.approx(want.tolist(), rel=1e-4, abs=1e-4 * np.abs(want).max())
+
+
+@pytest.mark.parametrize("data", pcd.KINDS)
+def test_pcd_in_splits(spark, tmp_path, data):
+    """Splits give what the whole file gives, of the columns asked for."""
+    r = np.random.default_rng(6)
+    columns = {"x": r.standard_normal(700).astype("f4"), "y": np.zeros(700), "z": np.arange(700.0), "label": r.integers(0, 9, 700), "nx": np.ones(700), "ny": np.zeros(700), "nz": np.arange(700) % 3}
+    for k in range(2):
+        (tmp_path / f"{k}.pcd").write_bytes(pcd.pack(columns, 100, data))
+    for split in (1, 999, 1 << 20):
+        if split > 1 or data == "binary":
+            back = pcd.read_pcd(spark, str(tmp_path), ["z", "label", "nz", "intensity"], viewpoint=True, split=split)
+            assert back.rdd.getNumPartitions() == (2 if data == "ascii" else {1: 1400, 999: 2 * -(-700 // (999 // 28)), 1 << 20: 2}[split])
+            rows = sorted(map(tuple, back.collect()))
+            assert [r[1:7] + r[7:8] for r in rows] == [(i, i // 100, i % 100, float(i), int(columns["label"][i]), float(i % 3), 0.0) for _ in range(2) for i in range(700)]
+            assert rows[0][-1] == [0.0] * 6 + [1.0] and len({r[0] for r in rows}) == 2
+    whole = (tmp_path / "0.pcd").read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "c.pcd").write_bytes(whole[:-40])
+    with pytest.raises(Exception, match="points are missing|end early|cut off"):
+        pcd.read_pcd(spark, str(tmp_path / "cut"), ["x", "nz"]).collect()
+    assert spark.read.format("pcd").option("columns", "curvature").load(str(tmp_path)).selectExpr("sum(curvature)", "count(idx)").first()[:] == (0.0, 1400)
+
+
+def test_pcd_bounds_leave_splits_out(spark, tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    (tmp_path / "a.pcd").write_bytes(pcd.pack({"x": np.arange(100.0)}, None, "binary"))
+    reader = pcd._BoundedReader(str(tmp_path), ["idx", "x"], 40)
+    bounds = [GreaterThanOrEqual(("idx",), 25), LessThan(("idx",), 41)]
+    assert list(reader.pushFilters(bounds)) == bounds
+    assert [(p.first, p.last) for p in reader.partitions()] == [(20, 30), (30, 40), (40, 50)]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = pcd.read_pcd(spark, str(tmp_path), ["x"], split=40).where("idx >= 25 and idx < 41")
+        assert some.rdd.getNumPartitions() == 3 and sorted(r.x for r in some.collect()) == [float(k) for k in range(25, 41)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_lzf_in_pieces():
+    import io
+
+    r = np.random.default_rng(2)
+    for raw in (b"", b"a" * 70_000, bytes(r.integers(0, 4, 60_000, np.uint8)), b"lorem ipsum " * 3_000 + bytes(r.integers(0, 256, 500, np.uint8)) + b"lorem" * 9_000):
+        try:
+            packed = lzf.compress(raw)
+        except lzf.NoCompressionPossible:
+            continue
+        for chunk in (40, 5_000, 1 << 18):
+            assert b"".join(lzf.stream(io.BytesIO(packed).read, len(packed), chunk)) == raw
+        with pytest.raises(lzf.DataCorrupted):
+            list(lzf.stream(io.BytesIO(packed[:-1]).read, len(packed)))
+    with pytest.raises(lzf.DataCorrupted):
+        list(lzf.stream(io.BytesIO(b"\xe0\x00\x05").read, 3))
