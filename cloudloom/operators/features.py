@@ -126,22 +126,34 @@ def _triple(prefix: str, names=("x", "y", "z")) -> tuple:
     return tuple(F.col(f"{prefix}{c}") for c in names)
 
 
-def pfh_counts(df: DataFrame, radius: float, bins: int) -> DataFrame:
-    """idx, bin, v of the pair histogram over the unordered pairs of each neighbourhood (the smaller idx comes first).
+def linked_pairs(df: DataFrame, radius: float, bins: int) -> DataFrame:
+    """i, j, bin and near: each pair (i < j) of points that some neighbourhoods have in common, its bin, worked out once, and whose neighbourhoods these are.
 
-    Pairs are made by a join on the neighbourhood, which Spark splits where one
-    is dense, and are counted where they are made: what is shuffled of them is
-    one row for each bin of a neighbourhood.
+    Points of one neighbourhood are at most two radii apart; those of such pairs
+    whose lists of neighbours have nothing in common are left out.
     """
     require(df, *NORMAL)
-    near = saved(radius_search(df, radius, extra=("x", "y", "z", *NORMAL)).drop("distance"))
-    size = near.groupBy("qidx").agg(F.count("*").alias("n"))
-    a = near.select("qidx", F.col("idx").alias("i"), *(F.col(c).alias(f"a{c}") for c in ("x", "y", "z", *NORMAL)))
-    b = near.select("qidx", F.col("idx").alias("j"), *(F.col(c).alias(f"b{c}") for c in ("x", "y", "z", *NORMAL)))
-    pairs = a.join(b, "qidx").where("i < j")
-    f = pair_features(_triple("a"), _triple("a", NORMAL), _triple("b"), _triple("b", NORMAL))
+    ok = finite(df)
+    lists = saved(radius_search(df, radius).groupBy(F.col("idx").alias("i")).agg(F.collect_list("qidx").alias("qs")))  # of one neighbourhood
+    a = ok.select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "z", *NORMAL)))
+    # A little more than two radii, as distances are rounded.
+    pairs = cell_join(a, ok.select("idx", "x", "y", "z", *NORMAL), 2 * radius * (1 + 1e-9)).where("qidx < idx").where(F.col("d2") <= (2 * radius * (1 + 1e-9)) ** 2)
+    f = pair_features(_triple("q"), _triple("q", NORMAL), _triple(""), _triple("", NORMAL))
     theta, alpha, phi = pair_bins(f, (bins, bins, bins))
-    binned = pairs.where(f["distance"] > 0).groupBy("qidx", (theta + alpha * bins + phi * bins * bins).alias("bin")).agg(F.count("*").alias("c"))
+    binned = pairs.where(f["distance"] > 0).select(F.col("qidx").alias("i"), F.col("idx").alias("j"), (theta + alpha * bins + phi * bins * bins).alias("bin"))
+    both = binned.join(lists, "i").join(lists.toDF("j", "more"), "j")
+    return both.select("i", "j", "bin", F.array_intersect("qs", "more").alias("near")).where(F.size("near") > 0)
+
+
+def pfh_counts(df: DataFrame, radius: float, bins: int) -> DataFrame:
+    """idx, bin, v of the pair histogram over the unordered pairs of each neighbourhood (the smaller idx comes first).
+
+    A pair's bin goes to all neighbourhoods that have both its points; it is counted
+    where it is handed out, so what is shuffled of that is one row for each bin of a
+    neighbourhood.
+    """
+    size = radius_search(df, radius).groupBy("qidx").agg(F.count("*").alias("n"))
+    binned = linked_pairs(df, radius, bins).select(F.explode("near").alias("qidx"), "bin").groupBy("qidx", "bin").agg(F.count("*").alias("c"))
     return binned.join(size, "qidx").select(F.col("qidx").alias("idx"), "bin", (F.col("c") * (HIST_MAX * 2) / (F.col("n") * (F.col("n") - 1))).alias("v"))
 
 

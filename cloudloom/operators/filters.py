@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..cloud import finite, is_finite, require
 from .neighbors import cell_join, knn_search, radius_search
@@ -130,6 +137,92 @@ def dynamic_convolution(df: DataFrame, radius: float, weight: Column, values: tu
     return near.groupBy(F.col("qidx").alias("idx")).agg(*(F.when(total != 0, F.sum(weight * F.col(v)) / total).otherwise(0.0).alias(v) for v in values))
 
 
+class Accumulator(Protocol):
+    """What dynamic_kernel gathers over a neighbourhood; all methods take and give arrays, for many neighbourhoods at once.
+
+    state and result are DDL of named columns.  `group` says which of the `n`
+    neighbourhoods each row is of; rows come in no given order.
+    """
+
+    state: str
+    result: str
+
+    def partial(self, group: np.ndarray, n: int, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The states of n neighbourhoods, each with a row or more: from distance and the values of neighbours."""
+
+    def merge(self, group: np.ndarray, n: int, states: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """One state for each neighbourhood from one or more."""
+
+    def finish(self, states: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The results."""
+
+
+def dynamic_kernel(df: DataFrame, radius: float, kernel: Accumulator, values: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """idx and the kernel's results over the points within the radius of each, itself included.
+
+    Each batch of neighbours is reduced to states where it is made; states are
+    shuffled, sorted by their point, and merged batch by batch, so that neither
+    step holds a neighbourhood.
+    """
+    more = tuple(v for v in values if v not in ("x", "y", "z"))
+    near = radius_search(df, radius, extra=("x", "y", "z", *more)).select("qidx", "distance", *values)
+    state = T.StructType.fromDDL(f"qidx bigint, {kernel.state}")
+    result = T.StructType.fromDDL(f"idx bigint, {kernel.result}")
+
+    def batch_of(schema: T.StructType, ids: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        kinds = to_arrow_schema(schema)
+        return pa.RecordBatch.from_arrays([pa.array(ids, kinds.field(0).type), *(pa.array(columns[f.name], kinds.field(k + 1).type) for k, f in enumerate(schema.fields[1:]))], schema=kinds)
+
+    def numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names) if k}
+
+    def reduce(batches):
+        for batch in batches:
+            ids, group = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            yield batch_of(state, ids, kernel.partial(group, len(ids), numbers(batch)) if len(ids) else {f.name: [] for f in state.fields})
+
+    def merge(batches):
+        held = None  # the state of the last point, of which more may come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
+            ids, group = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            merged = kernel.merge(group, len(ids), numbers(batch))
+            held = batch_of(state, ids[-1:], {k: v[-1:] for k, v in merged.items()})
+            if len(ids) > 1:
+                yield batch_of(result, ids[:-1], kernel.finish({k: v[:-1] for k, v in merged.items()}))
+        if held is not None:
+            yield batch_of(result, held.column(0).to_numpy(), kernel.finish(numbers(held)))
+
+    parts = near.mapInArrow(reduce, state)
+    return parts.repartition("qidx").sortWithinPartitions("qidx").mapInArrow(merge, result)
+
+
+@dataclass(frozen=True)
+class TrimmedMean:
+    """The mean of a value without one smallest and one largest; the median of one or two is their mean."""
+
+    value: str
+    state: str = "n bigint, total double, low double, high double"
+    result: str = "mean double, n bigint"
+
+    def partial(self, group: np.ndarray, n: int, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v = rows[self.value]
+        return self.merge(group, n, {"n": np.ones(len(v), np.int64), "total": v, "low": v, "high": v})
+
+    def merge(self, group: np.ndarray, n: int, states: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        np.minimum.at(low, group, states["low"])
+        np.maximum.at(high, group, states["high"])
+        return {"n": np.bincount(group, states["n"], n).astype(np.int64), "total": np.bincount(group, states["total"], n), "low": low, "high": high}
+
+    def finish(self, states: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n, inner = states["n"], states["total"] - states["low"] - states["high"]
+        return {"mean": np.where(n > 2, inner / np.maximum(n - 2, 1), states["total"] / n), "n": n}
+
+
 def gauss_kernel(df: DataFrame, sigma: float, reach: float, squared: bool = False, values: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Means weighted by exp(-d / (2 sigma^2)), or by the square of d, over the radius sigma * reach."""
     d = F.col("distance")

@@ -8,6 +8,7 @@ the 27 copies of narrow rows (id, coordinates), not the attributes.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..cloud import dot, finite, require
 from . import pyramid
 from .aggregates import finite_bound, projection_matrix
+from .store import saved
 
 QUERY = ("qidx", "qx", "qy", "qz")
 
@@ -110,7 +112,7 @@ class Projection:
         m = self.matrix[k]
         return dot(tuple(m[:3]), p) + float(m[3])
 
-    def box(self, radius: float, p: tuple = ("qx", "qy", "qz")) -> dict[str, Column]:
+    def box(self, radius: float | Column, p: tuple = ("qx", "qy", "qz")) -> dict[str, Column]:
         """first_row, last_row, first_col, last_col: the pixels that the sphere around a point can fall on; the whole image where it reaches the camera's own plane.
 
         A plane through the camera centre touches the sphere where
@@ -118,13 +120,14 @@ class Projection:
         a quadratic equation in it.
         """
         m = np.asarray(self.matrix)
-        k = m[:, :3] @ m[:, :3].T * radius * radius
+        k = m[:, :3] @ m[:, :3].T
+        r2 = F.lit(radius) * F.lit(radius)
         u, v, w = (self._row(i, p) for i in range(3))
-        a = F.lit(float(k[2, 2])) - w * w
+        a = r2 * float(k[2, 2]) - w * w
         out = {}
         for name, at, i, last in (("row", v, 1, self.last_row), ("col", u, 0, self.last_col)):
-            b = F.lit(float(k[i, 2])) - at * w
-            root = F.sqrt(F.greatest(F.lit(0.0), b * b - a * (F.lit(float(k[i, i])) - at * at)))
+            b = r2 * float(k[i, 2]) - at * w
+            root = F.sqrt(F.greatest(F.lit(0.0), b * b - a * (r2 * float(k[i, i]) - at * at)))
             ends = (b - root) / a, (b + root) / a
             lo = F.greatest(F.lit(0), F.floor(F.least(*ends) - self.slack - 1e-6))
             hi = F.least(F.lit(last), F.ceil(F.greatest(*ends) + self.slack + 1e-6))
@@ -163,7 +166,14 @@ def organized_search(df: DataFrame, radius: float, epsilon: float, queries: Data
     asked = as_queries(df) if queries is None else queries.select(*QUERY)
     if fit is None:
         return radius_search(df, radius, asked)
-    boxed = asked.withColumns(fit.box(radius))
+    near, others = _boxed(df, fit, asked.withColumn("__r", F.lit(float(radius))))
+    found = near.where(F.col("d2") <= float(radius) * float(radius)).select("qidx", "idx", F.sqrt("d2").alias("distance"))
+    return found.union(radius_search(df, radius, others.select(*QUERY)))
+
+
+def _boxed(df: DataFrame, fit: Projection, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries with the pixels that the sphere of radius __r around each can fall on, and d2; queries whose box is too large)."""
+    boxed = asked.withColumns(fit.box(F.col("__r")))
     tiles = {f"__{c}": (F.expr(f"first_{c} div {TILE}"), F.expr(f"last_{c} div {TILE}")) for c in ("row", "col")}
     small = F.lit(True)
     for lo, hi in tiles.values():
@@ -174,8 +184,47 @@ def organized_search(df: DataFrame, radius: float, epsilon: float, queries: Data
     points = finite(df).select("idx", "x", "y", "z", "row", "col").withColumns({f"__{c}": F.expr(f"{c} div {TILE}") for c in ("row", "col")})
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
     found = near.join(points, list(tiles)).where(F.col("row").between(F.col("first_row"), F.col("last_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
-    found = found.withColumn("d2", d2).where(F.col("d2") <= float(radius) * float(radius)).select("qidx", "idx", F.sqrt("d2").alias("distance"))
-    return found.union(radius_search(df, radius, boxed.where(~small).select(*QUERY)))
+    return found.withColumn("d2", d2), boxed.where(~small)
+
+
+def organized_knn(df: DataFrame, k: int, epsilon: float, queries: DataFrame | None = None) -> DataFrame:
+    """qidx, rank, idx, distance of the k nearest points of each query, as knn_search.
+
+    The pixels around a query's own, twice as many as asked for, give a distance
+    within which k points are sure to be; the tiles of the image that a sphere of it can
+    fall on are all that is searched.  Queries without k pixels around them, or whose
+    sphere is wider than TILES tiles, and clouds without a projection, take
+    the descent through the octree.  The result is the same.
+    """
+    fit = organized_fit(df, epsilon)
+    asked = as_queries(df) if queries is None else queries.select(*QUERY)
+    if fit is None:
+        return knn_search(df, k, asked)
+    asked = saved(asked)
+    half = math.ceil((math.sqrt(2 * k) - 1) / 2)
+    at = fit.project(("qx", "qy", "qz"))
+    cell = {c: F.greatest(F.lit(0), F.least(F.round(at[c]).cast("long"), F.lit(last))) for c, last in (("row", fit.last_row), ("col", fit.last_col))}
+    around = {c: F.explode(F.sequence(F.col(f"__{c}") - half, F.col(f"__{c}") + half)) for c in cell}
+    window = asked.withColumns({f"__{c}": v for c, v in cell.items()})
+    for c, each in around.items():
+        window = window.withColumn(c, each)
+    seen = window.select(*QUERY, "row", "col").join(finite(df).select("x", "y", "z", "row", "col"), ["row", "col"])
+    d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
+    reach = seen.groupBy(*QUERY).agg(F.get(F.array_sort(F.collect_list(d2)), F.lit(k - 1)).alias("__d2"))  # of one window
+    known = saved(asked.join(reach, list(QUERY), "left").withColumn("__r", F.sqrt("__d2") * (1 + 1e-9)))
+    near, others = _boxed(df, fit, known.where("__r is not null"))
+    ranked = near.where(F.col("d2") <= F.col("__d2")).withColumn("rank", F.row_number().over(Window.partitionBy("qidx").orderBy("d2", "idx"))).where(F.col("rank") <= k)
+    rest = others.select(*QUERY).union(known.where("__r is null").select(*QUERY))
+    return ranked.select("qidx", "rank", "idx", F.sqrt("d2").alias("distance")).union(knn_search(df, k, rest))
+
+
+def search(df: DataFrame, *, radius: float | None = None, k: int | None = None, epsilon: float = 1e-6, queries: DataFrame | None = None) -> DataFrame:
+    """Points within a radius, or the k nearest: by the image where the cloud has rows and columns, else by cells or the octree."""
+    if (radius is None) == (k is None):
+        raise ValueError("a radius or k")
+    if {"row", "col"} <= set(df.columns):
+        return organized_search(df, radius, epsilon, queries) if k is None else organized_knn(df, k, epsilon, queries)
+    return radius_search(df, radius, queries) if k is None else knn_search(df, k, queries)
 
 
 def insert(df: DataFrame, more: DataFrame) -> DataFrame:

@@ -119,6 +119,23 @@ def median_filter(spark, sf_dir):
     return L.median(event_grid(spark, sf_dir), 3, 100.0).select("idx", rounded("z"))
 
 
+@query(
+    f"""{EMB}, {near(0.12, 'b.z AS v')}, g AS (SELECT q, count(*) AS n, sum(v) AS s, min(v) AS low, max(v) AS high FROM n GROUP BY q)
+SELECT q AS idx, {r6('CASE WHEN n > 2 THEN (s - low - high) / (n - 2) ELSE s / n END', 'mean')}, n FROM g"""
+)
+def dynamic_kernel(spark, sf_dir):
+    """A kernel that is no weight of its neighbours: their mean without the lowest and the highest."""
+    return L.dynamic_kernel(embedding_points(spark, sf_dir), 0.12, L.TrimmedMean("z")).select("idx", rounded("mean"), "n")
+
+
+@query(f"""{EVT}, r AS (SELECT a.idx AS qidx, b.idx AS idx, {_D2} AS d2, row_number() OVER (PARTITION BY a.idx ORDER BY {_D2}, b.idx) AS rank FROM p a, p b WHERE a.idx % 50 = 0)
+SELECT qidx, rank::INTEGER AS rank, idx, {r6('sqrt(d2)', 'distance')} FROM r WHERE rank <= 6""")
+def organized_knn(spark, sf_dir):
+    """The nearest points of every fiftieth pixel, by the image."""
+    p = event_grid(spark, sf_dir)
+    return N.organized_knn(p, 6, 0.01, N.as_queries(p.where("idx % 50 = 0"))).select("qidx", "rank", "idx", rounded("distance"))
+
+
 KERNEL = [1.0, 2.0, 4.0, 2.0, 0.5]
 
 
