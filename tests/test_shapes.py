@@ -464,3 +464,78 @@ def test_lzf_in_pieces():
             list(lzf.stream(io.BytesIO(packed[:-1]).read, len(packed)))
     with pytest.raises(lzf.DataCorrupted):
         list(lzf.stream(io.BytesIO(b"\xe0\x00\x05").read, 3))
+
+
+def test_octree_levels_of_a_stream(spark, sf_dir, tmp_path):
+    """Micro-batches, late points and a new start from the checkpoint give what the whole cloud gives."""
+    from cloudloom.cloud import embedding_points
+    from cloudloom.operators.aggregates import finite_bound
+    from cloudloom.operators.grid import octree_centroids
+    from cloudloom.streaming.voxels import octree_stream
+
+    p = embedding_points(spark, sf_dir).select("idx", "x", "y", "z")
+    b = finite_bound(p).first()
+    want = {tuple(r[:4]): (r.x, r.y, r.z, r.n) for r in octree_centroids(p, 0.05, 3).collect()}
+    got = {}
+
+    def keep(batch, _):
+        got.update({tuple(r[:4]): (r.x, r.y, r.z, r.n) for r in batch.collect()})
+
+    for k in range(3):
+        p.where(F.col("idx") % 3 == 2 - k).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        levels = octree_stream(spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), 0.05, 3, (b.min_x, b.min_y, b.min_z))
+        q = levels.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(240)
+    assert got.keys() == want.keys()
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row, abs=1e-9)
+
+
+def test_each_pair_of_a_histogram_is_worked_out_once(spark):
+    r = np.random.default_rng(7)
+    at = r.random((60, 3))
+    n = r.standard_normal((60, 3))
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    df = spark.createDataFrame([(i, *map(float, (*p, *q))) for i, (p, q) in enumerate(zip(at, n, strict=True))], "idx long, x double, y double, z double, nx double, ny double, nz double").repartition(3)
+    found = E.linked_pairs(df, 0.4, 3).collect()
+    near = [set(np.flatnonzero(((at - p) ** 2).sum(1) <= 0.16)) for p in at]
+    want = {(i, j): near[i] & near[j] for i in range(60) for j in range(i + 1, 60) if near[i] & near[j]}
+    assert len(found) == len(want) and {(r.i, r.j): set(r.near) for r in found} == want
+
+
+def test_user_accumulators(spark, monkeypatch):
+    from cloudloom.operators import filters as L
+
+    r = np.random.default_rng(9)
+    at = np.round(r.random((200, 3)), 3)
+    df = spark.createDataFrame([(i, *map(float, p), float(i % 7)) for i, p in enumerate(at)], "idx long, x double, y double, z double, intensity double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r.idx: (r["mean"], r.n) for r in L.dynamic_kernel(df, 0.25, L.TrimmedMean("intensity"), ("intensity",)).collect()}
+        assert L.dynamic_kernel(df.where("idx < 0"), 0.25, L.TrimmedMean("z")).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 200
+    for i, p in enumerate(at):
+        v = sorted(j % 7 for j in np.flatnonzero(((at - p) ** 2).sum(1) <= 0.0625))
+        assert got[i] == (pytest.approx(np.mean(v[1:-1] if len(v) > 2 else v)), len(v))
+
+
+def test_organized_knn_finds_what_the_octree_finds(spark):
+    from cloudloom.operators import neighbors as N
+
+    r = np.random.default_rng(1)
+    rows = [(i * 20 + j, i, j, float(d * (j - 9.5) / 15), float(d * (i - 9.5) / 15), float(d)) for i in range(20) for j in range(20) for d in [2 + 3 * r.random()] if (i + j) % 5]
+    rows += [(900, 0, 5, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "idx long, row long, col long, x double, y double, z double")
+    asked = spark.createDataFrame([(1, 0.0, 0.0, 3.0), (2, 0.0, 0.0, 0.0), (3, 40.0, 1.0, 2.0), (4, -0.5, 0.3, 2.5)], "qidx long, qx double, qy double, qz double").union(N.as_queries(df).where("qidx % 9 = 0"))
+    for k in (1, 5):
+        want = sorted(map(tuple, N.knn_search(df, k, asked).collect()))
+        assert sorted(map(tuple, N.organized_knn(df, k, 1e-6, asked).collect())) == want
+    assert N.organized_fit(df, 1e-6) is not None
+    assert sorted(map(tuple, N.search(df, k=5, queries=asked).collect())) == want
+    loose = df.withColumn("col", F.col("idx") % 7)
+    assert sorted(map(tuple, N.search(loose, k=5, queries=asked).collect())) == want
+    assert N.search(df.drop("row", "col"), radius=0.3).count() == N.search(df, radius=0.3).count() == N.radius_search(df, 0.3).count()
+    with pytest.raises(ValueError):
+        N.search(df)
