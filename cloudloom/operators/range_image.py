@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -320,12 +321,21 @@ def project_surface(df: DataFrame, keys: DataFrame, size: float, pixels: int) ->
     cells = near.select("qidx", i.alias("i"), j.alias("j"), (-dot(d, n)).alias("depth")).where(F.col("i").between(0, pixels - 1) & F.col("j").between(0, pixels - 1))
     least = cells.groupBy("qidx", "i", "j").agg(F.min("depth").alias("depth"))
 
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        patch = np.full((pixels, pixels), np.nan)
-        patch[pdf["i"].astype(int), pdf["j"].astype(int)] = pdf["depth"]
-        return pd.DataFrame({"idx": [key[0]], "patch": [_filled(patch, size / 2).ravel().tolist()]})
+    return filled_patches(least, size, pixels)
 
-    return least.groupBy("qidx").applyInPandas(fill, "idx long, patch array<double>")  # pixels ** 2 rows a group
+
+def filled_patches(cells: DataFrame, size: float, pixels: int) -> DataFrame:
+    """idx and patch (pixels ** 2 numbers) from rows of qidx, i, j and depth, one for each cell that is known; the others take what is around them, as in project_surface."""
+    known = F.map_from_entries(F.collect_list(F.struct((F.col("i") * pixels + F.col("j")).cast("int").alias("at"), "depth")))  # of pixels ** 2 cells at most
+    dense = cells.groupBy(F.col("qidx").alias("idx")).agg(known.alias("m")).select("idx", F.transform(F.sequence(F.lit(0), F.lit(pixels * pixels - 1)), lambda k: F.try_element_at(F.col("m"), k)).alias("patch"))
+
+    def fill(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, pixels, pixels)
+            out = np.array([_filled(patch, size / 2).ravel() for patch in flat]).reshape(-1, pixels * pixels)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), pixels * pixels).cast(pa.list_(pa.float64()))], names=["idx", "patch"])
+
+    return dense.mapInArrow(fill, "idx long, patch array<double>")
 
 
 def triangles(image: DataFrame) -> DataFrame:
@@ -340,49 +350,44 @@ def triangles(image: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def project_triangles(image: DataFrame, keys: DataFrame, size: float, pixels: int) -> DataFrame:
-    """idx and patch: as project_surface, but of the surface of the image's triangles.
+def triangle_cells(image: DataFrame, keys: DataFrame, size: float, pixels: int) -> DataFrame:
+    """qidx, i, j, depth: the surface of the image's triangles around each key point (idx, x, y, z, nx, ny, nz), seen along its normal.
 
     A triangle counts where all its corners are in the patch's square and its
-    first corner within the square's half diagonal of the key point; a cell has
-    the least depth of the triangles over its middle.
+    first corner within the square's half diagonal of the key point.  It is dealt
+    over the cells whose middle may lie under it; those whose middle does, by its
+    barycentric coordinates, get its depth there, and a cell keeps the least.
     """
     from .features import tangent_basis
 
     require(keys, "idx", "x", "y", "z", "nx", "ny", "nz")
     q = keys.select(F.col("idx").alias("qidx"), *(F.col(c).alias(f"q{c}") for c in ("x", "y", "z", "nx", "ny", "nz")))
-    corners = triangles(image).select(F.monotonically_increasing_id().alias("idx"), "a", "b", "c").select("idx", "a.x", "a.y", "a.z", "b", "c")
+    corners = triangles(image).select(F.lit(0).alias("idx"), "a.x", "a.y", "a.z", "b", "c")
     near = cell_join(q, corners, size / math.sqrt(2) * 1.0000001 + 1e-12).where(F.col("d2") <= size * size / 2)
     n = tuple(F.col(f"q{c}") for c in ("nx", "ny", "nz"))
     u, v = tangent_basis(n)
     lu, lv = F.sqrt(dot(u, u)), F.sqrt(dot(v, v))
-    local, inside = [], F.lit(True)
-    for corner in (("x", "y", "z"), ("b.x", "b.y", "b.z"), ("c.x", "c.y", "c.z")):
+    local = {}
+    for name, corner in {"a": ("x", "y", "z"), "b": ("b.x", "b.y", "b.z"), "c": ("c.x", "c.y", "c.z")}.items():
         d = tuple(F.col(c) - F.col(f"q{k}") for c, k in zip(corner, "xyz", strict=True))
-        at = dot(d, u) / lu, dot(d, v) / lv, -dot(d, n)
-        local += at
-        inside = inside & (F.abs(at[0]) <= size / 2) & (F.abs(at[1]) <= size / 2)
-    part = near.where(inside).select("qidx", F.array(*local).alias("t"))
-
-    def raster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        patch = np.full(pixels * pixels, np.inf)
-        cell = (np.arange(pixels) + 0.5) / pixels * size - size / 2
-        at = np.stack(np.meshgrid(cell, cell, indexing="ij"), -1).reshape(-1, 2)
-        t = np.stack(pdf["t"].to_numpy()).reshape(-1, 3, 3)
-        for lo in range(0, len(t), 256):
-            a, e1, e2 = t[lo : lo + 256, 0], t[lo : lo + 256, 1] - t[lo : lo + 256, 0], t[lo : lo + 256, 2] - t[lo : lo + 256, 0]
-            det = e1[:, 0] * e2[:, 1] - e1[:, 1] * e2[:, 0]
-            d = at[None] - a[:, None, :2]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = (d[..., 0] * e2[:, None, 1] - d[..., 1] * e2[:, None, 0]) / det[:, None]
-                r = (e1[:, None, 0] * d[..., 1] - e1[:, None, 1] * d[..., 0]) / det[:, None]
-                over = (s >= -1e-9) & (r >= -1e-9) & (s + r <= 1 + 1e-9)
-                depth = a[:, None, 2] + s * e1[:, None, 2] + r * e2[:, None, 2]
-            patch = np.minimum(patch, np.where(over, depth, np.inf).min(0))
-        patch = np.where(np.isfinite(patch), patch, np.nan).reshape(pixels, pixels)
-        return pd.DataFrame({"idx": [key[0]], "patch": [_filled(patch, size / 2).ravel().tolist()]})
-
-    return part.groupBy("qidx").applyInPandas(raster, "idx long, patch array<double>")  # the triangles around one point
+        local |= {f"{name}0": dot(d, u) / lu, f"{name}1": dot(d, v) / lv, f"{name}2": -dot(d, n)}
+    at = near.select("qidx", *(c.alias(k) for k, c in local.items()))
+    for k in "01":
+        ends = [F.col(f"{p}{k}") for p in "abc"]
+        at = at.where((F.least(*ends) >= -size / 2) & (F.greatest(*ends) <= size / 2))
+        first, last = ((f(*ends) + size / 2) / size * pixels - 0.5 for f in (F.least, F.greatest))
+        at = at.withColumns({f"f{k}": F.greatest(F.lit(0), F.ceil(first - 1e-6)), f"t{k}": F.least(F.lit(pixels - 1), F.floor(last + 1e-6))})
+    under = at.where("f0 <= t0 and f1 <= t1").withColumn("i", F.explode(F.sequence("f0", "t0"))).withColumn("j", F.explode(F.sequence("f1", "t1")))
+    e, f, g, h = (F.col(f"{p}{k}") - F.col(f"a{k}") for p in "bc" for k in "01")
+    d, w = ((F.col(c) + 0.5) / pixels * size - size / 2 - F.col(f"a{k}") for c, k in zip("ij", "01", strict=True))
+    det = e * h - f * g
+    share = under.where(det != 0).withColumns({"s": (d * h - w * g) / det, "r": (e * w - f * d) / det}).where("s >= -1e-9 and r >= -1e-9 and s + r <= 1 + 1e-9")
+    return share.groupBy("qidx", "i", "j").agg(F.min(F.expr("a2 + s * (b2 - a2) + r * (c2 - a2)")).alias("depth"))
+
+
+def project_triangles(image: DataFrame, keys: DataFrame, size: float, pixels: int) -> DataFrame:
+    """idx and patch: as project_surface, but of the surface of the image's triangles (see triangle_cells)."""
+    return filled_patches(triangle_cells(image, keys, size, pixels), size, pixels)
 
 
 def _filled(patch: np.ndarray, background: float) -> np.ndarray:

@@ -315,6 +315,28 @@ def image_triangles(spark, sf_dir):
     return R.triangles(event_image(spark, sf_dir)).select("row", "col", "half")
 
 
+def _corner(t: str) -> str:
+    return f"-0.8 * ({t}.x - k.x) + 0.6 * ({t}.z - k.z) AS {t}0, -({t}.y - k.y) AS {t}1, -(0.6 * ({t}.x - k.x) + 0.8 * ({t}.z - k.z)) AS {t}2"
+
+
+@query(
+    f"""{EVT}, g AS (SELECT idx, "row", col, x, y, z / 100 AS z FROM p),
+t AS (SELECT k.idx, {_corner('a')}, {_corner('b')}, {_corner('c')}
+  FROM g k JOIN g a ON a."row" BETWEEN k."row" - 2 AND k."row" + 2 AND a.col BETWEEN k.col - 2 AND k.col + 2
+  JOIN g b ON b."row" = a."row" + 1 AND b.col = a.col + 1 JOIN g c ON (c."row" = a."row" + 1 AND c.col = a.col) OR (c."row" = a."row" AND c.col = a.col + 1)
+  WHERE (a.x - k.x) * (a.x - k.x) + (a.y - k.y) * (a.y - k.y) + (a.z - k.z) * (a.z - k.z) <= 4.5),
+s AS (SELECT *, (b0 - a0) * (c1 - a1) - (b1 - a1) * (c0 - a0) AS det FROM t WHERE greatest(abs(a0), abs(b0), abs(c0), abs(a1), abs(b1), abs(c1)) <= 1.5),
+m AS (SELECT s.*, i, j, (i + 0.5) / 6 * 3.0 - 1.5 - a0 AS d, (j + 0.5) / 6 * 3.0 - 1.5 - a1 AS w FROM s, range(6) i(i), range(6) j(j) WHERE det <> 0),
+o AS (SELECT *, (d * (c1 - a1) - w * (c0 - a0)) / det AS v, ((b0 - a0) * w - (b1 - a1) * d) / det AS r FROM m)
+SELECT idx, i, j, {r6('min(a2 + v * (b2 - a2) + r * (c2 - a2))', 'depth')} FROM o WHERE v >= -1e-9 AND r >= -1e-9 AND v + r <= 1 + 1e-9 GROUP BY idx, i, j"""
+)
+def surface_patches(spark, sf_dir):
+    """The surface of the event grid's triangles around each pixel, in cells of half a pixel, seen from the side."""
+    p = event_grid(spark, sf_dir).withColumn("z", F.col("z") / 100)
+    keys = p.select("idx", "x", "y", "z", F.lit(0.6).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.8).alias("nz"))
+    return R.triangle_cells(p, keys, 3.0, 6).select(F.col("qidx").alias("idx"), "i", "j", rounded("depth"))
+
+
 @query(f"""{_patch(9)} SELECT idx, {', '.join(r6(f'v{c} / size', f'n{c}') for c in 'xyz')}, {r6('greatest(v, 0) / c2', 'curvature')}, {r6('farthest', 'farthest')} FROM facing""")
 def surface_info(spark, sf_dir):
     return R.surface_info(event_image(spark, sf_dir), 2, 9).select("idx", *map(rounded, ("nx", "ny", "nz", "curvature", "farthest")))
