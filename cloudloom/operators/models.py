@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = tuple[float, float, float]
@@ -320,3 +321,32 @@ def estimator(kind: str, constraint: Vector | None = None) -> Callable[[np.ndarr
     if constraint is None or not np.linalg.norm(constraint) > 1e-12:
         raise ValueError(f"a {kind} takes a {CONSTRAINTS[kind]}")
     return partial(FITS[kind], **{CONSTRAINTS[kind]: np.asarray(constraint, float)})
+
+
+def parameters(model) -> tuple[float, ...]:
+    """A model as ten numbers: a place (a point of it, or its centre), a direction (or its axis, 0 for a sphere), radius and height (null for models without)."""
+    circle = getattr(model, "circle", model)
+    place = circle.centre
+    direction = getattr(circle, "normal", None) or getattr(model, "direction", (0.0, 0.0, 0.0))
+    return *place, *direction, getattr(circle, "radius", None), getattr(model, "height", None)
+
+
+def fit_each(samples: DataFrame, kind: str, constraint: Vector | None = None) -> DataFrame:
+    """sample, k, x, y, z, nx, ny, nz, radius, height: the models (k from 0) through each sample, a row of its number and an array of structs x, y, z of at least as many points as the kind takes.
+
+    Samples without a model have no row.  Each is fitted where it is; however many
+    there are, none meets another.
+    """
+    fit, need = estimator(kind, constraint), MIN_SAMPLES[kind]
+    names = ["sample", "k", "x", "y", "z", "nx", "ny", "nz", "radius", "height"]
+
+    def run(batches):
+        for batch in batches:
+            flat = batch.column(1).flatten()
+            at = np.column_stack([flat.field(a).to_numpy(zero_copy_only=False) for a in "xyz"])
+            ends = np.concatenate(([0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)))).astype(int)
+            rows = [(n, k, *parameters(m)) for n, lo, hi in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True) if hi - lo >= need for k, m in enumerate(fit(at[lo:hi]))]
+            kinds = (pa.int64(), pa.int32(), *[pa.float64()] * 8)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    return samples.select(F.col("sample").cast("long"), "points").mapInArrow(run, "sample long, k int, " + ", ".join(f"{n} double" for n in names[2:]))

@@ -162,8 +162,29 @@ def transpose(df: DataFrame, height: int) -> DataFrame:
     return df.withColumns({"row": F.col("col"), "col": F.col("row"), "idx": F.col("col") * height + F.col("row")})
 
 
+#: Bits of a hash by which rows are counted before the rest is looked at.
+COUNTED_BITS = 16
+
+
 def random_sample(df: DataFrame, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(sample of n rows, the others): the n smallest hashes of idx and the seed; all rows if there are no more than n."""
-    order = F.xxhash64(F.col("idx"), F.lit(seed))
-    sample = df.withColumn("__h", order).orderBy("__h", "idx").limit(n).drop("__h")
-    return sample, df.join(sample.select("idx"), "idx", "left_anti")
+    """(sample of n rows, the others): the n smallest hashes of idx and the seed; all rows if there are no more than n.
+
+    Rows are counted by the first bits of their hashes, which gives the threshold;
+    only the rows of the one count that it falls into, a share of 2 ** -COUNTED_BITS of all, are
+    put in order.
+    """
+    keyed = df.withColumn("__h", F.xxhash64(F.col("idx"), F.lit(seed)))
+    part = F.shiftright("__h", 64 - COUNTED_BITS)
+    left, at = n, None
+    for value, rows in sorted(map(tuple, keyed.groupBy(part.alias("p")).count().collect())):  # at most 2 ** COUNTED_BITS rows
+        if rows > left:
+            at = value
+            break
+        left -= rows
+    if at is None:
+        return df, df.limit(0)
+    edge = keyed.where(part == at).orderBy("__h", "idx").limit(left)
+    sample = keyed.where(part < at).union(edge)
+    last = F.broadcast(edge.agg(F.max(F.struct("__h", "idx")).alias("__e")))  # one row
+    rest = keyed.where(part >= at).crossJoin(last).where(F.col("__e").isNull() | (F.struct("__h", "idx") > F.col("__e")))
+    return sample.drop("__h"), rest.drop("__h", "__e")

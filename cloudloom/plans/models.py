@@ -149,6 +149,60 @@ def fitted_models(spark, sf_dir):
     return out
 
 
+def _cross(n: str, a: str, b: str) -> str:
+    return f"{a}y * {b}z - {a}z * {b}y AS {n}x, {a}z * {b}x - {a}x * {b}z AS {n}y, {a}x * {b}y - {a}y * {b}x AS {n}z"
+
+
+def _dot(a: str, b: str) -> str:
+    return f"({a}x * {b}x + {a}y * {b}y + {a}z * {b}z)"
+
+
+def _minus(n: str, a: str, b: str) -> str:
+    return ", ".join(f"{a}{c} - {b}{c} AS {n}{c}" for c in "xyz")
+
+
+_FOURS = f"""{EMB}, four AS (SELECT idx // 4 AS sample, {', '.join(f'max(CASE WHEN idx % 4 = {k} THEN {c} END) AS {n}{c}' for k, n in enumerate('aicd') for c in 'xyz')} FROM p GROUP BY ALL HAVING count(*) = 4),
+three AS ({' UNION ALL '.join(f"SELECT sample, {left} AS out, {', '.join(f'{n}{c} AS {m}{c}' for n, m in zip(kept + gone, 'aicd', strict=True) for c in 'xyz')} FROM four" for left, (kept, gone) in enumerate((('icd', 'a'), ('acd', 'i'), ('aid', 'c'), ('aic', 'd'))))}),
+sides AS (SELECT *, {_minus('u', 'i', 'a')}, {_minus('v', 'c', 'a')}, {_minus('w', 'd', 'a')} FROM three),
+normals AS (SELECT *, {_cross('n', 'u', 'v')}, {_cross('r', 'v', 'w')}, {_cross('s', 'w', 'u')} FROM sides),
+turned AS (SELECT *, {_cross('e', 'n', 'u')}, {_cross('f', 'v', 'n')}, {_dot('u', 'u')} AS uu, {_dot('v', 'v')} AS vv, {_dot('w', 'w')} AS ww, {_dot('n', 'n')} AS nn, {_dot('u', 'r')} AS vol FROM normals),
+circles AS (SELECT *, {', '.join(f'a{c} + (vv * e{c} + uu * f{c}) / (2 * nn) AS o{c}' for c in 'xyz')} FROM turned),
+based AS (SELECT *, {', '.join(f'd{c} - o{c} AS g{c}' for c in 'xyz')}, sqrt((ax - ox) * (ax - ox) + (ay - oy) * (ay - oy) + (az - oz) * (az - oz)) AS radius FROM circles),
+above AS (SELECT *, {_dot('g', 'n')} / sqrt(nn) AS up FROM based), flat AS (SELECT *, sqrt(greatest(0, {_dot('g', 'g')} - up * up)) AS side FROM above)"""
+
+
+def _model(kind: str, k: str, place: str, direction: str, radius: str, height: str, where: str) -> str:
+    numbers = [*(f"{place}{c}" for c in "xyz"), *direction.split(", "), radius, height]
+    names = ("x", "y", "z", "nx", "ny", "nz", "radius", "height")
+    return f"SELECT '{kind}' AS kind, sample, {k} AS k, {', '.join(f'round({v}, 5) + 0 AS {n}' for v, n in zip(numbers, names, strict=True))} FROM flat WHERE {where}"
+
+
+_NONE, _N = "NULL::DOUBLE", ", ".join(f"n{c} / sqrt(nn)" for c in "xyz")
+_UP = ", ".join(f"sign(up) * n{c} / sqrt(nn)" for c in "xyz")
+_SPHERE_AT = [f"(a{c} + (uu * r{c} + vv * s{c} + ww * n{c}) / (2 * vol))" for c in "xyz"]
+
+
+@query(
+    _FOURS
+    + ", ball AS (SELECT sample, out, ax, ay, az, vol, " + ", ".join(f"{e} AS q{c}" for e, c in zip(_SPHERE_AT, "xyz", strict=True)) + " FROM flat) "
+    + " UNION ALL ".join([
+        _model("plane", "0", "a", _N, _NONE, _NONE, "out = 3"), _model("line", "0", "a", "ux, uy, uz", _NONE, _NONE, "out = 3"), _model("circle", "0", "o", _N, "radius", _NONE, "out = 3"),
+        _model("cylinder", "out", "o", _UP, "radius", "abs(up)", "true"),
+        _model("cone", "row_number() OVER (PARTITION BY sample ORDER BY out) - 1", "o", _UP, "radius", "abs(up) * radius / (radius - side)", "side < radius"),
+        "SELECT 'sphere', sample, 0, round(qx, 5) + 0, round(qy, 5) + 0, round(qz, 5) + 0, 0.0, 0.0, 0.0, round(sqrt((ax - qx) * (ax - qx) + (ay - qy) * (ay - qy) + (az - qz) * (az - qz)), 5), NULL FROM ball WHERE out = 3",
+    ])
+)
+def fitted_parameters(spark, sf_dir):
+    """The planes, lines, circles, spheres, cylinders and cones through each four points."""
+    p = embedding_points(spark, sf_dir)
+    fours = p.groupBy(F.expr("idx div 4").alias("sample")).agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y", "z"))).alias("points")).where(F.size("points") == 4)  # of four points
+    out = None
+    for kind in ("plane", "line", "circle", "cylinder", "cone", "sphere"):
+        found = M.fit_each(fours, kind).select(F.lit(kind).alias("kind"), "sample", F.col("k").cast("long"), *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz", "radius", "height")))
+        out = found if out is None else out.union(found)
+    return out
+
+
 @query()
 def sac_plane(spark, sf_dir):
     return S.consensus(embedding_points(spark, sf_dir), "plane", 0.05)[1]

@@ -136,7 +136,20 @@ def test_gasd(spark, sf_dir, points):
 def test_samples(spark, sf_dir, points):
     rows = run(spark, sf_dir, "random_sample")
     assert len({r.idx for r in rows}) == 100 and all((r.x, r.y, r.z) == tuple(points[0][r.idx]) for r in rows)
-    assert sorted(rows) == sorted(run(spark, sf_dir, "random_sample"))
+
+    def hashed(i: int) -> int:
+        """Spark's XXH64 of a long and an int: each value is hashed with the hash before it as the seed."""
+        for v, size in ((i, 8), (42, 4)):
+            h = xxhash64_of(v, size, h if size == 4 else 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    assert {r.idx for r in rows} == set(sorted(range(len(points[0])), key=hashed)[:100])
+
+
+def xxhash64_of(v: int, size: int, seed: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest((v & (1 << 8 * size) - 1).to_bytes(size, "little"), seed)
 
 
 @pytest.mark.parametrize(("name", "kind", "threshold", "constraint"), [("sac_plane", "plane", 0.05, None), ("sac_line", "line", 0.1, None), ("sac_sphere", "sphere", 0.05, None), ("sac_perpendicular_plane", "perpendicular plane", 0.05, (0, 0, 1)), ("sac_parallel_plane", "parallel plane", 0.05, (1, 0, 0)), ("sac_parallel_line", "parallel line", 0.1, (0, 1, 0))])
