@@ -233,6 +233,31 @@ def sac_sphere(spark, sf_dir):
     return S.consensus(embedding_points(spark, sf_dir), "sphere", 0.05)[1]
 
 
+def _planted(spark, sf_dir, kind: str):
+    """The points, every second one moved onto a plane or a sphere."""
+    p, even = embedding_points(spark, sf_dir), F.col("idx") % 2 == 0
+    if kind == "plane":
+        return p.withColumn("z", F.when(even, 0.5 * F.col("x") - 0.25 * F.col("y") + 0.1).otherwise(F.col("z")))
+    away = F.sqrt((F.col("x") - 0.5) * (F.col("x") - 0.5) + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    on = {"x": 0.5 + (F.col("x") - 0.5) / away, "y": F.col("y") / away, "z": F.col("z") / away}
+    return p.withColumns({c: F.when(even, v).otherwise(F.col(c)) for c, v in on.items()})
+
+
+@query(f"{EMB}, f AS (SELECT idx, x, y, CASE WHEN idx % 2 = 0 THEN 0.5 * x - 0.25 * y + 0.1 ELSE z END AS z FROM p) SELECT idx FROM f WHERE abs(0.5 * x - 0.25 * y + 0.1 - z) / sqrt(1.3125) < 1e-6")
+def sac_planted_plane(spark, sf_dir):
+    """Consensus finds the plane that half of the points lie on."""
+    return S.consensus(_planted(spark, sf_dir, "plane"), "plane", 1e-6)[1].select("idx")
+
+
+@query(
+    f"""{EMB}, r AS (SELECT idx, x, y, z, sqrt((x - 0.5) * (x - 0.5) + y * y + z * z) AS r FROM p),
+f AS (SELECT idx, CASE WHEN idx % 2 = 0 THEN 1.0 ELSE r END AS r FROM r) SELECT idx FROM f WHERE abs(r - 1) < 1e-6"""
+)
+def sac_planted_sphere(spark, sf_dir):
+    """And the sphere."""
+    return S.consensus(_planted(spark, sf_dir, "sphere"), "sphere", 1e-6)[1].select("idx")
+
+
 # --- range images -----------------------------------------------------------------
 
 STEP = math.radians(3)
