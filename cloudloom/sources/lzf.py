@@ -107,6 +107,19 @@ def decompress(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def stored(data: bytes) -> bytes:
+    """Data as runs that are not compressed, a thirty-second longer."""
+    return b"".join(bytes((len(data[i : i + MAX_RUN]) - 1,)) + data[i : i + MAX_RUN] for i in range(0, len(data), MAX_RUN))
+
+
+def shorter(data: bytes) -> bytes:
+    """Compressed, or as runs where that is no shorter; one after the other, such pieces are one stream."""
+    try:
+        return compress(data)
+    except NoCompressionPossible:
+        return stored(data)
+
+
 def stream(read: Callable[[int], bytes], packed: int, chunk: int = 1 << 18) -> Iterator[bytes]:
     """The same in pieces of about `chunk` bytes, from `packed` bytes that read(n) gives in turn; only the last WINDOW bytes are kept."""
     out, done, left, data, i = bytearray(), 0, packed, b"", 0

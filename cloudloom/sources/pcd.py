@@ -150,17 +150,10 @@ def _numbers(words: np.ndarray, f: Field) -> np.ndarray:
 
 def encode(head: Header, columns: dict[str, np.ndarray]) -> bytes:
     """The file's bytes.  Compressed data that don't shrink are stored as they are, with equal sizes."""
-    n = head.points
-    parts = [np.asarray(columns[f.name]).astype(f.dtype).reshape(n, f.count) for f in head.fields]
+    parts = _parts(head, columns, head.points)
     out = head.text().encode()
-    if head.data == "ascii":
-        texts = [p[:, k].astype(str).tolist() for p in parts for k in range(p.shape[1])]
-        return out + "".join(" ".join(row) + "\n" for row in zip(*texts, strict=True)).encode()
-    if head.data == "binary":
-        rows = np.zeros(n, head.record())
-        for k, p in enumerate(parts):
-            rows[f"f{k}"] = p
-        return out + rows.tobytes()
+    if head.data != "binary_compressed":
+        return out + _rows(head, parts)
     raw = b"".join(p.tobytes() for p in parts)
     try:
         packed = lzf.compress(raw)
@@ -169,6 +162,22 @@ def encode(head: Header, columns: dict[str, np.ndarray]) -> bytes:
     return out + len(packed).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + packed
 
 
+def _parts(head: Header, columns: dict[str, np.ndarray], n: int) -> list[np.ndarray]:
+    """n values of each field, in the file's types."""
+    return [np.asarray(columns[f.name]).astype(f.dtype).reshape(n, f.count) for f in head.fields]
+
+
+def _rows(head: Header, parts: list[np.ndarray]) -> bytes:
+    """Points as lines of text or as records."""
+    if head.data == "ascii":
+        texts = [p[:, k].astype(str).tolist() for p in parts for k in range(p.shape[1])]
+        return "".join(" ".join(row) + "\n" for row in zip(*texts, strict=True)).encode()
+    rows = np.zeros(len(parts[0]) if parts else 0, head.record())
+    for k, p in enumerate(parts):
+        rows[f"f{k}"] = p
+    return rows.tobytes()
+
+
 # --- columns ------------------------------------------------------------------------
 
 
@@ -211,7 +220,12 @@ def header_for(columns: list[str], n: int, width: int | None, data: str, viewpoi
 def pack(columns: dict[str, np.ndarray], width: int | None = None, data: str = "binary", viewpoint=None) -> bytes:
     n = len(next(iter(columns.values()))) if columns else 0
     head = header_for(list(columns), n, width, data, viewpoint)
-    return encode(head, {f.name: np.column_stack([columns[c] for c in GROUPS[f.name]]) if f.name in GROUPS else columns[f.name] for f in head.fields})
+    return encode(head, _grouped(head, columns))
+
+
+def _grouped(head: Header, columns: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Values by field: those of a group side by side."""
+    return {f.name: np.column_stack([columns[c] for c in GROUPS[f.name]]) if f.name in GROUPS else columns[f.name] for f in head.fields}
 
 
 COLUMN_TYPES = {"rgba": "long", "label": "long"}
@@ -448,6 +462,33 @@ class _Written(WriterCommitMessage):
     name: str
 
 
+class _Spools:
+    """Parts of a file to come, each written and read in pieces, beside it in the job's folder: a header says how many points follow, which is known last."""
+
+    def __init__(self, system, path: str):
+        self.system, self.path, self.open, self.names = system, path, {}, []
+
+    def add(self, name: str, data: bytes) -> None:
+        if name not in self.open:
+            self.names.append(name)
+            self.open[name] = self.system.open_output_stream(f"{self.path}.{len(self.names)}")
+        self.open[name].write(data)
+
+    def pieces(self, name: str) -> Iterator[bytes]:
+        if name in self.names:
+            if stream := self.open.pop(name, None):
+                stream.close()
+            with self.system.open_input_stream(f"{self.path}.{self.names.index(name) + 1}") as stream:
+                while piece := stream.read(1 << 20):
+                    yield piece
+
+    def clear(self) -> None:
+        for k, name in enumerate(self.names):
+            if stream := self.open.pop(name, None):
+                stream.close()
+            self.system.delete_file(f"{self.path}.{k + 1}")
+
+
 class _Writer(DataSourceArrowWriter):
     """Tasks write into a folder of the job's own inside the target, which readers pass over; committed files are moved out of it, and what else is there goes with it."""
 
@@ -458,14 +499,41 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        batches = list(iterator)  # one file's points, as columns
-        table = pa.Table.from_batches(batches).select(self.names) if batches else None
-        columns = {c: (np.zeros(0) if table is None else table.column(c).to_numpy()).astype("i8" if c in COLUMN_TYPES else "f8") for c in self.names}
         system, folder = _folder(self.path)
         system.create_dir(f"{folder}/{self.job}", recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pcd"
+        spools = _Spools(system, f"{folder}/{self.job}/{name}")
+        head = header_for(self.names, 0, None, self.data)
+        n = size = 0
+        for batch in iterator:
+            at = {c: batch.column(batch.schema.get_field_index(c)) for c in self.names}
+            parts = _parts(head, _grouped(head, {c: v.to_numpy(zero_copy_only=False).astype("i8" if c in COLUMN_TYPES else "f8") for c, v in at.items()}), batch.num_rows)
+            if self.data != "binary_compressed":
+                spools.add("rows", _rows(head, parts))
+            else:
+                for f, p in zip(head.fields, parts, strict=True):
+                    spools.add(f.name, p.tobytes())
+            n += batch.num_rows
+        head = header_for(self.names, n, self.width or None, self.data, self.viewpoint)
+        if self.data == "binary_compressed":
+            packed = 0
+            for f in head.fields:
+                for piece in spools.pieces(f.name):
+                    short = lzf.shorter(piece)
+                    spools.add("packed", short)
+                    packed, size = packed + len(short), size + len(piece)
+            if size >= 1 << 32:
+                raise PcdError("a compressed file holds less than 4 GiB; write more partitions")
+            body = ["packed"] if packed < size else [f.name for f in head.fields]
+            start = min(packed, size).to_bytes(4, "little") + size.to_bytes(4, "little")
+        else:
+            body, start = ["rows"], b""
         with system.open_output_stream(f"{folder}/{self.job}/{name}") as out:
-            out.write(pack(columns, self.width or None, self.data, self.viewpoint))
+            out.write(head.text().encode() + start)
+            for k in body:
+                for piece in spools.pieces(k):
+                    out.write(piece)
+        spools.clear()
         return _Written(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

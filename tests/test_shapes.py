@@ -539,3 +539,26 @@ def test_organized_knn_finds_what_the_octree_finds(spark):
     assert N.search(df.drop("row", "col"), radius=0.3).count() == N.search(df, radius=0.3).count() == N.radius_search(df, 0.3).count()
     with pytest.raises(ValueError):
         N.search(df)
+
+
+@pytest.mark.parametrize("data", pcd.KINDS)
+def test_pcd_files_are_written_in_pieces(spark, tmp_path, data):
+    """Many batches of a task make the file that one array makes; nothing else stays."""
+    pcd.register(spark)
+    r = np.random.default_rng(5)
+    columns = {"x": r.standard_normal(300), "z": np.repeat(np.arange(3.0), 100), "label": np.arange(300) % 4, "nx": np.zeros(300), "ny": np.ones(300), "nz": r.random(300)}
+    rows = [(i, *(c[i].item() for c in columns.values())) for i in range(300)]
+    df = spark.createDataFrame(rows, "idx long, x double, z double, label long, nx double, ny double, nz double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "41")
+    try:
+        pcd.write_pcd(df.repartition(2), str(tmp_path / "out"), data, width=100, single=True)
+        pcd.write_pcd(df.where("idx < 0"), str(tmp_path / "none"), data, single=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (name,) = [f for f in os.listdir(tmp_path / "out") if not f.endswith(".crc")]
+    head, got = pcd.decode((tmp_path / "out" / name).read_bytes())
+    want = pcd.decode(pcd.pack(columns, 100, data))
+    assert head == want[0] and all(np.array_equal(got[f], v) for f, v in want[1].items())
+    assert pcd.read_pcd(spark, str(tmp_path / "none"), ["x"]).collect() == []
+    noise = bytes(r.integers(0, 256, 5_000, np.uint8))
+    assert lzf.decompress(lzf.shorter(noise) + lzf.shorter(b"a" * 999), 5_999) == noise + b"a" * 999
