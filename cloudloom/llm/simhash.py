@@ -21,9 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from .shared import components, partitions, saved, without
+from .kernel import with_fields
+from .shared import components, partitions, saved, stored, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -267,11 +267,10 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS)
 
 # --- near copies ----------------------------------------------------------------
 
-#: Of a near copy: words of a shingle, and the least share of the shingles of two texts that both have.
-WORDS, SIMILAR = 5, 0.8
-#: MinHash keys for candidates: so many, of so many minima each; a pair of similarity 0.8 shares none with probability (1 - 0.8 ** 5) ** 20 = 0.0004.
-KEYS, MINIMA = 20, 5
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, KEYS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Of a near copy: words of a shingle, and the least share of the shingles of two texts that both have, as a fraction.
+WORDS, SIMILAR = 5, (4, 5)
+#: Counters that shingles are hashed to for their order, and how many of them a row holds on its way; bits of a sketch.
+COUNTERS, BLOCK, SKETCH = 1 << 20, 1 << 12, 1024
 
 
 def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
@@ -289,55 +288,223 @@ def shingles(text: bytes, shingle: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def minhash_keys(hashes: np.ndarray) -> list[int]:
-    """Keys that similar sets are likely to share; none for an empty set."""
-    if not len(hashes):
-        return []
-    least = np.min([(hashes[lo : lo + 2048, None] * _FACTORS).min(0) for lo in range(0, len(hashes), 2048)], 0).reshape(KEYS, MINIMA)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)]
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as sorted arrays, have SIMILAR of their union in common."""
+    least, of = SIMILAR
+    if of * min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return of * both >= least * (len(x) + len(y) - both)
 
 
-def near_copies(documents: DataFrame) -> DataFrame:
-    """(a, b): links between doc_ids whose texts share SIMILAR of their shingles, all verified.
+def counters(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall on each of the COUNTERS; partial sums for each task, COUNTERS numbers on the driver."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (shingles(x.as_py()) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        yield from packed(total.reshape(-1, BLOCK), np.flatnonzero(total.reshape(-1, BLOCK).any(1)))
+
+    def packed(blocks, places):
+        for k in places:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([blocks[k].tobytes()], pa.binary())], names=["block", "n"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(n.as_buffer(), np.int64)
+        yield from packed(total, total)
+
+    sums = texts.select("text").mapInArrow(count, "block long, n binary").repartition("block").mapInArrow(add, "block long, n binary")
+    found = np.zeros((COUNTERS // BLOCK, BLOCK), np.int64)
+    for row in sums.collect():
+        found[row.block] = np.frombuffer(row.n, np.int64)
+    return found.reshape(-1)
+
 
-    Candidates share a MinHash key.  Of those that do, each meets one that the
-    key picks at random, so that a group of copies makes no more pairs than
-    keys.  Null ids have no links.
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the shingles by which a set meets others, rarest first; how many of them meet sets that are no smaller).
+
+    Two similar sets of n <= m shingles have 4/9 (n + m) in common at least:
+    8/9 n and 4/5 m.  So in any order of all shingles, one of the first
+    n - 8/9 n + 1 of the smaller is among the first m - 4/5 m + 1 of the larger.
     """
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    least, of = SIMILAR
+    n = len(hashes)
+    if not n:
+        return hashes, 0
+    longer, equal = n - -(-least * n // of) + 1, n - -(-2 * least * n // (least + of)) + 1
+    order = np.lexsort((hashes, counts[(hashes % np.uint64(COUNTERS)).astype(np.int64)]))
+    return hashes[order[:longer]], equal
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits as 64-bit numbers, each the parity of the hashes that fall on it: two sketches differ in no more bits than the sets in elements."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _stars(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(k, a, na, b, nb, first): each row b that meets others by the shingle k, and the smallest set a that it meets there.
+
+    na and nb are the sizes of their sets; where `first` holds, b meets sets that are no smaller.
+    """
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast(counts)
     of_id = texts.select("doc_id").schema
 
     def spread(batches):
         for batch in batches:
-            found = [minhash_keys(shingles(x.as_py())) for x in batch.column(1)]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([k for ks in found for k in ks], pa.int64())], names=["doc_id", "k"])
-
-    dealt = saved(texts.mapInArrow(spread, of_id.add("k", "long")))
-    picked = dealt.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "doc_id").alias("h"), "doc_id")).alias("p"), F.count("*").alias("n")).where("n > 1").select("k", F.col("p.doc_id").alias("a"))
-    pairs = saved(dealt.join(picked, "k").where(F.col("doc_id") != F.col("a")).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
+            rows: list[tuple] = []
+            held = 0
+            for at, x in enumerate(batch.column(1)):
+                own = shingles(x.as_py())
+                front, equal = prefix(own, known.value)
+                rows.append((at, front, equal, len(own)))
+                held += len(front)
+                if held > 1 << 18:
+                    yield packed(batch, rows)
+                    rows, held = [], 0
+            if rows:
+                yield packed(batch, rows)
+
+    def packed(batch, rows):
+        size = [len(front) for _, front, _, _ in rows]
+        columns = [
+            batch.column(0).take(pa.array(np.repeat([at for at, _, _, _ in rows], size))),
+            pa.array(np.concatenate([front for _, front, _, _ in rows]).view(np.int64)),
+            pa.array(np.concatenate([np.arange(len(front)) >= equal for _, front, equal, _ in rows])),
+            pa.array(np.repeat([n for _, _, _, n in rows], size).astype(np.int32)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "later", "n"])
+
+    dealt = texts.mapInArrow(spread, with_fields(of_id, "k long, later boolean, n int")).repartition(partitions(spark), "k").sortWithinPartitions("k", "later", "n", "doc_id")
+    kind = of_id[0].dataType.simpleString()
 
-    def hashed(batches):
+    def meet(batches):
+        centre = None  # the first row of the newest key
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], names=["doc_id", "s"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([centre, batch] if centre is not None else [batch]).combine_chunks()
+            k = table.column("k").to_numpy()
+            edge = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+            heads = np.repeat(edge, np.diff(np.append(edge, len(k))))
+            later = table.column("later").to_numpy(zero_copy_only=False)
+            member = np.flatnonzero((heads != np.arange(len(k))) & ~later[heads])
+            centre = table.slice(edge[-1], 1).to_batches()[0]
+            if len(member):
+                a, b = table.take(pa.array(heads[member])), table.take(pa.array(member))
+                columns = [a["k"], a["doc_id"], a["n"], b["doc_id"], b["n"], pa.chunked_array([pa.array(~later[member])])]
+                yield from pa.Table.from_arrays(columns, names=["k", "a", "na", "b", "nb", "first"]).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(meet, f"k long, a {kind}, na int, b {kind}, nb int, first boolean")
+
+
+def _may_be_similar(n: str, m: str) -> Column:
+    least, of = SIMILAR
+    return F.col(n) * of >= F.col(m) * least
 
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    sets = saved(texts.join(wanted, "doc_id", "left_semi").mapInArrow(hashed, texts.select("doc_id").schema.add("s", ArrayType(LongType()))))
 
-    def verified(batches):
+def near_copies(documents: DataFrame) -> DataFrame:
+    """(a, b): verified links between doc_ids whose texts share SIMILAR of their shingles, enough to connect all that such links connect.
+
+    Candidates share one of their rarest shingles (see `prefix`), so no link is
+    missed.  The order is by counters that all shingles are hashed to; which one
+    it is matters for the work only.  A shingle's rows meet its smallest set
+    first; where what links then connects still leaves several groups under a
+    shingle, the rows of different groups meet in pairs, so that a group of
+    copies makes no more pairs than rows.  Pairs are judged by their sizes and
+    sketches, and by their whole sets where these can't tell.
+
+    Null ids and texts have no links, and texts without words none either.
+    Repeated rows count once; rows that share an id and differ in their texts
+    link by any of them.  Texts are read whole, in parts of a megabyte, an empty
+    table has no links, and other columns don't matter.
+    """
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
+    stars = stored(_stars(texts, counters(texts)), "stars")
+    tried = saved(
+        stars.where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & _may_be_similar("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    several = stars.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1").select("k")
+    rows = stars.join(several, "k")
+    members = rows.select("k", F.col("b").alias("id"), F.col("nb").alias("n"), "first").union(rows.select("k", "a", "na", F.lit(True))).distinct()
+
+    wanted = tried.select("a").union(tried.select("b")).union(members.select("id")).distinct().toDF("doc_id")
+    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi")), "shingle-sets")
+    links = saved(_verified(tried, sets))
+
+    roots = components(links).withColumnRenamed("node", "id")
+    of_group = saved(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    # Shingles that the same rows share count once.
+    same = of_group.groupBy("k").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", "first")).alias("x"), F.bit_xor(F.xxhash64("first", "id", "n")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    apart = same.where("lo != hi").groupBy("rows", "x", "y").agg(F.min("k").alias("k")).select("k")
+    left = of_group.join(apart, "k")
+    right = left.select("k", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "first", "root")))
+    pairs = (
+        left.where("first")
+        .join(right, "k")
+        .where((F.col("root") != F.col("root_")) & (F.col("n") <= F.col("n_")) & _may_be_similar("n", "n_"))
+        .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+        .distinct()
+    )
+    return links.union(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets)).distinct()
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """doc_id, n, bits (the sketch) and s (the sorted hashes) of each text."""
+
+    def hashed(batches):
+        for batch in batches:
+            held, start, size = [], 0, 0
+            for at, x in enumerate(batch.column(1)):
+                held.append(shingles(x.as_py()))
+                size += len(held[-1])
+                if size > 1 << 19 or at == batch.num_rows - 1:
+                    columns = [
+                        batch.column(0).slice(start, len(held)),
+                        pa.array([len(s) for s in held], pa.int32()),
+                        pa.array([sketch(s) for s in held], pa.list_(pa.int64())),
+                        pa.array([s.view(np.int64) for s in held], pa.list_(pa.int64())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "bits", "s"])
+                    held, start, size = [], at + 1, 0
+
+    return texts.mapInArrow(hashed, with_fields(texts.select("doc_id").schema, "n int, bits array<long>, s array<long>"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar: sketches go first, since two similar sets of n and m differ in (n + m) / 9 elements at most."""
+    least, of = SIMILAR
+    narrow = sets.select("doc_id", "n", "bits")
+    differ = sum((F.bit_count(F.col("p")[k].bitwiseXOR(F.col("q")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    close = (
+        pairs.join(narrow.toDF("a", "n", "p"), "a")
+        .join(narrow.toDF("b", "m", "q"), "b")
+        .where(_may_be_similar("n", "m") & _may_be_similar("m", "n") & (differ * (least + of) <= (F.col("n") + F.col("m")) * (of - least)))
+        .select("a", "b")
+        .distinct()
+    )
+
+    def judged(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= SIMILAR * max(len(x), len(y)) else 0
-                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            keep = [similar(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
-    return both.mapInArrow(verified, pairs.schema).distinct()
+    whole = sets.select("doc_id", F.col("s"))
+    both = close.join(whole.toDF("a", "s"), "a").join(whole.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    return both.mapInArrow(judged, pairs.schema).distinct()
 
 
 def one_of_near_copies(documents: DataFrame) -> DataFrame:
-    """The rows of the documents but for those that links of near copies connect with a smaller doc_id, all columns."""
+    """The rows of the documents but for those that links of near copies connect with a smaller doc_id, all columns.
+
+    Rows that repeat an id stay or go together; null ids and texts stay; an empty
+    table gives an empty one (see `near_copies`).
+    """
     roots = components(near_copies(documents))
     return without(documents, roots.where(F.col("node") != F.col("root")).select("node"))
