@@ -19,11 +19,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import with_fields
-from .shared import components, partitions, saved, stored, without
+from .shared import components, is_small, partitions, saved, stored, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -347,11 +347,8 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def _stars(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(k, a, na, b, nb, first): each row b that meets others by the shingle k, and the smallest set a that it meets there.
-
-    na and nb are the sizes of their sets; where `first` holds, b meets sets that are no smaller.
-    """
+def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """doc_id, k, later and n of each shingle k by which a row meets others, by k: n is the size of its set, and where `later` doesn't hold, it meets sets that are no smaller."""
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast(counts)
     of_id = texts.select("doc_id").schema
@@ -381,8 +378,12 @@ def _stars(texts: DataFrame, counts: np.ndarray) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "later", "n"])
 
-    dealt = texts.mapInArrow(spread, with_fields(of_id, "k long, later boolean, n int")).repartition(partitions(spark), "k").sortWithinPartitions("k", "later", "n", "doc_id")
-    kind = of_id[0].dataType.simpleString()
+    return texts.mapInArrow(spread, with_fields(of_id, "k long, later boolean, n int")).repartition(partitions(spark), "k")
+
+
+def _stars(entries: DataFrame) -> DataFrame:
+    """(a, na, b, nb): each row b of a shingle and the smallest set a that it meets there, with the sizes of their sets."""
+    kind = entries.schema["doc_id"].dataType.simpleString()
 
     def meet(batches):
         centre = None  # the first row of the newest key
@@ -398,10 +399,10 @@ def _stars(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             centre = table.slice(edge[-1], 1).to_batches()[0]
             if len(member):
                 a, b = table.take(pa.array(heads[member])), table.take(pa.array(member))
-                columns = [a["k"], a["doc_id"], a["n"], b["doc_id"], b["n"], pa.chunked_array([pa.array(~later[member])])]
-                yield from pa.Table.from_arrays(columns, names=["k", "a", "na", "b", "nb", "first"]).combine_chunks().to_batches()
+                columns = [a["doc_id"], a["n"], b["doc_id"], b["n"]]
+                yield from pa.Table.from_arrays(columns, names=["a", "na", "b", "nb"]).combine_chunks().to_batches()
 
-    return dealt.mapInArrow(meet, f"k long, a {kind}, na int, b {kind}, nb int, first boolean")
+    return entries.sortWithinPartitions("k", "later", "n", "doc_id").mapInArrow(meet, f"a {kind}, na int, b {kind}, nb int")
 
 
 def _may_be_similar(n: str, m: str) -> Column:
@@ -426,23 +427,20 @@ def near_copies(documents: DataFrame) -> DataFrame:
     table has no links, and other columns don't matter.
     """
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"))
-    stars = stored(_stars(texts, counters(texts)), "stars")
+    entries = _entries(texts, counters(texts))
     tried = saved(
-        stars.where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & _may_be_similar("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        _stars(entries).where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & _may_be_similar("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    several = stars.groupBy("k").agg(F.count("*").alias("rows")).where("rows > 1").select("k")
-    rows = stars.join(several, "k")
-    members = rows.select("k", F.col("b").alias("id"), F.col("nb").alias("n"), "first").union(rows.select("k", "a", "na", F.lit(True))).distinct()
+    links = saved(_verified(tried, _sets_of(texts, tried)))
 
-    wanted = tried.select("a").union(tried.select("b")).union(members.select("id")).distinct().toDF("doc_id")
-    sets = stored(_sets(texts.join(wanted, "doc_id", "left_semi")), "shingle-sets")
-    links = saved(_verified(tried, sets))
-
-    roots = components(links).withColumnRenamed("node", "id")
-    of_group = saved(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    roots = saved(components(links).toDF("id", "root"))
+    named = entries.select("k", F.col("doc_id").alias("id"), "n", (~F.col("later")).alias("first"))
+    named = named.join(F.broadcast(roots) if is_small(roots) else roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by_k = Window.partitionBy("k")
+    of_group = saved(named.withColumn("lo", F.min("root").over(by_k)).withColumn("hi", F.max("root").over(by_k)).withColumn("any", F.max("first").over(by_k)).where("any AND lo != hi").drop("lo", "hi", "any").distinct())
     # Shingles that the same rows share count once.
-    same = of_group.groupBy("k").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", "first")).alias("x"), F.bit_xor(F.xxhash64("first", "id", "n")).alias("y"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    apart = same.where("lo != hi").groupBy("rows", "x", "y").agg(F.min("k").alias("k")).select("k")
+    same = of_group.groupBy("k").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", "first")).alias("x"), F.bit_xor(F.xxhash64("first", "id", "n")).alias("y"))
+    apart = same.groupBy("rows", "x", "y").agg(F.min("k").alias("k")).select("k")
     left = of_group.join(apart, "k")
     right = left.select("k", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "first", "root")))
     pairs = (
@@ -452,7 +450,14 @@ def near_copies(documents: DataFrame) -> DataFrame:
         .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
         .distinct()
     )
-    return links.union(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets)).distinct()
+    left_over = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+    return links.union(_verified(left_over, _sets_of(texts, left_over))).distinct()
+
+
+def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the rows that stand in pairs, stored."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
+    return stored(_sets(texts.join(wanted, "doc_id", "left_semi")), "shingle-sets")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
