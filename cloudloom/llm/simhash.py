@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import with_fields
-from .shared import components, is_small, partitions, saved, stored, without
+from .shared import components, is_small, partitions, saved, stored, told_apart, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -455,9 +455,14 @@ def near_copies(documents: DataFrame) -> DataFrame:
 
 
 def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets of the rows that stand in pairs, stored."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id")
-    return stored(_sets(texts.join(wanted, "doc_id", "left_semi")), "shingle-sets")
+    """The sets of the rows that stand in pairs, stored; of texts, at most those move that a bit array finds among them."""
+    wanted = saved(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"))
+    if is_small(wanted):
+        found = texts.join(F.broadcast(wanted), "doc_id", "left_semi")
+    else:
+        maybe, _ = told_apart(texts, F.xxhash64("doc_id"), wanted, F.xxhash64("doc_id"))
+        found = maybe.join(wanted, "doc_id", "left_semi")
+    return stored(_sets(found), "shingle-sets")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
