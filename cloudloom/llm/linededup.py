@@ -170,10 +170,13 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         if state.out:
             yield packed(state.out)
 
-    found = saved(dealt.mapInArrow(stream, "kind int, h1 long, h2 long, d long, p long, t long, n long"))
+    found = dealt.mapInArrow(stream, "kind int, h1 long, h2 long, d long, p long, t long, n long")
+    # By document before they are checkpointed: the ranges are many small files else, and each new file is a process on a local file system.
+    waits = F.col("kind") != 0
+    known = saved(found.groupBy("kind", F.when(waits, F.col("h1")).alias("h1"), F.when(waits, F.col("h2")).alias("h2"), "d", "t", "n").agg(F.collect_set("p").alias("p")))
     # At most two rows of kind 2 come from a partition.
     edges: dict = {}
-    for r in found.where("kind = 2").select("h1", "h2", "d", "p", "t").collect():
+    for r in known.where("kind = 2").select("h1", "h2", "d", F.explode("p").alias("p"), "t").collect():
         edges.setdefault((r.h1, r.h2), []).append((r.d, r.t, r.p))
     shared = []
     for key, parts in edges.items():
@@ -181,11 +184,11 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         docs = sum(n for _, _, n in parts) - sum(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
         if docs >= min_docs:
             shared.append((*key, parts[0][0]))
-    drops = found.where("kind = 0").select("d", "t", "n", "p")
+    lost = known.where("kind = 0").select("d", "t", "n", "p")  # of one document
     if shared:
         decided = spark.createDataFrame(shared, "h1 long, h2 long, largest long")
-        drops = drops.union(found.where("kind = 1").join(F.broadcast(decided), ["h1", "h2"]).where("d != largest").select("d", "t", "n", "p"))
-    lost = drops.groupBy("d", "t", "n").agg(F.collect_set("p").alias("p"))  # of one document
+        late = known.where("kind = 1").join(F.broadcast(decided), ["h1", "h2"]).where("d != largest").select("d", "t", "n", "p")
+        lost = lost.union(late).groupBy("d", "t", "n").agg(F.flatten(F.collect_set("p")).alias("p"))
 
     def bitmap(batches):
         for batch in batches:

@@ -1,6 +1,7 @@
 """The other operators against brute force, exact round trips, and the cases that inputs may hold."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -519,6 +520,25 @@ def test_line_dedup(spark, partitions, small, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_line_dedup_leaves_few_files(spark):
+    """Not one for each range: on a local file system tasks fork for each new file."""
+    rows = [(k, "\n".join(f"a line that some documents have, {(k + i) % 700}" for i in range(5))) for k in range(900)]
+    folder = shared.shared_folder(spark).removeprefix("file:")
+
+    def files():
+        return {os.path.join(at, x) for at, _, names in os.walk(folder) for x in names if x.startswith("part-")}
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        before = files()
+        got = linededup.dedup_lines(frame(spark, rows))
+        assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "text").collect()), key=str) == slow_lines(rows)
+        assert len(files() - before) < 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_lines_of_texts_of_megabytes(spark):
     shared_line = "a line that several documents have"
     long = "\n".join(f"line {k} of a text that is very long" for k in range(40_000)) + "\n" + "x" * 1_300_000
