@@ -353,12 +353,13 @@ def decode(ids: np.ndarray | list[int], v: Vocabulary) -> bytes:
     return raw[1:] if v.prefix and raw[:1] == b" " else raw
 
 
-def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | None = None, other_ids: bool = True) -> DataFrame:
+def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | None = None, other_ids: bool = True, decoded: bool = True) -> DataFrame:
     """`keep` columns (doc_id by default) with ids, score, others and decoded, of every row; columns of these names give way.
 
     others has the score and ids of the second best segmentation and so on; with
     other_ids=False not all ids but `changes`: at each place `at` of the best ids
-    `n` of them give way to `ids` (see `changed`).
+    `n` of them give way to `ids` (see `changed`).  With decoded=False there is no
+    such column, and no text is put together again.
 
     A null text is empty: no ids, score 0, no others.  Fewer than n - 1 others
     come back where a text has fewer segmentations.  Of segmentations that tie,
@@ -369,7 +370,7 @@ def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | No
     name = fresh("__text", keep)
     given = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias(name))
     kind = "ids: array<int>" if other_ids else "changes: array<struct<at: int, n: int, ids: array<int>>>"
-    schema = with_fields(given.drop(name).schema, f"ids array<int>, score double, others array<struct<score: double, {kind}>>, decoded binary")
+    schema = with_fields(given.drop(name).schema, f"ids array<int>, score double, others array<struct<score: double, {kind}>>" + ", decoded binary" * decoded)
     change = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
     other = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32())) if other_ids else ("changes", pa.list_(change))]))
 
@@ -393,8 +394,7 @@ def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | No
                 edge = np.concatenate(([0], np.cumsum([len(f.ids) for f in found]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([f.ids for f in found]).astype(np.int32)))
                 more = [[{"score": s, "ids": changed(f.ids, c)} if other_ids else {"score": s, "changes": [{"at": a, "n": k, "ids": i} for a, k, i in c]} for s, c in f.others] for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], ids, pa.array([f.score for f in found]), pa.array(more, other), pa.array([decode(f.ids, v) for f in found], pa.binary())], names=[f.name for f in schema]
-                )
+                back = [pa.array([decode(f.ids, v) for f in found], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array([f.score for f in found]), pa.array(more, other), *back], names=[f.name for f in schema])
 
     return given.mapInArrow(run, schema)

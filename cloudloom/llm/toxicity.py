@@ -28,6 +28,8 @@ BOUND, MAX_CHARS = 3_000, 60_000
 CHANCE = 3.0
 EPOCHS = 40
 ONE = 1 << 20
+#: Bytes of text that are scored at once: the arrays over their grams take some hundred times as much, in each task.
+SLICE_BYTES = 1 << 16
 
 
 def gram_buckets(grams: kernel.Grams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,7 +114,7 @@ def train(rows: Iterable[tuple[str, int]], seed: int = 7) -> tuple[np.ndarray, i
 
 def logits(column: pa.Array, each: np.ndarray, bias: int) -> np.ndarray:
     total, count = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
-    for raw, off, rows in kernel.slices(column):
+    for raw, off, rows in kernel.slices(column, min(SLICE_BYTES, kernel.SLICE_BYTES)):
         grams = kernel.Grams(*kernel.spaced(raw, off))
         for at, b in gram_buckets(grams):
             if not len(at):
@@ -134,14 +136,15 @@ def score(documents: DataFrame, model: tuple[np.ndarray, int], keep: list[str] |
     """
     keep = kernel.apart(["doc_id"] if keep is None else keep, [name])
     each, bias = model
-    text = kernel.fresh("__text", keep)
-    given = documents.select(*keep, F.col("text").alias(text))
-    schema = given.drop(text).schema.add(name, "double")
+    n = len(keep)
+    at = keep.index("text") if "text" in keep else n  # a text that is kept goes to the workers once
+    given = documents.select(*keep, *([F.col("text").alias(kernel.fresh("__text", keep))] if at == n else []))
+    schema = documents.select(*keep).schema.add(name, "double")
 
     def run(batches):
         for batch in batches:
-            p = 1 / (1 + np.exp(-logits(batch.column(batch.num_columns - 1), each, bias)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.round(p, 9))], names=[*batch.schema.names[:-1], name])
+            p = 1 / (1 + np.exp(-logits(batch.column(at), each, bias)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.round(p, 9))], names=[*batch.schema.names[:n], name])
 
     return given.mapInArrow(run, schema)
 

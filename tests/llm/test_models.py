@@ -1,5 +1,6 @@
 """Toxicity, quality and language: accuracy on rows that were held out, and the cases that inputs may hold."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -57,6 +58,28 @@ def test_scores_do_not_depend_on_slices(labelled, monkeypatch, gap):
     assert whole[0][2] == whole[0][3] == toxic[1] / toxicity.ONE
 
 
+def test_scores_take_little_memory():
+    """Arrays over the grams of a few megabytes of texts, in a task of a small executor."""
+    column = pa.array([" ".join(f"w{k * j % 9973}" for k in range(300)) for j in range(1, 2000)])
+    each = np.arange(1 << toxicity.BITS) % 1000
+    toxicity.logits(column[:3], each, 0)  # tables that stay
+    tracemalloc.start()
+    got = toxicity.logits(column, each, 0)
+    assert column.nbytes > 3 << 20 and tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    assert got[5] == toxicity.logits(column[5:6], each, 0)[0]
+
+
+def test_scores_send_a_kept_text_once(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, n_chars long, lang string")
+    model = toxicity.train([("the idiot", 1), ("the river", 0)])
+    kept = toxicity.score(df, model, df.columns)
+    assert "__text" not in kept._jdf.queryExecution().optimizedPlan().toString() and kept.columns == [*df.columns, "toxicity_score"]
+    few = {(r.doc_id, r.toxicity_score) for r in toxicity.score(df, model).collect()}
+    assert {(r.doc_id, r.toxicity_score) for r in kept.collect()} == few
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
+
+
 def test_statistics_of_texts_of_megabytes():
     for n in (100_000, 200_000, 400_000):
         stats = dict(zip(quality.STATS, quality.features(pa.array(["ab cd ef gh ij " * (n // 5)]), None)[0][0], strict=True))
