@@ -348,7 +348,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, k, later and n of each shingle k by which a row meets others, by k: n is the size of its set, and where `later` doesn't hold, it meets sets that are no smaller."""
+    """doc_id, k, pos and n of each shingle k by which a row meets others, by k: n is the size of its set, in which so many shingles are rarer than k."""
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast(counts)
     of_id = texts.select("doc_id").schema
@@ -359,8 +359,8 @@ def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             held = 0
             for at, x in enumerate(batch.column(1)):
                 own = shingles(x.as_py())
-                front, equal = prefix(own, known.value)
-                rows.append((at, front, equal, len(own)))
+                front, _ = prefix(own, known.value)
+                rows.append((at, front, len(own)))
                 held += len(front)
                 if held > 1 << 18:
                     yield packed(batch, rows)
@@ -369,16 +369,16 @@ def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield packed(batch, rows)
 
     def packed(batch, rows):
-        size = [len(front) for _, front, _, _ in rows]
+        size = [len(front) for _, front, _ in rows]
         columns = [
-            batch.column(0).take(pa.array(np.repeat([at for at, _, _, _ in rows], size))),
-            pa.array(np.concatenate([front for _, front, _, _ in rows]).view(np.int64)),
-            pa.array(np.concatenate([np.arange(len(front)) >= equal for _, front, equal, _ in rows])),
-            pa.array(np.repeat([n for _, _, _, n in rows], size).astype(np.int32)),
+            batch.column(0).take(pa.array(np.repeat([at for at, _, _ in rows], size))),
+            pa.array(np.concatenate([front for _, front, _ in rows]).view(np.int64)),
+            pa.array(np.concatenate([np.arange(n) for n in size]).astype(np.int32)),
+            pa.array(np.repeat([n for _, _, n in rows], size).astype(np.int32)),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "later", "n"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "pos", "n"])
 
-    return texts.mapInArrow(spread, with_fields(of_id, "k long, later boolean, n int")).repartition(partitions(spark), "k")
+    return texts.mapInArrow(spread, with_fields(of_id, "k long, pos int, n int")).repartition(partitions(spark), "k")
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -402,7 +402,7 @@ def _stars(entries: DataFrame) -> DataFrame:
                 columns = [a["doc_id"], a["n"], b["doc_id"], b["n"]]
                 yield from pa.Table.from_arrays(columns, names=["a", "na", "b", "nb"]).combine_chunks().to_batches()
 
-    return entries.sortWithinPartitions("k", "later", "n", "doc_id").mapInArrow(meet, f"a {kind}, na int, b {kind}, nb int")
+    return entries.select("doc_id", "k", (~_enough("n", "pos", "n")).alias("later"), "n").sortWithinPartitions("k", "later", "n", "doc_id").mapInArrow(meet, f"a {kind}, na int, b {kind}, nb int")
 
 
 def _may_be_similar(n: str, m: str) -> Column:
@@ -410,6 +410,39 @@ def _may_be_similar(n: str, m: str) -> Column:
     return F.col(n) * of >= F.col(m) * least
 
 
+def _enough(n: str, pos: str, m: str) -> Column:
+    """Whether a set of n that shares nothing with one of m before its shingle at pos has shingles enough left to be similar."""
+    least, of = SIMILAR
+    return (F.col(n) - F.col(pos)).cast("long") * (least + of) >= (F.col(n).cast("long") + F.col(m)) * least
+
+
+def _meetings(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): rows of different groups that share a shingle, by the first of which they may be similar; not distinct.
+
+    Two similar sets have 4/9 (n + m) in common at least, all of it at or after
+    the first shingle that both have.  So that shingle has as many at or after it
+    in either set, and a pair that another shingle brings together, of which
+    this isn't so, is left out there.
+    """
+    named = entries.select("k", F.col("doc_id").alias("id"), "n", "pos", _enough("n", "pos", "n").alias("first"))
+    named = named.join(F.broadcast(roots) if is_small(roots) else roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by_k = Window.partitionBy("k")
+    mixed = named.withColumn("lo", F.min("root").over(by_k)).withColumn("hi", F.max("root").over(by_k)).withColumn("any", F.max("first").over(by_k)).where("any AND lo != hi")
+    of_group = saved(mixed.groupBy("k", "id", "n", "first", "root").agg(F.min("pos").alias("pos")))
+    # Shingles that the same rows share count once, in the place of a row's rarest.
+    same = of_group.groupBy("k").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", "first")).alias("x"), F.bit_xor(F.xxhash64("first", "id", "n")).alias("y"))
+    by = ["rows", "x", "y"]
+    left = of_group.join(same, "k").groupBy(*by, "id", "n", "first", "root").agg(F.min("pos").alias("pos"))
+    right = left.select(*by, *(F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "root")))
+    once = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") < F.col("id_")))
+    return (
+        left.where("first")
+        .join(right, by)
+        .where((F.col("root") != F.col("root_")) & once & _may_be_similar("n", "n_") & _enough("n", "pos", "n_") & _enough("n_", "pos_", "n"))
+        .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+    )
+
+
 def near_copies(documents: DataFrame) -> DataFrame:
     """(a, b): verified links between doc_ids whose texts share SIMILAR of their shingles, enough to connect all that such links connect.
 
@@ -417,8 +450,8 @@ def near_copies(documents: DataFrame) -> DataFrame:
     missed.  The order is by counters that all shingles are hashed to; which one
     it is matters for the work only.  A shingle's rows meet its smallest set
     first; where what links then connects still leaves several groups under a
-    shingle, the rows of different groups meet in pairs, so that a group of
-    copies makes no more pairs than rows.  Pairs are judged by their sizes and
+    shingle, the rows of different groups meet in pairs (see `_meetings`), so that
+    a group of copies makes no more pairs than rows.  Pairs are judged by their sizes and
     sketches, and by their whole sets where these can't tell.
 
     Null ids and texts have no links, and texts without words none either.
@@ -434,23 +467,7 @@ def near_copies(documents: DataFrame) -> DataFrame:
     links = saved(_verified(tried, _sets_of(texts, tried)))
 
     roots = saved(components(links).toDF("id", "root"))
-    named = entries.select("k", F.col("doc_id").alias("id"), "n", (~F.col("later")).alias("first"))
-    named = named.join(F.broadcast(roots) if is_small(roots) else roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    by_k = Window.partitionBy("k")
-    of_group = saved(named.withColumn("lo", F.min("root").over(by_k)).withColumn("hi", F.max("root").over(by_k)).withColumn("any", F.max("first").over(by_k)).where("any AND lo != hi").drop("lo", "hi", "any").distinct())
-    # Shingles that the same rows share count once.
-    same = of_group.groupBy("k").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("id", "first")).alias("x"), F.bit_xor(F.xxhash64("first", "id", "n")).alias("y"))
-    apart = same.groupBy("rows", "x", "y").agg(F.min("k").alias("k")).select("k")
-    left = of_group.join(apart, "k")
-    right = left.select("k", *(F.col(c).alias(f"{c}_") for c in ("id", "n", "first", "root")))
-    pairs = (
-        left.where("first")
-        .join(right, "k")
-        .where((F.col("root") != F.col("root_")) & (F.col("n") <= F.col("n_")) & _may_be_similar("n", "n_"))
-        .select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
-        .distinct()
-    )
-    left_over = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+    left_over = saved(_meetings(entries, roots).distinct().join(tried, ["a", "b"], "left_anti"))
     return links.union(_verified(left_over, _sets_of(texts, left_over))).distinct()
 
 

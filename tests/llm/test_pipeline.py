@@ -57,6 +57,9 @@ def test_each_stage(spark):
     v = pieces.load()
     assert all(pieces.decode(tokens[d], v).decode() == t for d, t in rows)
 
+    plain = pieces.encode(docs, v, 1, decoded=False)
+    assert plain.columns == ["doc_id", "ids", "score", "others"] and {r.doc_id: r.ids for r in plain.collect()} == tokens
+
 
 def test_near_copies_are_dropped(spark):
     sf = "/root/testdata/sf0.01"
@@ -128,6 +131,41 @@ def test_near_copies_by_chains_and_odd_rows(spark):
     assert simhash.near_copies(frame.limit(0)).count() == 0
 
 
+def test_alike_pages_meet_in_few_rows(spark, monkeypatch):
+    """300 pages of one text that are about 0.65 alike, some ids with a second text: the links are those of brute force, and no shingle brings pairs together that an earlier one decides."""
+    rng = random.Random(5)
+    base = [f"t{k}" for k in range(140)]
+
+    def page(j, edits):
+        words = [*base]
+        for k in rng.sample(range(140), edits):
+            words[k] = f"e{rng.randrange(4)}_{k}" if rng.random() < 0.5 else f"own{j}_{k}"
+        return " ".join(words)
+
+    rows = [(j, page(j, rng.choice((2, 3, 3)))) for j in range(300)]
+    rows += [(j, page(j, 3)) for j in range(0, 300, 10)]
+    rows += [(1000 + j, rows[j][1] + " end") for j in range(0, 300, 25)]
+    sets = defaultdict(list)
+    for d, t in rows:
+        w = t.split()
+        sets[d].append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    near = {(a, b) for a in sets for b in sets if a < b and any(5 * len(x & y) >= 4 * len(x | y) for x in sets[a] for y in sets[b])}
+    met = []
+    meet = simhash._meetings
+    monkeypatch.setattr(simhash, "_meetings", lambda entries, roots: met.append(meet(entries, roots)) or met[-1])
+    got = {(r.a, r.b) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+
+    def least(pairs):
+        root = {d: d for d in sets}
+        for _ in range(20):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert len(near) > 20 and got <= near and least(got) == least(near)
+    assert met[0].count() < 100_000
+
+
 @pytest.mark.parametrize("n, m", [(n, m) for n in (1, 2, 5, 9, 10, 45, 100) for m in (n, n + 1, n * 5 // 4)])
 def test_prefixes_of_similar_sets_meet(n, m):
     rng = np.random.default_rng(n * 1000 + m)
