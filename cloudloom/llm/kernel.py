@@ -26,7 +26,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd 64-bit number, and their inverses modulo 2**64."""
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 65_536)
+        size = 1 << 17 if n <= 1 << 17 else max(n, SLICE_BYTES + 65_536)  # they stay as long as the process
         up, down = np.full(size, _ODD, np.uint64), np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _powers, _inverses = np.cumprod(up), np.cumprod(down)
@@ -64,6 +64,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.zeros(0, np.uint8) if what is None else np.frombuffer(what, np.uint8)), offsets
 
 
+def released(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; after the last, what Arrow keeps of memory that nothing uses goes back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def _cuts(raw: np.ndarray, a: int, b: int, limit: int, between: np.ndarray) -> Iterator[tuple[int, int]]:
     """Parts of about `limit` bytes, longer only where no byte of the table `between` is."""
     while b - a > limit:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import apart, fresh, with_fields
+from .kernel import apart, fresh, released, with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: An unknown character's score is so much below the least piece's.
@@ -388,7 +388,7 @@ def encode(documents: DataFrame, v: Vocabulary, n: int = 1, keep: list[str] | No
 
     def run(batches):
         encoder = Encoder(v, n)
-        for batch in batches:
+        for batch in released(batches):
             for part, texts in parts(batch):
                 found = list(encoder.encode(texts))
                 edge = np.concatenate(([0], np.cumsum([len(f.ids) for f in found]))).astype(np.int32)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import with_fields
+from .kernel import released, with_fields
 from .shared import components, is_small, partitions, saved, stored, told_apart, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
@@ -350,11 +350,11 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def _entries(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, k, pos and n of each shingle k by which a row meets others, by k: n is the size of its set, in which so many shingles are rarer than k."""
     spark = texts.sparkSession
-    known = spark.sparkContext.broadcast(counts)
+    known = spark.sparkContext.broadcast(counts.astype(np.min_scalar_type(counts.max())))
     of_id = texts.select("doc_id").schema
 
     def spread(batches):
-        for batch in batches:
+        for batch in released(batches):
             rows: list[tuple] = []
             held = 0
             for at, x in enumerate(batch.column(1)):
@@ -486,7 +486,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """doc_id, n, bits (the sketch) and s (the sorted hashes) of each text."""
 
     def hashed(batches):
-        for batch in batches:
+        for batch in released(batches):
             held, start, size = [], 0, 0
             for at, x in enumerate(batch.column(1)):
                 held.append(shingles(x.as_py()))

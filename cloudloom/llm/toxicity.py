@@ -142,7 +142,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, int], keep: list[str] |
     schema = documents.select(*keep).schema.add(name, "double")
 
     def run(batches):
-        for batch in batches:
+        for batch in kernel.released(batches):
             p = 1 / (1 + np.exp(-logits(batch.column(at), each, bias)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.round(p, 9))], names=[*batch.schema.names[:n], name])
 

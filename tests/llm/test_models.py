@@ -70,6 +70,18 @@ def test_scores_take_little_memory():
     assert got[5] == toxicity.logits(column[5:6], each, 0)[0]
 
 
+def test_tables_of_powers_follow_the_slices():
+    """A process that never sees a large slice keeps no large tables; the numbers are the same."""
+    kept = kernel._powers, kernel._inverses
+    try:
+        kernel._powers = kernel._inverses = np.ones(1, np.uint64)
+        few = [x.copy() for x in kernel.powers(70_000)]
+        assert few[0].nbytes <= 1 << 20
+        assert all((x[: len(y)] == y).all() for x, y in zip(kernel.powers(1 << 18), few, strict=True))
+    finally:
+        kernel._powers, kernel._inverses = kept
+
+
 def test_scores_send_a_kept_text_once(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, n_chars long, lang string")
     model = toxicity.train([("the idiot", 1), ("the river", 0)])
