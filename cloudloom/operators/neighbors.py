@@ -74,18 +74,20 @@ def knn_search(df: DataFrame, k: int, queries: DataFrame | None = None) -> DataF
     return asked.join(ranked, ["qx", "qy", "qz"]).select("qidx", "rank", "idx", F.sqrt("d2").alias("distance"))
 
 
-def grid_window(df: DataFrame, half: int) -> DataFrame:
-    """qidx, qrow, qcol and the pixels (all columns) within `half` rows and columns of each pixel of an organized cloud."""
-    q = df.select(F.col("idx").alias("qidx"), F.col("row").alias("qrow"), F.col("col").alias("qcol"))
+def grid_window(df: DataFrame, half: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """qidx, qrow, qcol (and q<c> for each c in `carry`) and the pixels (all columns) within `half` rows and columns of each pixel of an organized cloud.
+
+    Merged, never broadcast: either side is as large as the cloud, whatever its files' size makes Spark expect.
+    """
+    q = df.select(F.col("idx").alias("qidx"), F.col("row").alias("qrow"), F.col("col").alias("qcol"), *(F.col(c).alias(f"q{c}") for c in carry))
     shift = F.array(*(F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j")) for i in range(-half, half + 1) for j in range(-half, half + 1)))
     near = q.withColumn("o", F.explode(shift)).withColumns({"row": F.col("qrow") + F.col("o.i"), "col": F.col("qcol") + F.col("o.j")}).drop("o")
-    return near.join(df, ["row", "col"])
+    return near.join(df.hint("merge"), ["row", "col"])
 
 
 def organized_radius(df: DataFrame, radius: float, half: int) -> DataFrame:
     """qidx, idx, distance within a radius among the pixels of a window around each pixel; neighbours outside the window don't count (see organized_search)."""
-    q = as_queries(df)
-    near = grid_window(finite(df), half).select("qidx", "idx", "x", "y", "z").join(q, "qidx")
+    near = grid_window(finite(df).select("idx", "row", "col", "x", "y", "z"), half, ("x", "y", "z"))
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0.0))
     return near.withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("qidx", "idx", F.sqrt("d2").alias("distance"))
 
