@@ -1,8 +1,8 @@
 """Exact neighbour search by equi-joins on cells.
 
 Points are keyed by cells as wide as the radius; a query looks into its own cell
-and the 26 around it.  The join is an equi-join, so Spark may hash, sort or
-split it; the distance is a filter on what it yields.  The query side carries
+and the 26 around it.  The join is an equi-join, sorted and merged, whose skewed
+cells Spark may split; the distance is a filter on what it yields.  The query side carries
 the 27 copies of narrow rows (id, coordinates), not the attributes.
 """
 
@@ -44,7 +44,7 @@ def cell_join(queries: DataFrame, points: DataFrame, radius: float, axes: str =
     cell = {f"__c{a}": F.floor(F.col(a) / radius) for a in axes}
     near = queries.withColumn("__o", F.explode(around(axes))).withColumns({f"__c{a}": F.floor(F.col(f"q{a}") / radius) + F.col(f"__o.d{a}") for a in axes}).drop("__o")
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in axes), F.lit(0.0))
-    return near.join(points.withColumns(cell), list(cell)).drop(*cell).withColumn("d2", d2)
+    return near.join(points.withColumns(cell).hint("merge"), list(cell)).drop(*cell).withColumn("d2", d2)
 
 
 def radius_search(df: DataFrame, radius: float, queries: DataFrame | None = None, strict: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -9,6 +9,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["organized_radius"])
+@pytest.mark.parametrize("name", ["organized_radius", "surface_patches"])
 def test_no_side_as_large_as_the_cloud_is_broadcast(spark, sf_dir, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, sf_dir))
