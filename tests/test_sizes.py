@@ -1,7 +1,12 @@
 """What keeps large clouds within memory and disk: plans, and folds of neighbourhoods against brute force."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from cloudloom.cloud import with_grid
+from cloudloom.operators import aggregates as A
+from cloudloom.operators import neighbors as N
 from cloudloom.plans import QUERIES
 
 
@@ -12,3 +17,24 @@ def plan(df):
 @pytest.mark.parametrize("name", ["organized_radius", "surface_patches"])
 def test_no_side_as_large_as_the_cloud_is_broadcast(spark, sf_dir, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, sf_dir))
+
+
+def test_projection_of_a_tall_image(spark):
+    """6,000,000 rows of pixels, every 6,000th of them filled."""
+    df = spark.range(100_000).select(F.expr("id div 100 * 600000 + id % 100").alias("idx"), (F.col("id") * 7919 % 490).cast("double").alias("z"))
+    df = with_grid(df, 100).withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
+    fit = N.organized_fit(df, 0.01)
+    assert fit is not None and fit.slack < 0.005 and (fit.last_row, fit.last_col) == (5_994_000, 99)
+
+
+def test_projection_with_noise_is_the_least_one(spark):
+    r = np.random.default_rng(2)
+    at = r.random((300, 3)) * [2, 3, 1] + [5, -2, 4]
+    pixel = np.round(np.column_stack([300 * at[:, 0] / at[:, 2], 200 * at[:, 1] / at[:, 2]]) + r.normal(0, 3, (300, 2)), 3)
+    matrix, residual = A.projection_matrix(spark.createDataFrame([(*map(float, p), *map(float, c)) for p, c in zip(at, pixel, strict=True)], "x double, y double, z double, col double, row double"))
+    p, none = np.column_stack([at, np.ones(300)]), np.zeros((300, 4))
+    rows = np.vstack([np.hstack([p, none, -pixel[:, :1] * p]), np.hstack([none, p, -pixel[:, 1:] * p])])
+    values, vectors = np.linalg.eigh(rows.T @ rows)
+    want = vectors[:, 0].reshape(3, 4)
+    want = want / np.linalg.norm(want[2, :3]) * (1 if want[2, 3] >= 0 else -1)
+    assert residual == pytest.approx(values[0] / 300) and matrix.ravel().tolist() == pytest.approx(want.ravel().tolist(), rel=1e-6, abs=1e-6 * abs(want).max())
