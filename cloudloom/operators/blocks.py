@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..cloud import cross
 from .kdtree import LEAF, reached, split_tree, with_leaf
 
 #: Queries in a task at most, about so many tasks at least, and queries in a tile, points in a tile and points in a batch.
@@ -74,6 +75,16 @@ def squares(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray,
     return (d[0] * d[0] + d[1] * d[1]) + d[2] * d[2], d
 
 
+def dot(a, b) -> np.ndarray:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def across(u) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As linalg's: the cross product with the axis of u's smallest component, the first of equals."""
+    least = np.argmin(np.abs(np.stack(u)), axis=0)
+    return cross(u, [np.where(least == k, 1.0, 0.0) for k in range(3)])
+
+
 Work = Callable[[dict[str, np.ndarray], Iterator[dict[str, np.ndarray]]], Iterator[dict[str, np.ndarray]]]
 
 
