@@ -6,14 +6,13 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..cloud import finite, is_finite, require
-from .neighbors import cell_join, knn_search, radius_search
+from . import blocks
+from .neighbors import as_queries, cell_join, knn_search, radius_search
 
 
 def statistical_outlier_removal(df: DataFrame, k: int, factor: float, negative: bool = False) -> DataFrame:
@@ -160,44 +159,42 @@ class Accumulator(Protocol):
 def dynamic_kernel(df: DataFrame, radius: float, kernel: Accumulator, values: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """idx and the kernel's results over the points within the radius of each, itself included.
 
-    Each batch of neighbours is reduced to states where it is made; states are
-    shuffled, sorted by their point, and merged batch by batch, so that neither
-    step holds a neighbourhood.
+    Neighbours are reduced to states where they are found (see blocks), and a
+    point's states are merged in its task, so that no step holds a neighbourhood
+    and no pair leaves its task.
     """
     more = tuple(v for v in values if v not in ("x", "y", "z"))
-    near = radius_search(df, radius, extra=("x", "y", "z", *more)).select("qidx", "distance", *values)
-    state = T.StructType.fromDDL(f"qidx bigint, {kernel.state}")
-    result = T.StructType.fromDDL(f"idx bigint, {kernel.result}")
+    names = T.StructType.fromDDL(kernel.state).names
 
-    def batch_of(schema: T.StructType, ids: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-        kinds = to_arrow_schema(schema)
-        return pa.RecordBatch.from_arrays([pa.array(ids, kinds.field(0).type), *(pa.array(columns[f.name], kinds.field(k + 1).type) for k, f in enumerate(schema.fields[1:]))], schema=kinds)
+    def work(q, batches):
+        t = blocks.Tiled(q, "qx qy qz", blocks.TILE)
+        parts, held = [], 0
 
-    def numbers(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        return {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names) if k}
+        def merged() -> list:
+            group = np.concatenate([g for g, _ in parts])
+            ids, group = np.unique(group, return_inverse=True)
+            return [(ids, kernel.merge(group, len(ids), {k: np.concatenate([s[k] for _, s in parts]) for k in names}))]
 
-    def reduce(batches):
         for batch in batches:
-            ids, group = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            yield batch_of(state, ids, kernel.partial(group, len(ids), numbers(batch)) if len(ids) else {f.name: [] for f in state.fields})
-
-    def merge(batches):
-        held = None  # the state of the last point, of which more may come
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
-            ids, group = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            merged = kernel.merge(group, len(ids), numbers(batch))
-            held = batch_of(state, ids[-1:], {k: v[-1:] for k, v in merged.items()})
-            if len(ids) > 1:
-                yield batch_of(result, ids[:-1], kernel.finish({k: v[:-1] for k, v in merged.items()}))
-        if held is not None:
-            yield batch_of(result, held.column(0).to_numpy(), kernel.finish(numbers(held)))
-
-    parts = near.mapInArrow(reduce, state)
-    return parts.repartition("qidx").sortWithinPartitions("qidx").mapInArrow(merge, result)
+            p = blocks.Tiled(batch, "x y z", blocks.POINTS)
+            for some, rows, hit, d in blocks.pairs(t, p, radius, float(radius) * float(radius)):
+                at = np.flatnonzero(hit)
+                if not len(at):
+                    continue
+                full = np.flatnonzero(hit.any(1))
+                group, near = np.searchsorted(full, at // len(rows)), rows[at % len(rows)]
+                d = [c.ravel()[at] for c in d]
+                seen = {"distance": np.sqrt(blocks.dot(d, d))} | {v: p.columns[v][near] for v in values}
+                parts.append((some.start + full, kernel.partial(group, len(full), seen)))
+                held += len(full)
+            if held > len(t.order) + (1 << 18):
+                parts = merged()
+                held = len(parts[0][0])
+        if parts:
+            ids, states = merged()[0]
+            yield {"idx": t.columns["qidx"][ids]} | kernel.finish(states)
+
+    return blocks.by_leaf(as_queries(df), finite(df).select("idx", "x", "y", "z", *more), radius, work, f"idx bigint, {kernel.result}")
 
 
 @dataclass(frozen=True)
