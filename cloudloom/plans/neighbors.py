@@ -270,9 +270,7 @@ SELECT q AS idx, round(a - nx * along, 4) + 0 AS gx, round(b - ny * along, 4) +
 )
 def intensity_gradient_solved(spark, sf_dir):
     """The gradients of the neighbourhoods of five points or more, where the three equations have one solution."""
-    p = embedding_points(spark, sf_dir)
-    many = N.radius_search(p, 0.15).groupBy(F.col("qidx").alias("idx")).agg(F.count("*").alias("n")).where("n >= 5").select("idx")
-    return E.intensity_gradient(p, 0.15).join(many, "idx").select("idx", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("gx", "gy", "gz")))
+    return E.intensity_gradient(embedding_points(spark, sf_dir), 0.15, least=5).select("idx", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("gx", "gy", "gz")))
 
 
 _FILLED = {k: f"{k} + fill * v{k[0]} * v{k[1]} / (vx * vx + vy * vy + vz * vz)" for k in ("xx", "xy", "xz", "yy", "yz", "zz")}

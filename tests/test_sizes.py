@@ -54,7 +54,7 @@ def test_folds_by_leaf(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["narf", "fpfh", "boundary", "dynamic_kernel", "intensity_gradient"])
+@pytest.mark.parametrize("name", ["narf", "fpfh", "boundary", "dynamic_kernel", "intensity_gradient", "intensity_gradient_solved"])
 def test_no_pair_of_neighbours_is_joined_or_shuffled(spark, sf_dir, name):
     assert "SortMergeJoin" not in plan(QUERIES[name](spark, sf_dir))
 
