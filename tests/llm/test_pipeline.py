@@ -208,3 +208,9 @@ def test_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     order = [theirs.columns.index(c) for c in df.columns]
     assert sorted(map(tuple, df.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in theirs.fetchall()), key=str)
+
+
+def test_the_last_stage_does_all_of_op1(spark):
+    want = {r.doc_id: (r.ids, r.n_pieces, r.score, r.others, r.decoded_sha256) for r in queries.op1_sentencepiece(spark, SF).collect()}
+    got = {r.doc_id: (r.ids, r.n_pieces, r.score, r.others, r.decoded_sha256) for r in corpus_pipeline.tokenize(spark, read(spark), SF).collect()}
+    assert got == want and any(len(r[3]) == 3 for r in got.values())
